@@ -32,7 +32,7 @@ def string_hash(word: Column) -> Column:
         return F.when(code < 0x10000, push(h, code)).otherwise(push(push(h, high), low))
 
     unsigned = F.aggregate(F.split(word, ""), F.lit(0).cast("bigint"), step)
-    return F.when(unsigned >= wrap // 2, unsigned - wrap).otherwise(unsigned).cast("double")
+    return (F.pmod(unsigned + wrap // 2, F.lit(wrap)) - wrap // 2).cast("double")
 
 
 def number_or_hash(word: Column) -> Column:
