@@ -45,6 +45,7 @@ class Leaves:
     measure: Measure
     dims: int
     leaf_rows: int
+    rows: int
     mean_rows: float  # points in an average leaf: small when groups are small
     levels: int
     split: bool  # some group spans several leaves
@@ -132,37 +133,36 @@ def build_leaves(
     spark = points.sparkSession
     source = _prepare(points)
     sample = source if stats_of is None else _prepare(stats_of)
-    first = sample.select(F.size("x").alias("d")).first()
-    dims = first["d"] if first else 1
-    used = min(dims, CURVE_DIMS)
-    shares = [q / CURVE_BINS for q in range(CURVE_BINS + 1)]
-    stats = sample.agg(
-        F.count("*").alias("n"),
-        *(F.percentile_approx(F.col("x")[m], shares, 1000).alias(f"q{m}") for m in range(used)),
-    ).first()
-    rows = stats["n"]
     grouped = "grp" in points.columns
+    extent = sample.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("d")).first()
+    rows, dims = extent["n"], extent["d"] or 1
     if leaf_rows == LEAF_ROWS and not grouped and rows <= ONE_LEAF_ROWS:
         leaf_rows = ONE_LEAF_ROWS  # a few more distances cost less than a second round
-    if rows > leaf_rows or grouped:
-        partitions = math.ceil(
-            min(
-                max(1, rows / leaf_rows),
-                max(spark.sparkContext.defaultParallelism, rows / (256 * leaf_rows)),
-            )
-        )
-        for name, column in _curve_position([stats[f"q{m}"] for m in range(used)] if rows else []):
-            source = source.withColumn(name, column)
-        key = ["grp", "z", "i"]
-        source = source.select("z", "grp", "i", "x", "role", "reach")
-        spread = source.repartitionByRange(partitions, *key) if partitions > 1 else source.repartition(1)
-        spread = spread.sortWithinPartitions(*key).drop("z")
-    else:
-        spread = source.repartition(1)
-    packed = spread.mapInArrow(blocks.pack_leaves(dims, leaf_rows, measure.box == "unit"), LEAF_SCHEMA)
-    table = stage(packed, "leaves")
+    pack = blocks.pack_leaves(dims, leaf_rows, measure.box == "unit")
     if rows <= leaf_rows and not grouped:
-        return Leaves(table, measure, dims, leaf_rows, rows, 0, False)
+        # one leaf, hence one row: nothing to share, so nothing to stage
+        packed = source.repartition(1).mapInArrow(pack, LEAF_SCHEMA)
+        return Leaves(packed, measure, dims, leaf_rows, rows, rows, 0, False)
+    partitions = math.ceil(
+        min(
+            max(1, rows / leaf_rows),
+            max(spark.sparkContext.defaultParallelism, rows / (256 * leaf_rows)),
+        )
+    )
+    key = ["grp", "z", "i"]
+    spread = source.withColumn("z", F.lit(0))
+    if rows:
+        used = min(dims, CURVE_DIMS)
+        shares = [q / CURVE_BINS for q in range(CURVE_BINS + 1)]
+        cuts = sample.agg(
+            *(F.percentile_approx(F.col("x")[m], shares, 1000).alias(f"q{m}") for m in range(used))
+        ).first()
+        for name, column in _curve_position(list(cuts)):
+            spread = spread.withColumn(name, column)
+    spread = spread.select(*key, "x", "role", "reach")
+    spread = spread.repartitionByRange(partitions, *key) if partitions > 1 else spread.repartition(1)
+    spread = spread.sortWithinPartitions(*key).drop("z")
+    table = stage(spread.mapInArrow(pack, LEAF_SCHEMA), "leaves")
     low_bits = F.col("leaf").bitwiseAND(F.lit(0xFFFFFFFF))
     shape = (
         table.groupBy("grp")
@@ -175,7 +175,7 @@ def build_leaves(
     dense = F.expr(f"shiftleft(shiftright(leaf, 32), {width}) | (leaf & {0xFFFFFFFF}L)")
     table = table.withColumn("leaf", dense)
     levels = max(0, math.ceil(math.log2(max(1, most)) / FANOUT_BITS) - 1)
-    return Leaves(table, measure, dims, leaf_rows, rows / (shape["all"] or 1), levels, most > 1)
+    return Leaves(table, measure, dims, leaf_rows, rows, rows / (shape["all"] or 1), levels, most > 1)
 
 
 def _box_distance(kind: str, dims: int, far: bool, a: tuple[str, str], b: tuple[str, str]) -> str:
@@ -256,15 +256,15 @@ def _search(leaves: Leaves, k: int | None, skip_self: bool) -> tuple[DataFrame,
     if leaves.measure.block is None:
         raise ValueError(f"measure {leaves.measure.name!r} has no block kernel")
     dims, block = leaves.dims, leaves.measure.block
-    home_schema = f"i bigint, leaf bigint, grp bigint, bound double, nbrs {NEIGHBOURS}"
+    inside = leaves.table.select("leaf", "grp", "ids", "xs", "roles", "reaches").mapInArrow(
+        blocks.within_leaf(block, dims, k, skip_self, leaves.split),
+        f"i bigint, leaf bigint, grp bigint, bound double, nbrs {NEIGHBOURS}"
+        + (", x array<double>" if leaves.split else ""),
+    )
+    if leaves.mean_rows == leaves.rows:  # a single leaf
+        return inside, None
     with arrow_rows(leaves.spark, leaves.batch_rows):
-        home = stage(
-            leaves.table.select("leaf", "grp", "ids", "xs", "roles", "reaches").mapInArrow(
-                blocks.within_leaf(block, dims, k, skip_self, leaves.split),
-                home_schema + (", x array<double>" if leaves.split else ""),
-            ),
-            "home",
-        )
+        home = stage(inside, "home")
         if not leaves.split:
             return home, None
         bounds = home.groupBy("leaf").agg(F.max("bound").alias("bound"))

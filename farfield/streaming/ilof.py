@@ -8,9 +8,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from farfield.functions.measures import Measure
 from farfield.operators.lof import label_top
-from farfield.operators.sets import first_arrivals
 from farfield.session import stage
-from farfield.streaming.insert import SCORED, find_neighbours, insert
+from farfield.streaming.insert import SCORED, find_neighbours, insert, owners
 from farfield.streaming.state import Versions
 
 ARRIVALS = "key string, i bigint"
@@ -41,14 +40,9 @@ class IncrementalLof:
         before = self.versions.manifest(batch_id - 1)
         arrived = stage(batch.select("key", F.col("seq").alias("i"), "x"), "arrived")
         old = self.versions.newest(before.get("scored", []), SCORED)
-        # the stored side is only scanned: the batch is what gets shipped
-        known = stage(
-            old.select(F.col("i").alias("first"), "x").join(arrived.select("x").distinct(), "x"), "known"
-        )
-        fresh = first_arrivals(arrived.select("i", "x"), "i").join(known.select("x"), "x", "left_anti")
-        fresh = stage(fresh.select("i", "x"), "points")
-        owners = known.unionByName(fresh.select(F.col("i").alias("first"), "x"))
-        log = arrived.join(owners, "x").select("key", F.col("first").alias("i"))
+        owner = owners(old, arrived)
+        fresh = owner.filter("fresh").select(F.col("first").alias("i"), "x")
+        log = arrived.join(owner, "x").select("key", F.col("first").alias("i"))
         arrivals = [*before.get("arrivals", []), self.versions.write("arrivals", batch_id, log)]
         near, hits = find_neighbours(old, fresh, self.k, self.measure)
         changed = insert(old, fresh, near, hits, self.k)

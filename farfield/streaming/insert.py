@@ -15,6 +15,7 @@ from farfield.operators.knn import (
     CANDIDATE, LEAF_ROWS, NEIGHBOURS, QUERY, edges, keep_nearest, knn, within_reach,
 )
 from farfield.operators.lof import ratio
+from farfield.operators.sets import first_arrivals
 from farfield.session import stage
 
 SCORED = f"i bigint, x array<double>, kd double, n int, nbrs {NEIGHBOURS}, lrd double, lof double"
@@ -37,6 +38,22 @@ def find_neighbours(
     return near, hits
 
 
+def owners(stored: DataFrame, arrived: DataFrame) -> DataFrame:
+    """For each distinct vector that arrived, the point it belongs to: ``x, first, fresh``.
+
+    That is the stored point with these coordinates or, if there is none (``fresh``), the
+    earliest arrival.  The stored side is only scanned; the batch is what gets shipped.
+    """
+    earliest = first_arrivals(arrived.select("i", "x"), "i")
+    known = stored.select(F.col("i").alias("stored"), "x").join(earliest.select("x"), "x")
+    return stage(
+        earliest.join(known, "x", "left").select(
+            "x", F.coalesce("stored", "i").alias("first"), F.col("stored").isNull().alias("fresh")
+        ),
+        "owners",
+    )
+
+
 def _sources_into(lists: DataFrame, targets: DataFrame) -> DataFrame:
     """Points that list one of ``targets(i)`` among their neighbours."""
     into = edges(lists).join(targets.select(F.col("i").alias("j")), "j", "left_semi")

@@ -24,13 +24,12 @@ from pyspark.sql.streaming import StreamingQuery
 from farfield.functions.measures import Measure
 from farfield.operators.evaluate import running_totals
 from farfield.operators.knn import NEIGHBOURS, edges, k_distance
-from farfield.operators.sets import first_arrivals
 from farfield.session import stage
 from farfield.streaming.areas import (
     AREAS, absorb, center_of, members, summarize, virtual_neighbours, virtual_profiles,
 )
 from farfield.streaming.ilof import ARRIVALS, write_labels
-from farfield.streaming.insert import SCORED, find_neighbours, insert
+from farfield.streaming.insert import SCORED, find_neighbours, insert, owners
 from farfield.streaming.state import Versions
 
 WINDOW = SCORED + ", ts bigint"
@@ -101,14 +100,10 @@ class WindowedLof:
         clock, any_areas = before.get("clock", 0), before.get("areas_n", 0) > 0
 
         arrived = stage(batch.select("key", F.col("seq").alias("i"), "x"), "arrived")
-        known = stage(
-            window.select(F.col("i").alias("first"), "x").join(arrived.select("x").distinct(), "x"), "known"
-        )
-        fresh = first_arrivals(arrived.select("i", "x"), "i").join(known.select("x"), "x", "left_anti")
-        fresh = stage(fresh.select("i", "x"), "points")
-        owners = known.unionByName(fresh.select(F.col("i").alias("first"), "x"))
+        owner = owners(window, arrived)
+        fresh = owner.filter("fresh").select(F.col("first").alias("i"), "x")
         keys = read("keys", ARRIVALS).unionByName(
-            arrived.join(owners, "x").select("key", F.col("first").alias("i"))
+            arrived.join(owner, "x").select("key", F.col("first").alias("i"))
         )
 
         virtual = virtual_profiles(areas, self.dims) if any_areas else None
@@ -118,7 +113,7 @@ class WindowedLof:
         gone = self.spark.createDataFrame([], GONE)
         if inside is not None:
             profile = window.select("i", "kd", "lrd")
-            areas = stage(absorb(areas, inside.join(profile, "i"), clock), "areas")
+            areas = absorb(areas, inside.join(profile, "i"), clock)
             absorbed = inside.select("i").distinct()
             window = stage(delete_rows(window, absorbed), "window")
             gone = gone.unionByName(absorbed.withColumn("reason", F.lit("absorbed")))
@@ -134,7 +129,7 @@ class WindowedLof:
             gone = gone.unionByName(aged)
             flagged = top
 
-        gone = stage(gone.dropDuplicates(["i"]), "gone")
+        gone = gone.dropDuplicates(["i"])
         label = F.lit(0)
         leaving = keys.join(gone, "i")
         if flagged is not None:
@@ -179,7 +174,7 @@ class WindowedLof:
         stamps = running_totals(staying.withColumn("one", F.lit(1)), ["i"], ["one"]).select(
             "i", (F.col("before_one") + clock).cast("bigint").alias("ts")
         )
-        stamps = stage(window.select("i", "ts").unionByName(stamps), "stamps")
+        stamps = window.select("i", "ts").unionByName(stamps)
         untouched = window.drop("ts").join(changed.select("i"), "i", "left_anti")
         whole = untouched.unionByName(changed).join(stamps, "i", "left")
         return stage(whole, "window"), staying.count()
@@ -195,7 +190,7 @@ class WindowedLof:
         doomed = stage(centers.unionByName(around).distinct(), "doomed")
         left = stage(delete_rows(window, doomed), "window")
         gone = doomed.filter("i >= 0").withColumn("reason", F.lit("summarized"))
-        return left, stage(areas.unionByName(made.select(*areas.columns)), "areas"), gone
+        return left, areas.unionByName(made.select(*areas.columns)), gone
 
     def _age_out(self, window, areas, top, clock):
         old = F.lit(clock) - F.col("ts") > self.max_age
@@ -205,7 +200,7 @@ class WindowedLof:
         left = delete_virtual(delete_rows(window, aged), expired, self.dims)
         areas = areas.join(expired, "center", "left_anti").select(*areas.columns)
         gone = aged.select("i", F.lit("aged").alias("reason"))
-        return stage(left, "window"), stage(areas, "areas"), best, gone
+        return stage(left, "window"), areas, best, gone
 
     def labels(self) -> DataFrame:
         """All labels so far: ``key, label, reason, batch_id``; points still in the window
