@@ -135,7 +135,9 @@ def bucket_neighbours(points: DataFrame, k: int, hashed: Family) -> DataFrame:
 
 def neighbour_radius(points: DataFrame, measure: str | Measure, samples: int = 30, seed: int = 0) -> float:
     """0.9 times the mean nearest-neighbour distance of sampled points, themselves excluded."""
-    chosen = points.select("i").orderBy(F.xxhash64("i", F.lit(seed)), "i").limit(samples)
+    # multiplicative hashing (Knuth): a fixed shuffle of the ids, shifted by the seed
+    shuffled = F.pmod(F.pmod("i", F.lit(1 << 31)) * 2654435761 + seed, F.lit(1 << 32))
+    chosen = points.select("i").orderBy(shuffled, "i").limit(samples)
     asking = points.join(F.broadcast(chosen), "i", "left_semi")  # at most ``samples`` rows
     roles = points.select("i", "x", F.lit(CANDIDATE).alias("role")).unionByName(
         asking.select("i", "x", F.lit(QUERY).alias("role"))
