@@ -27,6 +27,7 @@ CURVE_BINS = 64
 CURVE_DIMS = 8
 CURVE_BITS = 48
 ONE_LEAF_ROWS = 4096
+UNROLLED_DIMS = 16  # box distances over more coordinates loop instead of compiling a term each
 
 QUERY, CANDIDATE = 1, 2
 
@@ -49,6 +50,7 @@ class Leaves:
     mean_rows: float  # points in an average leaf: small when groups are small
     levels: int
     split: bool  # some group spans several leaves
+    single: bool = False  # one leaf holds everything; the table is not staged
 
     @property
     def batch_rows(self) -> int:
@@ -142,7 +144,7 @@ def build_leaves(
     if rows <= leaf_rows and not grouped:
         # one leaf, hence one row: nothing to share, so nothing to stage
         packed = source.repartition(1).mapInArrow(pack, LEAF_SCHEMA)
-        return Leaves(packed, measure, dims, leaf_rows, rows, rows, 0, False)
+        return Leaves(packed, measure, dims, leaf_rows, rows, rows, 0, False, single=True)
     partitions = math.ceil(
         min(
             max(1, rows / leaf_rows),
@@ -185,14 +187,22 @@ def _box_distance(kind: str, dims: int, far: bool, a: tuple[str, str], b: tuple[
     monotone, so a bound is never on the wrong side of a distance it bounds.
     """
     (alo, ahi), (blo, bhi) = a, b
-    terms = []
-    for j in range(dims):
-        if far:
-            gap = f"greatest({ahi}[{j}] - {blo}[{j}], {bhi}[{j}] - {alo}[{j}])"
-        else:
-            gap = f"greatest({alo}[{j}] - {bhi}[{j}], {blo}[{j}] - {ahi}[{j}], 0D)"
-        terms.append(gap if kind == "l1" else f"{gap} * {gap}")
-    total = " + ".join(["0D", *terms])
+    if dims > UNROLLED_DIMS:
+        apart = lambda p, q: f"zip_with({p}, {q}, (p, q) -> p - q)"
+        gaps = (
+            f"zip_with({apart(ahi, blo)}, {apart(bhi, alo)}, (u, v) -> greatest(u, v))" if far else
+            f"zip_with({apart(alo, bhi)}, {apart(blo, ahi)}, (u, v) -> greatest(u, v, 0D))"
+        )
+        total = f"aggregate({gaps}, 0D, (s, g) -> s + {'g' if kind == 'l1' else 'g * g'})"
+    else:
+        terms = []
+        for j in range(dims):
+            if far:
+                gap = f"greatest({ahi}[{j}] - {blo}[{j}], {bhi}[{j}] - {alo}[{j}])"
+            else:
+                gap = f"greatest({alo}[{j}] - {bhi}[{j}], {blo}[{j}] - {ahi}[{j}], 0D)"
+            terms.append(gap if kind == "l1" else f"{gap} * {gap}")
+        total = " + ".join(["0D", *terms])
     if kind == "l2":
         return f"sqrt({total})"
     if kind == "unit":  # 1 - cos = half the squared chord; slack for the unit vectors' rounding
@@ -205,32 +215,42 @@ def _level(boxes: DataFrame, up: int, dims: int) -> DataFrame:
     node = F.shiftright("leaf", FANOUT_BITS * up).alias("node")
     parent = F.shiftright("leaf", FANOUT_BITS * (up + 1)).alias("parent")
     if up == 0:
-        return boxes.select(node, parent, "grp", "lo", "hi", "queries", "candidates", "bound")
+        return boxes.select(node, parent, "grp", "lo", "hi", "size", "bound")
     return boxes.groupBy("grp", node, parent).agg(
         F.array(*(F.min(F.col("lo")[j]) for j in range(dims))).alias("lo"),
         F.array(*(F.max(F.col("hi")[j]) for j in range(dims))).alias("hi"),
-        F.sum("queries").alias("queries"),
-        F.sum("candidates").alias("candidates"),
+        F.sum("size").alias("size"),
         F.max("bound").alias("bound"),
     )
 
 
-def _leaf_pairs(leaves: Leaves, bounds: DataFrame, k: int | None) -> DataFrame:
-    """(a, b): leaves of one group such that some point of a may have neighbours in b."""
-    boxes = leaves.table.select("leaf", "grp", "lo", "hi", "queries", "candidates").join(
-        bounds, "leaf", "left"
+def asking_boxes(table: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Boxes of the leaves that hold query points, with the bound each leaf searches to."""
+    boxes = table.filter("queries > 0").select("leaf", "grp", "lo", "hi", F.col("queries").alias("size"))
+    return boxes.join(bounds, "leaf")
+
+
+def offering_boxes(table: DataFrame) -> DataFrame:
+    """Boxes of the leaves that hold candidates."""
+    return table.filter("candidates > 0").select(
+        "leaf", "grp", "lo", "hi", F.col("candidates").alias("size"), F.lit(None).cast("double").alias("bound")
     )
-    kind = leaves.measure.box
-    pairs = None
-    for up in range(leaves.levels, -1, -1):
-        level = _level(boxes, up, leaves.dims)
-        a = level.filter(F.col("queries") > 0).select(
+
+
+def leaf_pairs(
+    asking: DataFrame, offering: DataFrame, levels: int, measure: Measure, dims: int, k: int | None
+) -> DataFrame:
+    """(a, b): different leaves of one group such that some point of ``a`` may have
+    neighbours in ``b``, found from the top of the box hierarchy down."""
+    kind, pairs = measure.box, None
+    for up in range(levels, -1, -1):
+        a = _level(asking, up, dims).select(
             F.col("node").alias("a"), F.col("parent").alias("pa"), "grp",
             F.col("lo").alias("alo"), F.col("hi").alias("ahi"), "bound",
         )
-        b = level.filter(F.col("candidates") > 0).select(
+        b = _level(offering, up, dims).select(
             F.col("node").alias("b"), F.col("parent").alias("pb"), "grp",
-            F.col("lo").alias("blo"), F.col("hi").alias("bhi"), F.col("candidates").alias("offered"),
+            F.col("lo").alias("blo"), F.col("hi").alias("bhi"), F.col("size").alias("offered"),
         )
         if pairs is None:
             pairs = a.join(b, "grp")
@@ -238,12 +258,12 @@ def _leaf_pairs(leaves: Leaves, bounds: DataFrame, k: int | None) -> DataFrame:
             above = pairs.select(F.col("a").alias("pa"), F.col("b").alias("pb"), "grp")
             pairs = above.join(a, ["grp", "pa"]).join(b, ["grp", "pb"])
         if kind is not None:
-            near = F.expr(_box_distance(kind, leaves.dims, False, ("alo", "ahi"), ("blo", "bhi")))
+            near = F.expr(_box_distance(kind, dims, False, ("alo", "ahi"), ("blo", "bhi")))
             allowed = F.col("bound")
             if k is not None:
                 # A leaf short of k candidates of its own has no bound yet: any box that
                 # holds enough of them bounds it by the farthest corner.
-                far = F.expr(_box_distance(kind, leaves.dims, True, ("alo", "ahi"), ("blo", "bhi")))
+                far = F.expr(_box_distance(kind, dims, True, ("alo", "ahi"), ("blo", "bhi")))
                 enough = F.min(F.when(F.col("offered") > k, far)).over(Window.partitionBy("grp", "a"))
                 pairs = pairs.withColumn("enough", enough)
                 allowed = F.least(allowed, F.col("enough"))
@@ -251,51 +271,73 @@ def _leaf_pairs(leaves: Leaves, bounds: DataFrame, k: int | None) -> DataFrame:
     return pairs.filter("a <> b").select("a", "b", "blo", "bhi")
 
 
-def _search(leaves: Leaves, k: int | None, skip_self: bool) -> tuple[DataFrame, DataFrame | None]:
-    """Neighbours found at home, and those found on visits to other leaves."""
+def search_home(leaves: Leaves, k: int | None, skip_self: bool, keep_x: bool) -> DataFrame:
+    """Each query point with its neighbours in its own leaf and the bound that leaves."""
     if leaves.measure.block is None:
         raise ValueError(f"measure {leaves.measure.name!r} has no block kernel")
-    dims, block = leaves.dims, leaves.measure.block
-    inside = leaves.table.select("leaf", "grp", "ids", "xs", "roles", "reaches").mapInArrow(
-        blocks.within_leaf(block, dims, k, skip_self, leaves.split),
+    return leaves.table.select("leaf", "grp", "ids", "xs", "roles", "reaches").mapInArrow(
+        blocks.within_leaf(leaves.measure.block, leaves.dims, k, skip_self, keep_x),
         f"i bigint, leaf bigint, grp bigint, bound double, nbrs {NEIGHBOURS}"
-        + (", x array<double>" if leaves.split else ""),
+        + (", x array<double>" if keep_x else ""),
     )
-    if leaves.mean_rows == leaves.rows:  # a single leaf
-        return inside, None
-    with arrow_rows(leaves.spark, leaves.batch_rows):
-        home = stage(inside, "home")
-        if not leaves.split:
-            return home, None
-        bounds = home.groupBy("leaf").agg(F.max("bound").alias("bound"))
-        pairs = _leaf_pairs(leaves, bounds, k)
-        who = home.select("i", "leaf", "x", "bound")
-        visits = who.join(pairs, who["leaf"] == pairs["a"])
-        if leaves.measure.box is not None:
-            at = "x"
-            if leaves.measure.box == "unit":
-                norm = "sqrt(aggregate(x, 0D, (s, v) -> s + v * v))"
-                visits = visits.withColumn("ux", F.expr(f"transform(x, v -> try_divide(v, {norm}))"))
-                at = "ux"
-            reachable = _box_distance(leaves.measure.box, dims, False, (at, at), ("blo", "bhi"))
-            visits = visits.filter(F.expr(f"{reachable} <= bound"))
-        visits = visits.groupBy("a", "b").agg(
-            F.collect_list(F.struct("i", "x", "bound")).alias("visitors")
-        )
-        hosts = leaves.table.select(F.col("leaf").alias("b"), "grp", "ids", "xs", "roles")
-        away = stage(
+
+
+def search_away(
+    points: DataFrame,
+    pairs: DataFrame,
+    hosts: DataFrame,
+    measure: Measure,
+    dims: int,
+    k: int | None,
+    skip_self: bool,
+    batch_rows: int,
+) -> DataFrame:
+    """Neighbours of ``points(i, leaf, x, bound)`` in the other leaves of ``pairs``, staged.
+
+    Only points whose own distance to the other leaf's box is within their bound travel.
+    """
+    visits = points.select("i", F.col("leaf").alias("a"), "x", "bound").join(pairs, "a")
+    if measure.box is not None:
+        at = "x"
+        if measure.box == "unit":
+            norm = "sqrt(aggregate(x, 0D, (s, v) -> s + v * v))"
+            visits = visits.withColumn("ux", F.expr(f"transform(x, v -> try_divide(v, {norm}))"))
+            at = "ux"
+        reachable = _box_distance(measure.box, dims, False, (at, at), ("blo", "bhi"))
+        visits = visits.filter(F.expr(f"{reachable} <= bound"))
+    visits = visits.groupBy("a", "b").agg(F.collect_list(F.struct("i", "x", "bound")).alias("visitors"))
+    hosts = hosts.select(F.col("leaf").alias("b"), "grp", "ids", "xs", "roles")
+    with arrow_rows(points.sparkSession, batch_rows):
+        return stage(
             visits.join(hosts, "b")
             .select("visitors", "grp", "ids", "xs", "roles")
             .mapInArrow(
-                blocks.across_leaves(block, dims, k, skip_self),
+                blocks.across_leaves(measure.block, dims, k, skip_self),
                 f"i bigint, grp bigint, nbrs {NEIGHBOURS}",
             ),
             "away",
         )
+
+
+def _search(leaves: Leaves, k: int | None, skip_self: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Neighbours found at home, and those found on visits to other leaves."""
+    home = search_home(leaves, k, skip_self, keep_x=leaves.split)
+    if leaves.single:
+        return home, None
+    with arrow_rows(leaves.spark, leaves.batch_rows):
+        home = stage(home, "home")
+    if not leaves.split:
+        return home, None
+    asking = asking_boxes(leaves.table, home.groupBy("leaf").agg(F.max("bound").alias("bound")))
+    pairs = leaf_pairs(asking, offering_boxes(leaves.table), leaves.levels, leaves.measure, leaves.dims, k)
+    away = search_away(
+        home, pairs, leaves.table, leaves.measure, leaves.dims, k, skip_self, leaves.batch_rows
+    )
     return home, away
 
 
-def _gathered(home: DataFrame, away: DataFrame | None) -> DataFrame:
+def gathered(home: DataFrame, away: DataFrame | None) -> DataFrame:
+    """``i, grp, nbrs`` from both searches, lists sorted by distance."""
     if away is None:
         return home.select("i", "grp", "nbrs")
     more = away.groupBy("i", "grp").agg(F.flatten(F.collect_list("nbrs")).alias("more"))
@@ -343,7 +385,7 @@ def knn(
     if k < 1:
         raise ValueError("k must be at least 1")
     leaves = build_leaves(points, measure, leaf_rows, stats_of)
-    return keep_nearest(_gathered(*_search(leaves, k, skip_self)), k)
+    return keep_nearest(gathered(*_search(leaves, k, skip_self)), k)
 
 
 def within_reach(
@@ -354,7 +396,7 @@ def within_reach(
 ) -> DataFrame:
     """All candidates within each query's own ``reach``: ``i, grp, nbrs``."""
     leaves = build_leaves(points, measure, leaf_rows, stats_of)
-    return _gathered(*_search(leaves, None, True))
+    return gathered(*_search(leaves, None, True))
 
 
 def edges(neighbourhoods: DataFrame) -> DataFrame:

@@ -1,4 +1,9 @@
-"""Incremental LOF: scores of everything seen so far, kept current batch by batch."""
+"""Incremental LOF: scores of everything seen so far, kept current batch by batch.
+
+The state is a list of segments, each written once: the rows a batch added or changed,
+and the leaves of the points it added.  A batch searches only the stored leaves near its
+own points, and writes only what changed.
+"""
 
 from __future__ import annotations
 
@@ -7,9 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from farfield.functions.measures import Measure
+from farfield.operators.knn import LEAF_SCHEMA
 from farfield.operators.lof import label_top
 from farfield.session import stage
-from farfield.streaming.insert import SCORED, find_neighbours, insert, owners
+from farfield.streaming import leafindex
+from farfield.streaming.insert import SCORED, insert, owners
 from farfield.streaming.state import Versions
 
 ARRIVALS = "key string, i bigint"
@@ -30,7 +37,7 @@ class IncrementalLof:
     def scores(self, batch_id: int | None = None) -> DataFrame:
         """``i, x, kd, n, nbrs, lrd, lof`` after a batch (the last one by default)."""
         manifest = self.versions.manifest(self.versions.latest() if batch_id is None else batch_id)
-        return self.versions.newest(manifest.get("scored", []), SCORED)
+        return self._overlaid(manifest.get("segments", []))
 
     def arrivals(self, batch_id: int | None = None) -> DataFrame:
         manifest = self.versions.manifest(self.versions.latest() if batch_id is None else batch_id)
@@ -38,20 +45,51 @@ class IncrementalLof:
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         before = self.versions.manifest(batch_id - 1)
+        segments = before.get("segments", [])
         arrived = stage(batch.select("key", F.col("seq").alias("i"), "x"), "arrived")
-        old = self.versions.newest(before.get("scored", []), SCORED)
+        old = self._overlaid(segments)
         owner = owners(old, arrived)
-        fresh = owner.filter("fresh").select(F.col("first").alias("i"), "x")
         log = arrived.join(owner, "x").select("key", F.col("first").alias("i"))
         arrivals = [*before.get("arrivals", []), self.versions.write("arrivals", batch_id, log)]
-        near, hits = find_neighbours(old, fresh, self.k, self.measure)
-        changed = insert(old, fresh, near, hits, self.k)
-        scored = [*before.get("scored", []), self.versions.write("scored", batch_id, changed)]
-        if len(scored) > COMPACT_AFTER:
-            whole = self.versions.newest(scored, SCORED)
-            scored = [self.versions.write("scored-whole", batch_id, whole)]
-        seen = before.get("seen", 0) + arrived.count()
-        self.versions.commit(batch_id, {"scored": scored, "arrivals": arrivals, "seen": seen})
+
+        fresh = owner.filter("fresh").select(F.col("first").alias("i"), "x")
+        added = leafindex.build(self.versions, batch_id, fresh, self.measure)
+        near, hits = leafindex.find(old, self._leaves(segments), segments, added, self.k)
+        arriving = fresh.join(added.where, "i")
+        changed = insert(old, arriving, near, hits, self.k)
+        scored = self.versions.write("scored", batch_id, changed)
+        segments = [*segments, {"scored": scored, **added.entry, "rows": added.leaves.rows}]
+        self.versions.commit(
+            batch_id,
+            {
+                "segments": self._compacted(segments, batch_id),
+                "arrivals": arrivals,
+                "seen": before.get("seen", 0) + arrived.count(),
+            },
+        )
+
+    def _overlaid(self, segments: list[dict]) -> DataFrame:
+        return self.versions.newest([s["scored"] for s in segments], SCORED)
+
+    def _leaves(self, segments: list[dict]) -> DataFrame:
+        return self.versions.read([s["leaves"] for s in segments], LEAF_SCHEMA)
+
+    def _compacted(self, segments: list[dict], batch_id: int) -> list[dict]:
+        """Few segments: once there are many, the newer ones become one, and all of them
+        once the newer ones add up to a quarter of the first.  So a point is rewritten
+        a few times over its life, not once per batch."""
+        if len(segments) <= COMPACT_AFTER:
+            return segments
+        newer = sum(s["rows"] for s in segments[1:])
+        keep = 1 if newer * 4 < segments[0]["rows"] else 0
+        merged = segments[keep:]
+        rows = stage(self._overlaid(merged), "merged")
+        own = rows.filter(F.col("leaf") >= merged[0]["floor"]).select("i", "x")
+        index = leafindex.build(self.versions, batch_id, own, self.measure, compacting=True)
+        moved = rows.join(index.where.withColumnRenamed("leaf", "moved"), "i", "left")
+        moved = moved.withColumn("leaf", F.coalesce("moved", "leaf")).drop("moved")
+        scored = self.versions.write("scored-merged", batch_id, moved.select(*rows.columns))
+        return [*segments[:keep], {"scored": scored, **index.entry, "rows": index.leaves.rows}]
 
     def labels(self, top_n: int) -> DataFrame:
         """``key, label`` of every arrival: 1 for the keys of the ``top_n`` points."""

@@ -7,7 +7,7 @@ factors where a density changed.  On a set that only grows the result equals bat
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farfield.functions.measures import Measure
@@ -18,20 +18,27 @@ from farfield.operators.lof import ratio
 from farfield.operators.sets import first_arrivals
 from farfield.session import stage
 
-SCORED = f"i bigint, x array<double>, kd double, n int, nbrs {NEIGHBOURS}, lrd double, lof double"
+SCORED = f"i bigint, x array<double>, leaf bigint, kd double, n int, nbrs {NEIGHBOURS}, lrd double, lof double"
+
+
+def open_reach(k: int) -> Column:
+    """How near an arrival must be to enter a list: one that is not full takes any."""
+    return F.when(F.col("n") < k, F.lit(float("inf"))).otherwise(F.col("kd"))
 
 
 def find_neighbours(
     old: DataFrame, arriving: DataFrame, k: int, measure: str | Measure, leaf_rows: int = LEAF_ROWS
 ) -> tuple[DataFrame, DataFrame]:
-    """(lists of the arriving points, new entries for old points within their k-distance)."""
+    """(lists of the arriving points, new entries for old points within their k-distance).
+
+    Indexes all points anew, which suits a set of bounded size; ``leafindex`` keeps the
+    index between batches.
+    """
     points = old.select("i", "x", F.lit(CANDIDATE).alias("role")).unionByName(
         arriving.select("i", "x", F.lit(QUERY | CANDIDATE).alias("role"))
     )
     near = knn(points, k, measure, leaf_rows).select("i", "nbrs")
-    # a list that is not full takes whatever arrives, at any distance
-    reach = F.when(F.col("n") < k, F.lit(float("inf"))).otherwise(F.col("kd"))
-    around = old.select("i", "x", F.lit(QUERY).alias("role"), reach.alias("reach")).unionByName(
+    around = old.select("i", "x", F.lit(QUERY).alias("role"), open_reach(k).alias("reach")).unionByName(
         arriving.select("i", "x", F.lit(CANDIDATE).alias("role"), F.lit(float("inf")).alias("reach"))
     )
     hits = within_reach(around, measure, leaf_rows).select("i", "nbrs").filter(F.size("nbrs") > 0)
@@ -120,10 +127,10 @@ def insert(
         looked_up = looked_up.unionByName(virtual.select("j", F.col("lrd").alias("other")))
     mine = lists.join(factor_ids, "i", "left_semi")
     around = edges(mine).join(looked_up, "j").groupBy("i").agg(F.sum("other").alias("around"))
-    where = old.select("i", "x").unionByName(arriving.select("i", "x"))
+    where = old.select("i", "x", "leaf").unionByName(arriving.select("i", "x", "leaf"))
     changed = (
         mine.join(around, "i", "left").join(all_lrd, "i").join(where, "i").select(
-            "i", "x", "kd", "n", "nbrs", "lrd",
+            "i", "x", "leaf", "kd", "n", "nbrs", "lrd",
             F.when(F.col("n") == 0, F.lit(float("nan")))
             .otherwise(ratio(F.col("around"), F.col("lrd") * F.col("n")))
             .alias("lof"),

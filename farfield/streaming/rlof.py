@@ -101,7 +101,9 @@ class WindowedLof:
 
         arrived = stage(batch.select("key", F.col("seq").alias("i"), "x"), "arrived")
         owner = owners(window, arrived)
-        fresh = owner.filter("fresh").select(F.col("first").alias("i"), "x")
+        fresh = owner.filter("fresh").select(
+            F.col("first").alias("i"), "x", F.lit(0).cast("bigint").alias("leaf")
+        )
         keys = read("keys", ARRIVALS).unionByName(
             arrived.join(owner, "x").select("key", F.col("first").alias("i"))
         )
