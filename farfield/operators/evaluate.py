@@ -81,7 +81,11 @@ def roc_curve(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
         (F.col("before_neg") + F.col("neg")).alias("fp"),
     )
     ends = steps.groupBy(*by).agg(F.max("tp").alias("p"), F.max("fp").alias("n"))
-    joined = steps.join(ends, by) if by else steps.join(F.broadcast(ends))  # one total row
+    if by:
+        joined = steps.join(ends, by)
+    else:
+        total = ends.first()
+        joined = steps.withColumn("p", F.lit(total["p"])).withColumn("n", F.lit(total["n"]))
     points = joined.select(
         *by, "score",
         F.try_divide(F.col("fp").cast("double"), F.col("n")).alias("fpr"),
@@ -95,11 +99,9 @@ def roc_curve(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def sweep(scored: DataFrame, run: str) -> DataFrame:
     """AUC of every run and which run is best (the smallest among equals)."""
-    areas = roc_auc(scored, [run])
-    best = areas.agg(F.max_by(run, F.struct("auc", -F.col(run))).alias("best"))
-    return areas.join(F.broadcast(best)).select(  # one row
-        run, "auc", (F.col(run) == F.col("best")).alias("chosen")
-    )
+    areas = stage(roc_auc(scored, [run]), "areas")
+    best = areas.orderBy(F.desc("auc"), run).first()
+    return areas.withColumn("chosen", F.col(run) == F.lit(best[run] if best else None))
 
 
 def with_run_parameters(results: DataFrame, name: str = "run") -> DataFrame:
@@ -107,11 +109,11 @@ def with_run_parameters(results: DataFrame, name: str = "run") -> DataFrame:
     return results.select("*", *(c.alias(n) for n, c in run_parameters(F.col(name)).items()))
 
 
-def neighbour_quality(approximate: DataFrame, exact: DataFrame, touched: DataFrame | None = None) -> DataFrame:
+def neighbour_quality(approximate: DataFrame, exact: DataFrame, touched: int | None = None) -> DataFrame:
     """How well approximate neighbour lists reproduce exact ones; one row.
 
     A query counts as correct when both lists agree at every place of the shorter one.
-    ``touched`` has one row with the number of candidate pairs examined.
+    ``touched`` is the number of candidate pairs examined.
     """
     ids = lambda lists: F.transform(lists, lambda e: e["j"])
     none = F.array().cast("array<bigint>")
@@ -138,6 +140,5 @@ def neighbour_quality(approximate: DataFrame, exact: DataFrame, touched: DataFra
     )
     if touched is None:
         return rated
-    rated = rated.join(F.broadcast(touched))  # one row each
     everything = F.col("queries").cast("double") * F.col("queries")
-    return rated.withColumn("touched_pct", share("touched", everything)).drop("touched")
+    return rated.withColumn("touched_pct", F.try_divide(F.lit(touched * 100.0), everything))

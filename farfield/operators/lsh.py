@@ -147,8 +147,8 @@ def neighbour_radius(points: DataFrame, measure: str | Measure, samples: int = 3
     return 0.9 * mean if mean is not None else 0.0
 
 
-def touched_pairs(points: DataFrame, hashed: Family) -> DataFrame:
-    """How many (query, candidate) pairs share at least one bucket; one row.
+def touched_pairs(points: DataFrame, hashed: Family) -> int:
+    """How many (query, candidate) pairs share at least one bucket.
 
     A pair is counted in the first table where it meets.  Pairs are compared block by
     block and only counts leave a task.
@@ -171,7 +171,7 @@ def touched_pairs(points: DataFrame, hashed: Family) -> DataFrame:
             ),
             "meetings",
         )
-    return counts.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("touched"))
+    return counts.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("touched")).first()["touched"]
 
 
 def quality_grid(
