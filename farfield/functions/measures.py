@@ -1,7 +1,7 @@
-"""Distances between dense vectors, each as a Column expression and as a block kernel.
+"""Distances between dense vectors, each as a Column expression and on NumPy arrays.
 
-The Column form serves SQL plans, the block form serves the kNN join, where one
-Arrow batch holds two bounded blocks of points.  Both add the terms in coordinate
+The Column form serves SQL plans, the array form the kNN join, where one Arrow batch
+holds bounded blocks of points.  Both add the terms in coordinate
 order, so the two forms agree to the last bit and ties stay ties.
 """
 
@@ -82,9 +82,10 @@ def virtual_distance(to_center: Column, radius: Column, axis: Column, side: Colu
 
 
 def _ordered_sum(a: np.ndarray, b: np.ndarray, term: Callable) -> np.ndarray:
-    acc = np.zeros((len(a), len(b)))
-    for j in range(a.shape[1]):
-        acc += term(a[:, j, None], b[None, :, j])
+    """Sum over the last axis in coordinate order; ``a`` and ``b`` broadcast."""
+    acc = np.zeros(np.broadcast_shapes(a.shape[:-1], b.shape[:-1]))
+    for j in range(a.shape[-1]):
+        acc += term(a[..., j], b[..., j])
     return acc
 
 
@@ -93,60 +94,70 @@ def _square_gap(p, q):
     return gap * gap
 
 
-def _euclidean_block(a, b):
+def _euclidean_rows(a, b):
     return np.sqrt(_ordered_sum(a, b, _square_gap))
 
 
-def _manhattan_block(a, b):
+def _manhattan_rows(a, b):
     return _ordered_sum(a, b, lambda p, q: np.abs(p - q))
 
 
-def _ordered_dot(a):
-    acc = np.zeros(len(a))
-    for j in range(a.shape[1]):
-        acc += a[:, j] * a[:, j]
-    return acc
-
-
-def _cosine_block(a, b):
+def _cosine_rows(a, b):
     with np.errstate(invalid="ignore", divide="ignore"):
-        scale = np.sqrt(_ordered_dot(a)[:, None] * _ordered_dot(b)[None, :])
+        scale = np.sqrt(_ordered_sum(a, a, np.multiply) * _ordered_sum(b, b, np.multiply))
         return 1 - _ordered_sum(a, b, np.multiply) / scale
 
 
-def _intersection_block(a, b):
-    ones = np.ones
-    shared = _ordered_sum(a, b, np.minimum)
-    area = np.maximum(
-        _ordered_sum(a, ones((1, a.shape[1])), np.multiply),
-        _ordered_sum(ones((1, b.shape[1])), b, np.multiply),
-    )
+def _intersection_rows(a, b):
+    ones = np.ones(a.shape[-1])
+    area = np.maximum(_ordered_sum(a, ones, np.multiply), _ordered_sum(b, ones, np.multiply))
     with np.errstate(invalid="ignore", divide="ignore"):
-        return np.where(area == 0, 1.0, 1 - shared / area)
+        return np.where(area == 0, 1.0, 1 - _ordered_sum(a, b, np.minimum) / area)
+
+
+def _euclidean_screen(a, b):
+    weight = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :]
+    square = weight - 2 * (a @ b.T)
+    off = 8 * a.shape[1] * np.finfo(float).eps * weight
+    return np.sqrt(np.maximum(square - off, 0)), np.sqrt(np.maximum(square + off, 0))
+
+
+def _cosine_screen(a, b):
+    scale = np.sqrt((a * a).sum(axis=1)[:, None] * (b * b).sum(axis=1)[None, :])
+    gap = 1 - np.divide(a @ b.T, scale, out=np.full(scale.shape, -np.inf), where=scale > 0)
+    off = 16 * (a.shape[1] + 1) * np.finfo(float).eps
+    return gap - off, gap + off
 
 
 @dataclass(frozen=True)
 class Measure:
-    """A distance: ``column`` for plans, ``block`` for the kNN join.
+    """A distance: ``column`` for plans, ``rows`` for the kNN join.
 
-    ``box`` names how far two bounding boxes must be apart: ``l2``, ``l1``,
-    ``unit`` (boxes over unit vectors) or ``None`` when boxes say nothing, in which
-    case the kNN join compares every block of points with every other.
+    ``rows`` takes arrays whose last axis is the coordinates and broadcasts the others.
+    ``box`` names how far two bounding boxes must be apart: ``l2``, ``l1``, ``unit``
+    (boxes over unit vectors) or ``None`` when boxes say nothing, in which case the kNN
+    join compares every block of points with every other.  ``screen`` gives cheap limits
+    of all distances of a block, used when there are many coordinates.
     """
 
     name: str
-    column: Callable[[Column, Column], Column]
-    block: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
+    column: Callable[[Column, Column], Column] | None
+    rows: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
     box: str | None = None
+    screen: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None
+
+    def block(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """All distances between two sets of points."""
+        return self.rows(a[:, None, :], b[None, :, :])
 
 
 MEASURES = {
     m.name: m
     for m in (
-        Measure("euclidean", euclidean, _euclidean_block, "l2"),
-        Measure("manhattan", manhattan, _manhattan_block, "l1"),
-        Measure("cosine", cosine, _cosine_block, "unit"),
-        Measure("intersection", intersection, _intersection_block),
+        Measure("euclidean", euclidean, _euclidean_rows, "l2", _euclidean_screen),
+        Measure("manhattan", manhattan, _manhattan_rows, "l1"),
+        Measure("cosine", cosine, _cosine_rows, "unit", _cosine_screen),
+        Measure("intersection", intersection, _intersection_rows),
     )
 }
 

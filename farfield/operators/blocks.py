@@ -113,7 +113,43 @@ def pack_leaves(dims: int, cap: int, unit: bool):
     return run
 
 
-def nearest(block, a, b, a_ids, b_ids, k, limit, skip_self):
+def exact(rows):
+    """All distances of a block, computed as they will be reported."""
+
+    def distances(a, b, bound_of):
+        dist = rows(a[:, None, :], b[None, :, :])
+        dist[np.isnan(dist)] = np.inf
+        bound = bound_of(dist)
+        row, col = np.nonzero(dist <= bound[:, None])
+        return row, col, dist[row, col], bound
+
+    return distances
+
+
+def screened(rows, screen):
+    """The same result for many coordinates: a matrix product rules pairs out first.
+
+    ``screen(a, b)`` gives lower and upper limits of all distances.  Only pairs that could
+    be within their row's bound are then computed by ``rows``, term by term, and the bound
+    itself is taken from those exact values.
+    """
+
+    def distances(a, b, bound_of):
+        lower, upper = screen(a, b)
+        row, col = np.nonzero(lower <= bound_of(upper)[:, None])
+        dist = np.full(lower.shape, np.inf)
+        for start in range(0, len(row), PAIRS_AT_ONCE >> 4):
+            r, c = row[start : start + (PAIRS_AT_ONCE >> 4)], col[start : start + (PAIRS_AT_ONCE >> 4)]
+            dist[r, c] = rows(a[r], b[c])
+        dist[np.isnan(dist)] = np.inf
+        bound = bound_of(dist)
+        keep = dist[row, col] <= bound[row]
+        return row[keep], col[keep], dist[row, col][keep], bound
+
+    return distances
+
+
+def nearest(distances, a, b, a_ids, b_ids, k, limit, skip_self):
     """Neighbours of each row of ``a`` among ``b``: within ``limit`` and, if ``k`` is
     given, within the k-th smallest distance (ties kept).
 
@@ -124,16 +160,18 @@ def nearest(block, a, b, a_ids, b_ids, k, limit, skip_self):
     step = max(1, PAIRS_AT_ONCE // max(1, len(b)))
     for start in range(0, len(a), step):
         stop = min(start + step, len(a))
-        dist = block(a[start:stop], b)
-        void = np.isnan(dist)
-        if skip_self:
-            void |= a_ids[start:stop, None] == b_ids[None, :]
-        dist[void] = np.inf
-        bound = limit[start:stop]
-        if k is not None and len(b) >= k:
-            bound = np.minimum(bound, np.partition(dist, k - 1, axis=1)[:, k - 1])
-        row, col = np.nonzero((dist <= bound[:, None]) & (dist < np.inf))
-        found.append((row + start, b_ids[col], dist[row, col]))
+        same = a_ids[start:stop, None] == b_ids[None, :] if skip_self else None
+
+        def bound_of(dist):
+            if same is not None:
+                dist[same] = np.inf
+            if k is None or len(b) < k:
+                return limit[start:stop]
+            return np.minimum(limit[start:stop], np.partition(dist, k - 1, axis=1)[:, k - 1])
+
+        row, col, dist, bound = distances(a[start:stop], b, bound_of)
+        real = dist < np.inf
+        found.append((row[real] + start, b_ids[col[real]], dist[real]))
         bounds.append(bound)
     if not found:
         return np.empty(0, int), np.empty(0, np.int64), np.empty(0), np.empty(0)
@@ -147,7 +185,7 @@ def neighbour_lists(row, j, dist, rows: int) -> pa.ListArray:
     return lists(structs, np.bincount(row, minlength=rows))
 
 
-def within_leaf(block, dims: int, k, skip_self: bool, keep_x: bool):
+def within_leaf(distances, dims: int, k, skip_self: bool, keep_x: bool):
     """Leaf rows -> one row per query point, with its neighbours inside its own leaf."""
 
     def run(batches):
@@ -164,7 +202,7 @@ def within_leaf(block, dims: int, k, skip_self: bool, keep_x: bool):
                 if not len(asking):
                     continue
                 row, j, dist, bound = nearest(
-                    block, x[asking], x[offered], ids[asking], ids[offered], k, reaches[asking], skip_self
+                    distances, x[asking], x[offered], ids[asking], ids[offered], k, reaches[asking], skip_self
                 )
                 asked.append(asking)
                 home.append(np.full(len(asking), r))
@@ -190,7 +228,7 @@ def within_leaf(block, dims: int, k, skip_self: bool, keep_x: bool):
     return run
 
 
-def across_leaves(block, dims: int, k, skip_self: bool):
+def across_leaves(distances, dims: int, k, skip_self: bool):
     """Rows of (visitors of one leaf, another leaf) -> neighbours found over there."""
 
     def run(batches):
@@ -209,7 +247,7 @@ def across_leaves(block, dims: int, k, skip_self: bool):
                 v = np.arange(starts[r], starts[r + 1])
                 rows = np.arange(offsets[r], offsets[r + 1])
                 rows = rows[roles[rows] & 2 > 0]
-                row, j, dist, _ = nearest(block, at[v], x[rows], who[v], ids[rows], k, bound[v], skip_self)
+                row, j, dist, _ = nearest(distances, at[v], x[rows], who[v], ids[rows], k, bound[v], skip_self)
                 if not len(row):
                     continue
                 hit, dense = np.unique(row, return_inverse=True)
@@ -230,25 +268,3 @@ def across_leaves(block, dims: int, k, skip_self: bool):
             )
 
     return run
-
-
-def first_meetings(dims: int):
-    """Rows of two leaves of one bucket -> number of pairs that meet here for the first
-    time.  A row of x is its table number, then two halves of each table's bucket."""
-
-    def run(batches):
-        for batch in batches:
-            left, xs = flat_lists(batch.column("xs"))
-            right, ys = flat_lists(batch.column("ys"))
-            total = 0
-            for r in range(batch.num_rows):
-                a, b = matrix(xs[left[r] : left[r + 1]], dims), matrix(ys[right[r] : right[r + 1]], dims)
-                fresh = np.ones((len(a), len(b)), bool)
-                for t in range(int(a[0, 0])):
-                    fresh &= (a[:, None, 1 + 2 * t] != b[None, :, 1 + 2 * t]) | (
-                        a[:, None, 2 + 2 * t] != b[None, :, 2 + 2 * t]
-                    )
-                total += int(fresh.sum())
-            yield pa.RecordBatch.from_arrays([pa.array([total])], names=["pairs"])
-
-    return run

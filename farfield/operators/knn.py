@@ -27,7 +27,7 @@ CURVE_BINS = 64
 CURVE_DIMS = 8
 CURVE_BITS = 48
 ONE_LEAF_ROWS = 4096
-UNROLLED_DIMS = 16  # box distances over more coordinates loop instead of compiling a term each
+UNROLLED_DIMS = 16  # with more coordinates, box distances loop and blocks are screened
 
 QUERY, CANDIDATE = 1, 2
 
@@ -271,12 +271,18 @@ def leaf_pairs(
     return pairs.filter("a <> b").select("a", "b", "blo", "bhi")
 
 
+def _kernel(measure: Measure, dims: int):
+    if measure.rows is None:
+        raise ValueError(f"measure {measure.name!r} has no array form")
+    if dims > UNROLLED_DIMS and measure.screen is not None:
+        return blocks.screened(measure.rows, measure.screen)
+    return blocks.exact(measure.rows)
+
+
 def search_home(leaves: Leaves, k: int | None, skip_self: bool, keep_x: bool) -> DataFrame:
     """Each query point with its neighbours in its own leaf and the bound that leaves."""
-    if leaves.measure.block is None:
-        raise ValueError(f"measure {leaves.measure.name!r} has no block kernel")
     return leaves.table.select("leaf", "grp", "ids", "xs", "roles", "reaches").mapInArrow(
-        blocks.within_leaf(leaves.measure.block, leaves.dims, k, skip_self, keep_x),
+        blocks.within_leaf(_kernel(leaves.measure, leaves.dims), leaves.dims, k, skip_self, keep_x),
         f"i bigint, leaf bigint, grp bigint, bound double, nbrs {NEIGHBOURS}"
         + (", x array<double>" if keep_x else ""),
     )
@@ -312,7 +318,7 @@ def search_away(
             visits.join(hosts, "b")
             .select("visitors", "grp", "ids", "xs", "roles")
             .mapInArrow(
-                blocks.across_leaves(measure.block, dims, k, skip_self),
+                blocks.across_leaves(_kernel(measure, dims), dims, k, skip_self),
                 f"i bigint, grp bigint, nbrs {NEIGHBOURS}",
             ),
             "away",
@@ -388,15 +394,26 @@ def knn(
     return keep_nearest(gathered(*_search(leaves, k, skip_self)), k)
 
 
+def knn_within(
+    points: DataFrame, k: int, measure: str | Measure = "euclidean", leaf_rows: int = LEAF_ROWS
+) -> DataFrame:
+    """The up to ``k`` nearest candidates (ties kept) within each query's own ``reach``:
+    ``i, nbrs``, for the queries that have any."""
+    leaves = build_leaves(points, measure, leaf_rows)
+    found = gathered(*_search(leaves, k, True)).select("i", "nbrs")
+    return found.filter(F.size("nbrs") > 0)
+
+
 def within_reach(
-    points: DataFrame,
-    measure: str | Measure = "euclidean",
-    leaf_rows: int = LEAF_ROWS,
-    stats_of: DataFrame | None = None,
+    points: DataFrame, measure: str | Measure = "euclidean", leaf_rows: int = LEAF_ROWS
 ) -> DataFrame:
-    """All candidates within each query's own ``reach``: ``i, grp, nbrs``."""
-    leaves = build_leaves(points, measure, leaf_rows, stats_of)
-    return gathered(*_search(leaves, None, True))
+    """All candidates within each query's own ``reach``, one row ``i, j, dist`` each.
+
+    Lists stay as short as a leaf; a query that reaches a crowd is never collected.
+    """
+    leaves = build_leaves(points, measure, leaf_rows)
+    home, away = _search(leaves, None, True)
+    return edges(home) if away is None else edges(home).unionByName(edges(away))
 
 
 def edges(neighbourhoods: DataFrame) -> DataFrame:

@@ -15,10 +15,9 @@ from pyspark.sql import functions as F
 
 from farfield.functions.hashing import Family, family
 from farfield.functions.measures import Measure
-from farfield.operators import blocks
 from farfield.operators.evaluate import neighbour_quality
-from farfield.operators.knn import CANDIDATE, QUERY, build_leaves, keep_nearest, knn
-from farfield.session import arrow_rows, stage
+from farfield.operators.knn import CANDIDATE, QUERY, keep_nearest, knn
+from farfield.session import stage
 
 
 def bucket_rows(points: DataFrame, hashed: Family) -> DataFrame:
@@ -150,28 +149,19 @@ def neighbour_radius(points: DataFrame, measure: str | Measure, samples: int = 3
 def touched_pairs(points: DataFrame, hashed: Family) -> int:
     """How many (query, candidate) pairs share at least one bucket.
 
-    A pair is counted in the first table where it meets.  Pairs are compared block by
-    block and only counts leave a task.
+    Counted without forming a pair: by inclusion and exclusion over sets of tables, from
+    the squares of how many points agree on all tables of a set.  Linear in the points,
+    doubling with every table.
     """
-    signs = [hashed.bucket(F.col("x"), t) for t in range(hashed.tables)]
-    halves = [
-        half.cast("double")
-        for s in signs
-        for half in (F.shiftright(s, 32), s.bitwiseAND(F.lit(0xFFFFFFFF)))
-    ]
-    rows = points.select("i", F.array(*halves).alias("halves"), F.posexplode(F.array(*signs)).alias("tab", "grp"))
-    rows = rows.select("i", F.concat(F.array(F.col("tab").cast("double")), "halves").alias("x"), "grp")
-    leaves = build_leaves(rows, Measure("signature", column=None))
-    packs = leaves.table.select("grp", "leaf", "xs")
-    other = packs.select("grp", F.col("leaf").alias("leaf2"), F.col("xs").alias("ys"))
-    with arrow_rows(points.sparkSession, leaves.batch_rows):
-        counts = stage(
-            packs.join(other, "grp").select("xs", "ys").mapInArrow(
-                blocks.first_meetings(leaves.dims), "pairs bigint"
-            ),
-            "meetings",
-        )
-    return counts.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("touched")).first()["touched"]
+    sets_of_tables = F.explode(F.sequence(F.lit(1), F.lit(2**hashed.tables - 1))).alias("mask")
+    rows = points.select(hashed.buckets(F.col("x")).alias("signs"), sets_of_tables)
+    chosen = F.filter("signs", lambda _, t: F.getbit(F.col("mask"), t) == 1)
+    agreeing = rows.groupBy("mask", F.xxhash64(chosen).alias("key")).agg(
+        F.count("*").cast("decimal(19,0)").alias("n")
+    )
+    sign = F.when(F.bit_count("mask") % 2 == 1, F.lit(1)).otherwise(F.lit(-1))
+    total = agreeing.agg(F.sum(F.col("n") * F.col("n") * sign).alias("pairs")).first()["pairs"]
+    return int(total or 0)
 
 
 def quality_grid(

@@ -55,23 +55,24 @@ def box_search(points: DataFrame, low: list[float], high: list[float]) -> DataFr
     return points.filter(inside)
 
 
-def box_join(points: DataFrame, boxes: DataFrame, cell: float) -> DataFrame:
+def box_join(points: DataFrame, boxes: DataFrame, cells: list[float]) -> DataFrame:
     """All (box, point) pairs with the point inside the box, bounds included.
 
-    Both sides are keyed by a grid cell of width ``cell`` along the first coordinate:
-    a point falls in one cell, a box in every cell it covers, so the join is an
-    equi-join.  A cell width near the typical box width keeps both sides small.
+    Both sides are keyed by a grid over the leading coordinates, ``cells`` wide: a point
+    falls in one cell, a box in every cell it covers, so the join is an equi-join.  Cells
+    about as wide as a typical box keep both sides small.
     """
-    grid = lambda v: F.floor(v / F.lit(float(cell)))
-    keyed = points.withColumn("cell", grid(F.col("x")[0]))
-    covers = boxes.withColumn(
-        "cell", F.explode(F.sequence(grid(F.col("lo")[0]), grid(F.col("hi")[0])))
-    )
+    grid = lambda v, width: F.floor(v / F.lit(float(width)))
+    keyed, covers, names = points, boxes, [f"cell{j}" for j in range(len(cells))]
+    for j, (name, width) in enumerate(zip(names, cells)):
+        keyed = keyed.withColumn(name, grid(F.col("x")[j], width))
+        span = F.sequence(grid(F.col("lo")[j], width), grid(F.col("hi")[j], width))
+        covers = covers.withColumn(name, F.explode(span))
     inside = F.forall(
         F.zip_with("x", F.arrays_zip("lo", "hi"), lambda v, b: (v >= b["lo"]) & (v <= b["hi"])),
         lambda ok: ok,
     )
-    return covers.join(keyed, "cell").filter(inside).select("box", *points.columns)
+    return covers.join(keyed, names).filter(inside).select("box", *points.columns)
 
 
 def union_distinct(*parts: DataFrame) -> DataFrame:

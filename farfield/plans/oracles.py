@@ -177,8 +177,8 @@ def oracles() -> dict[str, str]:
     sql["box_join"] = """SELECT s_suppkey box, c_custkey i FROM supplier JOIN customer
         ON c_acctbal BETWEEN s_acctbal - 50 AND s_acctbal + 50
         AND c_nationkey BETWEEN s_nationkey - 2 AND s_nationkey + 2"""
-    sql["exact_lookup"] = """SELECT a.p_partkey q, b.p_partkey i FROM part a JOIN part b
-        ON a.p_size = b.p_size AND a.p_retailprice = b.p_retailprice AND a.p_partkey <> b.p_partkey"""
+    sql["exact_lookup"] = """SELECT p_partkey q, min(p_partkey) OVER (PARTITION BY p_size, p_retailprice) i
+        FROM part"""
     sql["delete_points"] = """SELECT p_partkey i FROM part p WHERE NOT EXISTS (SELECT 1 FROM part g
         WHERE g.p_brand = 'Brand#2' AND g.p_size = p.p_size AND g.p_retailprice = p.p_retailprice)"""
     sql["add_points"] = """SELECT coalesce(min(p_partkey) FILTER (WHERE p_brand = 'Brand#2'), min(p_partkey)) seq,
@@ -210,19 +210,19 @@ def oracles() -> dict[str, str]:
         ON b.c_custkey = a.c_custkey + 1"""
     sql["ml_vector_round_trip"] = """SELECT vec_id i, len(embedding)::INTEGER dims,
         round(list_sum(embedding::DOUBLE[]), 6) total FROM embeddings"""
-    sql["virtual_point_distances"] = """WITH d AS (SELECT s_suppkey center, s_acctbal, s_nationkey,
-            sqrt((c_acctbal - s_acctbal) * (c_acctbal - s_acctbal)) d
-            FROM supplier JOIN customer ON c_nationkey = s_nationkey),
-        v AS (SELECT *, unnest([0, 0, 1, 1]) axis, unnest([0, 1, 0, 1]) side FROM d)
+    sql["virtual_point_distances"] = """WITH met AS (SELECT DISTINCT l_suppkey, o_custkey
+            FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+        d AS (SELECT s_suppkey center, s_acctbal, s_nationkey, abs(c_acctbal - s_acctbal) g1,
+                abs(c_nationkey - s_nationkey)::DOUBLE g2
+            FROM met JOIN supplier ON s_suppkey = l_suppkey JOIN customer ON c_custkey = o_custkey),
+        e AS (SELECT *, sqrt(g1 * g1 + g2 * g2) d2, g1 + g2 d1 FROM d),
+        v AS (SELECT *, unnest([0, 0, 1, 1]) axis, unnest([0, 1, 0, 1]) side FROM e)
         SELECT center, axis, side,
             round(any_value(s_acctbal + CASE WHEN axis = 0 THEN 100 * (1 - 2 * side) ELSE 0 END), 6) v1,
             round(any_value(s_nationkey + CASE WHEN axis = 1 THEN 100 * (1 - 2 * side) ELSE 0 END), 6)::DOUBLE v2,
-            round(min(CASE WHEN axis > 0 THEN sqrt(d * d + 10000) WHEN side = 0 THEN d - 100 ELSE d + 100 END), 6) nearest_l2,
-            round(max(CASE WHEN axis = 0 AND side = 0 THEN d - 100 ELSE d + 100 END), 6) farthest_l1
-        FROM v GROUP BY ALL"""
-    sql["virtual_point_distances"] = sql["virtual_point_distances"].replace(
-        "GROUP BY ALL", "GROUP BY center, axis, side"
-    )
+            round(min(CASE WHEN axis > 0 THEN sqrt(d2 * d2 + 10000) WHEN side = 0 THEN d2 - 100 ELSE d2 + 100 END), 6) nearest_l2,
+            round(max(CASE WHEN axis = 0 AND side = 0 THEN d1 - 100 ELSE d1 + 100 END), 6) farthest_l1
+        FROM v GROUP BY center, axis, side"""
 
     # text and files
     sql["parsed_words"] = f"""WITH w AS (SELECT p_partkey, string_split(lower(p_size || ' ' || p_brand || ' ' || p_type), ' ') w

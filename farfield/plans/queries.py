@@ -140,13 +140,14 @@ def box_join(spark, sf_dir):
         F.array(F.col("x")[0] - 50, F.col("x")[1] - 2).alias("lo"),
         F.array(F.col("x")[0] + 50, F.col("x")[1] + 2).alias("hi"),
     )
-    return sets.box_join(D.customers(spark, sf_dir), boxes, 100.0).select("box", "i")
+    return sets.box_join(D.customers(spark, sf_dir), boxes, [100.0, 5.0]).select("box", "i")
 
 
 @query
 def exact_lookup(spark, sf_dir):
+    """For every part, the stored point with its coordinates."""
     wanted = D.parts(spark, sf_dir).select(F.col("i").alias("q"), "x")
-    return sets.exact_lookup(D.parts(spark, sf_dir), wanted).filter("q <> i").select("q", "i")
+    return sets.exact_lookup(sets.distinct_points(D.parts(spark, sf_dir)), wanted).select("q", "i")
 
 
 @query
@@ -243,21 +244,27 @@ def ml_vector_round_trip(spark, sf_dir):
 
 @query
 def virtual_point_distances(spark, sf_dir):
-    """Each supplier as an area of radius 100: its virtual points, and how far the customers
-    of the same nation are from them."""
+    """Each supplier as an area of radius 100: its virtual points, and how far the buyers of
+    its line items are from them."""
     areas = D.suppliers(spark, sf_dir).select(F.col("i").alias("center"), "x", F.lit(100.0).alias("radius"))
     rim = A.virtual_points(areas, 2).select("center", "axis", "side", F.col("x").alias("vx"))
-    there = areas.join(rim, "center").withColumn("nation", F.col("x")[1]).withColumnRenamed("x", "cx")
-    here = D.customers(spark, sf_dir).withColumn("nation", F.col("x")[1])
-    both = there.join(here, "nation").withColumn("to_center", M.euclidean(F.col("x"), F.col("cx")))
-    dist = lambda m: F.round(
-        M.virtual_distance(F.col("to_center"), F.col("radius"), F.col("axis"), F.col("side"), m), 6
+    sold = D.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("center"), "l_orderkey")
+    bought = D.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("i"))
+    met = sold.join(bought, F.col("l_orderkey") == F.col("o_orderkey")).select("center", "i").distinct()
+    here = met.join(D.customers(spark, sf_dir), "i")
+    there = areas.withColumnRenamed("x", "cx")
+    apart = here.join(there, "center").select(
+        "center", "radius", M.euclidean(F.col("x"), F.col("cx")).alias("l2"),
+        M.manhattan(F.col("x"), F.col("cx")).alias("l1"),
     )
-    return both.groupBy("center", "axis", "side").agg(
+    away = lambda d, m: F.round(
+        M.virtual_distance(F.col(d), F.col("radius"), F.col("axis"), F.col("side"), m), 6
+    )
+    return apart.join(rim, "center").groupBy("center", "axis", "side").agg(
         F.round(F.first(F.col("vx")[0]), 6).alias("v1"),
         F.round(F.first(F.col("vx")[1]), 6).alias("v2"),
-        F.min(dist("euclidean")).alias("nearest_l2"),
-        F.max(dist("manhattan")).alias("farthest_l1"),
+        F.min(away("l2", "euclidean")).alias("nearest_l2"),
+        F.max(away("l1", "manhattan")).alias("farthest_l1"),
     )
 
 

@@ -40,11 +40,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return made
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and read it back: survives lost executors, keeps column pruning."""
-    path = f"{scratch_dir(df.sparkSession)}/farfield/{name}-{uuid.uuid4().hex}"
+def stage(df: DataFrame, name: str, spark: SparkSession | None = None) -> DataFrame:
+    """Write ``df`` once and read it back: survives lost executors, keeps column pruning.
+
+    ``spark`` is the session to read with, if it is to be another than the frame's own.
+    """
+    path = f"{scratch_dir(spark or df.sparkSession)}/farfield/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return (spark or df.sparkSession).read.schema(df.schema).parquet(path)
 
 
 @contextmanager

@@ -7,7 +7,7 @@ them next to real points.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from farfield.functions.measures import Measure, resolve, virtual_distance
@@ -55,14 +55,15 @@ def members(areas: DataFrame, points: DataFrame, measure: str | Measure) -> Data
     ).unionByName(
         points.select("i", "x", F.lit(CANDIDATE).alias("role"), F.lit(float("inf")).alias("reach"))
     )
-    found = edges(within_reach(both, measure))
+    found = within_reach(both, measure)
     return found.select(F.col("i").alias("center"), F.col("j").alias("i"), "dist")
 
 
 def virtual_neighbours(
-    areas: DataFrame, asking: DataFrame, dims: int, measure: str | Measure
+    areas: DataFrame, asking: DataFrame, dims: int, measure: str | Measure, k: int
 ) -> DataFrame:
-    """Virtual points that may enter the lists of ``asking(i, x, bound)``: ``i, nbrs``.
+    """The ``k`` nearest virtual points within the bound of ``asking(i, x, bound)``, ties
+    kept: ``i, nbrs``.
 
     A virtual point is at least distance-to-centre minus radius away, so only centres
     within the bound plus the largest radius are looked up.
@@ -76,7 +77,7 @@ def virtual_neighbours(
             F.lit(float("inf")).alias("reach"),
         )
     )
-    near = edges(within_reach(both, measure)).withColumnRenamed("j", "center")
+    near = within_reach(both, measure).withColumnRenamed("j", "center")
     rim = on_rim(areas.select("center", "radius"), dims)
     away = virtual_distance(
         F.col("dist"), F.col("radius"), F.col("axis"), F.col("side"), resolve(measure).name
@@ -84,8 +85,11 @@ def virtual_neighbours(
     placed = near.join(rim, "center").select("i", away.alias("dist"), "j").join(
         asking.select("i", "bound"), "i"
     )
+    place = F.rank().over(Window.partitionBy("i").orderBy("dist"))
     return (
         placed.filter(F.col("dist") <= F.col("bound"))
+        .withColumn("place", place)
+        .filter(F.col("place") <= k)
         .groupBy("i")
         .agg(F.collect_list(F.struct("dist", "j")).cast(NEIGHBOURS).alias("nbrs"))
     )

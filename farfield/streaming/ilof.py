@@ -46,7 +46,8 @@ class IncrementalLof:
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         before = self.versions.manifest(batch_id - 1)
         segments = before.get("segments", [])
-        arrived = stage(batch.select("key", F.col("seq").alias("i"), "x"), "arrived")
+        # a stream's own session has adaptive execution off, so go on in the caller's
+        arrived = stage(batch.select("key", F.col("seq").alias("i"), "x"), "arrived", self.spark)
         old = self._overlaid(segments)
         owner = owners(old, arrived)
         log = arrived.join(owner, "x").select("key", F.col("first").alias("i"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from farfield.functions.measures import Measure
 from farfield.operators.knn import (
-    CANDIDATE, LEAF_ROWS, NEIGHBOURS, QUERY, edges, keep_nearest, knn, within_reach,
+    CANDIDATE, LEAF_ROWS, NEIGHBOURS, QUERY, edges, keep_nearest, knn, knn_within,
 )
 from farfield.operators.lof import ratio
 from farfield.operators.sets import first_arrivals
@@ -31,6 +31,9 @@ def find_neighbours(
 ) -> tuple[DataFrame, DataFrame]:
     """(lists of the arriving points, new entries for old points within their k-distance).
 
+    Of the arrivals only an old point's ``k`` nearest can enter its list, so no list of
+    entries is longer, whatever a list that is not full would take.
+
     Indexes all points anew, which suits a set of bounded size; ``leafindex`` keeps the
     index between batches.
     """
@@ -41,8 +44,7 @@ def find_neighbours(
     around = old.select("i", "x", F.lit(QUERY).alias("role"), open_reach(k).alias("reach")).unionByName(
         arriving.select("i", "x", F.lit(CANDIDATE).alias("role"), F.lit(float("inf")).alias("reach"))
     )
-    hits = within_reach(around, measure, leaf_rows).select("i", "nbrs").filter(F.size("nbrs") > 0)
-    return near, hits
+    return near, knn_within(around, k, measure, leaf_rows)
 
 
 def owners(stored: DataFrame, arrived: DataFrame) -> DataFrame:

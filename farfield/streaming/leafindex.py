@@ -65,8 +65,8 @@ def find(
     reaching = old.select("i", "leaf", "x", open_reach(k).alias("bound"))
     bounds = reaching.groupBy("leaf").agg(F.max("bound").alias("bound"))
     back = leaf_pairs(
-        asking_boxes(stored, bounds), offering_boxes(new.table), levels, new.measure, new.dims, None
+        asking_boxes(stored, bounds), offering_boxes(new.table), levels, new.measure, new.dims, k
     )
-    hits = search_away(reaching, back, new.table, new.measure, new.dims, None, True, new.batch_rows)
+    hits = search_away(reaching, back, new.table, new.measure, new.dims, k, True, new.batch_rows)
     merged = hits.groupBy("i").agg(F.array_sort(F.flatten(F.collect_list("nbrs"))).alias("nbrs"))
     return near, merged

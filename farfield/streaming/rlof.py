@@ -99,7 +99,8 @@ class WindowedLof:
         window, areas, top = read("window", WINDOW), read("areas", AREAS), read("top", TOP)
         clock, any_areas = before.get("clock", 0), before.get("areas_n", 0) > 0
 
-        arrived = stage(batch.select("key", F.col("seq").alias("i"), "x"), "arrived")
+        # a stream's own session has adaptive execution off, so go on in the caller's
+        arrived = stage(batch.select("key", F.col("seq").alias("i"), "x"), "arrived", self.spark)
         owner = owners(window, arrived)
         fresh = owner.filter("fresh").select(
             F.col("first").alias("i"), "x", F.lit(0).cast("bigint").alias("leaf")
@@ -161,7 +162,7 @@ class WindowedLof:
                 k_distance(F.col("nbrs"), self.k)
             )
             asking = stage(near.select("i", bound.alias("bound"), "nbrs").join(fresh, "i"), "asking")
-            rim = virtual_neighbours(areas, asking.select("i", "x", "bound"), self.dims, self.measure)
+            rim = virtual_neighbours(areas, asking.select("i", "x", "bound"), self.dims, self.measure, self.k)
             near = asking.select("i", "nbrs").join(rim.select("i", F.col("nbrs").alias("rim")), "i", "left")
             near = near.select(
                 "i",

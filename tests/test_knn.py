@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from farfield.functions.measures import Measure
-from farfield.operators.knn import CANDIDATE, QUERY, edges, knn, within_reach
+from farfield.operators.knn import CANDIDATE, QUERY, knn, within_reach
 from tests import brute
 
 RNG = np.random.default_rng(7)
@@ -21,6 +21,7 @@ def lists(df):
         (RNG.normal(size=(700, 2)), 5, "euclidean", 32),
         (RNG.integers(0, 12, size=(600, 3)), 4, "manhattan", 16),  # many ties
         (RNG.normal(size=(300, 20)), 3, "cosine", 64),  # more coordinates than are unrolled
+        (RNG.integers(0, 2, size=(300, 24)), 3, "euclidean", 64),  # the same, with ties
         (RNG.random(size=(150, 4)), 3, "intersection", 32),  # boxes say nothing
         (np.concatenate([RNG.normal(size=(300, 2)) * 1e-6, RNG.normal(size=(600, 2))]), 5, "euclidean", 16),
         ([[1.0, 2.0]], 3, "euclidean", 16),
@@ -66,7 +67,7 @@ def test_own_reach(points):
     x = RNG.normal(size=(400, 2))
     reach = np.where(np.arange(400) % 2, 0.1, 0.3)
     rows = points(x).withColumn("reach", F.when(F.col("i") % 2 == 1, 0.1).otherwise(0.3))
-    got = {(r["i"], r["j"]) for r in edges(within_reach(rows, leaf_rows=32)).collect()}
+    got = {(r["i"], r["j"]) for r in within_reach(rows, leaf_rows=32).collect()}
     dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
     want = {(i, j) for i, j in zip(*np.nonzero(dist <= reach[:, None])) if i != j}
     assert got == {(int(i), int(j)) for i, j in want}
@@ -74,7 +75,7 @@ def test_own_reach(points):
 
 def test_own_measure(points):
     x = RNG.normal(size=(60, 2))
-    largest = Measure("largest", None, lambda a, b: np.abs(a[:, None] - b[None]).max(axis=2))
+    largest = Measure("largest", None, lambda a, b: np.abs(a - b).max(axis=-1))
     want = brute.neighbours(x, 3, largest)
     assert lists(knn(points(x), 3, largest, leaf_rows=16)) == want
 

@@ -86,7 +86,7 @@ def test_point_sets(spark, points):
     inside = sets.box_search(points([[0, 0], [1, 2], [3, 3]]), [0, 0], [1, 2])
     assert sorted(r["i"] for r in inside.collect()) == [0, 1]
     boxes = spark.createDataFrame([(7, [0.5, 0.5], [3.0, 3.0])], "box int, lo array<double>, hi array<double>")
-    found = sets.box_join(points([[0, 0], [1, 2], [3, 3], [3, 4]]), boxes, 1.0)
+    found = sets.box_join(points([[0, 0], [1, 2], [3, 3], [3, 4]]), boxes, [1.0, 2.0])
     assert sorted(r["i"] for r in found.collect()) == [1, 2]
     a = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 3.0)], "k int, v double")
     b = spark.createDataFrame([(1, 1.0 + 1e-9), (2, 2.5), (4, 4.0)], "k int, v double")
