@@ -82,24 +82,47 @@ def virtual_distance(to_center: Column, radius: Column, axis: Column, side: Colu
 
 
 def _ordered_sum(a: np.ndarray, b: np.ndarray, term: Callable) -> np.ndarray:
-    """Sum over the last axis in coordinate order; ``a`` and ``b`` broadcast."""
-    acc = np.zeros(np.broadcast_shapes(a.shape[:-1], b.shape[:-1]))
+    """Sum over the last axis in coordinate order; ``a`` and ``b`` broadcast.
+
+    ``term(p, q, out)`` writes one coordinate's contribution.
+    """
+    shape = np.broadcast_shapes(a.shape[:-1], b.shape[:-1])
+    total, part = np.zeros(shape), np.empty(shape)
     for j in range(a.shape[-1]):
-        acc += term(a[..., j], b[..., j])
-    return acc
+        term(a[..., j], b[..., j], part)
+        total += part
+    return total
+
+
+def _square_gap(p, q, out):
+    np.subtract(p, q, out=out)
+    np.multiply(out, out, out=out)
+
+
+def _gap(p, q, out):
+    np.subtract(p, q, out=out)
+    np.abs(out, out=out)
 
 
-def _square_gap(p, q):
-    gap = p - q
-    return gap * gap
+def _squares(a, b):
+    return _ordered_sum(a, b, _square_gap)
 
 
 def _euclidean_rows(a, b):
-    return np.sqrt(_ordered_sum(a, b, _square_gap))
+    return np.sqrt(_squares(a, b))
+
+
+def _square_above(distance):
+    """No square whose root is within ``distance`` is larger than this."""
+    return distance * distance * (1 + 4 * np.finfo(float).eps)
+
+
+def _same(values):
+    return values
 
 
 def _manhattan_rows(a, b):
-    return _ordered_sum(a, b, lambda p, q: np.abs(p - q))
+    return _ordered_sum(a, b, _gap)
 
 
 def _cosine_rows(a, b):
@@ -145,6 +168,15 @@ class Measure:
     rows: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
     box: str | None = None
     screen: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None
+    cheap: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
+    unkey: Callable[[np.ndarray], np.ndarray] = _same
+    lift: Callable[[np.ndarray], np.ndarray] = _same
+
+    @property
+    def key(self) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        """Something cheaper that orders pairs alike: ``unkey`` makes it the distance,
+        ``lift`` turns a distance into a key no smaller than any within it."""
+        return self.cheap or self.rows
 
     def block(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """All distances between two sets of points."""
@@ -154,7 +186,10 @@ class Measure:
 MEASURES = {
     m.name: m
     for m in (
-        Measure("euclidean", euclidean, _euclidean_rows, "l2", _euclidean_screen),
+        Measure(
+            "euclidean", euclidean, _euclidean_rows, "l2", _euclidean_screen,
+            cheap=_squares, unkey=np.sqrt, lift=_square_above,
+        ),
         Measure("manhattan", manhattan, _manhattan_rows, "l1"),
         Measure("cosine", cosine, _cosine_rows, "unit", _cosine_screen),
         Measure("intersection", intersection, _intersection_rows),

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 
 NEIGHBOUR = pa.struct([("dist", pa.float64()), ("j", pa.int64())])
-PAIRS_AT_ONCE = 1 << 20
+PAIRS_AT_ONCE = 1 << 17  # a block of distances stays in a core's cache
 
 
 def matrix(flat: np.ndarray, dims: int) -> np.ndarray:
@@ -113,43 +113,61 @@ def pack_leaves(dims: int, cap: int, unit: bool):
     return run
 
 
-def exact(rows):
-    """All distances of a block, computed as they will be reported."""
+def row_bounds(values, k, cap):
+    """Per row: the k-th smallest value where at least ``k`` are within ``cap``, else ``cap``.
 
-    def distances(a, b, bound_of):
-        dist = rows(a[:, None, :], b[None, :, :])
-        dist[np.isnan(dist)] = np.inf
-        bound = bound_of(dist)
-        row, col = np.nonzero(dist <= bound[:, None])
-        return row, col, dist[row, col], bound
+    Most rows that visit another leaf find fewer than ``k`` there and are never sorted.
+    """
+    if k is None:
+        return cap
+    crowded = np.count_nonzero(values <= cap[:, None], axis=1) >= k
+    bound = cap.copy()
+    if crowded.any():
+        bound[crowded] = np.partition(values[crowded], k - 1, axis=1)[:, k - 1]
+    return bound
+
+
+def exact(measure):
+    """Compares a block by the measure's key; takes distances only of pairs that pass."""
 
-    return distances
+    def near(a, b, void, k, limit):
+        key = measure.key(a[:, None, :], b[None, :, :])
+        key[np.isnan(key) | void] = np.inf
+        top = row_bounds(key, k, measure.lift(limit))
+        bound = np.minimum(limit, measure.unkey(top))
+        # different keys may share a distance: lift the bound to keep all ties
+        row, col = np.nonzero(key <= measure.lift(bound)[:, None])
+        dist = measure.unkey(key[row, col])
+        keep = dist <= bound[row]
+        return row[keep], col[keep], dist[keep], bound
 
+    return near
 
-def screened(rows, screen):
+
+def screened(measure):
     """The same result for many coordinates: a matrix product rules pairs out first.
 
-    ``screen(a, b)`` gives lower and upper limits of all distances.  Only pairs that could
-    be within their row's bound are then computed by ``rows``, term by term, and the bound
-    itself is taken from those exact values.
+    Only pairs that could be within their row's bound are then computed term by term, and
+    the bound itself is taken from those exact values.
     """
 
-    def distances(a, b, bound_of):
-        lower, upper = screen(a, b)
-        row, col = np.nonzero(lower <= bound_of(upper)[:, None])
+    def near(a, b, void, k, limit):
+        lower, upper = measure.screen(a, b)
+        lower[void], upper[void] = np.inf, np.inf
+        row, col = np.nonzero(lower <= row_bounds(upper, k, limit)[:, None])
         dist = np.full(lower.shape, np.inf)
         for start in range(0, len(row), PAIRS_AT_ONCE >> 4):
             r, c = row[start : start + (PAIRS_AT_ONCE >> 4)], col[start : start + (PAIRS_AT_ONCE >> 4)]
-            dist[r, c] = rows(a[r], b[c])
-        dist[np.isnan(dist)] = np.inf
-        bound = bound_of(dist)
+            dist[r, c] = measure.rows(a[r], b[c])
+        dist[np.isnan(dist) | void] = np.inf
+        bound = row_bounds(dist, k, limit)
         keep = dist[row, col] <= bound[row]
         return row[keep], col[keep], dist[row, col][keep], bound
 
-    return distances
+    return near
 
 
-def nearest(distances, a, b, a_ids, b_ids, k, limit, skip_self):
+def nearest(near, a, b, a_ids, b_ids, k, limit, skip_self):
     """Neighbours of each row of ``a`` among ``b``: within ``limit`` and, if ``k`` is
     given, within the k-th smallest distance (ties kept).
 
@@ -160,16 +178,8 @@ def nearest(distances, a, b, a_ids, b_ids, k, limit, skip_self):
     step = max(1, PAIRS_AT_ONCE // max(1, len(b)))
     for start in range(0, len(a), step):
         stop = min(start + step, len(a))
-        same = a_ids[start:stop, None] == b_ids[None, :] if skip_self else None
-
-        def bound_of(dist):
-            if same is not None:
-                dist[same] = np.inf
-            if k is None or len(b) < k:
-                return limit[start:stop]
-            return np.minimum(limit[start:stop], np.partition(dist, k - 1, axis=1)[:, k - 1])
-
-        row, col, dist, bound = distances(a[start:stop], b, bound_of)
+        void = a_ids[start:stop, None] == b_ids[None, :] if skip_self else np.False_
+        row, col, dist, bound = near(a[start:stop], b, void, k, limit[start:stop])
         real = dist < np.inf
         found.append((row[real] + start, b_ids[col[real]], dist[real]))
         bounds.append(bound)
@@ -185,7 +195,7 @@ def neighbour_lists(row, j, dist, rows: int) -> pa.ListArray:
     return lists(structs, np.bincount(row, minlength=rows))
 
 
-def within_leaf(distances, dims: int, k, skip_self: bool, keep_x: bool):
+def within_leaf(near, dims: int, k, skip_self: bool, keep_x: bool):
     """Leaf rows -> one row per query point, with its neighbours inside its own leaf."""
 
     def run(batches):
@@ -202,7 +212,7 @@ def within_leaf(distances, dims: int, k, skip_self: bool, keep_x: bool):
                 if not len(asking):
                     continue
                 row, j, dist, bound = nearest(
-                    distances, x[asking], x[offered], ids[asking], ids[offered], k, reaches[asking], skip_self
+                    near, x[asking], x[offered], ids[asking], ids[offered], k, reaches[asking], skip_self
                 )
                 asked.append(asking)
                 home.append(np.full(len(asking), r))
@@ -228,7 +238,7 @@ def within_leaf(distances, dims: int, k, skip_self: bool, keep_x: bool):
     return run
 
 
-def across_leaves(distances, dims: int, k, skip_self: bool):
+def across_leaves(near, dims: int, k, skip_self: bool):
     """Rows of (visitors of one leaf, another leaf) -> neighbours found over there."""
 
     def run(batches):
@@ -247,7 +257,7 @@ def across_leaves(distances, dims: int, k, skip_self: bool):
                 v = np.arange(starts[r], starts[r + 1])
                 rows = np.arange(offsets[r], offsets[r + 1])
                 rows = rows[roles[rows] & 2 > 0]
-                row, j, dist, _ = nearest(distances, at[v], x[rows], who[v], ids[rows], k, bound[v], skip_self)
+                row, j, dist, _ = nearest(near, at[v], x[rows], who[v], ids[rows], k, bound[v], skip_self)
                 if not len(row):
                     continue
                 hit, dense = np.unique(row, return_inverse=True)

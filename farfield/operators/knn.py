@@ -275,8 +275,8 @@ def _kernel(measure: Measure, dims: int):
     if measure.rows is None:
         raise ValueError(f"measure {measure.name!r} has no array form")
     if dims > UNROLLED_DIMS and measure.screen is not None:
-        return blocks.screened(measure.rows, measure.screen)
-    return blocks.exact(measure.rows)
+        return blocks.screened(measure)
+    return blocks.exact(measure)
 
 
 def search_home(leaves: Leaves, k: int | None, skip_self: bool, keep_x: bool) -> DataFrame:
