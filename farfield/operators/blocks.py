@@ -195,8 +195,12 @@ def neighbour_lists(row, j, dist, rows: int) -> pa.ListArray:
     return lists(structs, np.bincount(row, minlength=rows))
 
 
-def within_leaf(near, dims: int, k, skip_self: bool, keep_x: bool):
-    """Leaf rows -> one row per query point, with its neighbours inside its own leaf."""
+def within_leaf(near, dims: int, k, skip_self: bool, keep_x: bool, parts: int = 1):
+    """Leaf rows -> one row per query point, with its neighbours inside its own leaf.
+
+    With ``parts``, each leaf comes that many times and column ``part`` says which share
+    of its points to answer.
+    """
 
     def run(batches):
         for batch in batches:
@@ -209,6 +213,8 @@ def within_leaf(near, dims: int, k, skip_self: bool, keep_x: bool):
             for r in range(batch.num_rows):
                 rows = np.arange(offsets[r], offsets[r + 1])
                 asking, offered = rows[roles[rows] & 1 > 0], rows[roles[rows] & 2 > 0]
+                if parts > 1:
+                    asking = asking[batch.column("part")[r].as_py() :: parts]
                 if not len(asking):
                     continue
                 row, j, dist, bound = nearest(

@@ -26,7 +26,7 @@ FANOUT_BITS = 5
 CURVE_BINS = 64
 CURVE_DIMS = 8
 CURVE_BITS = 48
-ONE_LEAF_ROWS = 4096
+ONE_LEAF_ROWS = 16384
 UNROLLED_DIMS = 16  # with more coordinates, box distances loop and blocks are screened
 
 QUERY, CANDIDATE = 1, 2
@@ -139,7 +139,7 @@ def build_leaves(
     extent = sample.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("d")).first()
     rows, dims = extent["n"], extent["d"] or 1
     if leaf_rows == LEAF_ROWS and not grouped and rows <= ONE_LEAF_ROWS:
-        leaf_rows = ONE_LEAF_ROWS  # a few more distances cost less than a second round
+        leaf_rows = ONE_LEAF_ROWS  # more distances cost less than a second round here
     pack = blocks.pack_leaves(dims, leaf_rows, measure.box == "unit")
     if rows <= leaf_rows and not grouped:
         # one leaf, hence one row: nothing to share, so nothing to stage
@@ -281,8 +281,12 @@ def _kernel(measure: Measure, dims: int):
 
 def search_home(leaves: Leaves, k: int | None, skip_self: bool, keep_x: bool) -> DataFrame:
     """Each query point with its neighbours in its own leaf and the bound that leaves."""
-    return leaves.table.select("leaf", "grp", "ids", "xs", "roles", "reaches").mapInArrow(
-        blocks.within_leaf(_kernel(leaves.measure, leaves.dims), leaves.dims, k, skip_self, keep_x),
+    table = leaves.table.select("leaf", "grp", "ids", "xs", "roles", "reaches")
+    parts = math.ceil(leaves.rows / LEAF_ROWS) if leaves.single else 1
+    if parts > 1:  # hand the one leaf to several tasks, each answering its share of points
+        table = table.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(parts)
+    return table.mapInArrow(
+        blocks.within_leaf(_kernel(leaves.measure, leaves.dims), leaves.dims, k, skip_self, keep_x, parts),
         f"i bigint, leaf bigint, grp bigint, bound double, nbrs {NEIGHBOURS}"
         + (", x array<double>" if keep_x else ""),
     )

@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from farfield.functions.measures import Measure
-from farfield.operators.knn import CANDIDATE, QUERY, knn, within_reach
+from farfield.operators.knn import CANDIDATE, LEAF_ROWS, QUERY, knn, within_reach
 from tests import brute
 
 RNG = np.random.default_rng(7)
@@ -24,6 +24,7 @@ def lists(df):
         (RNG.integers(0, 2, size=(300, 24)), 3, "euclidean", 64),  # the same, with ties
         (RNG.random(size=(150, 4)), 3, "intersection", 32),  # boxes say nothing
         (np.concatenate([RNG.normal(size=(300, 2)) * 1e-6, RNG.normal(size=(600, 2))]), 5, "euclidean", 16),
+        (RNG.normal(size=(1500, 2)), 4, "euclidean", LEAF_ROWS),  # one leaf shared by tasks
         ([[1.0, 2.0]], 3, "euclidean", 16),
         ([[0.0], [1.0], [5.0]], 7, "euclidean", 2),  # fewer points than k
     ],
