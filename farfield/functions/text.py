@@ -112,9 +112,9 @@ def run_name(
 ) -> str:
     """The parameter-coded name of a result: what ``run_parameters`` reads back."""
     parts = [dataset, f"d{dims}", algorithm, f"k{k}", measure[:3], technique]
-    if technique.upper() == "TARSOS":
+    if hashes is not None:
         parts += [f"h{hashes}", f"t{tables}"]
-    elif technique.upper() == "LSH":
+    elif planes is not None:
         parts += [f"p{planes}", f"t{tables}"]
     if window is not None:
         parts += [f"w{window}", f"i{inlier_percent}", f"a{max_age}"]

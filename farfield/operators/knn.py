@@ -125,9 +125,12 @@ def build_leaves(
     measure: str | Measure = "euclidean",
     leaf_rows: int = LEAF_ROWS,
     stats_of: DataFrame | None = None,
+    one_leaf_rows: int = ONE_LEAF_ROWS,
 ) -> Leaves:
     """Pack ``points(i, x[, grp, role, reach])`` into the staged leaf table.
 
+    Up to ``one_leaf_rows`` ungrouped points make a single leaf.
+
     ``stats_of`` may name a cheaper table with the same ``x`` distribution (say, the
     scan below a dedup) for the count and the quantiles.
     """
@@ -138,8 +141,8 @@ def build_leaves(
     grouped = "grp" in points.columns
     extent = sample.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("d")).first()
     rows, dims = extent["n"], extent["d"] or 1
-    if leaf_rows == LEAF_ROWS and not grouped and rows <= ONE_LEAF_ROWS:
-        leaf_rows = ONE_LEAF_ROWS  # more distances cost less than a second round here
+    if leaf_rows == LEAF_ROWS and not grouped and rows <= one_leaf_rows:
+        leaf_rows = max(one_leaf_rows, leaf_rows)  # more distances cost less than a second round
     pack = blocks.pack_leaves(dims, leaf_rows, measure.box == "unit")
     if rows <= leaf_rows and not grouped:
         # one leaf, hence one row: nothing to share, so nothing to stage

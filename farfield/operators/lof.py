@@ -7,8 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from farfield.functions.hashing import Family
 from farfield.functions.measures import Measure, reach_distance
-from farfield.operators.knn import LEAF_ROWS, edges, knn
+from farfield.operators.knn import edges
+from farfield.operators.lsh import neighbours
 from farfield.operators.sets import distinct_points, spread_to_copies
 from farfield.session import stage
 
@@ -61,7 +63,11 @@ def profiles(neighbourhoods: DataFrame) -> DataFrame:
 
 
 def lof(
-    points: DataFrame, k: int, measure: str | Measure = "euclidean", leaf_rows: int = LEAF_ROWS
+    points: DataFrame,
+    k: int,
+    measure: str | Measure = "euclidean",
+    technique: str = "flat",
+    hashed: Family | None = None,
 ) -> DataFrame:
     """Batch LOF over ``points(i, x)``: one row per distinct vector with its profile.
 
@@ -69,15 +75,18 @@ def lof(
     the score to all of them.
     """
     unique = distinct_points(points)
-    near = stage(knn(unique, k, measure, leaf_rows, stats_of=points), "near")
-    return profiles(near)
+    return profiles(stage(neighbours(unique, k, technique, measure, hashed, stats_of=points), "near"))
 
 
 def lof_with_points(
-    points: DataFrame, k: int, measure: str | Measure = "euclidean", leaf_rows: int = LEAF_ROWS
+    points: DataFrame,
+    k: int,
+    measure: str | Measure = "euclidean",
+    technique: str = "flat",
+    hashed: Family | None = None,
 ) -> DataFrame:
     """Every original row, copies included, with ``n, kd, lrd, lof``."""
-    scored = lof(points, k, measure, leaf_rows)
+    scored = lof(points, k, measure, technique, hashed)
     of_vector = points.select("i", "x").join(scored, "i").drop("i")
     return spread_to_copies(points, of_vector)
 

@@ -117,6 +117,34 @@ def first_k(neighbourhoods: DataFrame, k: int) -> DataFrame:
     return neighbourhoods.select("i", F.slice("nbrs", 1, k).alias("nbrs"))
 
 
+def neighbours(
+    points: DataFrame,
+    k: int,
+    technique: str = "flat",
+    measure: str | Measure = "euclidean",
+    hashed: Family | None = None,
+    stats_of: DataFrame | None = None,
+) -> DataFrame:
+    """Neighbour lists ``i, nbrs, kd, n`` by the named technique.
+
+    ``flat``: exact, ties kept.  ``kd``: exact, exactly ``k``.  ``planes``: among points on
+    the same side of ``hashed``'s planes, ties kept, with probing.  ``tables``: among points
+    sharing a bucket of ``hashed``, at most ``k``.
+    """
+    name = technique.lower()
+    if name in ("flat", "kd"):
+        found = knn(points, k, measure, stats_of=stats_of)
+    elif name in ("planes", "tables"):
+        if hashed is None:
+            raise ValueError(f"technique {technique!r} needs a hash family")
+        found = lsh_knn(points, k, hashed, measure, probe=name == "planes")
+    else:
+        raise ValueError(f"unknown technique {technique!r}; known: flat, kd, planes, tables")
+    if name in ("kd", "tables"):
+        found = keep_nearest(first_k(found, k), k)
+    return found.select("i", "nbrs", "kd", "n")
+
+
 def bucket_neighbours(points: DataFrame, k: int, hashed: Family) -> DataFrame:
     """The first ``k`` members of each point's bucket in the first table, by id.
 

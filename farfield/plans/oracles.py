@@ -149,6 +149,10 @@ def oracles() -> dict[str, str]:
         SELECT p.p_partkey i, n, round(kd, 6) kd, round(lof, 6) lof FROM scored JOIN pts USING (i)
         JOIN part p ON p.p_size = pts.x1 AND p.p_retailprice = pts.x2"""
     sql["lof_manhattan"] = f"{factors(SUPPLIERS, 3, L1)} SELECT i, n, {scores} FROM scored"
+    sql["lof_exactly_k"] = f"""WITH {neighbours(PARTS, K, order=FIRST)}, {FACTORS}
+        SELECT i, n, {scores} FROM scored"""
+    sql["lof_in_buckets"] = f"""WITH {bucketed(CUSTOMERS, flat_buckets(projected), K, L2, order=FIRST)}, {FACTORS}
+        SELECT i, n, {scores} FROM scored"""
     sql["lof_labels"] = f"""{factors(CUSTOMERS, K)}, {FLAGGED}
         SELECT i, (i IN (SELECT i FROM top))::INTEGER label FROM scored"""
     sql["top_inliers"] = f"""{factors(CUSTOMERS, K)} SELECT i, round(lof, 6) lof FROM (

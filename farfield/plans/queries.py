@@ -11,8 +11,8 @@ from farfield.plans import tables as D
 from farfield.session import stage
 from farfield.sources import files
 from farfield.streaming import areas as A
-from farfield.streaming.ilof import IncrementalLof
-from farfield.streaming.rlof import WindowedLof, delete_rows
+from farfield.streaming.detect import detector
+from farfield.streaming.rlof import delete_rows
 from farfield.streaming.sources import file_stream, parsed, replay
 
 K, TOP = D.K, D.TOP
@@ -59,6 +59,19 @@ def lof_manhattan(spark, sf_dir):
     return rounded(scored, "kd", "lrd", "lof")
 
 
+@query
+def lof_exactly_k(spark, sf_dir):
+    """Factors over exactly k neighbours each, as an index without ties would give."""
+    return rounded(L.lof(D.parts(spark, sf_dir), K, technique="kd"), "kd", "lrd", "lof")
+
+
+@query
+def lof_in_buckets(spark, sf_dir):
+    family = hashing.projection_family(D.PROJECTIONS, D.OFFSETS, D.WIDTH)
+    scored = L.lof(D.customers(spark, sf_dir), K, technique="tables", hashed=family)
+    return rounded(scored, "kd", "lrd", "lof")
+
+
 @query
 def lof_labels(spark, sf_dir):
     return L.label_top(L.lof(D.customers(spark, sf_dir), K), TOP).select("i", "label")
@@ -563,7 +576,7 @@ def incremental_lof(spark, sf_dir):
     """Customers replayed as a stream in three batches; labels when all have been seen."""
     records = D.customer_records(spark, sf_dir)
     path, home = replay(records, 3), D.scratch(spark, "ilof")
-    model = IncrementalLof(spark, f"{home}/state", K)
+    model = detector("ilof", spark, f"{home}/state", k=K)
     model.start(parsed(file_stream(spark, path), 2), f"{home}/checkpoint").awaitTermination()
     return model.labels(TOP)
 
@@ -572,7 +585,7 @@ def incremental_lof(spark, sf_dir):
 def incremental_lof_scores(spark, sf_dir):
     records = D.customer_records(spark, sf_dir)
     path, home = replay(records, 2), D.scratch(spark, "ilof")
-    model = IncrementalLof(spark, f"{home}/state", K)
+    model = detector("ilof", spark, f"{home}/state", k=K)
     model.start(parsed(file_stream(spark, path), 2), f"{home}/checkpoint").awaitTermination()
     return rounded(model.scores().select("i", "n", "kd", "lrd", "lof"), "kd", "lrd", "lof")
 
@@ -581,7 +594,10 @@ def _windowed(spark, sf_dir):
     records = D.customer_records(spark, sf_dir)
     rows = records.count()
     path, home = replay(records, 3), D.scratch(spark, "rlof")
-    model = WindowedLof(spark, f"{home}/state", K, rows // 2, 5, rows // 3, 2, TOP)
+    model = detector(
+        "rlof", spark, f"{home}/state",
+        k=K, window=rows // 2, inlier_percent=5, max_age=rows // 3, dims=2, top=TOP,
+    )
     model.start(parsed(file_stream(spark, path), 2), f"{home}/checkpoint").awaitTermination()
     return model
 

@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from farfield.functions.hashing import Family
 from farfield.functions.measures import Measure
 from farfield.operators.knn import LEAF_SCHEMA
 from farfield.operators.lof import label_top
 from farfield.session import stage
 from farfield.streaming import leafindex
-from farfield.streaming.insert import SCORED, insert, owners
+from farfield.streaming.insert import SCORED, find_neighbours, insert, owners
 from farfield.streaming.state import Versions
 
 ARRIVALS = "key string, i bigint"
@@ -30,9 +31,18 @@ class IncrementalLof:
     its key gets the label of the first arrival.
     """
 
-    def __init__(self, spark: SparkSession, root: str, k: int, measure: str | Measure = "euclidean"):
+    def __init__(
+        self,
+        spark: SparkSession,
+        root: str,
+        k: int,
+        measure: str | Measure = "euclidean",
+        technique: str = "flat",
+        hashed: Family | None = None,
+    ):
         self.versions = Versions(spark, root)
         self.spark, self.k, self.measure = spark, k, measure
+        self.technique, self.hashed = technique, hashed
 
     def scores(self, batch_id: int | None = None) -> DataFrame:
         """``i, x, kd, n, nbrs, lrd, lof`` after a batch (the last one by default)."""
@@ -55,7 +65,10 @@ class IncrementalLof:
 
         fresh = owner.filter("fresh").select(F.col("first").alias("i"), "x")
         added = leafindex.build(self.versions, batch_id, fresh, self.measure)
-        near, hits = leafindex.find(old, self._leaves(segments), segments, added, self.k)
+        if self.technique == "flat":
+            near, hits = leafindex.find(old, self._leaves(segments), segments, added, self.k)
+        else:
+            near, hits = find_neighbours(old, fresh, self.k, self.measure, self.technique, self.hashed)
         arriving = fresh.join(added.where, "i")
         changed = insert(old, arriving, near, hits, self.k)
         scored = self.versions.write("scored", batch_id, changed)

@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from farfield.functions.hashing import Family
 from farfield.functions.measures import Measure
-from farfield.operators.knn import (
-    CANDIDATE, LEAF_ROWS, NEIGHBOURS, QUERY, edges, keep_nearest, knn, knn_within,
-)
+from farfield.operators.knn import CANDIDATE, NEIGHBOURS, QUERY, edges, keep_nearest, knn_within
 from farfield.operators.lof import ratio
+from farfield.operators.lsh import neighbours
 from farfield.operators.sets import first_arrivals
 from farfield.session import stage
 
@@ -27,10 +27,16 @@ def open_reach(k: int) -> Column:
 
 
 def find_neighbours(
-    old: DataFrame, arriving: DataFrame, k: int, measure: str | Measure, leaf_rows: int = LEAF_ROWS
+    old: DataFrame,
+    arriving: DataFrame,
+    k: int,
+    measure: str | Measure,
+    technique: str = "flat",
+    hashed: Family | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(lists of the arriving points, new entries for old points within their k-distance).
 
+    ``technique`` finds the lists of the arrivals; who is reached by them is always exact.
     Of the arrivals only an old point's ``k`` nearest can enter its list, so no list of
     entries is longer, whatever a list that is not full would take.
 
@@ -40,11 +46,11 @@ def find_neighbours(
     points = old.select("i", "x", F.lit(CANDIDATE).alias("role")).unionByName(
         arriving.select("i", "x", F.lit(QUERY | CANDIDATE).alias("role"))
     )
-    near = knn(points, k, measure, leaf_rows).select("i", "nbrs")
+    near = neighbours(points, k, technique, measure, hashed).select("i", "nbrs")
     around = old.select("i", "x", F.lit(QUERY).alias("role"), open_reach(k).alias("reach")).unionByName(
         arriving.select("i", "x", F.lit(CANDIDATE).alias("role"), F.lit(float("inf")).alias("reach"))
     )
-    return near, knn_within(around, k, measure, leaf_rows)
+    return near, knn_within(around, k, measure)
 
 
 def owners(stored: DataFrame, arrived: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from farfield.streaming.insert import open_reach
 from farfield.streaming.state import Versions
 
 FLOOR_BITS = 39
+SMALL_BATCH = 4096  # a stored leaf should stay small enough to tell near from far
 
 
 @dataclass(frozen=True)
@@ -37,7 +38,7 @@ def build(
     versions: Versions, batch_id: int, points: DataFrame, measure: str | Measure, compacting: bool = False
 ) -> Added:
     floor = (2 * (batch_id + 1) + int(compacting)) << FLOOR_BITS
-    made = build_leaves(points, measure)
+    made = build_leaves(points, measure, one_leaf_rows=SMALL_BATCH)
     path = versions.write(
         "leaves-merged" if compacting else "leaves", batch_id, made.table.withColumn("leaf", F.col("leaf") + floor)
     )

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from farfield.functions.hashing import Family
 from farfield.functions.measures import Measure
 from farfield.operators.evaluate import running_totals
 from farfield.operators.knn import NEIGHBOURS, edges, k_distance
@@ -78,11 +79,14 @@ class WindowedLof:
         dims: int,
         top: int = 10,
         measure: str | Measure = "euclidean",
+        technique: str = "flat",
+        hashed: Family | None = None,
     ):
         self.versions = Versions(spark, root)
         self.spark, self.root, self.measure = spark, root, measure
         self.k, self.size, self.dims, self.top = k, window, dims, top
         self.inlier_percent, self.max_age = inlier_percent, max_age
+        self.technique, self.hashed = technique, hashed
 
     def _manifest(self, batch_id: int | None) -> dict:
         return self.versions.manifest(self.versions.latest() if batch_id is None else batch_id)
@@ -156,7 +160,9 @@ class WindowedLof:
 
     def _insert(self, window, areas, fresh, inside, virtual, clock):
         """The window with all arrivals in it, and how many of them will stay."""
-        near, hits = find_neighbours(window, fresh, self.k, self.measure)
+        near, hits = find_neighbours(
+            window, fresh, self.k, self.measure, self.technique, self.hashed
+        )
         if virtual is not None:
             bound = F.when(F.size("nbrs") < self.k, F.lit(float("inf"))).otherwise(
                 k_distance(F.col("nbrs"), self.k)

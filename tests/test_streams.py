@@ -2,9 +2,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from farfield.functions import hashing as H
 from farfield.operators import lof as L
 from farfield.streaming import areas as A
 from farfield.streaming import ilof
+from farfield.streaming.detect import detector
 from farfield.streaming.rlof import WindowedLof
 from farfield.streaming.sources import file_stream, parsed, replay
 from tests.brute_window import Window
@@ -101,6 +103,26 @@ def test_windowed_follows_the_rules(spark, tmp_path):
     assert {reason for _, reason in labels.values()} >= {"absorbed", "summarized", "aged", "final"}
 
 
+def test_arrivals_may_be_found_in_buckets(spark, tmp_path):
+    x = RNG.normal(size=(60, 2))
+    points = parsed(records(spark, x), 2)
+    # no planes to tell points apart: one bucket, so the result is exact
+    family = H.sign_family(np.zeros((1, 2, 2)))
+    model = detector("ILOF", spark, str(tmp_path), k=3, technique="planes", hashed=family)
+    model.apply(points.filter("seq < 40"), 0)
+    model.apply(points.filter("seq >= 40"), 1)
+    same(scores(model.scores()), scores(L.lof(points.select(F.col("seq").alias("i"), "x"), 3)))
+
+
+def test_unknown_choices(spark, points, tmp_path):
+    with pytest.raises(ValueError, match="unknown algorithm"):
+        detector("milof", spark, str(tmp_path), k=3)
+    with pytest.raises(ValueError, match="unknown technique"):
+        L.lof(points([[1.0]]), 1, technique="hnsw")
+    with pytest.raises(ValueError, match="needs a hash family"):
+        L.lof(points([[1.0]]), 1, technique="planes")
+
+
 def test_point_on_the_rim_and_inside_two_areas(spark, points):
     areas = spark.createDataFrame(
         [(0, [0.0, 0.0], 1.0), (1, [1.0, 0.0], 2.0)], "center bigint, x array<double>, radius double"

@@ -111,9 +111,9 @@ def test_appending(spark, tmp_path):
 
 
 def test_names_round_trip(spark):
-    name = T.run_name("Wilt", 5, "RLOF", 7, "EUCLIDEAN", "TARSOS", 2, 4, None, 500, 10, 2000)
-    assert name == "wilt-d5-rlof-k7-euc-tarsos-h2-t4-w500-i10-a2000"
-    assert T.run_name("m", 2, "ilof", 3, "MANHATTAN", "LSH", planes=6, tables=2) == "m-d2-ilof-k3-man-lsh-p6-t2"
+    name = T.run_name("Wilt", 5, "RLOF", 7, "EUCLIDEAN", "TABLES", 2, 4, None, 500, 10, 2000)
+    assert name == "wilt-d5-rlof-k7-euc-tables-h2-t4-w500-i10-a2000"
+    assert T.run_name("m", 2, "ilof", 3, "MANHATTAN", "PLANES", planes=6, tables=2) == "m-d2-ilof-k3-man-planes-p6-t2"
     row = spark.createDataFrame([(name + "-1234ms",)], "run string")
     found = row.select(*(c.alias(n) for n, c in T.run_parameters(F.col("run")).items())).first()
     assert found.asDict() == {
