@@ -34,8 +34,9 @@ FACTORS = """kds AS MATERIALIZED (SELECT i, max(dist) kd, count(*) n FROM nn GRO
         FROM nn JOIN kds ON kds.i = nn.j GROUP BY nn.i),
     lofs AS MATERIALIZED (SELECT nn.i, sum(o.lrd) / (any_value(m.lrd) * count(*)) lof
         FROM nn JOIN lrds o ON o.i = nn.j JOIN lrds m ON m.i = nn.i GROUP BY nn.i),
-    scored AS MATERIALIZED (SELECT kds.i, n::INTEGER n, kd, lrd, lof
-        FROM kds JOIN lrds USING (i) JOIN lofs USING (i))"""
+    scored AS MATERIALIZED (SELECT i, coalesce(n, 0)::INTEGER n, coalesce(kd, 'inf'::DOUBLE) kd,
+            coalesce(lrd, 'inf'::DOUBLE) lrd, coalesce(lof, 'nan'::DOUBLE) lof
+        FROM pts LEFT JOIN kds USING (i) LEFT JOIN lrds USING (i) LEFT JOIN lofs USING (i))"""
 
 
 def factors(points: str, k: int, dist: str = L2) -> str:
