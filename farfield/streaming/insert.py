@@ -83,7 +83,7 @@ def insert(
     k: int,
     virtual: DataFrame | None = None,
 ) -> DataFrame:
-    """Rows of the scored set that are new or changed, staged (schema ``SCORED``).
+    """Rows of the scored set that are new or changed (schema ``SCORED``).
 
     ``virtual(j, kd, lrd)`` gives the profile of neighbours that are not points.
     """
@@ -136,12 +136,9 @@ def insert(
     mine = lists.join(factor_ids, "i", "left_semi")
     around = edges(mine).join(looked_up, "j").groupBy("i").agg(F.sum("other").alias("around"))
     where = old.select("i", "x", "leaf").unionByName(arriving.select("i", "x", "leaf"))
-    changed = (
-        mine.join(around, "i", "left").join(all_lrd, "i").join(where, "i").select(
-            "i", "x", "leaf", "kd", "n", "nbrs", "lrd",
-            F.when(F.col("n") == 0, F.lit(float("nan")))
-            .otherwise(ratio(F.col("around"), F.col("lrd") * F.col("n")))
-            .alias("lof"),
-        )
+    return mine.join(around, "i", "left").join(all_lrd, "i").join(where, "i").select(
+        "i", "x", "leaf", "kd", "n", "nbrs", "lrd",
+        F.when(F.col("n") == 0, F.lit(float("nan")))
+        .otherwise(ratio(F.col("around"), F.col("lrd") * F.col("n")))
+        .alias("lof"),
     )
-    return stage(changed, "changed")

@@ -63,6 +63,8 @@ def find(
     away = search_away(home, pairs, everywhere, new.measure, new.dims, k, True, new.batch_rows)
     near = gathered(home, away).select("i", "nbrs")
 
+    if not segments:
+        return near, away.select("i", "nbrs").limit(0)
     reaching = old.select("i", "leaf", "x", open_reach(k).alias("bound"))
     bounds = reaching.groupBy("leaf").agg(F.max("bound").alias("bound"))
     back = leaf_pairs(

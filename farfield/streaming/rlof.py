@@ -176,7 +176,7 @@ class WindowedLof:
                 .otherwise(F.array_sort(F.concat("nbrs", "rim")))
                 .alias("nbrs"),
             )
-        changed = insert(window, fresh, near, hits, self.k, virtual)
+        changed = stage(insert(window, fresh, near, hits, self.k, virtual), "changed")
         staying = fresh.select("i")
         if inside is not None:
             staying = staying.join(inside.select("i"), "i", "left_anti")
