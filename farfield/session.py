@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: dict[str, str] = {}
+
 
 def local_session(cores: int = 8, memory: str = "8g") -> SparkSession:
     spark = (
@@ -28,16 +31,17 @@ def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for staged tables: the one the session names.
 
     A machine-local folder is only ever chosen in local mode, where driver and
-    executors share one disk.
+    executors share one disk, and then once per application.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    made = tempfile.mkdtemp(prefix="farfield-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if context.applicationId not in _made:
+        _made[context.applicationId] = tempfile.mkdtemp(prefix="farfield-")
+    return _made[context.applicationId]
 
 
 def stage(df: DataFrame, name: str, spark: SparkSession | None = None) -> DataFrame:
