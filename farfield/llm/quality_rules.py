@@ -18,9 +18,13 @@ from farfield.llm.common import BLANKS, packed, stage, text_of, words
 #: Characters that mark tables and markup rather than prose.
 SYMBOLS = "#*$%&|<>"
 
+#: A word of prose: letters or digits, joined by a sign at most, with common punctuation around them.
+PLAIN = r"^[(\[\x22'«“¿¡]?[\p{L}\p{N}]+(?:[-'’.,:/@_][\p{L}\p{N}]+)*[.,;:!?)\]\x22'»”…]{0,2}$(?<!!!)"
+
 MIN_WORDS = 50
 MAX_REPEATED = 50  # percent of words in repeated windows
-ACCURACY = 0.8  # what a rule is taken to be before any document is seen
+ACCURACY = (0.95, 0.4)  # of a rule on good and on bad documents, before any document is seen
+BOUNDS = ((0.9, 0.995), (0.1, 0.995))  # a rule finds one kind of fault: of the bad, it may miss most
 WEIGHT = 0.02  # how many documents that belief counts as, as a share of all
 ROUNDS, CLOSE = 40, 1e-4
 
@@ -57,7 +61,7 @@ def measures(docs: DataFrame) -> DataFrame:
 
     Null texts are empty; an empty text has no words, lines or symbols.  ``lines`` counts
     lines with a word, ``n_dup_lines`` those equal to an earlier one, ``n_same_next`` words
-    equal to the word before.
+    equal to the word before, ``n_plain`` words that look like prose.
     """
     text, line_ends = text_of(), r"[.!?:;…\x22')\]»”][\x20\x09-\x0D]*$"
     split = packed(docs, text.alias("text"), words(text).alias("w"))
@@ -82,6 +86,8 @@ def measures(docs: DataFrame) -> DataFrame:
         size(F.filter("lines", lambda x: x.rlike(line_ends))).alias("n_ended_lines"),
         F.expr("size(filter(w, (x, i) -> x = get(w, i - 1)))").cast("long").alias("n_same_next"),
         without("!").cast("long").alias("n_shouts"),
+        F.length(F.regexp_replace("text", r"\P{L}+", "")).cast("long").alias("n_letters"),
+        size(F.filter("w", lambda x: x.rlike(PLAIN))).alias("n_plain"),
     )
 
 
@@ -90,6 +96,11 @@ def _band(value: Column, good: tuple[float, float], bad: tuple[float, float]) ->
     return F.when(value.between(*good), 1).when(value.between(*bad), 0).otherwise(-1)
 
 
+def _high(value: Column, good: float, bad: float) -> Column:
+    """1 from ``good`` up, -1 below ``bad``, 0 in between."""
+    return F.when(value >= good, 1).when(value >= bad, 0).otherwise(-1)
+
+
 def rules() -> dict[str, Column]:
     """Votes on the columns of ``measures``; a document without words gets only abstentions but for its length."""
     n = F.col("n_words")
@@ -101,6 +112,8 @@ def rules() -> dict[str, Column]:
         "word_length": F.when(n == 0, 0).otherwise(_band(share("word_chars"), (3.0, 8.0), (2.0, 12.0))),
         "symbols": low("n_symbols", 0.05, 0.3),
         "shouts": low("n_shouts", 0.1, 0.5),
+        "letters": F.when(n == 0, 0).otherwise(_high(F.try_divide(F.col("n_letters").cast("double"), F.col("word_chars")), 0.9, 0.8)),
+        "plain": F.when(n == 0, 0).otherwise(_high(share("n_plain"), 0.9, 0.7)),
         "lines": F.when(n == 0, 0).otherwise(_band(of_lines("n_dup_lines"), (0, 0.2), (0, 0.5))),
         "repeats": F.when(n < 10, 0).otherwise(_band(share("n_repeat_words"), (0, 0.2), (0, 0.5))),
         "runs": low("n_same_next", 0.05, 0.3),
@@ -112,11 +125,11 @@ def fit(patterns: DataFrame, names: list[str]) -> dict:
     """Expectation-maximisation over ``patterns`` (one column a rule, and ``n`` documents).
 
     A rule that does not abstain is right with one probability on good documents and with
-    another on bad ones.  Each starts, and is held back by a prior, at ``ACCURACY``, so
+    another on bad ones.  They start, and are held back by a prior, at ``ACCURACY``, so
     that "good" keeps its meaning.  Returns ``prior`` and, by rule, the two accuracies.
     An empty table returns the start.
     """
-    model = {"prior": 0.8, "rules": {r: (ACCURACY, ACCURACY) for r in names}}
+    model = {"prior": 0.8, "rules": {r: ACCURACY for r in names}}
     total = patterns.agg(F.sum("n")).first()[0] or 0
     if not total:
         return model
@@ -129,11 +142,11 @@ def fit(patterns: DataFrame, names: list[str]) -> dict:
                 mine = F.when(F.col(r) == vote, F.col("n")).otherwise(0)
                 sums += [F.sum(mine * p).alias(f"{tag}_good_{r}"), F.sum(mine * (1 - p)).alias(f"{tag}_bad_{r}")]
         s = patterns.agg(*sums).first()
-        part = lambda a, b: min(0.995, max(0.5, (a + ACCURACY * held) / (a + b + held)))
+        part = lambda k, a, b: min(BOUNDS[k][1], max(BOUNDS[k][0], (a + ACCURACY[k] * held) / (a + b + held)))
         new = {
             "prior": min(0.99, max(0.01, s["good"] / total)),
             "rules": {
-                r: (part(s[f"up_good_{r}"], s[f"down_good_{r}"]), part(s[f"down_bad_{r}"], s[f"up_bad_{r}"]))
+                r: (part(0, s[f"up_good_{r}"], s[f"down_good_{r}"]), part(1, s[f"down_bad_{r}"], s[f"up_bad_{r}"]))
                 for r in names
             },
         }
