@@ -2,4 +2,68 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+CHAT = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+), told AS (
+  SELECT *, regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g') AS body,
+    replace(replace(regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g'), '%', '%25'), chr(10), '%0A') AS head
+  FROM said
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(length('<|im_start|>') + length(head) + 1 + length(body) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars,
+  count(*) FILTER (WHERE role = 'assistant') AS n_examples
+FROM told GROUP BY conv_id
+"""
+
+MIXING = r"""
+WITH d AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS s,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    md5('7:' || coalesce(doc_id::VARCHAR, 'null')) AS key
+  FROM documents
+), src AS (
+  SELECT s, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY s) - 1 AS rank FROM d GROUP BY s
+), w AS (
+  SELECT *, (1 + rank % 3)::DOUBLE AS weight, (3 * source_size)::DOUBLE AS cap FROM src
+), o AS (
+  SELECT *, (sum(source_size) OVER ())::DOUBLE AS whole,
+    coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
+    sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+  FROM w
+), f AS (
+  SELECT *, (whole - used) / rest AS level, cap / weight <= (whole - used) / rest AS limited FROM o
+), t AS (
+  SELECT s, rank, source_size,
+    CASE WHEN limited THEN cap ELSE weight * (max(level) FILTER (WHERE NOT limited) OVER ()) END AS target FROM f
+), q AS (
+  SELECT s, rank, k, target / (2 * k - 1) AS quotient FROM (
+    SELECT s, rank, target, unnest(generate_series(1, (floor(target / 16) + 2 + (SELECT count(*) FROM t))::BIGINT)) AS k
+    FROM t WHERE target > 0)
+), won AS (
+  SELECT s, count(*) AS seats
+  FROM (SELECT s, row_number() OVER (ORDER BY quotient DESC, rank, k) AS place FROM q)
+  WHERE place <= (SELECT round(sum(target) / 16) FROM t) GROUP BY s
+), b AS (
+  SELECT t.s, source_size, target, ceil(source_size / 16)::BIGINT AS blocks,
+    least(coalesce(seats, 0), 3 * ceil(source_size / 16)::BIGINT) AS seats, ('0x' || substr(md5('7:' || t.s), 1, 12))::BIGINT AS draw
+  FROM t LEFT JOIN won USING (s)
+), p AS (
+  SELECT s, source_size, target, coalesce(seats // nullif(blocks, 0), 0) AS rounds,
+    coalesce(seats % nullif(blocks, 0), 0) AS run, coalesce(draw % nullif(blocks, 0), 0) AS first, blocks FROM b
+), e AS (
+  SELECT *, first * 16 AS a1, least(least(first + run, blocks) * 16, source_size) AS e1, greatest(0, (first + run - blocks) * 16) AS e2 FROM p
+), stood AS (
+  SELECT *, sum(size) OVER (PARTITION BY s ORDER BY key, size ROWS UNBOUNDED PRECEDING) - size AS begun FROM d
+)
+SELECT doc_id, size, source_size, target,
+  (size * rounds + greatest(0, least(size, e1 - begun) - greatest(0, a1 - begun)) + greatest(0, least(size, e2 - begun) - greatest(0, -begun)))::BIGINT AS taken
+FROM stood JOIN e USING (s)
+"""
+
+ORACLES: dict[str, str] = {"op2_chat_examples": CHAT, "op6_mixing": MIXING}
