@@ -18,8 +18,9 @@ from farfield.llm.common import BLANKS, packed, stage, text_of, words
 #: Characters that mark tables and markup rather than prose.
 SYMBOLS = "#*$%&|<>"
 
-#: A word of prose: letters or digits, joined by a sign at most, with common punctuation around them.
-PLAIN = r"^[(\[\x22'«“¿¡]?[\p{L}\p{N}]+(?:[-'’.,:/@_][\p{L}\p{N}]+)*[.,;:!?)\]\x22'»”…]{0,2}$(?<!!!)"
+#: A word of prose: letters, digits and joining signs, with common punctuation around them.
+#: Without repeated groups, which would take stack by the length of a word.
+PLAIN = r"^[(\[\x22'«“¿¡]?[\p{L}\p{N}][\p{L}\p{N}\-'’.,:/@_]*[.,;:!?)\]\x22'»”…]{0,2}$(?<!!!)"
 
 MIN_WORDS = 50
 MAX_REPEATED = 50  # percent of words in repeated windows

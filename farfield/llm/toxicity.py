@@ -161,7 +161,7 @@ def _weight(line: str, matcher) -> tuple[float, int]:
     for a, b in spared:
         for s in [s for s in best if a <= s < b]:
             del best[s]
-    return sum(best.values()), line.count(" ") - 1
+    return float(sum(best.values())), line.count(" ") - 1 if len(line) > 2 else 0
 
 
 def signals(weight: float, n: int) -> tuple[float, float]:
