@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 # Fixed value: how a decimal number may be spelled (sign, digits, exponent, f/d suffix).
 # ``nan`` and ``infinity`` are deliberately words, not numbers.
@@ -17,29 +21,46 @@ OUTLIER_CLASSES = [
 ]
 
 
-def string_hash(word: Column) -> Column:
-    """32-bit signed hash over UTF-16 units, ``h = 31 h + unit``, as a double."""
-    wrap = 1 << 32
+@F.arrow_udf(ArrayType(DoubleType()))
+def _hashes(lists: pa.Array) -> pa.Array:
+    """``h = 31 h + unit`` over the UTF-16 units of every word of every list, as signed 32 bits."""
+    words = lists.flatten()
+    units = [w.encode("utf-16-le", "surrogatepass") for w in words.fill_null("").to_pylist()]
+    sizes = np.fromiter(map(len, units), np.int64, len(units)) // 2
+    ends = np.cumsum(sizes)
+    flat = np.frombuffer(b"".join(units), "<u2").astype(np.uint32)
+    powers = np.ones(max(1, int(sizes.max(initial=0))), np.uint32)
+    np.multiply.accumulate(np.full(len(powers) - 1, 31, np.uint32), out=powers[1:])
+    flat *= powers[np.repeat(ends, sizes) - 1 - np.arange(len(flat))]
+    hashes, some = np.zeros(len(units), np.uint32), sizes > 0
+    if len(flat):
+        hashes[some] = np.add.reduceat(flat, (ends - sizes)[some], dtype=np.uint32)
+    values = pa.array(hashes.view(np.int32).astype(np.float64), mask=words.is_null().to_numpy(False))
+    # the lists as they are, null ones and slices included, around the new values
+    lengths = pa.compute.list_value_length(lists).fill_null(0).to_numpy(False)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), pa.int32())
+    return pa.ListArray.from_arrays(offsets, values, mask=lists.is_null())
+
+
+def string_hashes(words: Column) -> Column:
+    """Of an array of words the 32-bit signed hashes over UTF-16 units, as doubles."""
+    return _hashes(words)
+
 
-    def push(h: Column, unit: Column) -> Column:
-        return F.pmod(h * 31 + unit, F.lit(wrap))
+def string_hash(word: Column) -> Column:
+    """The hash of one word."""
+    return string_hashes(F.array(word))[0]
 
-    def step(h: Column, char: Column) -> Column:
-        code = F.ascii(char).cast("bigint")
-        above = code - 0x10000
-        high = F.lit(0xD800).cast("bigint") + F.shiftright(above, 10)
-        low = F.lit(0xDC00).cast("bigint") + above.bitwiseAND(F.lit(0x3FF).cast("bigint"))
-        return F.when(code < 0x10000, push(h, code)).otherwise(push(push(h, high), low))
 
-    unsigned = F.aggregate(F.split(word, ""), F.lit(0).cast("bigint"), step)
-    return (F.pmod(unsigned + wrap // 2, F.lit(wrap)) - wrap // 2).cast("double")
+def numbers_or_hashes(words: Column) -> Column:
+    """Of each lower-case word the number that it spells, else its hash."""
 
+    def value(word: Column, hashed: Column) -> Column:
+        bare = F.trim(word)
+        digits = F.regexp_replace(bare, "[fd]$", "")
+        return F.when(bare.rlike(NUMBER), digits.try_cast("double")).otherwise(hashed)
 
-def number_or_hash(word: Column) -> Column:
-    """The number a lower-case word spells, else its hash."""
-    bare = F.trim(word)
-    digits = F.regexp_replace(bare, "[fd]$", "")
-    return F.when(bare.rlike(NUMBER), digits.try_cast("double")).otherwise(string_hash(word))
+    return F.zip_with(words, string_hashes(words), value)
 
 
 def blank_separated(line: Column) -> Column:
@@ -55,7 +76,7 @@ def parse_point(line: Column, dims: int | None = None) -> Column:
 
     Words beyond ``dims`` are ignored.
     """
-    parsed = F.transform(blank_separated(F.lower(line)), number_or_hash)
+    parsed = numbers_or_hashes(blank_separated(F.lower(line)))
     return parsed if dims is None else F.slice(parsed, 1, dims)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from farfield.functions.hashing import Family
 from farfield.functions.measures import Measure, reach_distance
+from farfield.operators.evaluate import running_totals
 from farfield.operators.knn import edges
 from farfield.operators.lsh import neighbours
 from farfield.operators.sets import distinct_points, spread_to_copies
@@ -97,8 +98,14 @@ def top_outliers(scored: DataFrame, n: int) -> DataFrame:
 
 
 def top_inliers(scored: DataFrame, percent: float, rows: int) -> DataFrame:
-    """The lowest ``percent`` of factors among ``rows`` points, rounded up."""
-    return scored.orderBy("lof", "i").limit(math.ceil(rows * percent / 100.0))
+    """The lowest ``percent`` of factors among ``rows`` points, rounded up.
+
+    The cut grows with the points, so places are counted over ranges instead of gathering
+    the short end in one task.
+    """
+    cut = math.ceil(rows * percent / 100.0)
+    placed = running_totals(scored.withColumn("one", F.lit(1)), ["lof", "i"], ["one"])
+    return placed.filter(F.col("before_one") < cut).select(*scored.columns).orderBy("lof", "i")
 
 
 def label_top(scored: DataFrame, n: int) -> DataFrame:

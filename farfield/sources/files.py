@@ -6,34 +6,38 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from farfield.functions import text as T
+from farfield.session import stage
+
+
+BROADCAST_BLOCKS = 100_000  # a row of some 200 bytes each
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines with what is needed to order them as in the files."""
+    """Text lines with the file block they come from."""
     return spark.read.text(path).select(
         "value",
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row"),
     )
 
 
 def in_file_order(rows: DataFrame) -> DataFrame:
     """Add ``pos``, the 0-based place of each row in file order.
 
-    Rows are numbered inside their file block (a block is one input split, so this is
-    bounded) and shifted by the rows of the blocks before it; only one count per block
-    is ever brought together.
+    ``rows`` is ``lines`` through filters and projections only.  A scan reads a block's lines
+    one after the other, so running ids give the place inside it; blocks are shifted by the
+    rows of those before.  Only a first id and a count per block are brought together, and
+    no line is shuffled while blocks are few enough to broadcast those.
     """
     split = ["file", "block"]
-    inside = F.row_number().over(Window.partitionBy(*split).orderBy("row"))
-    counts = rows.groupBy(*split).agg(F.count("*").alias("rows"))
+    numbered = rows.withColumn("row", F.monotonically_increasing_id())
+    counts = numbered.groupBy(*split).agg(F.count("*").alias("rows"), F.min("row").alias("first"))
     before = F.sum("rows").over(Window.orderBy(*split)) - F.col("rows")
-    offsets = counts.select(*split, before.alias("before"))
-    numbered = rows.withColumn("inside", inside).join(offsets, split)
-    return numbered.withColumn("pos", F.col("before") + F.col("inside") - 1).drop(
-        *split, "row", "inside", "before"
-    )
+    shifts = stage(counts.select(*split, (before - F.col("first")).alias("shift")), "block-shifts")
+    if shifts.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS:
+        shifts = F.broadcast(shifts)
+    placed = numbered.join(shifts, split)
+    return placed.withColumn("pos", F.col("row") + F.col("shift")).drop(*split, "row", "shift")
 
 
 def keyed_points(spark: SparkSession, path: str, dims: int) -> DataFrame:
@@ -49,7 +53,7 @@ def keyed_points(spark: SparkSession, path: str, dims: int) -> DataFrame:
         "pos",
         F.col("w")[0].alias("key"),
         F.concat(F.array_join(features, " "), F.lit(" ")).alias("value"),
-        F.transform(F.transform(features, F.lower), T.number_or_hash).alias("x"),
+        T.numbers_or_hashes(F.transform(features, F.lower)).alias("x"),
         T.label_word(F.col("w"), dims).try_cast("int").alias("label"),
     )
 
@@ -73,7 +77,7 @@ def vector_lines(
 
     Lines carry keys if the first word of the first line is not a number.
     """
-    opening = spark.read.text(sorted(spark.read.text(path).inputFiles())[0]).first()
+    opening = in_file_order(lines(spark, path)).filter("pos = 0").first()
     starts_with = spark.createDataFrame([(opening["value"] if opening else "0",)], "value string")
     keyed = starts_with.select(F.split("value", " ")[0].try_cast("double").isNull()).first()[0]
     parts = in_file_order(lines(spark, path)).withColumn("w", T.blank_separated(F.col("value")))

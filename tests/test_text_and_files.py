@@ -45,6 +45,27 @@ def test_hash_wraps_and_uses_utf16(spark):
         assert got == plain(word)
 
 
+def test_hashes_of_lists(spark):
+    lists = [["ab", "", None, "é" * 3000], [], None, ["x"]]
+    got = spark.createDataFrame([(k, w) for k, w in enumerate(lists)], "k int, w array<string>").select("k", T.string_hashes(F.col("w")).alias("h"))
+    rows = [r["h"] for r in got.orderBy("k").collect()]
+    assert rows[1:3] == [[], None] and rows[3] == [120.0] and rows[0][:3] == [3105.0, 0.0, None]
+    h = 0
+    for _ in range(3000):
+        h = (h * 31 + 0xE9) & 0xFFFFFFFF
+    assert rows[0][3] == float(h - (1 << 32) if h >= 1 << 31 else h)
+
+
+def test_places_follow_files_and_filters(spark, tmp_path):
+    for name, text in (("a", ""), ("b", "x 1\n\nx 2\n"), ("c", "\nx 3\nx 4"), ("d", "x 5\n")):
+        (tmp_path / name).write_text(text)
+    kept = files.lines(spark, str(tmp_path)).filter("value <> ''")
+    rows = files.in_file_order(kept).orderBy("pos").collect()
+    assert [(r["pos"], r["value"]) for r in rows] == [(k, f"x {k + 1}") for k in range(5)]
+    keyed = files.vector_lines(spark, str(tmp_path / "[ad]")).collect()
+    assert [(r["key"], r["x"]) for r in keyed] == [("x", [5.0])]
+
+
 def write(path, *lines):
     path.write_text("".join(line + "\n" for line in lines))
     return str(path)
