@@ -590,7 +590,7 @@ def incremental_lof_scores(spark, sf_dir):
     return rounded(model.scores().select("i", "n", "kd", "lrd", "lof"), "kd", "lrd", "lof")
 
 
-def _windowed(spark, sf_dir):
+def _windowed(spark, sf_dir, sink=None):
     records = D.customer_records(spark, sf_dir)
     rows = records.count()
     path, home = replay(records, 3), D.scratch(spark, "rlof")
@@ -598,7 +598,8 @@ def _windowed(spark, sf_dir):
         "rlof", spark, f"{home}/state",
         k=K, window=rows // 2, inlier_percent=5, max_age=rows // 3, dims=2, top=TOP,
     )
-    model.start(parsed(file_stream(spark, path), 2), f"{home}/checkpoint").awaitTermination()
+    stream = parsed(file_stream(spark, path), 2)
+    model.start(stream, f"{home}/checkpoint", sink, rows).awaitTermination()
     return model
 
 
@@ -607,6 +608,14 @@ def windowed_lof(spark, sf_dir):
     return _windowed(spark, sf_dir).labels().groupBy("reason", "label").agg(F.count("*").alias("n"))
 
 
+@query
+def windowed_labels(spark, sf_dir):
+    """What the stream's sink holds at the end: every arrival, its label and why it got it."""
+    sink = D.scratch(spark, "rlof-sink")
+    _windowed(spark, sf_dir, sink)
+    return spark.read.parquet(sink).select("key", "label", "reason")
+
+
 # --- generators and audits --------------------------------------------------------------
 
 @query

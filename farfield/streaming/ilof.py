@@ -127,7 +127,8 @@ class IncrementalLof:
             self.apply(batch, batch_id)
             manifest = self.versions.manifest(batch_id)
             if sink and total_points is not None and manifest["seen"] >= total_points:
-                write_labels(self.labels(top_n), sink, "final", batch_id)
+                final = self.labels(top_n).withColumn("reason", F.lit("final"))
+                write_labels(final, sink, "final", batch_id)
 
         return (
             points.writeStream.foreachBatch(step)
@@ -137,8 +138,8 @@ class IncrementalLof:
         )
 
 
-def write_labels(labels: DataFrame, sink: str, reason: str, batch_id: int) -> None:
+def write_labels(labels: DataFrame, sink: str, part: str, batch_id: int) -> None:
     """Label rows ``key, label, reason, batch_id``; a batch run again replaces its own."""
-    labels.select("key", "label").withColumn("reason", F.lit(reason)).withColumn(
-        "batch_id", F.lit(batch_id)
-    ).write.mode("overwrite").parquet(f"{sink}/part={reason}-{batch_id}")
+    labels.select("key", "label", "reason").withColumn("batch_id", F.lit(batch_id)).write.mode(
+        "overwrite"
+    ).parquet(f"{sink}/part={part}-{batch_id}")

@@ -229,15 +229,24 @@ class WindowedLof:
         )
         return emitted.unionByName(final)
 
-    def start(self, points: DataFrame, checkpoint: str, sink: str | None = None) -> StreamingQuery:
-        """Run over a stream of ``key, seq, x`` until its data is used up."""
+    def start(
+        self, points: DataFrame, checkpoint: str, sink: str | None = None, total_points: int | None = None
+    ) -> StreamingQuery:
+        """Run over a stream of ``key, seq, x`` until its data is used up.
+
+        With ``sink``, every batch writes the labels of the points that left the window, and
+        why.  Those still in it get theirs when ``total_points`` have been seen, or from
+        ``finish`` when the stream has ended.
+        """
 
         def step(batch: DataFrame, batch_id: int) -> None:
             self.apply(batch, batch_id)
+            manifest = self.versions.manifest(batch_id)
             if sink:
-                newest = self.versions.manifest(batch_id)["labels"][-1:]
                 schema = "key string, label int, reason string, batch_id int"
-                write_labels(self.versions.read(newest, schema), sink, "window", batch_id)
+                write_labels(self.versions.read(manifest["labels"][-1:], schema), sink, "left", batch_id)
+            if sink and total_points is not None and manifest["seen"] >= total_points:
+                self.finish(sink)
 
         return (
             points.writeStream.foreachBatch(step)
@@ -245,3 +254,7 @@ class WindowedLof:
             .trigger(availableNow=True)
             .start()
         )
+
+    def finish(self, sink: str) -> None:
+        """Write the labels of the points still in the window; writing again replaces them."""
+        write_labels(self.labels().filter("reason = 'final'"), sink, "final", self.versions.latest())

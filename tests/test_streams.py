@@ -103,6 +103,25 @@ def test_windowed_follows_the_rules(spark, tmp_path):
     assert {reason for _, reason in labels.values()} >= {"absorbed", "summarized", "aged", "final"}
 
 
+def test_windowed_sink_holds_every_label(spark, tmp_path):
+    x = np.round(np.random.default_rng(9).normal(size=(60, 2)), 3)
+    source = str(tmp_path / "in")
+    for b in range(3):
+        rows = records(spark, x).filter(F.col("seq").between(20 * b, 20 * b + 19))
+        rows.coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("key string, value string, seq bigint").option("maxFilesPerTrigger", 1).parquet(source)
+    for name, total in (("a", 60), ("b", None)):
+        model = WindowedLof(spark, str(tmp_path / name), k=3, window=15, inlier_percent=5, max_age=20, dims=2, top=3)
+        sink = str(tmp_path / f"{name}-sink")
+        model.start(parsed(stream, 2), str(tmp_path / f"{name}-ckpt"), sink, total).awaitTermination()
+        if total is None:
+            model.finish(sink)
+            model.finish(sink)
+        held = lambda df: sorted(map(tuple, df.select("key", "label", "reason").collect()))
+        assert held(spark.read.parquet(sink)) == held(model.labels())
+        assert len({r[0] for r in held(model.labels())}) == 60
+
+
 def test_arrivals_may_be_found_in_buckets(spark, tmp_path):
     x = RNG.normal(size=(60, 2))
     points = parsed(records(spark, x), 2)
