@@ -3,9 +3,10 @@
 Points are laid along a space-filling curve, range-partitioned, and packed into
 leaves: one row holds at most ``leaf_rows`` points together with their bounding box.
 Each leaf answers its own points first; a point then visits only those other leaves
-whose box is no farther than the k-th distance it already has.  Box pairs are found
-top-down over a hierarchy of boxes with equi-joins, so no step compares everything
-with everything.  All work units are bounded, hot regions and hot groups included.
+whose box is no farther than the k-th distance it already has, the nearest ones in a round
+of their own, after which that distance is smaller.  Box pairs are found top-down over a
+hierarchy of boxes with equi-joins, so no step compares everything with everything.  All
+work units are bounded, hot regions and hot groups included.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ LEAF_ROWS = 1024
 BATCH_BYTES = 256 << 20
 FANOUT_BITS = 5
 CURVE_BINS = 64
-CURVE_DIMS = 8
+CURVE_DIMS = 8  # coordinates that lay out the curve: those that spread widest
 CURVE_BITS = 48
-ONE_LEAF_ROWS = 16384
+FIRST_VISITS = 3  # leaves visited in the first round
 UNROLLED_DIMS = 16  # with more coordinates, box distances loop and blocks are screened
 
 QUERY, CANDIDATE = 1, 2
@@ -50,7 +51,6 @@ class Leaves:
     mean_rows: float  # points in an average leaf: small when groups are small
     levels: int
     split: bool  # some group spans several leaves
-    single: bool = False  # one leaf holds everything; the table is not staged
 
     @property
     def batch_rows(self) -> int:
@@ -75,8 +75,8 @@ def _prepare(points: DataFrame) -> DataFrame:
     )
 
 
-def _curve_position(cuts: list[list[float]]) -> list[tuple[str, Column]]:
-    """Columns r0..rm (fine rank of each coordinate) and z (their bits interleaved).
+def _curve_position(cuts: list[list[float]], axes: list[int]) -> list[tuple[str, Column]]:
+    """Columns r0..rm (fine rank of each coordinate of ``axes``) and z (their bits interleaved).
 
     A rank is the coordinate's place under its piecewise-linear distribution, so dense
     and sparse regions get curve length in proportion to the points they hold.
@@ -85,13 +85,13 @@ def _curve_position(cuts: list[list[float]]) -> list[tuple[str, Column]]:
     bits = max(turns.count(m) for m in range(len(cuts)))
     steps = ",".join(str(CURVE_BINS >> (s + 1)) for s in range(int(math.log2(CURVE_BINS))))
     columns = []
-    for m, edge in enumerate(cuts):
+    for m, (axis, edge) in enumerate(zip(axes, cuts)):
         c = "array(" + ",".join(f"{v!r}D" for v in edge) + ")"
-        bin_ = f"aggregate(array({steps}), 0, (p, s) -> if({c}[p + s] <= x[{m}], p + s, p))"
+        bin_ = f"aggregate(array({steps}), 0, (p, s) -> if({c}[p + s] <= x[{axis}], p + s, p))"
         columns.append((f"b{m}", F.expr(bin_)))
         inside = (
             f"if({c}[b{m} + 1] > {c}[b{m}], "
-            f"least(greatest((x[{m}] - {c}[b{m}]) / ({c}[b{m} + 1] - {c}[b{m}]), 0D), 1D), 0D)"
+            f"least(greatest((x[{axis}] - {c}[b{m}]) / ({c}[b{m} + 1] - {c}[b{m}]), 0D), 1D), 0D)"
         )
         top = (1 << bits) - 1
         columns.append(
@@ -120,17 +120,23 @@ def _split_order(cuts: list[list[float]]) -> list[int]:
     return turns
 
 
+def _widest(sample: DataFrame, dims: int) -> list[int]:
+    """Up to ``CURVE_DIMS`` coordinates, in order: those with the largest deviations."""
+    if dims <= CURVE_DIMS:
+        return list(range(dims))
+    spread = sample.agg(*(F.stddev_pop(F.col("x")[m]) for m in range(dims))).first()
+    size = [0.0 if v is None or math.isnan(v) else v for v in spread]
+    return sorted(sorted(range(dims), key=lambda m: (-size[m], m))[:CURVE_DIMS])
+
+
 def build_leaves(
     points: DataFrame,
     measure: str | Measure = "euclidean",
     leaf_rows: int = LEAF_ROWS,
     stats_of: DataFrame | None = None,
-    one_leaf_rows: int = ONE_LEAF_ROWS,
 ) -> Leaves:
     """Pack ``points(i, x[, grp, role, reach])`` into the staged leaf table.
 
-    Up to ``one_leaf_rows`` ungrouped points make a single leaf.
-
     ``stats_of`` may name a cheaper table with the same ``x`` distribution (say, the
     scan below a dedup) for the count and the quantiles.
     """
@@ -138,16 +144,9 @@ def build_leaves(
     spark = points.sparkSession
     source = _prepare(points)
     sample = source if stats_of is None else _prepare(stats_of)
-    grouped = "grp" in points.columns
     extent = sample.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("d")).first()
     rows, dims = extent["n"], extent["d"] or 1
-    if leaf_rows == LEAF_ROWS and not grouped and rows <= one_leaf_rows:
-        leaf_rows = max(one_leaf_rows, leaf_rows)  # more distances cost less than a second round
     pack = blocks.pack_leaves(dims, leaf_rows, measure.box == "unit")
-    if rows <= leaf_rows and not grouped:
-        # one leaf, hence one row: nothing to share, so nothing to stage
-        packed = source.repartition(1).mapInArrow(pack, LEAF_SCHEMA)
-        return Leaves(packed, measure, dims, leaf_rows, rows, rows, 0, False, single=True)
     partitions = math.ceil(
         min(
             max(1, rows / leaf_rows),
@@ -157,12 +156,12 @@ def build_leaves(
     key = ["grp", "z", "i"]
     spread = source.withColumn("z", F.lit(0))
     if rows:
-        used = min(dims, CURVE_DIMS)
+        axes = _widest(sample, dims)
         shares = [q / CURVE_BINS for q in range(CURVE_BINS + 1)]
         cuts = sample.agg(
-            *(F.percentile_approx(F.col("x")[m], shares, 1000).alias(f"q{m}") for m in range(used))
+            *(F.percentile_approx(F.col("x")[m], shares, 1000).alias(f"q{m}") for m in axes)
         ).first()
-        for name, column in _curve_position(list(cuts)):
+        for name, column in _curve_position(list(cuts), axes):
             spread = spread.withColumn(name, column)
     spread = spread.select(*key, "x", "role", "reach")
     spread = spread.repartitionByRange(partitions, *key) if partitions > 1 else spread.repartition(1)
@@ -213,13 +212,13 @@ def _box_distance(kind: str, dims: int, far: bool, a: tuple[str, str], b: tuple[
     return total
 
 
-def _level(boxes: DataFrame, up: int, dims: int) -> DataFrame:
+def _level(boxes: DataFrame, up: int, dims: int, *by: str) -> DataFrame:
     """Boxes of the hierarchy ``up`` levels above the leaves."""
     node = F.shiftright("leaf", FANOUT_BITS * up).alias("node")
     parent = F.shiftright("leaf", FANOUT_BITS * (up + 1)).alias("parent")
     if up == 0:
-        return boxes.select(node, parent, "grp", "lo", "hi", "size", "bound")
-    return boxes.groupBy("grp", node, parent).agg(
+        return boxes.select(node, parent, "grp", *by, "lo", "hi", "size", "bound")
+    return boxes.groupBy("grp", node, parent, *by).agg(
         F.array(*(F.min(F.col("lo")[j]) for j in range(dims))).alias("lo"),
         F.array(*(F.max(F.col("hi")[j]) for j in range(dims))).alias("hi"),
         F.sum("size").alias("size"),
@@ -227,10 +226,32 @@ def _level(boxes: DataFrame, up: int, dims: int) -> DataFrame:
     )
 
 
-def asking_boxes(table: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Boxes of the leaves that hold query points, with the bound each leaf searches to."""
-    boxes = table.filter("queries > 0").select("leaf", "grp", "lo", "hi", F.col("queries").alias("size"))
-    return boxes.join(bounds, "leaf")
+def bound_class(bound: Column) -> Column:
+    """Bounds of one class differ by less than a factor of two; none yet is a class too."""
+    return (
+        F.when(bound.isNull() | (bound == float("inf")), F.lit(9999))
+        .when(bound <= 0, F.lit(-9999)).otherwise(F.floor(F.log2(bound)).cast("int"))
+    )
+
+
+def _unit(x: str) -> Column:
+    return F.expr(f"transform({x}, v -> try_divide(v, sqrt(aggregate({x}, 0D, (s, v) -> s + v * v))))")
+
+
+def asking_boxes(points: DataFrame, measure: Measure, dims: int) -> DataFrame:
+    """Boxes around the query points ``leaf, grp, x, bound``, one for each leaf and class of bounds.
+
+    A point far from all others opens its own box only, not the whole leaf.
+    """
+    at = points.select(
+        "leaf", "grp", bound_class(F.col("bound")).alias("cls"), "bound",
+        (_unit("x") if measure.box == "unit" else F.col("x")).alias("x"),
+    )
+    edges_ = [] if measure.box is None else [
+        F.array(*(f(F.col("x")[j]) for j in range(dims))).alias(name) for f, name in ((F.min, "lo"), (F.max, "hi"))
+    ]
+    boxes = at.groupBy("leaf", "grp", "cls").agg(*edges_, F.count("*").alias("size"), F.max("bound").alias("bound"))
+    return boxes if edges_ else boxes.select("*", F.lit(None).cast("array<double>").alias("lo"), F.lit(None).cast("array<double>").alias("hi"))
 
 
 def offering_boxes(table: DataFrame) -> DataFrame:
@@ -243,12 +264,14 @@ def offering_boxes(table: DataFrame) -> DataFrame:
 def leaf_pairs(
     asking: DataFrame, offering: DataFrame, levels: int, measure: Measure, dims: int, k: int | None
 ) -> DataFrame:
-    """(a, b): different leaves of one group such that some point of ``a`` may have
-    neighbours in ``b``, found from the top of the box hierarchy down."""
+    """``a, cls, b``: different leaves of one group such that some point of that class in ``a``
+    may have neighbours in ``b``, found from the top of the box hierarchy down; with the box
+    of ``b`` and ``turn``, its place by distance."""
     kind, pairs = measure.box, None
+    near = F.lit(0.0)
     for up in range(levels, -1, -1):
-        a = _level(asking, up, dims).select(
-            F.col("node").alias("a"), F.col("parent").alias("pa"), "grp",
+        a = _level(asking, up, dims, "cls").select(
+            F.col("node").alias("a"), F.col("parent").alias("pa"), "grp", "cls",
             F.col("lo").alias("alo"), F.col("hi").alias("ahi"), "bound",
         )
         b = _level(offering, up, dims).select(
@@ -258,8 +281,8 @@ def leaf_pairs(
         if pairs is None:
             pairs = a.join(b, "grp")
         else:
-            above = pairs.select(F.col("a").alias("pa"), F.col("b").alias("pb"), "grp")
-            pairs = above.join(a, ["grp", "pa"]).join(b, ["grp", "pb"])
+            above = pairs.select(F.col("a").alias("pa"), "cls", F.col("b").alias("pb"), "grp")
+            pairs = above.join(a, ["grp", "pa", "cls"]).join(b, ["grp", "pb"])
         if kind is not None:
             near = F.expr(_box_distance(kind, dims, False, ("alo", "ahi"), ("blo", "bhi")))
             allowed = F.col("bound")
@@ -267,11 +290,14 @@ def leaf_pairs(
                 # A leaf short of k candidates of its own has no bound yet: any box that
                 # holds enough of them bounds it by the farthest corner.
                 far = F.expr(_box_distance(kind, dims, True, ("alo", "ahi"), ("blo", "bhi")))
-                enough = F.min(F.when(F.col("offered") > k, far)).over(Window.partitionBy("grp", "a"))
+                enough = F.min(F.when(F.col("offered") > k, far)).over(Window.partitionBy("grp", "a", "cls"))
                 pairs = pairs.withColumn("enough", enough)
                 allowed = F.least(allowed, F.col("enough"))
-            pairs = pairs.filter(near <= allowed)
-    return pairs.filter("a <> b").select("a", "b", "blo", "bhi")
+            pairs = pairs.withColumn("near", near).filter(F.col("near") <= allowed)
+    if kind is None:
+        pairs = pairs.withColumn("near", near)
+    turn = F.row_number().over(Window.partitionBy("grp", "a", "cls").orderBy("near", "b"))
+    return pairs.filter("a <> b").select("a", "cls", "b", "blo", "bhi", turn.alias("turn"))
 
 
 def _kernel(measure: Measure, dims: int):
@@ -285,11 +311,8 @@ def _kernel(measure: Measure, dims: int):
 def search_home(leaves: Leaves, k: int | None, skip_self: bool, keep_x: bool) -> DataFrame:
     """Each query point with its neighbours in its own leaf and the bound that leaves."""
     table = leaves.table.select("leaf", "grp", "ids", "xs", "roles", "reaches")
-    parts = math.ceil(leaves.rows / LEAF_ROWS) if leaves.single else 1
-    if parts > 1:  # hand the one leaf to several tasks, each answering its share of points
-        table = table.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(parts)
     return table.mapInArrow(
-        blocks.within_leaf(_kernel(leaves.measure, leaves.dims), leaves.dims, k, skip_self, keep_x, parts),
+        blocks.within_leaf(_kernel(leaves.measure, leaves.dims), leaves.dims, k, skip_self, keep_x),
         f"i bigint, leaf bigint, grp bigint, bound double, nbrs {NEIGHBOURS}"
         + (", x array<double>" if keep_x else ""),
     )
@@ -305,20 +328,19 @@ def search_away(
     skip_self: bool,
     batch_rows: int,
 ) -> DataFrame:
-    """Neighbours of ``points(i, leaf, x, bound)`` in the other leaves of ``pairs``, staged.
+    """Neighbours of ``points(i, leaf, cls, x, bound)`` in the other leaves of ``pairs``, staged.
 
     Only points whose own distance to the other leaf's box is within their bound travel.
     """
-    visits = points.select("i", F.col("leaf").alias("a"), "x", "bound").join(pairs, "a")
+    visits = points.select("i", F.col("leaf").alias("a"), "cls", "x", "bound").join(pairs, ["a", "cls"])
     if measure.box is not None:
         at = "x"
         if measure.box == "unit":
-            norm = "sqrt(aggregate(x, 0D, (s, v) -> s + v * v))"
-            visits = visits.withColumn("ux", F.expr(f"transform(x, v -> try_divide(v, {norm}))"))
+            visits = visits.withColumn("ux", _unit("x"))
             at = "ux"
         reachable = _box_distance(measure.box, dims, False, (at, at), ("blo", "bhi"))
         visits = visits.filter(F.expr(f"{reachable} <= bound"))
-    visits = visits.groupBy("a", "b").agg(F.collect_list(F.struct("i", "x", "bound")).alias("visitors"))
+    visits = visits.groupBy("a", "cls", "b").agg(F.collect_list(F.struct("i", "x", "bound")).alias("visitors"))
     hosts = hosts.select(F.col("leaf").alias("b"), "grp", "ids", "xs", "roles")
     with arrow_rows(points.sparkSession, batch_rows):
         return stage(
@@ -332,36 +354,73 @@ def search_away(
         )
 
 
+def search_in_rounds(
+    home: DataFrame,
+    pairs: DataFrame,
+    hosts: DataFrame,
+    measure: Measure,
+    dims: int,
+    k: int,
+    skip_self: bool,
+    batch_rows: int,
+) -> DataFrame:
+    """``i, grp, nbrs``: home lists completed by visits, the nearest leaves first.
+
+    After the first round lists are cut to the k nearest and the bounds tightened, so that the
+    second visits only leaves that are still within reach.  ``home`` is what ``search_home``
+    returns; a point stays in the class it was paired under.
+    """
+    pairs = stage(pairs, "pairs")
+    points = home.withColumn("cls", bound_class(F.col("bound")))
+    first = search_away(
+        points, pairs.filter(F.col("turn") <= FIRST_VISITS).drop("turn"), hosts, measure, dims, k, skip_self, batch_rows
+    )
+    rest = pairs.filter(F.col("turn") > FIRST_VISITS).drop("turn")
+    if rest.isEmpty():
+        return gathered(home, first, k)
+    near = gathered(home, first, k).select("i", "grp", F.col("nbrs").alias("nearer"))
+    reach = F.when(F.size("nearer") >= k, F.least("bound", k_distance(F.col("nearer"), k))).otherwise(F.col("bound"))
+    points = stage(
+        points.join(near, ["i", "grp"]).select("i", "leaf", "grp", "cls", "x", reach.alias("bound"), F.col("nearer").alias("nbrs")),
+        "nearer",
+    )
+    second = search_away(points, rest, hosts, measure, dims, k, skip_self, batch_rows)
+    return gathered(points, second, k)
+
+
 def _search(leaves: Leaves, k: int | None, skip_self: bool) -> tuple[DataFrame, DataFrame | None]:
-    """Neighbours found at home, and those found on visits to other leaves."""
-    home = search_home(leaves, k, skip_self, keep_x=leaves.split)
-    if leaves.single:
-        return home, None
+    """Neighbours found at home, and those found on visits to other leaves; with ``k``, all in
+    the first."""
     with arrow_rows(leaves.spark, leaves.batch_rows):
-        home = stage(home, "home")
+        home = stage(search_home(leaves, k, skip_self, keep_x=leaves.split), "home")
     if not leaves.split:
         return home, None
-    asking = asking_boxes(leaves.table, home.groupBy("leaf").agg(F.max("bound").alias("bound")))
+    asking = asking_boxes(home, leaves.measure, leaves.dims)
     pairs = leaf_pairs(asking, offering_boxes(leaves.table), leaves.levels, leaves.measure, leaves.dims, k)
-    away = search_away(
-        home, pairs, leaves.table, leaves.measure, leaves.dims, k, skip_self, leaves.batch_rows
-    )
-    return home, away
+    rest = (leaves.table, leaves.measure, leaves.dims, k, skip_self, leaves.batch_rows)
+    if k is not None:
+        return search_in_rounds(home, pairs, *rest), None
+    return home, search_away(home.withColumn("cls", bound_class(F.col("bound"))), pairs, *rest)
 
 
-def gathered(home: DataFrame, away: DataFrame | None) -> DataFrame:
-    """``i, grp, nbrs`` from both searches, lists sorted by distance."""
+def gathered(home: DataFrame, away: DataFrame | None, k: int | None = None) -> DataFrame:
+    """``i, grp, nbrs`` from both searches, lists sorted by distance; with ``k``, cut at the
+    k-th distance, ties kept, also on the way."""
     if away is None:
         return home.select("i", "grp", "nbrs")
-    more = away.groupBy("i", "grp").agg(F.flatten(F.collect_list("nbrs")).alias("more"))
-    joined = home.select("i", "grp", "nbrs").join(more, ["i", "grp"], "left")
-    return joined.select(
+    cut = (lambda c: c) if k is None else (
+        lambda c: F.filter(c, lambda e: e["dist"] <= k_distance(c, k))
+    )
+    some = away if k is None else away.select("i", "grp", cut(F.col("nbrs")).alias("nbrs"))
+    more = some.groupBy("i", "grp").agg(F.flatten(F.collect_list("nbrs")).alias("more"))
+    joined = home.select("i", "grp", "nbrs").join(more, ["i", "grp"], "left").select(
         "i",
         "grp",
         F.when(F.col("more").isNull(), F.col("nbrs"))
         .otherwise(F.array_sort(F.concat("nbrs", "more")))
         .alias("nbrs"),
     )
+    return joined if k is None else joined.withColumn("nbrs", cut(F.col("nbrs")))
 
 
 def k_distance(nbrs: Column, k: int) -> Column:

@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 
 from farfield.functions.measures import Measure
 from farfield.operators.knn import (
-    Leaves, asking_boxes, build_leaves, gathered, leaf_pairs, offering_boxes, search_away, search_home,
+    Leaves, asking_boxes, bound_class, build_leaves, leaf_pairs, offering_boxes, search_away, search_home,
+    search_in_rounds,
 )
 from farfield.session import arrow_rows, stage
 from farfield.streaming.insert import open_reach
 from farfield.streaming.state import Versions
 
 FLOOR_BITS = 39
-SMALL_BATCH = 4096  # a stored leaf should stay small enough to tell near from far
 
 
 @dataclass(frozen=True)
@@ -38,7 +38,7 @@ def build(
     versions: Versions, batch_id: int, points: DataFrame, measure: str | Measure, compacting: bool = False
 ) -> Added:
     floor = (2 * (batch_id + 1) + int(compacting)) << FLOOR_BITS
-    made = build_leaves(points, measure, one_leaf_rows=SMALL_BATCH)
+    made = build_leaves(points, measure)
     path = versions.write(
         "leaves-merged" if compacting else "leaves", batch_id, made.table.withColumn("leaf", F.col("leaf") + floor)
     )
@@ -58,17 +58,17 @@ def find(
     everywhere = stored.unionByName(new.table)
     with arrow_rows(new.spark, new.batch_rows):
         home = stage(search_home(new, k, True, keep_x=True), "home")
-    asking = asking_boxes(new.table, home.groupBy("leaf").agg(F.max("bound").alias("bound")))
+    asking = asking_boxes(home, new.measure, new.dims)
     pairs = leaf_pairs(asking, offering_boxes(everywhere), levels, new.measure, new.dims, k)
-    away = search_away(home, pairs, everywhere, new.measure, new.dims, k, True, new.batch_rows)
-    near = gathered(home, away).select("i", "nbrs")
+    near = search_in_rounds(home, pairs, everywhere, new.measure, new.dims, k, True, new.batch_rows)
+    near = near.select("i", "nbrs")
 
     if not segments:
-        return near, away.select("i", "nbrs").limit(0)
-    reaching = old.select("i", "leaf", "x", open_reach(k).alias("bound"))
-    bounds = reaching.groupBy("leaf").agg(F.max("bound").alias("bound"))
+        return near, home.select("i", "nbrs").limit(0)
+    reaching = old.select("i", "leaf", F.lit(0).cast("bigint").alias("grp"), "x", open_reach(k).alias("bound"))
+    reaching = reaching.withColumn("cls", bound_class(F.col("bound")))
     back = leaf_pairs(
-        asking_boxes(stored, bounds), offering_boxes(new.table), levels, new.measure, new.dims, k
+        asking_boxes(reaching, new.measure, new.dims), offering_boxes(new.table), levels, new.measure, new.dims, k
     )
     hits = search_away(reaching, back, new.table, new.measure, new.dims, k, True, new.batch_rows)
     merged = hits.groupBy("i").agg(F.array_sort(F.flatten(F.collect_list("nbrs"))).alias("nbrs"))
