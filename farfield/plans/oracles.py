@@ -168,6 +168,8 @@ def oracles() -> dict[str, str]:
     sql["knn_exactly_k"] = f"WITH {neighbours(PARTS, K, order=FIRST)} {PAIRS}"
     sql["nearest_one"] = f"WITH {neighbours(CUSTOMERS, 1, order=FIRST)} {PAIRS}"
     sql["knn_cosine"] = f"WITH {neighbours(EMBEDDINGS, 4, LIST_COS)} {PAIRS}"
+    largest = "greatest(abs(a.x1 - b.x1), abs(a.x2 - b.x2))"
+    sql["knn_own_measure"] = f"WITH {neighbours(SUPPLIERS, 3, largest)} {PAIRS}"
     sql["linear_top_k"] = f"""WITH d AS (SELECT a.s_suppkey q, b.c_custkey j,
             sqrt((a.s_acctbal - b.c_acctbal) * (a.s_acctbal - b.c_acctbal)
                 + (a.s_nationkey - b.c_nationkey)::DOUBLE * (a.s_nationkey - b.c_nationkey)) dist
@@ -242,6 +244,11 @@ def oracles() -> dict[str, str]:
         SELECT *, row_number() OVER (ORDER BY p_partkey) k FROM part) t"""
     sql["vector_scan"] = """SELECT row_number() OVER (ORDER BY p_partkey) - 1 pos, p_brand "key",
         p_size::DOUBLE x1, p_partkey::DOUBLE x2 FROM part"""
+    sql["first_vectors"] = """SELECT * FROM (SELECT row_number() OVER (ORDER BY p_partkey) - 1 pos, p_brand "key",
+        p_size::DOUBLE x1, p_retailprice x2 FROM part) t WHERE pos < 100"""
+    sql["appended_lines"] = """SELECT o_orderkey || ', ' || o_orderstatus line FROM orders
+        WHERE o_orderstatus IN ('F', 'O')"""
+    sql["expected_outlier_file"] = "SELECT DISTINCT c_nationkey::DOUBLE x, floor(c_acctbal)::DOUBLE y FROM customer"
     sql["classed_scan"] = """SELECT c_mktsegment "class", count(*) n, round(max(c_acctbal), 6) most,
         max(c_nationkey)::DOUBLE nation FROM customer GROUP BY 1"""
     sql["relabelled_classes"] = """SELECT (l_returnflag = 'R')::INTEGER label, count(*) n, count(*) "keys",
@@ -293,6 +300,8 @@ def oracles() -> dict[str, str]:
     sql["lsh_cosine"] = f"""WITH {bucketed(EMBEDDINGS, sign_buckets(D.GAUSSIAN), 4, LIST_COS, order=FIRST)} {PAIRS}"""
     sql["lsh_l2"] = f"WITH {bucketed(CUSTOMERS, flat_buckets(projected), K, L2)} {PAIRS}"
     sql["lsh_l1"] = f"WITH {bucketed(CUSTOMERS, flat_buckets(gridded), K, L1)} {PAIRS}"
+    ranges = lambda t: f"floor({('x1 / 500', 'x2 / 3')[t]})::BIGINT::VARCHAR"
+    sql["lsh_own_family"] = f"WITH {bucketed(CUSTOMERS, flat_buckets(ranges), K, L2)} {PAIRS}"
     word = " + ".join(
         f"CASE WHEN c_acctbal * {float(g[0])!r} + c_nationkey * {float(g[1])!r} > 0 THEN {1 << (5 - p)} ELSE 0 END"
         for p, g in enumerate(D.FLAT_PLANES[0])
@@ -338,6 +347,9 @@ def oracles() -> dict[str, str]:
         WHERE p.x2 <> 3 GROUP BY kds.i"""
 
     # streams: what they hold at the end equals the batch result
+    sql["stream_profiles"] = f"""{factors(CUSTOMERS, 3)}
+        SELECT scored.i, scored.n, {scores.replace('(kd', '(scored.kd')}, j, round(dist, 6) dist, round(greatest(o.kd, dist), 6) reach
+        FROM scored LEFT JOIN nn USING (i) LEFT JOIN kds o ON o.i = nn.j"""
     sql["incremental_lof"] = f"""{factors(CUSTOMERS, K)}, {FLAGGED}
         SELECT c_custkey::VARCHAR "key", (pts.i IN (SELECT i FROM top))::INTEGER label
         FROM pts JOIN customer ON c_acctbal = x1 AND c_nationkey = x2"""

@@ -119,6 +119,13 @@ def knn_cosine(spark, sf_dir):
     return pairs(knn(D.embeddings(spark, sf_dir), 4, "cosine"))
 
 
+@query
+def knn_own_measure(spark, sf_dir):
+    """Neighbours under a user's measure: the largest difference of a coordinate."""
+    largest = M.Measure("largest", None, lambda a, b: abs(a - b).max(axis=-1))
+    return pairs(knn(sets.distinct_points(D.suppliers(spark, sf_dir)), 3, largest))
+
+
 @query
 def linear_top_k(spark, sf_dir):
     """For each supplier the 4 nearest customers and the sum of their distances."""
@@ -334,6 +341,34 @@ def vector_scan(spark, sf_dir):
     return read.select("pos", "key", F.col("x")[0].alias("x1"), F.col("x")[1].alias("x2"))
 
 
+@query
+def first_vectors(spark, sf_dir):
+    """The first hundred lines only: the reader's row limit."""
+    rows = D.table(spark, sf_dir, "part").select(
+        "p_partkey", F.concat_ws(" ", "p_brand", "p_size", "p_retailprice").alias("line")
+    )
+    read = files.vector_lines(spark, D.written_lines(rows, "p_partkey", "vectors"), max_rows=100)
+    return read.select("pos", "key", F.col("x")[0].alias("x1"), F.col("x")[1].alias("x2"))
+
+
+@query
+def appended_lines(spark, sf_dir):
+    """Result lines of two runs, appended to one folder and read back."""
+    path = D.scratch(spark, "appended")
+    for status in ("F", "O"):
+        rows = D.table(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == status)
+        files.append_lines(rows.select(F.concat_ws(", ", "o_orderkey", "o_orderstatus").alias("line")), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@query
+def expected_outlier_file(spark, sf_dir):
+    rows = D.table(spark, sf_dir, "customer").select(
+        "c_custkey", F.concat_ws(" ", "c_nationkey", F.floor("c_acctbal"), F.lit("Noise")).alias("line")
+    )
+    return files.expected_outliers(spark, D.written_lines(rows, "c_custkey", "outliers"))
+
+
 @query
 def classed_scan(spark, sf_dir):
     rows = D.table(spark, sf_dir, "customer").select(
@@ -502,6 +537,16 @@ def lsh_l1(spark, sf_dir):
     return pairs(lsh.lsh_knn(sets.distinct_points(D.customers(spark, sf_dir)), K, family))
 
 
+@query
+def lsh_own_family(spark, sf_dir):
+    """Buckets by a user's own hashes: ranges of one coordinate per table."""
+    steps = (500.0, 3.0)
+    family = hashing.Family(
+        "ranges", M.resolve("euclidean"), 2, lambda x, t: F.floor(x[t] / steps[t]).cast("string")
+    )
+    return pairs(lsh.lsh_knn(sets.distinct_points(D.customers(spark, sf_dir)), K, family))
+
+
 @query
 def lsh_with_probing(spark, sf_dir):
     family = hashing.sign_family(D.PROBES)
@@ -590,6 +635,15 @@ def incremental_lof_scores(spark, sf_dir):
     return rounded(model.scores().select("i", "n", "kd", "lrd", "lof"), "kd", "lrd", "lof")
 
 
+@query
+def stream_profiles(spark, sf_dir):
+    """What the stream knows of every point at the end, with its neighbours and their reach."""
+    path, home = replay(D.customer_records(spark, sf_dir), 2), D.scratch(spark, "ilof")
+    model = detector("ilof", spark, f"{home}/state", k=3)
+    model.start(parsed(file_stream(spark, path), 2), f"{home}/checkpoint").awaitTermination()
+    return rounded(model.profiles().drop("x"), "kd", "lrd", "lof", "dist", "reach")
+
+
 def _windowed(spark, sf_dir, sink=None):
     records = D.customer_records(spark, sf_dir)
     rows = records.count()

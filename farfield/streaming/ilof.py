@@ -49,6 +49,16 @@ class IncrementalLof:
         manifest = self.versions.manifest(self.versions.latest() if batch_id is None else batch_id)
         return self._overlaid(manifest.get("segments", []))
 
+    def profiles(self, batch_id: int | None = None) -> DataFrame:
+        """Each point's whole profile after a batch, a row per neighbour: ``i, x, n, kd, lrd,
+        lof`` and ``j, dist, reach``; points without neighbours have one row of nulls."""
+        scored = stage(self.scores(batch_id), "scored")
+        each = scored.select("i", "x", "n", "kd", "lrd", "lof", F.explode_outer("nbrs").alias("e"))
+        kd_of = scored.select(F.col("i").alias("j"), F.col("kd").alias("kd_j"))
+        return each.select("*", "e.j", "e.dist").join(kd_of, "j", "left").select(
+            "i", "x", "n", "kd", "lrd", "lof", "j", "dist", F.when(F.col("j").isNotNull(), F.greatest("kd_j", "dist")).alias("reach")
+        )
+
     def arrivals(self, batch_id: int | None = None) -> DataFrame:
         manifest = self.versions.manifest(self.versions.latest() if batch_id is None else batch_id)
         return self.versions.read(manifest.get("arrivals", []), ARRIVALS)
