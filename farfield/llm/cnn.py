@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farfield.llm.common import packed, text_of
+from farfield.llm.common import packed, stage, text_of
 from farfield.llm.toxicity import labelled
 
 STRIDE = 4  # bytes between the places of a filter, which is twice as wide
@@ -170,28 +170,27 @@ def _batches(order, data) -> Iterator[list[int]]:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> dict:
     """The network and the share of label 1, from a bounded sample of labelled documents.
 
-    At most ``SAMPLE`` documents of either class, and of those as many as fit into
-    ``SAMPLE_BYTES``, shorter ones first to leave out.  Without both classes every document
-    scores the share of label 1, or one half.
+    At most ``SAMPLE`` documents of either class, none over ``SAMPLE_BYTES`` / 16, and of
+    those, in the order of their draws, as many as fit into ``SAMPLE_BYTES``.  Sizes are
+    looked at before any text is fetched.  Without both classes every document scores the
+    share of label 1, or one half.
     """
-    import numpy as np
-
-    sample = labelled(docs, labels, label, SAMPLE)
+    sample = stage(labelled(docs, labels, label, SAMPLE), "labelled")
     size = F.octet_length("text")
-    fits = sample.filter(size <= SAMPLE_BYTES // 16).limit(2 * SAMPLE)
-    rows = fits.collect()
-    rng = np.random.default_rng(SEED)
-    rows = sorted(((r["label"], r["text"].encode("utf-8", "surrogatepass")) for r in rows), key=lambda r: (r[0], r[1]))
-    total, chosen = 0, []
-    for k in rng.permutation(len(rows)).tolist():
-        total += len(rows[k][1])
+    fits = sample.filter(size <= SAMPLE_BYTES // 16)
+    sizes = sorted((r["draw"], r["size"]) for r in fits.select("draw", size.alias("size")).collect())
+    total, last = 0, None
+    for draw, n in sizes:
+        total += n
         if total > SAMPLE_BYTES:
             break
-        chosen.append(rows[k])
-    counts = [sum(y == c for y, _ in chosen) for c in (0, 1)]
+        last = draw
+    rows = [] if last is None else fits.filter(F.col("draw") <= last).collect()
+    chosen = sorted((r["draw"], r["label"], r["text"].encode("utf-8", "surrogatepass")) for r in rows)
+    counts = [sum(y == c for _, y, _ in chosen) for c in (0, 1)]
     if not all(counts):
         return {"share": (counts[1] + 0.5) / (sum(counts) + 1), "net": None}
-    return {"share": 0.5, "net": train([t for _, t in chosen], [y for y, _ in chosen])}
+    return {"share": 0.5, "net": train([t for _, _, t in chosen], [y for _, y, _ in chosen])}
 
 
 def _scored(model: dict):

@@ -67,10 +67,11 @@ def terms(line: str) -> set[str]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int = SAMPLE) -> DataFrame:
-    """A sample of ``label, text`` to learn from: at most ``most`` documents of either class.
+    """A sample ``label, text, draw`` to learn from: at most ``most`` documents of either class.
 
     Rows whose crc32 of the id is divisible by 5 are held out, null labels and ids are left
-    out, and a document with several labels has the largest.  Hashes of ids choose.
+    out, a document with several labels has the largest, and of rows that share an id the
+    smallest text counts.  Hashes of ids choose; ``draw`` is another one.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).dropna().groupBy("doc_id").agg(F.max("label").alias("label"))
     known = known.filter(~held_out())
@@ -78,7 +79,9 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int = SAMPLE)
         known.filter(F.col("label") == c).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(most) for c in (0, 1)
     ]
     # at most two times ``most`` ids: small enough to broadcast
-    return docs.select("doc_id", text_of().alias("text")).join(F.broadcast(few[0].union(few[1])), "doc_id").select("label", "text")
+    found = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(few[0].union(few[1])), "doc_id")
+    one = found.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return one.select("label", "text", F.xxhash64("doc_id", F.lit(4)).alias("draw"))
 
 
 def held_out(doc_id: Column | str = "doc_id") -> Column:
