@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -174,22 +176,60 @@ def neighbour_radius(points: DataFrame, measure: str | Measure, samples: int = 3
     return 0.9 * mean if mean is not None else 0.0
 
 
-def touched_pairs(points: DataFrame, hashed: Family) -> int:
-    """How many (query, candidate) pairs share at least one bucket.
+CHUNK = 512  # signatures of a bucket that are compared at once
 
-    Counted without forming a pair: by inclusion and exclusion over sets of tables, from
-    the squares of how many points agree on all tables of a set.  Linear in the points,
-    doubling with every table.
+
+def _first_shared(batches):
+    """Per pair of chunks of a bucket of table ``tab``: how many pairs of points share no
+    bucket of an earlier table, both orders counted."""
+    for batch in batches:
+        pairs = []
+        for r in batch.to_pylist():
+            a, b = (np.array(r[c], dtype=np.int64).reshape(len(r[w]), -1)[:, : r["tab"]] for c, w in (("a", "aw"), ("b", "bw")))
+            new = np.ones((len(a), len(b)), dtype=bool)
+            for t in range(r["tab"]):
+                new &= a[:, None, t] != b[None, :, t]
+            own = r["x"] == r["y"]
+            if own:
+                np.fill_diagonal(new, False)
+            # Python numbers: copies of copies may go beyond 64 bits
+            total = sum(w * sum(v for v, k in zip(r["bw"], row) if k) for w, row in zip(r["aw"], new.tolist()))
+            pairs.append(str(total if own else 2 * total))
+        yield pa.RecordBatch.from_arrays([pa.array(batch["tab"]), pa.array(pairs, pa.string())], names=["tab", "pairs"])
+
+
+def shared_pairs(points: DataFrame, hashed: Family, chunk: int = CHUNK) -> DataFrame:
+    """``tab, pairs``: how many (query, candidate) pairs share a bucket first in that table.
+
+    Pairs are compared, as the search itself compares them, chunk by chunk inside buckets,
+    and only counted; equal signatures are one with a weight.  A point pairs with itself and
+    its copies in the first table.
     """
-    sets_of_tables = F.explode(F.sequence(F.lit(1), F.lit(2**hashed.tables - 1))).alias("mask")
-    rows = points.select(hashed.buckets(F.col("x")).alias("signs"), sets_of_tables)
-    chosen = F.filter("signs", lambda _, t: F.getbit(F.col("mask"), t) == 1)
-    agreeing = rows.groupBy("mask", F.xxhash64(chosen).alias("key")).agg(
-        F.count("*").cast("decimal(19,0)").alias("n")
+    signed = stage(
+        points.groupBy(hashed.buckets(F.col("x")).alias("signs")).agg(F.count("*").alias("w")), "signatures"
     )
-    sign = F.when(F.bit_count("mask") % 2 == 1, F.lit(1)).otherwise(F.lit(-1))
-    total = agreeing.agg(F.sum(F.col("n") * F.col("n") * sign).alias("pairs")).first()["pairs"]
-    return int(total or 0)
+    rows = signed.select("signs", "w", F.posexplode("signs").alias("tab", "grp"))
+    sizes = rows.groupBy("tab", "grp").agg(F.ceil(F.count("*") / chunk).alias("chunks"))
+    blocks_ = stage(
+        rows.join(sizes.filter("chunks > 1"), ["tab", "grp"], "left")
+        .withColumn("at", F.pmod(F.xxhash64("signs"), F.coalesce("chunks", F.lit(1).cast("bigint"))))
+        .groupBy("tab", "grp", "at").agg(F.flatten(F.collect_list("signs")).alias("s"), F.collect_list("w").alias("w")),
+        "chunks",
+    )
+    side = lambda at, s: blocks_.select("tab", "grp", F.col("at").alias(at), F.col("s").alias(s), F.col("w").alias(f"{s}w"))
+    met = side("x", "a").join(side("y", "b"), ["tab", "grp"]).filter("x <= y")
+    met = met.filter((F.size("aw") > 1) | (F.size("bw") > 1) | (F.col("x") < F.col("y")))
+    counted = met.select("tab", "x", "y", "a", "aw", "b", "bw").mapInArrow(_first_shared, "tab int, pairs string")
+    wide = "decimal(38,0)"
+    same = signed.select(F.lit(0).alias("tab"), (F.col("w").cast("decimal(19,0)") * F.col("w")).cast(wide).alias("pairs"))
+    return counted.select("tab", F.col("pairs").cast(wide).alias("pairs")).unionByName(same).groupBy("tab").agg(
+        F.sum("pairs").alias("pairs")
+    )
+
+
+def touched_pairs(points: DataFrame, hashed: Family, chunk: int = CHUNK) -> int:
+    """How many (query, candidate) pairs share at least one bucket."""
+    return int(shared_pairs(points, hashed, chunk).agg(F.sum("pairs")).first()[0] or 0)
 
 
 def quality_grid(
@@ -204,21 +244,26 @@ def quality_grid(
 ) -> DataFrame:
     """Neighbour quality for every family, number of hashes and number of tables.
 
-    Cosine hashes are single bits, so that family gets eight times as many.
+    Cosine hashes are single bits, so that family gets eight times as many.  Buckets are
+    searched once per family and number of hashes, with the most tables; fewer tables are
+    the first ones of those.
     """
-    grid = None
+    grid, exact, most = None, {}, max(tables)
     for name in families:
-        exact = None
         for h in hashes:
             h = h * 8 if name == "cos" else h
+            # ``family`` makes buckets ten radii wide; hand it the width itself
+            hashed = family(name, dims, h, most, (widths or {}).get(name, 1.0) / 10, seed)
+            if name not in exact:
+                exact[name] = stage(first_k(knn(points, k, hashed.measure, skip_self=False), k), "exact")
+            rows = stage(bucket_rows(points, hashed), "bucket-rows")
+            found = knn(rows, k, hashed.measure, stats_of=points, skip_self=False).select("i", "grp", "nbrs")
+            found = stage(found.join(rows.select("i", "tab", "grp"), ["i", "grp"]), "by-table")
+            touched = {r["tab"]: int(r["pairs"]) for r in shared_pairs(points, hashed).collect()}
             for t in tables:
-                # ``family`` makes buckets ten radii wide; hand it the width itself
-                width = (widths or {}).get(name, 1.0)
-                hashed = family(name, dims, h, t, width / 10, seed)
-                if exact is None:
-                    exact = stage(first_k(knn(points, k, hashed.measure, skip_self=False), k), "exact")
-                near = first_k(lsh_knn(points, k, hashed, skip_self=False), k)
-                rated = neighbour_quality(near, exact, touched_pairs(points, hashed)).select(
+                near = first_k(_merged(found.filter(F.col("tab") < t), k), k)
+                pairs = sum(n for tab, n in touched.items() if tab < t)
+                rated = neighbour_quality(near, exact[name], pairs).select(
                     F.lit(name).alias("family"), F.lit(h).alias("hashes"), F.lit(t).alias("tables"), "*"
                 )
                 grid = rated if grid is None else grid.unionByName(rated)

@@ -508,7 +508,7 @@ def neighbour_quality(spark, sf_dir):
 def neighbour_quality_grid(spark, sf_dir):
     points = D.embeddings(spark, sf_dir)
     widths = {"l2": 1.0, "l1": 4.0}
-    grid = lsh.quality_grid(points, 4, 64, widths, hashes=(2,), tables=(2, 4))
+    grid = lsh.quality_grid(points, 4, 64, widths)
     return rounded(grid, "precision", "recall", "correct_pct", "touched_pct")
 
 
