@@ -57,15 +57,15 @@ def repeated(parts: str = "h", n: str = "n") -> Column:
     return F.expr(text.replace("greatest(n,", f"greatest({n},"))
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """``row`` and the measures of its ``text``.
+def measures(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """``row`` (all columns, or those of ``keep``) and the measures of its ``text``.
 
     Null texts are empty; an empty text has no words, lines or symbols.  ``lines`` counts
     lines with a word, ``n_dup_lines`` those equal to an earlier one, ``n_same_next`` words
     equal to the word before, ``n_plain`` words that look like prose.
     """
     text, line_ends = text_of(), r"[.!?:;…\x22')\]»”][\x20\x09-\x0D]*$"
-    split = packed(docs, text.alias("text"), words(text).alias("w"))
+    split = packed(docs, text.alias("text"), words(text).alias("w"), keep=keep)
     hashed = split.select(
         "row", "text", "w", F.size("w").alias("n"),
         F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
@@ -170,14 +170,14 @@ def posterior(model: dict) -> Column:
     return 1 / (1 + F.exp(-odds))
 
 
-def scored(docs: DataFrame) -> tuple[DataFrame, dict]:
+def scored(docs: DataFrame, keep: list[str] | None = None) -> tuple[DataFrame, dict]:
     """``row``, measures, ``base_failed``, the ``probability`` of quality and ``kept``; and the model.
 
     ``docs`` needs ``text``.  ``base_failed``: under 50 words, or over half the words in
     repeated windows.  Every row is kept or not on its own: repeated rows get equal verdicts.
     """
     votes = rules()
-    measured = stage(measures(docs).select("*", *(c.cast("byte").alias(f"{k}_vote") for k, c in votes.items())), "votes")
+    measured = stage(measures(docs, keep).select("*", *(c.cast("byte").alias(f"{k}_vote") for k, c in votes.items())), "votes")
     names = [f"{k}_vote" for k in votes]
     model = fit(stage(measured.groupBy(*names).agg(F.count("*").alias("n")), "patterns"), names)
     n, r = F.col("n_words"), F.col("n_repeat_words")

@@ -17,7 +17,7 @@ def _docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def op1_quality_rules(spark, sf_dir) -> DataFrame:
-    rated, _ = quality_rules.scored(_docs(spark, sf_dir, "doc_id", "text").select("doc_id", "text"))
+    rated, _ = quality_rules.scored(_docs(spark, sf_dir, "doc_id", "text"), keep=["doc_id"])
     return rated.select(
         "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "probability",
