@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farfield.llm.common import BLANKS, packed, stage, text_of, words
+from farfield.llm.common import packed, stage, text_of, words
 
 #: Characters that mark tables and markup rather than prose.
 SYMBOLS = "#*$%&|<>"
@@ -74,20 +74,22 @@ def measures(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
         ).alias("h"),
     )
     size = lambda c: F.size(c).cast("long")
-    without = lambda chars: F.length("text") - F.length(F.translate("text", chars, ""))
+    # what is left when runs of everything else are taken out: few, long matches
+    left = lambda others: F.length(F.regexp_replace("text", f"[{others}]+", "")).cast("long")
+    word_chars = F.length(F.array_join("w", "")).cast("long")
     return hashed.select(
         "row",
         F.col("n").cast("long").alias("n_words"),
-        F.length(F.translate("text", BLANKS, "")).cast("long").alias("word_chars"),
-        without(SYMBOLS).cast("long").alias("n_symbols"),
+        word_chars.alias("word_chars"),
+        left(f"^{SYMBOLS}").alias("n_symbols"),
         (size("lines") - size(F.array_distinct("lines"))).alias("n_dup_lines"),
         F.when(F.size(F.array_distinct("h")) == F.size("h"), F.lit(0).cast("long"))
         .otherwise(repeated()).alias("n_repeat_words"),
         size("lines").alias("n_lines"),
         size(F.filter("lines", lambda x: x.rlike(line_ends))).alias("n_ended_lines"),
         F.expr("size(filter(w, (x, i) -> x = get(w, i - 1)))").cast("long").alias("n_same_next"),
-        without("!").cast("long").alias("n_shouts"),
-        F.length(F.regexp_replace("text", r"\P{L}+", "")).cast("long").alias("n_letters"),
+        left("^!").alias("n_shouts"),
+        (word_chars - left(r"\p{L}\x20\x09-\x0D")).alias("n_letters"),
         size(F.filter("w", lambda x: x.rlike(PLAIN))).alias("n_plain"),
     )
 
