@@ -198,16 +198,16 @@ def _first_shared(batches):
         yield pa.RecordBatch.from_arrays([pa.array(batch["tab"]), pa.array(pairs, pa.string())], names=["tab", "pairs"])
 
 
-def shared_pairs(points: DataFrame, hashed: Family, chunk: int = CHUNK) -> DataFrame:
+def shared_pairs(signed: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """``tab, pairs``: how many (query, candidate) pairs share a bucket first in that table.
 
+    ``signed`` has a row per point and its buckets, table by table, as ``signs``.
+
     Pairs are compared, as the search itself compares them, chunk by chunk inside buckets,
     and only counted; equal signatures are one with a weight.  A point pairs with itself and
     its copies in the first table.
     """
-    signed = stage(
-        points.groupBy(hashed.buckets(F.col("x")).alias("signs")).agg(F.count("*").alias("w")), "signatures"
-    )
+    signed = stage(signed.groupBy("signs").agg(F.count("*").alias("w")), "signatures")
     rows = signed.select("signs", "w", F.posexplode("signs").alias("tab", "grp"))
     sizes = rows.groupBy("tab", "grp").agg(F.ceil(F.count("*") / chunk).alias("chunks"))
     blocks_ = stage(
@@ -229,7 +229,8 @@ def shared_pairs(points: DataFrame, hashed: Family, chunk: int = CHUNK) -> DataF
 
 def touched_pairs(points: DataFrame, hashed: Family, chunk: int = CHUNK) -> int:
     """How many (query, candidate) pairs share at least one bucket."""
-    return int(shared_pairs(points, hashed, chunk).agg(F.sum("pairs")).first()[0] or 0)
+    signed = points.select(hashed.buckets(F.col("x")).alias("signs"))
+    return int(shared_pairs(signed, chunk).agg(F.sum("pairs")).first()[0] or 0)
 
 
 def quality_grid(
@@ -256,10 +257,11 @@ def quality_grid(
             hashed = family(name, dims, h, most, (widths or {}).get(name, 1.0) / 10, seed)
             if name not in exact:
                 exact[name] = stage(first_k(knn(points, k, hashed.measure, skip_self=False), k), "exact")
-            rows = stage(bucket_rows(points, hashed), "bucket-rows")
+            signed = stage(points.select("i", "x", hashed.buckets(F.col("x")).alias("signs")), "signed")
+            rows = signed.select("i", "x", F.posexplode("signs").alias("tab", "grp"))
             found = knn(rows, k, hashed.measure, stats_of=points, skip_self=False).select("i", "grp", "nbrs")
             found = stage(found.join(rows.select("i", "tab", "grp"), ["i", "grp"]), "by-table")
-            touched = {r["tab"]: int(r["pairs"]) for r in shared_pairs(points, hashed).collect()}
+            touched = {r["tab"]: int(r["pairs"]) for r in shared_pairs(signed).collect()}
             for t in tables:
                 near = first_k(_merged(found.filter(F.col("tab") < t), k), k)
                 pairs = sum(n for tab, n in touched.items() if tab < t)
