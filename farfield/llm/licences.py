@@ -41,61 +41,83 @@ TEMPLATES = {
 _TERM = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
 
-def terms(text: str) -> Counter:
-    return Counter(_TERM.findall(text.lower()))
+def terms(text: str) -> list[str]:
+    return _TERM.findall(text.lower())
 
 
-def vectors(templates: dict[str, tuple[str, ...]]) -> tuple[dict[str, float], float, dict[str, list[tuple[int, float]]], list[str]]:
-    """Inverse frequencies over the templates, that of any other term, and postings.
+class Templates:
+    """Unit TF-IDF vectors of all templates, as postings by term.
 
-    Postings hold, by term, the unit vectors' weights; the last list names the templates.
+    ``rarity`` holds the inverse document frequencies over the templates, ``other`` that of
+    any other term, ``most`` the largest weight that a term has in a vector.
     """
-    texts = [(name, terms(t)) for name, several in templates.items() for t in several]
-    seen = Counter(t for _, found in texts for t in found)
-    rarity = lambda df: math.log((1 + len(texts)) / (1 + df)) + 1
-    known = {t: rarity(n) for t, n in seen.items()}
-    postings: dict[str, list[tuple[int, float]]] = {}
-    for k, (_, found) in enumerate(texts):
-        size = math.sqrt(sum((n * known[t]) ** 2 for t, n in found.items()))
-        for t, n in found.items():
-            postings.setdefault(t, []).append((k, n * known[t] / size))
-    return known, rarity(0), postings, [name for name, _ in texts]
-
-
-def closest(found: Counter, model) -> tuple[str, float] | None:
-    """The closest template and its cosine, if that is at least ``SIMILARITY``.
-
-    Terms of no template count in the length only: where they hold most of it, no
-    template can be close, and none is compared.
-    """
-    known, other, postings, names = model
-    inside = sum((n * known[t]) ** 2 for t, n in found.items() if t in known)
-    size = inside + other * other * sum(n * n for t, n in found.items() if t not in known)
-    if not inside or inside < SIMILARITY * SIMILARITY * size:
-        return None
-    dots: dict[int, float] = {}
-    for t, n in found.items():
-        for k, w in postings.get(t, ()):
-            dots[k] = dots.get(k, 0.0) + n * known[t] * w
-    best = max(dots, key=lambda k: (dots[k], -k))
-    cosine = dots[best] / math.sqrt(size)
-    return (names[best], min(1.0, cosine)) if cosine >= SIMILARITY - 1e-12 else None
+
+    def __init__(self, templates: dict[str, tuple[str, ...]]):
+        texts = [(name, Counter(terms(t))) for name, several in templates.items() for t in several]
+        seen = Counter(t for _, found in texts for t in found)
+        inverse = lambda df: math.log((1 + len(texts)) / (1 + df)) + 1
+        self.names = [name for name, _ in texts]
+        self.rarity = {t: inverse(n) for t, n in seen.items()}
+        self.other = inverse(0)
+        self.postings: dict[str, list[tuple[int, float]]] = {}
+        for k, (_, found) in enumerate(texts):
+            size = math.sqrt(sum((n * self.rarity[t]) ** 2 for t, n in found.items()))
+            for t, n in found.items():
+                self.postings.setdefault(t, []).append((k, n * self.rarity[t] / size))
+        self.most = {t: max(w for _, w in several) for t, several in self.postings.items()}
+
+    def possible(self, inside: Counter, outside: int) -> bool:
+        """Whether a text may be close to some template, given its counts of terms that
+        templates have and the number of different other terms."""
+        if not inside:
+            return False
+        dot = length = 0.0
+        for t, n in inside.items():
+            w = n * self.rarity[t]
+            dot += w * self.most[t]
+            length += w * w
+        return dot * dot >= (SIMILARITY - 1e-9) ** 2 * (length + self.other * self.other * outside)
+
+    def closest(self, found: list[str]) -> tuple[str, float] | None:
+        """The closest template and its cosine, if that is at least ``SIMILARITY``."""
+        counts = Counter(found)
+        length, dots = 0.0, {}
+        for t, n in counts.items():
+            w = n * self.rarity.get(t, self.other)
+            length += w * w
+            for k, v in self.postings.get(t, ()):
+                dots[k] = dots.get(k, 0.0) + w * v
+        if not dots:
+            return None
+        best = max(dots, key=lambda k: (dots[k], -k))
+        cosine = dots[best] / math.sqrt(length)
+        return (self.names[best], min(1.0, cosine)) if cosine >= SIMILARITY - 1e-12 else None
+
+    def scan(self, text: str) -> tuple[list[str], str | None, float]:
+        """Licences of single lines, licence of the whole text, best cosine."""
+        hits, inside, outside, rarity = [], Counter(), set(), self.rarity
+        for line in text.split("\n"):
+            found = terms(line)
+            known = Counter([t for t in found if t in rarity])
+            different = set(found)
+            if self.possible(known, len(different) - len(known)):
+                hits.append(self.closest(found))
+            inside.update(known)
+            outside |= different
+        hits = [h for h in hits if h]
+        whole = self.closest(terms(text)) if self.possible(inside, len(outside) - len(inside)) else None
+        best = max([s for _, s in hits] + ([whole[1]] if whole else []), default=0.0)
+        return sorted({name for name, _ in hits}), whole[0] if whole else None, best
 
 
 def _scanned(templates: dict[str, tuple[str, ...]]):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        model = vectors(templates)
+        model = Templates(templates)
         for batch in batches:
-            headers, scores, wholes = [], [], []
-            for text in batch["text"].to_pylist():
-                lines = [terms(line) for line in text.split("\n")]
-                hits = [h for h in (closest(t, model) for t in lines) if h]
-                headers.append(sorted({name for name, _ in hits}))
-                whole = closest(sum(lines, Counter()), model) if hits or len(lines) > 1 else None
-                wholes.append((whole or (hits[0] if hits and len(lines) == 1 else (None, 0.0)))[0])
-                scores.append(max([s for _, s in hits] + ([whole[1]] if whole else []), default=0.0))
+            scans = [model.scan(text) for text in batch["text"].to_pylist()]
+            headers, wholes, scores = zip(*scans) if scans else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch["row"], pa.array(headers, pa.list_(pa.string())), pa.array(wholes, pa.string()), pa.array(scores, pa.float64())],
                 names=["row", "headers", "whole", "similarity"],
