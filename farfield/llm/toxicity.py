@@ -90,20 +90,31 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
     return F.coalesce(F.crc32(column.cast("string")) % 5 == 0, F.lit(False))
 
 
+#: Terms that a task counts before it hands its counts on.
+HELD_TERMS = 100_000
+
+
 def _counted(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
-    for batch in batches:
-        seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
-        for y, text in zip(batch["label"].to_pylist(), batch["text"].to_pylist()):
-            seen[1 if y else 0].update(terms(folded(text)))
-            seen[1 if y else 0][""] += 1
+    def handed_on(seen: dict[int, Counter]):
         every = list(seen[0].keys() | seen[1].keys())
-        yield pa.RecordBatch.from_arrays(
+        return pa.RecordBatch.from_arrays(
             [pa.array(every, pa.string()), *(pa.array([seen[c][t] for t in every], pa.int64()) for c in (1, 0))],
             names=["term", "bad", "good"],
         )
 
+    seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
+    for batch in batches:
+        for y, text in zip(batch["label"], batch["text"]):
+            mine = seen[1 if y.as_py() else 0]
+            mine.update(terms(folded(text.as_py())))
+            mine[""] += 1
+            if len(seen[0]) + len(seen[1]) > HELD_TERMS:
+                yield handed_on(seen)
+                seen = {0: Counter(), 1: Counter()}
+    yield handed_on(seen)
+
 
 def learned(sample: DataFrame) -> dict:
     """The lexicon: ``weights`` by term and ``exceptions``, from documents with and without terms.
