@@ -52,12 +52,12 @@ def _fingerprints(batches: Iterator) -> Iterator:
         )
 
 
-def fingerprinted(docs: DataFrame) -> DataFrame:
+def fingerprinted(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """``row, at, fp``: the 64-bit fingerprint as a signed long, ``at`` a number of the row.
 
     Null and empty texts, and texts of white space, get 0.
     """
-    rows = packed(docs, F.monotonically_increasing_id().alias("at"), text_of().alias("text"))
+    rows = packed(docs, F.monotonically_increasing_id().alias("at"), text_of().alias("text"), keep=keep)
     return rows.mapInArrow(_fingerprints, rows.drop("text").schema.add("fp", "long"))
 
 
@@ -216,13 +216,13 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
-def clustered(docs: DataFrame) -> DataFrame:
+def clustered(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """``row, at, fp, component``: rows that links join have the same ``component`` (a fingerprint).
 
     Rows of equal fingerprints are one node, so a group of copies of any size costs what one
     text costs.  An empty table gives an empty one.
     """
-    rows = stage(fingerprinted(docs), "fingerprints")
+    rows = stage(fingerprinted(docs, keep), "fingerprints")
     nodes = stage(rows.select("fp").distinct(), "fingerprint-nodes")
     roots = components(links(nodes)).withColumnRenamed("u", "fp")
     known = nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("component"))
@@ -231,7 +231,7 @@ def clustered(docs: DataFrame) -> DataFrame:
 
 def with_component_ids(docs: DataFrame) -> DataFrame:
     """``row, fp, component_id``: the smallest ``doc_id`` of a row's component (null if it has none)."""
-    rows = stage(clustered(docs.select("doc_id", "text")).select(
+    rows = stage(clustered(docs, keep=["doc_id"]).select(
         F.col("row.doc_id").alias("doc_id"), "fp", "component"
     ), "clustered")
     ids = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
