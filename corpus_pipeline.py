@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farfield.llm import decontamination, mixing, sharding, simhash, toxicity
+from farfield.llm import decontamination, mixing, near, sharding, toxicity
 from farfield.llm.common import stage, table
 
 
@@ -16,7 +16,7 @@ def detoxified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return simhash.kept(docs)
+    return near.kept(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,177 @@
+"""Near copies for the pipeline: fingerprints within two bits, or word shingles that are alike.
+
+Texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8 are linked.
+Candidates share one of ``BANDS`` keys, each made of ``ROWS`` minima of hashed shingles: a pair
+of similarity 0.8 shares none with a chance of (1 - 0.8^4)^20, some 3 in 100,000.  Every
+candidate is confirmed on its whole set of shingles.  Members of a key are dealt into blocks,
+pairs of blocks are compared in a task, and each reports a forest of its links.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
+
+from farfield.llm import simhash
+from farfield.llm.common import stage, text_of
+from farfield.session import arrow_rows
+
+SHINGLE = 5
+SIMILARITY = 0.8
+BANDS, ROWS = 20, 4
+SEED = 42
+BLOCK = 64
+#: Pairs of blocks that a task holds at once.
+HELD_PAIRS = 16
+
+
+def shingles(text: str):
+    """The number of a text, and the sorted distinct hashes of its shingles.
+
+    Words are those of ``simhash``.  Fewer words than a shingle make one; no words make none
+    and number 0.
+    """
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return 0, np.zeros(0, np.uint64)
+    own = xxh64_intdigest(b" ".join(words), SEED)
+    if len(words) < SHINGLE:
+        return own, np.array([own], np.uint64)
+    each = np.fromiter((xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
+    total = len(words) - SHINGLE + 1
+    found = np.zeros(total, np.uint64)
+    for k in range(SHINGLE):
+        found = found * np.uint64(0x9E3779B97F4A7C15) + each[k:k + total]
+        found ^= found >> np.uint64(29)
+    return own, np.unique(found)
+
+
+def _marks(batches: Iterator) -> Iterator:
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(SEED)
+    a, b = (rng.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) for _ in range(2))
+    a, mix = a | np.uint64(1), np.uint64(0xD6E8FEB86659FD93)
+
+    def keys(found) -> np.ndarray:
+        least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+        for at in range(0, len(found), 2048):
+            part = found[at:at + 2048, None] * a + b
+            part ^= part >> np.uint64(32)
+            np.minimum(least, (part * mix).min(axis=0), out=least)
+        out = np.zeros(BANDS, np.uint64)
+        for k in range(ROWS):
+            out = out * mix + least[k::ROWS]
+            out ^= out >> np.uint64(31)
+        return out
+
+    for batch in batches:
+        nodes, lists = [], []
+        for text in batch["text"].to_pylist():
+            own, found = shingles(text)
+            nodes.append(own)
+            lists.append(keys(found).view(np.int64) if len(found) else [])
+        yield pa.RecordBatch.from_arrays(
+            [batch["row"], batch["at"], batch["fp"], pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(lists, pa.list_(pa.int64()))],
+            names=["row", "at", "fp", "node", "keys"],
+        )
+
+
+def _sets(batches: Iterator) -> Iterator:
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        found = [shingles(t)[1].view(np.int64) for t in batch["text"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch["node"], pa.array(found, pa.list_(pa.int64()))], names=["node", "grams"])
+
+
+def _close(batches: Iterator) -> Iterator:
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        found = []
+        for k in range(batch.num_rows):
+            nodes, sets, first = [], [], len(batch["a"][k])
+            for side in ("a", "b"):
+                members = batch[side][k].values
+                grams = members.field("grams")
+                flat, ends = grams.values.to_numpy(), grams.offsets.to_numpy()
+                nodes += members.field("node").to_pylist()
+                sets += [flat[x:y] for x, y in zip(ends[:-1], ends[1:])]
+            up = list(range(len(nodes)))
+
+            def root(i: int) -> int:
+                while up[i] != i:
+                    up[i] = up[up[i]]
+                    i = up[i]
+                return i
+
+            whole = first == len(nodes)
+            for i in range(first):
+                for j in range(i + 1 if whole else first, len(nodes)):
+                    x, y = len(sets[i]), len(sets[j])
+                    if min(x, y) < SIMILARITY * max(x, y) or root(i) == root(j):
+                        continue
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if both >= SIMILARITY * (x + y - both) - 1e-9:
+                        up[root(j)] = root(i)
+                        found.append((nodes[i], nodes[j]))
+        u, v = zip(*found) if found else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
+def links(rows: DataFrame) -> DataFrame:
+    """``u, v``: links between distinct ``node`` that join what is joined at ``SIMILARITY`` or more.
+
+    ``rows`` has ``row, at, node, keys``, staged.
+    """
+    first = stage(rows.groupBy("node").agg(F.min("at").alias("at"), F.first("keys").alias("keys")), "near-nodes")
+    each = first.select("node", F.posexplode("keys").alias("band", "key"))
+    met = each.groupBy("band", "key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("same")).filter("n > 1")
+    # keys with the same members ask the same question
+    once = met.groupBy("n", "same").agg(F.min(F.struct("band", "key")).alias("k")).select("k.band", "k.key", "n")
+    salt = F.pmod(F.xxhash64("node", F.lit(7)), F.ceil(F.col("n") / BLOCK)).alias("salt")
+    members = stage(each.join(once, ["band", "key"]).select("node", "band", "key", salt), "near-members")
+    texts = rows.select("at", text_of(F.col("row.text")).alias("text")).join(
+        first.select("node", "at").join(members.select("node").distinct(), "node"), "at"
+    )
+    sets = stage(texts.select("node", "text").mapInArrow(_sets, "node long, grams array<bigint>"), "near-sets")
+    blocks = members.join(sets, "node").groupBy("band", "key", "salt").agg(
+        F.collect_list(F.struct("node", "grams")).alias("m")
+    )
+    side = lambda k: blocks.select("band", "key", F.col("salt").alias(f"{k}_salt"), F.col("m").alias(k))
+    alone = F.col("a_salt") == F.col("b_salt")
+    pairs = side("a").join(side("b"), ["band", "key"]).filter("a_salt <= b_salt").select(
+        "a", F.when(alone, F.slice("b", 1, 0)).otherwise(F.col("b")).alias("b")
+    )
+    with arrow_rows(rows.sparkSession, HELD_PAIRS):
+        return stage(pairs.mapInArrow(_close, "u long, v long"), "near-links")
+
+
+def clustered(docs: DataFrame) -> DataFrame:
+    """``row, at, component``, staged: rows that links of either kind join have the same ``component``."""
+    prints = simhash.fingerprinted(docs).select("row", "at", "fp", text_of(F.col("row.text")).alias("text"))
+    rows = stage(prints.mapInArrow(
+        _marks, prints.drop("text").schema.add("node", "long").add("keys", ArrayType(LongType()))
+    ), "near-rows")
+    lead = stage(rows.groupBy("fp").agg(F.min("node").alias("lead")), "near-leads")
+    of = lambda c: lead.select(F.col("fp").alias(c), F.col("lead").alias(f"{c}_lead"))
+    bits = simhash.links(lead.select("fp")).join(of("u"), "u").join(of("v"), "v").select("u_lead", "v_lead")
+    same = rows.select("fp", "node").distinct().join(lead, "fp").select("node", "lead")
+    roots = simhash.components(links(rows).union(bits).union(same).toDF("u", "v"))
+    roots = stage(roots.select(F.col("u").alias("node"), "root"), "near-roots")
+    return rows.join(roots, "node", "left").select("row", "at", F.coalesce("root", "node").alias("component"))
+
+
+def kept(docs: DataFrame) -> DataFrame:
+    """``docs`` without near copies: of every component the row that ``simhash.kept`` would keep."""
+    return simhash.first_of(clustered(docs))

@@ -238,12 +238,16 @@ def with_component_ids(docs: DataFrame) -> DataFrame:
     return rows.join(ids, "component").select("doc_id", "fp", "component_id")
 
 
-def kept(docs: DataFrame) -> DataFrame:
-    """``docs`` without near-duplicates: of every component the row of the smallest ``doc_id``
-    (nulls last), of rows that share it the one whose text hashes lowest, then the first."""
-    rows = stage(clustered(docs), "clustered")
+def first_of(rows: DataFrame) -> DataFrame:
+    """The rows of ``row, at, component`` that stand for their component: that of the smallest
+    ``doc_id`` (nulls last), of rows that share it the one whose text hashes lowest, then the first."""
     place = F.struct(
         F.col("row.doc_id").isNull(), F.col("row.doc_id"), F.xxhash64(F.col("row.text")).alias("text"), F.col("at")
     )
     chosen = rows.groupBy("component").agg(F.min(place).alias("p")).select(F.col("p.at").alias("at"))
     return rows.join(chosen, "at", "left_semi").select("row.*")
+
+
+def kept(docs: DataFrame) -> DataFrame:
+    """``docs`` without near-duplicates: one row of every component."""
+    return first_of(stage(clustered(docs), "clustered"))

@@ -1,0 +1,44 @@
+"""Near copies of the pipeline against all pairs of sets of shingles."""
+
+import random
+
+import corpus_pipeline
+from farfield.llm import near
+from tests.llm import brute, cases
+
+
+def alike(a, b):
+    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split())]
+    return len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1])
+
+
+def test_near_copies_are_dropped_as_all_pairs_say(spark):
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(3000)}"
+    def edited(text, n):
+        w = text.split()
+        for at in rng.sample(range(len(w)), n):
+            w[at] = word()
+        return " ".join(w)
+
+    texts = [" ".join(word() for _ in range(rng.randrange(40, 300))) for _ in range(60)]
+    texts += [edited(rng.choice(texts), rng.randrange(1, 6)) for _ in range(200)]
+    hot = " ".join(word() for _ in range(60))
+    texts += [hot, *(edited(hot, 1) for _ in range(150)), "", " ", "two words", "Two  words"]
+    up = list(range(len(texts)))
+    prints = [brute.fingerprint(t) for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            if up[i] != up[j] and ((prints[i] ^ prints[j]).bit_count() <= 2 or alike(texts[i], texts[j])):
+                low, high = sorted((up[i], up[j]))
+                up = [low if u == high else u for u in up]
+    assert 60 < len(set(up)) < len(texts) - 150
+    docs = cases.documents(spark, list(enumerate(texts)))
+    got = corpus_pipeline.deduplicated(spark, docs, "")
+    assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == sorted(set(up))
+
+
+def test_odd_and_no_rows(spark):
+    got = sorted(r["doc_id"] for r in near.kept(cases.documents(spark)).filter("doc_id is not null").collect())
+    assert got == [1, 4, 5, 6, 7, 9, 10, 11, 12, 13]
+    assert near.kept(cases.nothing(spark)).count() == 0
