@@ -8,7 +8,7 @@ a text that shares its pattern only is not.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from farfield.llm.common import packed, stage, text_of, words
@@ -115,24 +115,41 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     where = ["id_key", "text_key", "doc_id", "item_id", "n", "kind", "bin"]
     binned = met.select("*", F.explode(bins).alias("b")).select("*", "b.*").drop("b")
-    places = binned.groupBy(*where).agg(F.sort_array(F.collect_set("j")).alias("js"))
+    covered = stage(_covering(binned, where).filter(F.col("similarity") >= SIMILARITY), "covered")
+    return _consistent(docs, each, binned, covered, where)
+
+
+def _covering(met: DataFrame, where: list[str]) -> DataFrame:
+    """The share of the item's words that windows cover, by ``where``."""
+    places = met.groupBy(*where).agg(F.sort_array(F.collect_set("j")).alias("js"))
     steps = F.expr(
         f"aggregate(transform(js, (j, k) -> least({WINDOW}, coalesce(get(js, k + 1) - j, {WINDOW}))), 0, (a, x) -> a + x)"
     )
-    similarity = F.least(steps, F.col("n")) / F.col("n")
-    covered = stage(
-        places.select(*where, similarity.alias("similarity")).filter(F.col("similarity") >= SIMILARITY), "covered"
-    )
-    return _consistent(docs, each, binned, covered, where)
+    return places.select(*where, (F.least(steps, F.col("n")) / F.col("n")).alias("similarity"))
+
+
+def _aligned(met: DataFrame, where: list[str]) -> DataFrame:
+    """``met`` with at most one ``i`` per ``j`` and one ``j`` per ``i``: those whose shift is
+    closest to the most frequent one."""
+    shift = F.col("i") - F.col("j")
+    often = F.count("*").over(Window.partitionBy(*where, "shift"))
+    usual = F.max(F.struct("often", (-F.col("shift")).alias("back"))).over(Window.partitionBy(*where))
+    off = F.abs(F.col("shift") + F.col("usual.back"))
+    best = lambda k, other: F.row_number().over(Window.partitionBy(*where, k).orderBy("off", other))
+    near = met.withColumn("shift", shift).withColumn("often", often).withColumn("usual", usual).withColumn("off", off)
+    one = near.withColumn("k", best("j", "i")).filter("k = 1").withColumn("k", best("i", "j")).filter("k = 1")
+    return one.select(*met.columns)
 
 
 def _consistent(docs: DataFrame, items: DataFrame, binned: DataFrame, covered: DataFrame, where: list[str]) -> DataFrame:
-    """``covered`` without occurrences whose values do not change as one value each."""
+    """``covered`` without occurrences whose values do not change as one value each.
+
+    An item that repeats a pattern also matches at other shifts.  Values are compared along one
+    alignment, and only what that covers counts.
+    """
     has_slots = items.filter(F.expr(f"exists(itok, t -> {_is_slot('t')})")).select("item_id", "itok")
-    lined_up = stage(
-        binned.join(covered.drop("similarity", "doc_id", "n"), ["id_key", "text_key", "item_id", "kind", "bin"], "left_semi")
-        .join(has_slots, "item_id").distinct(), "lined-up",
-    )
+    met = binned.join(covered.drop("similarity", "doc_id", "n"), ["id_key", "text_key", "item_id", "kind", "bin"], "left_semi")
+    lined_up = stage(_aligned(met.distinct(), where).join(has_slots, "item_id"), "lined-up")
     texts = stage(lined_up.select("id_key", "text_key").distinct(), "slotted-texts")
     tokens = docs.select(*_keys(), text_of().alias("text")).join(_small(texts), ["id_key", "text_key"])
     tokens = tokens.dropDuplicates(["id_key", "text_key"]).select("id_key", "text_key", slotted(F.col("text")).alias("tok"))
@@ -149,8 +166,12 @@ def _consistent(docs: DataFrame, items: DataFrame, binned: DataFrame, covered: D
         )
     )
     keys = ["id_key", "text_key", "item_id", "kind", "bin"]
-    rated = covered.join(values.select(*keys, "n_slots", "steady", "n_changed"), keys, "left")
-    steady = F.col("n_slots").isNull() | (F.col("steady") >= SIMILARITY * F.col("n_slots"))
+    rated = covered.join(values.select(*keys, "n_slots", "steady", "n_changed"), keys, "left").join(
+        _covering(lined_up, where).select(*keys, F.col("similarity").alias("aligned")), keys, "left"
+    ).withColumn("similarity", F.coalesce("aligned", "similarity"))
+    steady = (F.col("similarity") >= SIMILARITY) & (
+        F.col("n_slots").isNull() | (F.col("steady") >= SIMILARITY * F.col("n_slots"))
+    )
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
     return (
         rated.filter(steady).select("id_key", "text_key", "doc_id", "item_id", "similarity", zero("n_slots"), zero("n_changed"))
