@@ -3,7 +3,8 @@
 Numbers, names and units become typed placeholders.  Windows of template words are joined by
 hash; what lines up with an item is measured in covered words, and the values behind the
 placeholders must change consistently: a question with other numbers and names is caught,
-a text that shares its pattern only is not.
+a text that shares its pattern only is not.  Windows of the plain words are joined as well, as
+case and line ends decide what looks like a name.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ def slotted(text: Column) -> Column:
     units = "|".join(sorted(UNITS, key=len, reverse=True))
     # every pattern begins with what is rare, so that most places fail at once
     for pattern, by in (
-        (f"[{NUMBER}{NAME}{UNIT}]", " "),
+        (f"[{NUMBER}{NAME}{UNIT}{gap}]{{2,}}|[{NUMBER}{NAME}{UNIT}\\x09-\\x0D]", " "),
         (rf"\p{{Lu}}(?<=[^.!?:;…{gap}]\x20\p{{Lu}})", f"{NAME}$0"),
         (rf"[0-9](?<=(?:^|[{gap}])[(\[$€£+-]?[0-9])", f"{NUMBER}$0"),
         (rf"[^\p{{L}}\p{{N}}#@~{gap}]+", ""),
@@ -54,23 +55,37 @@ def _is_slot(word: str) -> str:
     return f"(substr({word}, 1, 1) in ('{NUMBER}', '{NAME}', '{UNIT}'))"
 
 
-def windows(tokens: str) -> Column:
-    """Hashes of the template windows of an array of words, by place.
+def _bare(word: str) -> str:
+    """SQL for a word without the mark of its slot."""
+    return f"if({_is_slot(word)}, substr({word}, 2), {word})"
 
-    Slots are hashed by type alone, unless the window has too few other words.  Fewer words
-    than a window make one window; no words make none.
+
+def windows(tokens: str) -> tuple[Column, Column]:
+    """Hashes of the windows of an array of words, and the number of their places.
+
+    Of the template windows first, by place: slots are hashed by type alone, unless the window
+    has too few other words.  In texts with slots the windows of plain words follow, by place
+    again, null where they hold no slot and so are the same: copies in other case have other
+    slots.  Fewer words than a window make one window; no words make none.
     """
     template = f"transform({tokens}, t -> if({_is_slot('t')}, substr(t, 1, 1), t))"
+    bare = f"transform({tokens}, t -> {_bare('t')})"
     several = lambda a, i: ", ".join(f"get({a}, {i} + {k})" for k in range(WINDOW))
     literal = " + ".join(f"int(coalesce(length(get(p, i + {k})) > 1 or not {_is_slot(f'get(p, i + {k})')}, true))" for k in range(WINDOW))
+    slot = " or ".join(f"not get(p, i + {k}) <=> get({tokens}, i + {k})" for k in range(WINDOW))
     # only texts with slots pay for looking at them
     plain = f"transform({tokens}, (t, i) -> xxhash64({several(tokens, 'i')}))"
     typed = (
         f"transform(array({template}), p -> transform(p, (t, i) -> if({literal} >= {LITERAL}, "
         f"xxhash64({several('p', 'i')}), xxhash64('=', {several(tokens, 'i')}))))[0]"
     )
-    some = f"if(exists({tokens}, t -> {_is_slot('t')}), {typed}, {plain})"
-    return F.expr(f"slice({some}, 1, if(size({tokens}) = 0, 0, greatest(size({tokens}) - {WINDOW - 1}, 1)))")
+    said = f"transform(array({bare}), p -> transform(p, (t, i) -> if({slot}, xxhash64({several('p', 'i')}), null)))[0]"
+    places = f"if(size({tokens}) = 0, 0, greatest(size({tokens}) - {WINDOW - 1}, 1))"
+    some = (
+        f"if(exists({tokens}, t -> {_is_slot('t')}), "
+        f"concat(slice({typed}, 1, {places}), slice({said}, 1, {places})), slice({plain}, 1, {places}))"
+    )
+    return F.expr(some), F.expr(places)
 
 
 def _keys() -> list[Column]:
@@ -95,15 +110,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     each = stage(
         benchmark.select("item_id", slotted(text_of()).alias("itok")).filter(F.size("itok") > 0).distinct(), "items"
     )
+    hashes, places = windows("itok")
     item_windows = stage(
-        each.withColumn("h", windows("itok")).select("item_id", F.size("itok").alias("n"), F.posexplode_outer("h").alias("j", "h")),
+        each.select("item_id", F.size("itok").alias("n"), hashes.alias("hs"), places.alias("places"))
+        .select("item_id", "n", "places", F.posexplode_outer("hs").alias("j", "h"))
+        .select("item_id", "n", F.expr("j % places").alias("j"), "h").filter(F.col("h").isNotNull()).distinct(),
         "item-windows",
     )
+    hashes, places = windows("tok")
     doc_windows = (
         docs.select(*_keys(), "doc_id", slotted(text_of()).alias("tok"))
-        .select("id_key", "text_key", "doc_id", windows("tok").alias("hs"))
+        .select("id_key", "text_key", "doc_id", hashes.alias("hs"), places.alias("places"))
         # outer: else a filter on the array is inferred, and its parts are computed per word
-        .select("id_key", "text_key", "doc_id", F.posexplode_outer("hs").alias("i", "h"))
+        .select("id_key", "text_key", "doc_id", "places", F.posexplode_outer("hs").alias("i", "h"))
+        .select("id_key", "text_key", "doc_id", F.expr("if(places = 0, null, i % places)").alias("i"), "h")
     )
     met = stage(doc_windows.join(_small(item_windows), "h").drop("h"), "window-matches")
     # a text may hold an item twice, and edits shift places: places are binned twice, so that
@@ -159,6 +179,8 @@ def _consistent(docs: DataFrame, items: DataFrame, binned: DataFrame, covered: D
     values = (
         lined_up.join(tokens, ["id_key", "text_key"]).select(*where, F.explode(beside).alias("s")).select(*where, "s.*")
         .filter(F.col("was").isNotNull() & F.expr(_is_slot("was")))
+        # a copy in other case has other marks
+        .withColumn("was", F.expr(_bare("was"))).withColumn("now", F.expr(_bare("now")))
         .groupBy(*where, "was").agg(F.count_distinct("now").alias("kinds"), F.min("now").alias("now"))
         .groupBy(*where).agg(
             F.count("*").alias("n_slots"), F.sum((F.col("kinds") == 1).cast("int")).alias("steady"),
