@@ -131,21 +131,22 @@ def _gradients(p: dict, data, y: float, weight: float, g: dict) -> None:
         g["E"][:, k] += np.bincount(seen, weights=de[:, k], minlength=256).astype(np.float32)
 
 
-def train(texts: list[bytes], labels: list[int], seed: int = SEED) -> dict:
-    """Weights after ``EPOCHS`` rounds of Adam; both classes weigh as their documents do."""
+def train(texts: list[bytes], labels: list[int], shares: list[float] | None = None, seed: int = SEED) -> dict:
+    """Weights after ``EPOCHS`` rounds of Adam; a document weighs as its share, 1 without ``shares``."""
     import numpy as np
 
     rng = np.random.default_rng(seed)
     p = _start(rng)
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
     data = [_padded(t) for t in texts]
+    weights = np.ones(len(data)) if shares is None else np.array(shares) / np.mean(shares)
     step, groups_of = 0, lambda order: _batches(order, data)
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
         for group in groups_of(rng.permutation(len(data))):
             g = {k: np.zeros_like(x) for k, x in p.items()}
             for i in group:
-                _gradients(p, data[i], labels[i], 1 / len(group), g)
+                _gradients(p, data[i], labels[i], weights[i] / len(group), g)
             step += 1
             for k in p:
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
@@ -186,11 +187,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> dict:
             break
         last = draw
     rows = [] if last is None else fits.filter(F.col("draw") <= last).collect()
-    chosen = sorted((r["draw"], r["label"], r["text"].encode("utf-8", "surrogatepass")) for r in rows)
-    counts = [sum(y == c for _, y, _ in chosen) for c in (0, 1)]
+    chosen = sorted((r["draw"], r["label"], r["text"].encode("utf-8", "surrogatepass"), r["share"]) for r in rows)
+    counts = [sum(y == c for _, y, _, _ in chosen) for c in (0, 1)]
     if not all(counts):
         return {"share": (counts[1] + 0.5) / (sum(counts) + 1), "net": None}
-    return {"share": 0.5, "net": train([t for _, _, t in chosen], [y for _, y, _ in chosen])}
+    _, ys, texts, shares = zip(*chosen)
+    return {"share": 0.5, "net": train(texts, ys, shares)}
 
 
 def _scored(model: dict):

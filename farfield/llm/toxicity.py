@@ -67,21 +67,25 @@ def terms(line: str) -> set[str]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int = SAMPLE) -> DataFrame:
-    """A sample ``label, text, draw`` to learn from: at most ``most`` documents of either class.
+    """A sample ``label, text, draw, share`` to learn from: at most ``most`` documents of either class.
+
+    ``share`` is how many labelled documents of its class a row stands for, 1 if all are taken.
 
     Rows whose crc32 of the id is divisible by 5 are held out, null labels and ids are left
     out, a document with several labels has the largest, and of rows that share an id the
     smallest text counts.  Hashes of ids choose; ``draw`` is another one.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).dropna().groupBy("doc_id").agg(F.max("label").alias("label"))
-    known = known.filter(~held_out())
+    known = stage(known.filter(~held_out()), "known-labels")
+    total = {r["label"]: r["n"] for r in known.filter("label in (0, 1)").groupBy("label").agg(F.count("*").alias("n")).collect()}
+    share = F.when(F.col("label") == 1, max(1.0, total.get(1, 0) / most)).otherwise(max(1.0, total.get(0, 0) / most))
     few = [
         known.filter(F.col("label") == c).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(most) for c in (0, 1)
     ]
     # at most two times ``most`` ids: small enough to broadcast
     found = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(few[0].union(few[1])), "doc_id")
     one = found.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    return one.select("label", "text", F.xxhash64("doc_id", F.lit(4)).alias("draw"))
+    return one.select("label", "text", F.xxhash64("doc_id", F.lit(4)).alias("draw"), share.alias("share"))
 
 
 def held_out(doc_id: Column | str = "doc_id") -> Column:
@@ -211,15 +215,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> dict:
     model = learned(sample)
     model["line"] = [-4.0, 1.5, 1.0]
     # two numbers for each of at most twice SAMPLE documents
-    rows = measured(sample.select("label", "text"), model).select("row.label", "all", "dense").toPandas()
-    y = rows["label"].to_numpy(float)
+    rows = measured(sample.select("label", "text", "share"), model).select("row.label", "row.share", "all", "dense").toPandas()
+    y, w = rows["label"].to_numpy(float), rows["share"].to_numpy(float)
     if 0 < y.sum() < len(y):
         x, held = np.column_stack([np.ones(len(y)), rows["all"], rows["dense"]]), np.array([0.01, 0.1, 0.1])
-        # either class counts as its share, so the threshold of one half keeps its meaning
+        # either class counts as its share of all labels, however few of it were drawn, so the
+        # threshold of one half keeps its meaning
+        w = w / w.mean()
         line = np.zeros(3)
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ line, -30, 30)))
-            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(held), x.T @ (y - p) - held * line)
+            step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + np.diag(held), x.T @ (w * (y - p)) - held * line)
             line += step
             if abs(step).max() < 1e-8:
                 break
