@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farfield.llm import decontamination, mixing, near, sharding, toxicity
+from farfield.llm import decontamination, mixing, sharding, simhash, toxicity
 from farfield.llm.common import stage, table
 
 
@@ -15,8 +15,8 @@ def detoxified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return near.kept(docs)
+    """One document of each group that fingerprints link."""
+    return simhash.kept(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,11 +30,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with ``shard`` and ``slot``."""
+    """The documents with ``shard`` and ``slot``, which take the place of columns of these names."""
     placed = sharding.written(docs)
-    return placed.select(
-        *(F.col(f"row.`{c}`").alias(c) for c in docs.columns), F.col("_shard").alias("shard"), "slot"
-    )
+    own = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    return placed.select(*(F.col(f"row.`{c}`").alias(c) for c in own), F.col("_shard").alias("shard"), "slot")
 
 
 STAGES = [
