@@ -12,7 +12,7 @@ work units are bounded, hot regions and hot groups included.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,6 +31,7 @@ FIRST_VISITS = 3  # leaves visited in the first round
 UNROLLED_DIMS = 16  # with more coordinates, box distances loop and blocks are screened
 
 QUERY, CANDIDATE = 1, 2
+STORED = 4  # neither, until a search gives it a role
 
 LEAF_SCHEMA = (
     "leaf bigint, grp bigint, queries int, candidates int, ids array<bigint>, xs array<double>, "
@@ -388,6 +389,19 @@ def search_in_rounds(
     return gathered(points, second, k)
 
 
+def with_roles(leaves: Leaves, roles: dict[int, int]) -> Leaves:
+    """The same leaves, every point's role exchanged: one index serves several searches."""
+    def now(role: Column) -> Column:
+        new = F.lit(0)
+        for old, given in roles.items():
+            new = F.when(role == old, F.lit(given)).otherwise(new)
+        return new
+
+    bit = lambda of: F.size(F.filter("roles", lambda r: r.bitwiseAND(F.lit(of)) > 0))
+    table = leaves.table.withColumn("roles", F.transform("roles", now))
+    return replace(leaves, table=table.withColumn("queries", bit(QUERY)).withColumn("candidates", bit(CANDIDATE)))
+
+
 def _search(leaves: Leaves, k: int | None, skip_self: bool) -> tuple[DataFrame, DataFrame | None]:
     """Neighbours found at home, and those found on visits to other leaves; with ``k``, all in
     the first."""
@@ -465,11 +479,32 @@ def knn_within(
 ) -> DataFrame:
     """The up to ``k`` nearest candidates (ties kept) within each query's own ``reach``:
     ``i, nbrs``, for the queries that have any."""
-    leaves = build_leaves(points, measure, leaf_rows)
+    return _some_within(build_leaves(points, measure, leaf_rows), k)
+
+
+def _some_within(leaves: Leaves, k: int) -> DataFrame:
     found = gathered(*_search(leaves, k, True)).select("i", "nbrs")
     return found.filter(F.size("nbrs") > 0)
 
 
+def knn_both_ways(
+    stored: DataFrame, arriving: DataFrame, k: int, measure: str | Measure = "euclidean"
+) -> tuple[DataFrame, DataFrame]:
+    """(neighbourhoods ``i, nbrs`` of ``arriving(i, x)`` among all points, and for each of
+    ``stored(i, x, reach)`` its up to ``k`` nearest arrivals within its reach, for those that
+    have any), from one index."""
+    infinite = F.lit(float("inf")).alias("reach")
+    leaves = build_leaves(
+        stored.select("i", "x", F.lit(STORED).alias("role"), "reach").unionByName(
+            arriving.select("i", "x", F.lit(QUERY).alias("role"), infinite)
+        ),
+        measure,
+    )
+    asking = with_roles(leaves, {STORED: CANDIDATE, QUERY: QUERY | CANDIDATE})
+    near = keep_nearest(gathered(*_search(asking, k, True)), k).select("i", "nbrs")
+    return near, _some_within(with_roles(leaves, {STORED: QUERY, QUERY: CANDIDATE}), k)
+
+
 def within_reach(
     points: DataFrame, measure: str | Measure = "euclidean", leaf_rows: int = LEAF_ROWS
 ) -> DataFrame:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from farfield.functions.text import NUMBER
 from farfield.plans import tables as D
+from farfield.plans.window_sql import window_steps
 
 K, TOP = D.K, D.TOP
 
 CUSTOMERS = "SELECT min(c_custkey) i, c_acctbal x1, c_nationkey::DOUBLE x2 FROM customer GROUP BY 2, 3"
 SUPPLIERS = "SELECT min(s_suppkey) i, s_acctbal x1, s_nationkey::DOUBLE x2 FROM supplier GROUP BY 2, 3"
 PARTS = "SELECT min(p_partkey) i, p_size::DOUBLE x1, p_retailprice x2 FROM part GROUP BY 2, 3"
+RECORDS = 'SELECT c_custkey::VARCHAR "key", c_custkey i, c_acctbal x1, c_nationkey::DOUBLE x2 FROM customer'
 EMBEDDINGS = "SELECT vec_id i, embedding::DOUBLE[] x FROM embeddings"
 
 L2 = "sqrt((a.x1 - b.x1) * (a.x1 - b.x1) + (a.x2 - b.x2) * (a.x2 - b.x2))"
@@ -354,6 +356,17 @@ def oracles() -> dict[str, str]:
         SELECT c_custkey::VARCHAR "key", (pts.i IN (SELECT i FROM top))::INTEGER label
         FROM pts JOIN customer ON c_acctbal = x1 AND c_nationkey = x2"""
     sql["incremental_lof_scores"] = sql["lof_scores"]
+    windowed = "WITH RECURSIVE " + window_steps(RECORDS, K, "c // 2", 5, "c // 3", TOP, "c // 3")
+    sql["windowed_labels"] = f'{windowed} SELECT "key", label, reason FROM labelled'
+    sql["windowed_lof"] = f"{windowed} SELECT reason, label, count(*) n FROM labelled GROUP BY ALL"
+    sql["windowed_steps"] = f"""{windowed}
+        SELECT step, 'point' kind, i, len(nbrs)::INTEGER n, ts, {scores},
+            len(list_filter(nbrs, lambda e: e.j < 0))::INTEGER n_virtual,
+            coalesce(array_to_string(list_sort(list_transform(nbrs, lambda e: e.j)), ' '), '') nbrs
+        FROM window_points
+        UNION ALL
+        SELECT step, 'area', center, number::INTEGER, ts, round(radius, 6), round(avg_lrd, 6), round(avg_kd, 6), 0, ''
+        FROM window_areas"""
 
     # generators and audits
     sql["planted_neighbours"] = 'SELECT vec_id o, 5::BIGINT copies, 1 "inside", 1 all_inside FROM embeddings'

@@ -644,13 +644,14 @@ def stream_profiles(spark, sf_dir):
     return rounded(model.profiles().drop("x"), "kd", "lrd", "lof", "dist", "reach")
 
 
-def _windowed(spark, sf_dir, sink=None):
+def _windowed(spark, sf_dir, sink=None, trace=None):
+    """Customers in three batches; what is taken in at a time depends on their order only."""
     records = D.customer_records(spark, sf_dir)
     rows = records.count()
     path, home = replay(records, 3), D.scratch(spark, "rlof")
     model = detector(
         "rlof", spark, f"{home}/state",
-        k=K, window=rows // 2, inlier_percent=5, max_age=rows // 3, dims=2, top=TOP,
+        k=K, window=rows // 2, inlier_percent=5, max_age=rows // 3, dims=2, top=TOP, step=rows // 3, trace=trace,
     )
     stream = parsed(file_stream(spark, path), 2)
     model.start(stream, f"{home}/checkpoint", sink, rows).awaitTermination()
@@ -670,6 +671,25 @@ def windowed_labels(spark, sf_dir):
     return spark.read.parquet(sink).select("key", "label", "reason")
 
 
+@query
+def windowed_steps(spark, sf_dir):
+    """The window and the areas after each group: profiles, virtual neighbours, clocks."""
+    trace = D.scratch(spark, "rlof-trace")
+    _windowed(spark, sf_dir, D.scratch(spark, "rlof-sink"), trace)
+    ids = F.transform("nbrs", lambda e: e["j"])
+    points = spark.read.parquet(f"{trace}/window").select(
+        "step", F.lit("point").alias("kind"), "i", "n", "ts", "kd", "lrd", "lof",
+        F.size(F.filter(ids, lambda j: j < 0)).alias("n_virtual"),
+        F.array_join(F.transform(F.array_sort(ids), lambda j: j.cast("string")), " ").alias("nbrs"),
+    )
+    areas = spark.read.parquet(f"{trace}/areas").select(
+        "step", F.lit("area").alias("kind"), F.col("center").alias("i"), F.col("number").cast("int").alias("n"), "ts",
+        F.col("radius").alias("kd"), F.col("avg_lrd").alias("lrd"), F.col("avg_kd").alias("lof"),
+        F.lit(0).alias("n_virtual"), F.lit("").alias("nbrs"),
+    )
+    return rounded(points.unionByName(areas), "kd", "lrd", "lof")
+
+
 # --- generators and audits --------------------------------------------------------------
 
 @query

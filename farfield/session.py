@@ -6,10 +6,12 @@ import re
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _made: dict[str, str] = {}
+_passing: ContextVar[list | None] = ContextVar("passing", default=None)
 
 
 def local_session(cores: int = 8, memory: str = "8g") -> SparkSession:
@@ -50,10 +52,30 @@ def stage(df: DataFrame, name: str, spark: SparkSession | None = None) -> DataFr
     ``spark`` is the session to read with, if it is to be another than the frame's own.
     """
     path = f"{scratch_dir(spark or df.sparkSession)}/farfield/{name}-{uuid.uuid4().hex}"
+    if (passing := _passing.get()) is not None:
+        passing.append(path)
     df.write.parquet(path)
     return (spark or df.sparkSession).read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing(spark: SparkSession):
+    """Tables staged inside are dropped at the end: what is to stay must be written elsewhere."""
+    token = _passing.set(made := [])
+    try:
+        yield
+    finally:
+        _passing.reset(token)
+        for path in made:
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, if it is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int):
     """Bound the rows per Arrow batch while rows are wide (one row = one block of points)."""

@@ -59,11 +59,9 @@ def members(areas: DataFrame, points: DataFrame, measure: str | Measure) -> Data
     return found.select(F.col("i").alias("center"), F.col("j").alias("i"), "dist")
 
 
-def virtual_neighbours(
-    areas: DataFrame, asking: DataFrame, dims: int, measure: str | Measure, k: int
-) -> DataFrame:
-    """The ``k`` nearest virtual points within the bound of ``asking(i, x, bound)``, ties
-    kept: ``i, nbrs``.
+def centers_near(areas: DataFrame, asking: DataFrame, measure: str | Measure) -> DataFrame:
+    """``i, center, dist`` for every area that may have a virtual point within the bound of
+    ``asking(i, x, bound)``; the areas that ``i`` lies in are among them.
 
     A virtual point is at least distance-to-centre minus radius away, so only centres
     within the bound plus the largest radius are looked up.
@@ -77,7 +75,15 @@ def virtual_neighbours(
             F.lit(float("inf")).alias("reach"),
         )
     )
-    near = within_reach(both, measure).withColumnRenamed("j", "center")
+    return within_reach(both, measure).withColumnRenamed("j", "center")
+
+
+def virtual_neighbours(
+    areas: DataFrame, asking: DataFrame, dims: int, measure: str | Measure, k: int, near: DataFrame | None = None
+) -> DataFrame:
+    """The ``k`` nearest virtual points within the bound of ``asking(i, x, bound)``, ties
+    kept: ``i, nbrs``.  ``near`` is what ``centers_near`` gives, if known."""
+    near = centers_near(areas, asking, measure) if near is None else near
     rim = on_rim(areas.select("center", "radius"), dims)
     away = virtual_distance(
         F.col("dist"), F.col("radius"), F.col("axis"), F.col("side"), resolve(measure).name

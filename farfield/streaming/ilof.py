@@ -149,7 +149,7 @@ class IncrementalLof:
 
 
 def write_labels(labels: DataFrame, sink: str, part: str, batch_id: int) -> None:
-    """Label rows ``key, label, reason, batch_id``; a batch run again replaces its own."""
+    """Label rows ``key, label, reason, batch_id``; a part that is written again is replaced."""
     labels.select("key", "label", "reason").withColumn("batch_id", F.lit(batch_id)).write.mode(
         "overwrite"
-    ).parquet(f"{sink}/part={part}-{batch_id}")
+    ).parquet(f"{sink}/part={part}")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from farfield.functions.hashing import Family
 from farfield.functions.measures import Measure
-from farfield.operators.knn import CANDIDATE, NEIGHBOURS, QUERY, edges, keep_nearest, knn_within
+from farfield.operators.knn import CANDIDATE, NEIGHBOURS, QUERY, edges, keep_nearest, knn_both_ways, knn_within
 from farfield.operators.lof import ratio
 from farfield.operators.lsh import neighbours
 from farfield.operators.sets import first_arrivals
@@ -43,11 +43,14 @@ def find_neighbours(
     Indexes all points anew, which suits a set of bounded size; ``leafindex`` keeps the
     index between batches.
     """
+    reaching = old.select("i", "x", open_reach(k).alias("reach"))
+    if technique == "flat":
+        return knn_both_ways(reaching, arriving, k, measure)
     points = old.select("i", "x", F.lit(CANDIDATE).alias("role")).unionByName(
         arriving.select("i", "x", F.lit(QUERY | CANDIDATE).alias("role"))
     )
     near = neighbours(points, k, technique, measure, hashed).select("i", "nbrs")
-    around = old.select("i", "x", F.lit(QUERY).alias("role"), open_reach(k).alias("reach")).unionByName(
+    around = reaching.withColumn("role", F.lit(QUERY)).unionByName(
         arriving.select("i", "x", F.lit(CANDIDATE).alias("role"), F.lit(float("inf")).alias("reach"))
     )
     return near, knn_within(around, k, measure)

@@ -1,13 +1,15 @@
 """LOF over a bounded window: dense regions are summarized, old points age out.
 
-Rules per micro-batch, in order: find the areas each arrival falls in; insert all
-arrivals (see ``insert``), virtual points competing as neighbours; arrivals inside an
-area update it and are deleted again; the others stay and advance the logical clock by
-one each.  If the window has reached its size, the most inlying share of it and the
-neighbours of those are turned into areas; if it still has, points and areas past the
-maximum age are deleted.  With one point per batch these are the rules of the strictly
-ordered stream; a larger batch applies the size check, the aging and the shrinking of a
-radius once per batch.
+Arrivals are taken in order, in groups of ``step``.  What does not fill a group waits for the
+next micro-batch, so that groups, and with them all results, depend on the order of the records
+alone, not on when they came.  Rules for a group: find the areas each arrival falls in; insert
+all arrivals (see ``insert``), virtual points competing as neighbours; arrivals inside an area
+update it and are deleted again; the others stay and advance the logical clock by one each.  If
+the window has no room for another group, the most inlying share of it and the neighbours of
+those are turned into areas; if it still has none, points and areas past the maximum age are
+deleted; then the next group is as large as the room there is.  With ``step=1`` these are the
+rules of the strictly ordered stream, at dozens of Spark jobs for each point; larger groups cost
+less and leave the window up to a group short of its size.
 
 Deleting a point removes it from its neighbours' lists without refilling them or
 recomputing their k-distance; a list that is not full takes the next arrival.
@@ -16,6 +18,8 @@ recomputing their k-distance; a list that is not full takes the next arrival.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,9 +29,9 @@ from farfield.functions.hashing import Family
 from farfield.functions.measures import Measure
 from farfield.operators.evaluate import running_totals
 from farfield.operators.knn import NEIGHBOURS, edges, k_distance
-from farfield.session import stage
+from farfield.session import passing, stage
 from farfield.streaming.areas import (
-    AREAS, absorb, center_of, members, summarize, virtual_neighbours, virtual_profiles,
+    AREAS, absorb, center_of, centers_near, summarize, virtual_neighbours, virtual_profiles,
 )
 from farfield.streaming.ilof import ARRIVALS, write_labels
 from farfield.streaming.insert import SCORED, find_neighbours, insert, owners
@@ -35,11 +39,18 @@ from farfield.streaming.state import Versions
 
 WINDOW = SCORED + ", ts bigint"
 TOP = "i bigint, lof double"
-GONE = "i bigint, reason string"
+WAITING = "key string, i bigint, x array<double>, place bigint"
+LABELS = "key string, label int, reason string"
+SAME = 9  # factors that agree in this many decimals are ties, whatever order they were summed in
+
+
+def rank(lof: str = "lof"):
+    """Factors as they are ordered by."""
+    return F.round(lof, SAME)
 
 
 def top_n(rows: DataFrame, n: int) -> DataFrame:
-    return rows.select("i", "lof").orderBy(F.desc("lof"), "i").limit(n)
+    return rows.select("i", "lof").orderBy(rank().desc(), "i").limit(n)
 
 
 def delete_rows(window: DataFrame, gone: DataFrame) -> DataFrame:
@@ -65,8 +76,28 @@ def delete_virtual(window: DataFrame, expired: DataFrame, dims: int) -> DataFram
     return delete_rows(window, stale.select(F.col("j").alias("i")))
 
 
+@dataclass(frozen=True)
+class State:
+    """Between two groups.  ``taken`` arrivals have been inserted in ``steps`` groups."""
+
+    window: DataFrame
+    areas: DataFrame
+    top: DataFrame
+    rows: int
+    areas_n: int
+    clock: int
+    taken: int
+    steps: int
+    owned: list = field(default_factory=list)  # keys and their points, of the groups of this batch
+    gone: list = field(default_factory=list)  # points that left in this batch: i, label, reason
+
+
 class WindowedLof:
-    """State of one bounded stream under ``root``; ``apply`` is a ``foreachBatch`` function."""
+    """State of one bounded stream under ``root``; ``apply`` is a ``foreachBatch`` function.
+
+    ``window`` is the most points it holds, unless neither rule can make room; ``step`` is a quarter
+    of that if not given.  ``trace`` names a folder for the window and the areas after each group.
+    """
 
     def __init__(
         self,
@@ -81,12 +112,15 @@ class WindowedLof:
         measure: str | Measure = "euclidean",
         technique: str = "flat",
         hashed: Family | None = None,
+        step: int | None = None,
+        trace: str | None = None,
     ):
         self.versions = Versions(spark, root)
         self.spark, self.root, self.measure = spark, root, measure
         self.k, self.size, self.dims, self.top = k, window, dims, top
         self.inlier_percent, self.max_age = inlier_percent, max_age
         self.technique, self.hashed = technique, hashed
+        self.step, self.trace = step or max(1, window // 4), trace
 
     def _manifest(self, batch_id: int | None) -> dict:
         return self.versions.manifest(self.versions.latest() if batch_id is None else batch_id)
@@ -97,78 +131,99 @@ class WindowedLof:
     def areas(self, batch_id: int | None = None) -> DataFrame:
         return self.versions.read(self._manifest(batch_id).get("areas", []), AREAS)
 
-    def apply(self, batch: DataFrame, batch_id: int) -> None:
-        before = self.versions.manifest(batch_id - 1)
-        read = lambda name, schema: self.versions.read(before.get(name, []), schema)
-        window, areas, top = read("window", WINDOW), read("areas", AREAS), read("top", TOP)
-        clock, any_areas = before.get("clock", 0), before.get("areas_n", 0) > 0
+    def waiting(self, batch_id: int | None = None) -> DataFrame:
+        """Arrivals that have not filled a group yet."""
+        return self.versions.read(self._manifest(batch_id).get("waiting", []), WAITING)
 
-        # a stream's own session has adaptive execution off, so go on in the caller's
-        arrived = stage(batch.select("key", F.col("seq").alias("i"), "x"), "arrived", self.spark)
-        owner = owners(window, arrived)
+    def apply(self, batch: DataFrame, batch_id: int, last: bool = False) -> None:
+        """Take in a micro-batch; with ``last``, also the arrivals that do not fill a group."""
+        before = self.versions.manifest(batch_id - 1)
+        with passing(self.spark):
+            # a stream's own session has adaptive execution off, so go on in the caller's
+            arrived = stage(
+                batch.select("key", F.col("seq").alias("i"), "x", F.lit(1).alias("one")), "arrived", self.spark
+            )
+            seen = before.get("seen", 0)
+            placed = running_totals(arrived, ["i", "key"], ["one"]).select(
+                "key", "i", "x", (F.col("before_one") + seen).cast("bigint").alias("place")
+            )
+            waiting = stage(self.versions.read(before.get("waiting", []), WAITING).unionByName(placed), "waiting")
+            seen += arrived.count()
+            state = self._advanced(self._state(before), waiting, seen, last)
+            keys, labels = self._settled(before, state)
+            self.versions.log("labels", batch_id, labels)
+            write = lambda name, rows: [self.versions.write(name, batch_id, rows)]
+            self.versions.commit(
+                batch_id,
+                {
+                    "window": write("window", state.window), "areas": write("areas", state.areas),
+                    "top": write("top", state.top), "keys": write("keys", keys),
+                    "waiting": write("waiting", waiting.filter(F.col("place") >= state.taken)),
+                    "rows": state.rows, "areas_n": state.areas_n, "clock": state.clock, "taken": state.taken,
+                    "steps": state.steps, "seen": seen,
+                },
+            )
+        self.versions.collect_garbage(batch_id)
+
+    def _state(self, manifest: dict) -> State:
+        read = lambda name, schema: self.versions.read(manifest.get(name, []), schema)
+        counts = {n: manifest.get(n, 0) for n in ("rows", "areas_n", "clock", "taken", "steps")}
+        return State(read("window", WINDOW), read("areas", AREAS), read("top", TOP), **counts)
+
+    def _advanced(self, state: State, waiting: DataFrame, seen: int, last: bool) -> State:
+        """The state after all groups that the waiting arrivals fill."""
+        while True:
+            room = self.size - state.rows
+            take = min(room, self.step) if room > 0 else self.step
+            if (left := seen - state.taken) < take and not (last and left):
+                return state
+            group = waiting.filter(F.col("place").between(state.taken, state.taken + take - 1))
+            state = self._grouped(replace(state, taken=min(seen, state.taken + take), steps=state.steps + 1), group)
+            if self.trace:
+                for name, rows in (("window", state.window), ("areas", state.areas)):
+                    rows.write.mode("overwrite").parquet(f"{self.trace}/{name}/step={state.steps}")
+
+    def _grouped(self, state: State, group: DataFrame) -> State:
+        """The state after one group of arrivals."""
+        owner = owners(state.window, group)
+        owned = [*state.owned, group.join(owner, "x").select("key", F.col("first").alias("i"))]
         fresh = owner.filter("fresh").select(
             F.col("first").alias("i"), "x", F.lit(0).cast("bigint").alias("leaf")
         )
-        keys = read("keys", ARRIVALS).unionByName(
-            arrived.join(owner, "x").select("key", F.col("first").alias("i"))
-        )
-
-        virtual = virtual_profiles(areas, self.dims) if any_areas else None
-        inside = stage(members(areas, fresh, self.measure), "inside") if any_areas else None
-        window, retained = self._insert(window, areas, fresh, inside, virtual, clock)
-        clock += retained
-        gone = self.spark.createDataFrame([], GONE)
+        window, inside, staying = self._insert(state, fresh)
+        state = replace(state, window=window, owned=owned, rows=state.rows + staying, clock=state.clock + staying)
         if inside is not None:
             profile = window.select("i", "kd", "lrd")
-            areas = absorb(areas, inside.join(profile, "i"), clock)
+            areas = stage(absorb(state.areas, inside.join(profile, "i"), state.clock), "areas")
             absorbed = inside.select("i").distinct()
-            window = stage(delete_rows(window, absorbed), "window")
-            gone = gone.unionByName(absorbed.withColumn("reason", F.lit("absorbed")))
-
-        flagged = None
-        rows = window.count()
-        if rows >= self.size and math.ceil(rows * self.inlier_percent / 100.0):
-            window, areas, summarized = self._summarize(window, areas, rows, clock)
-            gone = gone.unionByName(summarized)
-            rows = window.count()
-        if rows >= self.size:
-            window, areas, top, aged = self._age_out(window, areas, top, clock)
-            gone = gone.unionByName(aged)
-            flagged = top
-
-        gone = gone.dropDuplicates(["i"])
-        label = F.lit(0)
-        leaving = keys.join(gone, "i")
-        if flagged is not None:
-            leaving = leaving.join(flagged.select("i", F.lit(1).alias("hit")), "i", "left")
-            label = F.when(F.col("reason") == "aged", F.coalesce("hit", F.lit(0))).otherwise(F.lit(0))
-        labels = leaving.select("key", label.alias("label"), "reason", F.lit(batch_id).alias("batch_id"))
-        areas_path = self.versions.write("areas", batch_id, areas)
-        self.versions.commit(
-            batch_id,
-            {
-                "window": [self.versions.write("window", batch_id, window)],
-                "areas": [areas_path],
-                "top": [self.versions.write("top", batch_id, top)],
-                "keys": [self.versions.write("keys", batch_id, keys.join(gone, "i", "left_anti"))],
-                "labels": [*before.get("labels", []), self.versions.write("labels", batch_id, labels)],
-                "areas_n": self.versions.read([areas_path], AREAS).count(),
-                "clock": clock,
-                "seen": before.get("seen", 0) + arrived.count(),
-            },
-        )
-
-    def _insert(self, window, areas, fresh, inside, virtual, clock):
-        """The window with all arrivals in it, and how many of them will stay."""
+            state = replace(state, areas=areas, window=stage(delete_rows(window, absorbed), "window"), gone=[
+                *state.gone, absorbed.select("i", F.lit(0).alias("label"), F.lit("absorbed").alias("reason")),
+            ])
+        if state.rows + self.step > self.size and self.inlier_percent > 0:
+            state = self._summarized(state)
+        if state.rows + self.step > self.size:
+            state = self._aged(state)
+        return state
+
+    def _insert(self, state: State, fresh: DataFrame) -> tuple[DataFrame, DataFrame | None, int]:
+        """The window with all arrivals in it, which lie in which area, and how many will stay."""
+        window, areas = state.window, state.areas
         near, hits = find_neighbours(
             window, fresh, self.k, self.measure, self.technique, self.hashed
         )
-        if virtual is not None:
+        virtual = inside = None
+        if state.areas_n:
+            virtual = virtual_profiles(areas, self.dims)
             bound = F.when(F.size("nbrs") < self.k, F.lit(float("inf"))).otherwise(
                 k_distance(F.col("nbrs"), self.k)
             )
             asking = stage(near.select("i", bound.alias("bound"), "nbrs").join(fresh, "i"), "asking")
-            rim = virtual_neighbours(areas, asking.select("i", "x", "bound"), self.dims, self.measure, self.k)
+            about = stage(centers_near(areas, asking, self.measure), "about")
+            inside = stage(
+                about.join(areas.select("center", "radius"), "center").filter("dist <= radius").select("center", "i", "dist"),
+                "inside",
+            )
+            rim = virtual_neighbours(areas, asking, self.dims, self.measure, self.k, about)
             near = asking.select("i", "nbrs").join(rim.select("i", F.col("nbrs").alias("rim")), "i", "left")
             near = near.select(
                 "i",
@@ -181,53 +236,74 @@ class WindowedLof:
         if inside is not None:
             staying = staying.join(inside.select("i"), "i", "left_anti")
         stamps = running_totals(staying.withColumn("one", F.lit(1)), ["i"], ["one"]).select(
-            "i", (F.col("before_one") + clock).cast("bigint").alias("ts")
+            "i", (F.col("before_one") + state.clock).cast("bigint").alias("ts")
         )
         stamps = window.select("i", "ts").unionByName(stamps)
         untouched = window.drop("ts").join(changed.select("i"), "i", "left_anti")
         whole = untouched.unionByName(changed).join(stamps, "i", "left")
-        return stage(whole, "window"), staying.count()
-
-    def _summarize(self, window, areas, rows, clock):
-        centers = stage(
-            window.orderBy("lof", "i").limit(math.ceil(rows * self.inlier_percent / 100.0)).select("i"),
-            "centers",
-        )
-        virtual = virtual_profiles(areas, self.dims)
-        made = summarize(window, centers, clock, virtual)
+        return stage(whole, "window"), inside, staying.count()
+
+    def _summarized(self, state: State) -> State:
+        window, areas = state.window, state.areas
+        cut = min(state.rows, math.ceil(state.rows * self.inlier_percent / 100.0))
+        ranked = window.select(rank().alias("rank"), "i", F.lit(1).alias("one"))
+        placed = running_totals(ranked, ["rank", "i"], ["one"])
+        centers = stage(placed.filter(F.col("before_one") < cut).select("i"), "centers")
+        made = summarize(window, centers, state.clock, virtual_profiles(areas, self.dims))
         around = edges(window.join(centers, "i", "left_semi")).select(F.col("j").alias("i"))
         doomed = stage(centers.unionByName(around).distinct(), "doomed")
         left = stage(delete_rows(window, doomed), "window")
-        gone = doomed.filter("i >= 0").withColumn("reason", F.lit("summarized"))
-        return left, areas.unionByName(made.select(*areas.columns)), gone
-
-    def _age_out(self, window, areas, top, clock):
-        old = F.lit(clock) - F.col("ts") > self.max_age
-        aged = stage(window.filter(old).select("i", "lof"), "aged")
-        expired = stage(areas.filter(old).select("center"), "expired")
-        best = stage(top_n(top.unionByName(aged), self.top), "top")
-        left = delete_virtual(delete_rows(window, aged), expired, self.dims)
-        areas = areas.join(expired, "center", "left_anti").select(*areas.columns)
-        gone = aged.select("i", F.lit("aged").alias("reason"))
-        return stage(left, "window"), areas, best, gone
+        areas = stage(areas.unionByName(made.select(*areas.columns)), "areas")
+        gone = doomed.filter("i >= 0").select("i", F.lit(0).alias("label"), F.lit("summarized").alias("reason"))
+        return replace(
+            state, window=left, areas=areas, rows=left.count(), areas_n=state.areas_n + cut, gone=[*state.gone, gone]
+        )
+
+    def _aged(self, state: State) -> State:
+        old = F.lit(state.clock) - F.col("ts") > self.max_age
+        aged = stage(state.window.filter(old).select("i", "lof"), "aged")
+        expired = stage(state.areas.filter(old).select("center"), "expired")
+        best = stage(top_n(state.top.unionByName(aged), self.top), "top")
+        left = stage(delete_virtual(delete_rows(state.window, aged), expired, self.dims), "window")
+        areas = stage(state.areas.join(expired, "center", "left_anti").select(*state.areas.columns), "areas")
+        hits = best.select("i", F.lit(1).alias("hit"))
+        gone = aged.select("i").join(hits, "i", "left").select(
+            "i", F.coalesce("hit", F.lit(0)).alias("label"), F.lit("aged").alias("reason")
+        )
+        return replace(
+            state, window=left, areas=areas, top=best, rows=state.rows - aged.count(), areas_n=areas.count(),
+            gone=[*state.gone, gone],
+        )
+
+    def _settled(self, before: dict, state: State) -> tuple[DataFrame, DataFrame]:
+        """Keys of the points still in the window, and the labels of those that left it."""
+        none = self.spark.createDataFrame([], "i bigint, label int, reason string")
+        keys = reduce(DataFrame.unionByName, state.owned, self.versions.read(before.get("keys", []), ARRIVALS))
+        gone = stage(reduce(DataFrame.unionByName, state.gone, none), "gone")
+        return keys.join(gone, "i", "left_anti").select("key", "i"), keys.join(gone, "i").select("key", "label", "reason")
 
     def labels(self) -> DataFrame:
-        """All labels so far: ``key, label, reason, batch_id``; points still in the window
-        are labelled ``final`` against the top outliers including the aged ones."""
+        """All labels so far: ``key, label, reason``, as if the stream ended here.
+
+        Arrivals that have not filled a group are taken in for that, but not kept.  Points still
+        in the window are labelled ``final`` against the top outliers including the aged ones.
+        """
         last = self.versions.latest()
-        manifest = self.versions.manifest(last)
-        emitted = self.versions.read(
-            manifest.get("labels", []), "key string, label int, reason string, batch_id int"
+        emitted = self.versions.logged("labels", LABELS, last).select("key", "label", "reason")
+        return emitted.unionByName(self._closing())
+
+    def _closing(self) -> DataFrame:
+        """Labels of the points that have none yet, were the stream to end now."""
+        manifest = self._manifest(None)
+        state = self._advanced(
+            self._state(manifest), self.versions.read(manifest.get("waiting", []), WAITING), manifest.get("seen", 0), True
         )
-        window = self.versions.read(manifest.get("window", []), WINDOW)
-        top = self.versions.read(manifest.get("top", []), TOP).unionByName(window.select("i", "lof"))
-        hits = top_n(top, self.top).select("i", F.lit(1).alias("hit"))
-        keys = self.versions.read(manifest.get("keys", []), ARRIVALS)
-        final = keys.join(window.select("i"), "i", "left_semi").join(hits, "i", "left").select(
-            "key", F.coalesce("hit", F.lit(0)).alias("label"), F.lit("final").alias("reason"),
-            F.lit(last).alias("batch_id"),
+        keys, labels = self._settled(manifest, state)
+        hits = top_n(state.top.unionByName(state.window.select("i", "lof")), self.top).select("i", F.lit(1).alias("hit"))
+        final = keys.join(hits, "i", "left").select(
+            "key", F.coalesce("hit", F.lit(0)).alias("label"), F.lit("final").alias("reason")
         )
-        return emitted.unionByName(final)
+        return labels.unionByName(final)
 
     def start(
         self, points: DataFrame, checkpoint: str, sink: str | None = None, total_points: int | None = None
@@ -235,17 +311,16 @@ class WindowedLof:
         """Run over a stream of ``key, seq, x`` until its data is used up.
 
         With ``sink``, every batch writes the labels of the points that left the window, and
-        why.  Those still in it get theirs when ``total_points`` have been seen, or from
-        ``finish`` when the stream has ended.
+        why.  The others get theirs when ``total_points`` have been seen, or from ``finish``
+        when the stream has ended.
         """
 
         def step(batch: DataFrame, batch_id: int) -> None:
             self.apply(batch, batch_id)
-            manifest = self.versions.manifest(batch_id)
             if sink:
-                schema = "key string, label int, reason string, batch_id int"
-                write_labels(self.versions.read(manifest["labels"][-1:], schema), sink, "left", batch_id)
-            if sink and total_points is not None and manifest["seen"] >= total_points:
+                left = self.versions.logged("labels", LABELS, batch_id).filter(F.col("batch") == batch_id)
+                write_labels(left, sink, f"left-{batch_id}", batch_id)
+            if sink and total_points is not None and self._manifest(batch_id)["seen"] >= total_points:
                 self.finish(sink)
 
         return (
@@ -256,5 +331,6 @@ class WindowedLof:
         )
 
     def finish(self, sink: str) -> None:
-        """Write the labels of the points still in the window; writing again replaces them."""
-        write_labels(self.labels().filter("reason = 'final'"), sink, "final", self.versions.latest())
+        """Write the labels that ``labels`` adds at the end; writing again replaces them."""
+        with passing(self.spark):
+            write_labels(self._closing(), sink, "final", self.versions.latest())

@@ -2,6 +2,8 @@
 
 A batch reads the manifest of the batch before it and writes its own last, so running a
 batch again after a failure starts from the same state and overwrites its own output.
+What only grows (labels, arrivals) is a log: a folder with one part per batch, in no manifest.
+Once a batch is committed, segments that neither it nor the batch before it names are deleted.
 """
 
 from __future__ import annotations
@@ -9,6 +11,9 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from farfield.session import delete
 
 
 class Versions:
@@ -52,6 +57,35 @@ class Versions:
             fs.delete(done, False)
         fs.rename(draft, done)
 
+    def log(self, name: str, batch_id: int, rows: DataFrame) -> None:
+        """Set the part of a batch in the log ``name``."""
+        rows.write.mode("overwrite").parquet(f"{self.root}/{name}/batch={batch_id}")
+
+    def logged(self, name: str, schema: str, batch_id: int) -> DataFrame:
+        """The log ``name`` up to a batch, with ``batch``."""
+        folder = self._path(name)
+        if not self._fs(folder).exists(folder):
+            return self.spark.createDataFrame([], f"{schema}, batch int")
+        rows = self.spark.read.schema(f"{schema}, batch int").parquet(f"{self.root}/{name}")
+        return rows.filter(F.col("batch") <= batch_id)
+
+    def collect_garbage(self, batch_id: int) -> None:
+        """Delete what batches before the one before ``batch_id`` left and no later one names."""
+        needed = self._named(self.manifest(batch_id)) | self._named(self.manifest(batch_id - 1))
+        old = batch_id - 2
+        while past := self.manifest(old):
+            for path in self._named(past) - needed:
+                delete(self.spark, path)
+            delete(self.spark, self._path("commits", f"{old}.json").toString())
+            old -= 1
+
+    def _named(self, value) -> set[str]:
+        """Every path of this state that a manifest names."""
+        if isinstance(value, str):
+            return {value} if value.startswith(f"{self.root}/") else set()
+        parts = value.values() if isinstance(value, dict) else value if isinstance(value, list) else ()
+        return set().union(*map(self._named, parts))
+
     def read(self, paths: list[str], schema) -> DataFrame:
         if not paths:
             return self.spark.createDataFrame([], schema)

@@ -1,4 +1,4 @@
-"""The windowed stream's rules on plain dictionaries, one batch at a time."""
+"""The windowed stream's rules on plain dictionaries, one group of arrivals at a time."""
 
 import math
 
@@ -8,9 +8,9 @@ from tests.brute import ratio
 
 
 class Window:
-    def __init__(self, k, size, inlier_percent, max_age, dims, top):
-        self.k, self.size, self.percent, self.max_age = k, size, inlier_percent, max_age
-        self.dims, self.top_n = dims, top
+    def __init__(self, k, window, inlier_percent, max_age, dims, top, step):
+        self.k, self.size, self.percent, self.max_age = k, window, inlier_percent, max_age
+        self.dims, self.top_n, self.step = dims, top, step
         self.points, self.areas, self.top, self.labels, self.clock = {}, {}, [], {}, 0
 
     def cut(self, near):
@@ -39,6 +39,25 @@ class Window:
         for p in self.points.values():
             p["near"] = {j: d for j, d in p["near"].items() if j not in gone}
 
+    def run(self, points):
+        """All of ``points``, group by group; the state after each group, and the label and reason
+        of every point."""
+        taken, owner, history = 0, {}, []
+        while taken < len(points):
+            room = self.size - len(self.points)
+            group = range(taken, min(len(points), taken + (min(room, self.step) if room > 0 else self.step)))
+            known = {tuple(p["x"]): i for i, p in self.points.items()}
+            for i in group:
+                owner[i] = known.setdefault(tuple(points[i]), i)
+            self.apply([(i, points[i]) for i in group if owner[i] == i])
+            taken = group[-1] + 1
+            history.append((
+                {i: (set(p["near"]), p["ts"], p["kd"], p["lrd"], p["lof"]) for i, p in self.points.items()},
+                {c: (a["number"], a["ts"], a["radius"], a["avg_kd"], a["avg_lrd"]) for c, a in self.areas.items()},
+            ))
+        labels = self.final()
+        return history, {i: labels[owner[i]] for i in owner}
+
     def apply(self, batch):
         fresh = {i: x for i, x in batch if tuple(x) not in {tuple(p["x"]) for p in self.points.values()}}
         inside = [
@@ -84,13 +103,13 @@ class Window:
         self.delete(absorbed)
         self.labels |= {i: (0, "absorbed") for i in absorbed}
 
-        if len(self.points) >= self.size:
+        if len(self.points) + self.step > self.size:
             self.summarize()
-        if len(self.points) >= self.size:
+        if len(self.points) + self.step > self.size:
             self.age_out()
 
     def summarize(self):
-        order = sorted(self.points, key=lambda i: (math.isnan(self.points[i]["lof"]), self.points[i]["lof"], i))
+        order = sorted(self.points, key=lambda i: (math.isnan(self.points[i]["lof"]), round(self.points[i]["lof"], 9), i))
         doomed, made = set(), {}
         for c in order[: math.ceil(len(order) * self.percent / 100.0)]:
             p = self.points[c]
@@ -116,7 +135,7 @@ class Window:
             del self.areas[c]
 
     def best(self, rows):
-        return sorted(rows, key=lambda t: (not math.isnan(t[1]), -np.nan_to_num(t[1], nan=0.0), t[0]))[: self.top_n]
+        return sorted(rows, key=lambda t: (not math.isnan(t[1]), -round(np.nan_to_num(t[1], nan=0.0), 9), t[0]))[: self.top_n]
 
     def final(self):
         top = {i for i, _ in self.best([*self.top, *((i, p["lof"]) for i, p in self.points.items())])}

@@ -69,57 +69,66 @@ def test_a_batch_of_copies_only(spark, tmp_path):
     assert model.labels(1).filter("label = 1").count() == 2
 
 
-def test_windowed_follows_the_rules(spark, tmp_path):
-    x = np.round(np.random.default_rng(8).normal(size=(34, 2)), 3)
-    x[20:26] = np.round(x[:6] + 0.01, 3)  # arrivals near old points, so inside areas
-    sizes = [10, 1, 8, 1, 6, 1, 7]
-    rules = dict(k=3, window=7, inlier_percent=5, max_age=7, dims=2, top=3)
-    model = WindowedLof(spark, str(tmp_path), **rules)
-    plain = Window(3, 7, 5, 7, 2, 3)
-    points, start = parsed(records(spark, x), 2), 0
-    for b, size in enumerate(sizes):
-        rows = range(start, start + size)
-        model.apply(points.filter(F.col("seq").between(start, start + size - 1)), b)
-        plain.apply([(i, x[i].tolist()) for i in rows])
-        start += size
-        got = {
-            r["i"]: ({e["j"] for e in r["nbrs"]}, r["ts"], r["kd"], r["lrd"], r["lof"])
-            for r in model.window(b).collect()
-        }
-        assert got.keys() == plain.points.keys(), b
-        for i, p in plain.points.items():
-            assert got[i][:2] == (set(p["near"]), p["ts"]), (b, i)
-            np.testing.assert_allclose(got[i][2:], (p["kd"], p["lrd"], p["lof"]), rtol=1e-9)
-        areas = {r["center"]: r for r in model.areas(b).collect()}
-        assert areas.keys() == plain.areas.keys(), b
-        for c, a in plain.areas.items():
-            assert (areas[c]["number"], areas[c]["ts"]) == (a["number"], a["ts"]), (b, c)
-            np.testing.assert_allclose(
-                [areas[c][n] for n in ("radius", "avg_kd", "avg_lrd")],
-                [a[n] for n in ("radius", "avg_kd", "avg_lrd")], rtol=1e-9,
-            )
+RULES = dict(k=3, window=16, inlier_percent=10, max_age=4, dims=2, top=3, step=10)
+
+
+def drifting():
+    """Thirty points that, in groups of ten, meet every rule."""
+    x = np.round(np.random.default_rng(2).normal(size=(30, 2)), 3)
+    x[16:22] = np.round(x[:6] + 0.01, 3)  # arrivals near old points, so inside areas
+    x[23] = x[22]  # and a copy
+    return x
+
+
+@pytest.mark.parametrize("batches", [1, 3, 7])
+def test_windowed_follows_the_rules_whatever_the_batches(spark, tmp_path, batches):
+    x = drifting()
+    model = WindowedLof(spark, f"{tmp_path}/state", **RULES, trace=f"{tmp_path}/trace")
+    points = parsed(records(spark, x), 2)
+    for b, part in enumerate(np.array_split(np.arange(len(x)), batches)):
+        batch = points.filter(F.col("seq").between(int(part[0]), int(part[-1])))
+        model.apply(batch, b)
+        if b == 2:
+            model.apply(batch, b)  # run again after a failure
     labels = {int(r["key"][1:]): (r["label"], r["reason"]) for r in model.labels().collect()}
-    assert labels == plain.final()
-    assert {reason for _, reason in labels.values()} >= {"absorbed", "summarized", "aged", "final"}
+    history, want = Window(**RULES).run(x.tolist())
+    assert labels == want
+    assert {reason for _, reason in want.values()} == {"absorbed", "summarized", "aged", "final"}
+    windows, areas = (spark.read.parquet(f"{tmp_path}/trace/{n}").collect() for n in ("window", "areas"))
+    assert {r["step"] for r in windows} == set(range(1, len(history) + 1))
+    for s, (held, centers) in enumerate(history, 1):
+        got = {r["i"]: r for r in windows if r["step"] == s}
+        assert got.keys() == held.keys() and len(got) <= RULES["window"], s
+        for i, p in held.items():
+            assert ({e["j"] for e in got[i]["nbrs"]}, got[i]["ts"]) == p[:2], (s, i)
+            np.testing.assert_allclose([got[i][c] for c in ("kd", "lrd", "lof")], p[2:], rtol=1e-9)
+        got = {r["center"]: r for r in areas if r["step"] == s}
+        assert got.keys() == centers.keys(), s
+        for c, a in centers.items():
+            assert (got[c]["number"], got[c]["ts"]) == a[:2], (s, c)
+            np.testing.assert_allclose([got[c][n] for n in ("radius", "avg_kd", "avg_lrd")], a[2:], rtol=1e-9)
+    # what batches before the last two left is gone
+    state = tmp_path / "state"
+    assert {p.name for p in (state / "commits").glob("[0-9]*.json")} == {f"{b}.json" for b in range(max(0, batches - 2), batches)}
+    assert all(len(list((state / n).glob("v*"))) == min(2, batches) for n in ("window", "areas", "keys", "waiting", "top"))
 
 
 def test_windowed_sink_holds_every_label(spark, tmp_path):
-    x = np.round(np.random.default_rng(9).normal(size=(60, 2)), 3)
     source = str(tmp_path / "in")
-    for b in range(3):
-        rows = records(spark, x).filter(F.col("seq").between(20 * b, 20 * b + 19))
+    for b in range(2):
+        rows = records(spark, drifting()).filter(F.col("seq").between(15 * b, 15 * b + 14))
         rows.coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema("key string, value string, seq bigint").option("maxFilesPerTrigger", 1).parquet(source)
-    for name, total in (("a", 60), ("b", None)):
-        model = WindowedLof(spark, str(tmp_path / name), k=3, window=15, inlier_percent=5, max_age=20, dims=2, top=3)
+    want = {f"k{i}": r for i, r in Window(**RULES).run(drifting().tolist())[1].items()}
+    for name, total in (("a", 30), ("b", None)):
+        model = WindowedLof(spark, str(tmp_path / name), **RULES)
         sink = str(tmp_path / f"{name}-sink")
         model.start(parsed(stream, 2), str(tmp_path / f"{name}-ckpt"), sink, total).awaitTermination()
         if total is None:
             model.finish(sink)
             model.finish(sink)
-        held = lambda df: sorted(map(tuple, df.select("key", "label", "reason").collect()))
-        assert held(spark.read.parquet(sink)) == held(model.labels())
-        assert len({r[0] for r in held(model.labels())}) == 60
+        held = spark.read.parquet(sink).collect()
+        assert len(held) == 30 and {r["key"]: (r["label"], r["reason"]) for r in held} == want
 
 
 def test_arrivals_may_be_found_in_buckets(spark, tmp_path):
