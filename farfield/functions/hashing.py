@@ -26,6 +26,7 @@ class Family:
     tables: int
     signature: Callable[[Column, int], Column]
     bits: int | None = None  # signatures are this many bits in a bigint, if set
+    sides: int | None = None  # bits of a signature that tells sides of hyperplanes
 
     def bucket(self, x: Column, table: int) -> Column:
         return F.xxhash64(F.lit(table), self.signature(x, table))
@@ -33,6 +34,13 @@ class Family:
     def buckets(self, x: Column) -> Column:
         return F.array(*(self.bucket(x, t) for t in range(self.tables)))
 
+    def signatures(self, x: Column) -> Column:
+        return F.array(*(self.signature(x, t) for t in range(self.tables)))
+
+    def shorter(self, signature: Column, hashes: int) -> Column:
+        """What the first ``hashes`` of a signature's hashes give."""
+        return F.slice(signature, 1, hashes) if self.bits is None else F.shiftright(signature, self.bits - hashes)
+
 
 def _literal(vector) -> Column:
     return F.expr("array(" + ",".join(f"{float(v)!r}D" for v in vector) + ")")
@@ -61,7 +69,7 @@ def sign_family(planes, measure: str | Measure = "euclidean", name: str = "plane
             word = word.bitwiseOR(F.shiftleft(side, hashes - 1 - place))
         return word
 
-    return Family(name, resolve(measure), tables, signature, hashes if hashes <= 62 else None)
+    return Family(name, resolve(measure), tables, signature, hashes if hashes <= 62 else None, hashes)
 
 
 def projection_family(projections, offsets, width: float) -> Family:

@@ -109,22 +109,24 @@ def with_run_parameters(results: DataFrame, name: str = "run") -> DataFrame:
     return results.select("*", *(c.alias(n) for n, c in run_parameters(F.col(name)).items()))
 
 
-def neighbour_quality(approximate: DataFrame, exact: DataFrame, touched: int | None = None) -> DataFrame:
-    """How well approximate neighbour lists reproduce exact ones; one row.
+def neighbour_quality(
+    approximate: DataFrame, exact: DataFrame, touched: int | None = None, by: tuple[str, ...] = ()
+) -> DataFrame:
+    """How well approximate neighbour lists reproduce exact ones; one row, or one for each ``by``.
 
     A query counts as correct when both lists agree at every place of the shorter one.
     ``touched`` is the number of candidate pairs examined.
     """
     ids = lambda lists: F.transform(lists, lambda e: e["j"])
     none = F.array().cast("array<bigint>")
-    both = approximate.select("i", ids("nbrs").alias("a")).join(
-        exact.select("i", ids("nbrs").alias("e")), "i", "full_outer"
+    both = approximate.select(*by, "i", ids("nbrs").alias("a")).join(
+        exact.select(*by, "i", ids("nbrs").alias("e")), [*by, "i"], "full_outer"
     )
-    both = both.select(F.coalesce("a", none).alias("a"), F.coalesce("e", none).alias("e"))
+    both = both.select(*by, F.coalesce("a", none).alias("a"), F.coalesce("e", none).alias("e"))
     shared = F.size(F.array_intersect("a", "e"))
     short = F.least(F.size("a"), F.size("e"))
     agree = F.slice("a", F.lit(1), short) == F.slice("e", F.lit(1), short)
-    sums = both.agg(
+    sums = both.groupBy(*by).agg(
         F.count("*").alias("queries"),
         F.sum(shared).alias("tp"),
         F.sum(F.size("a") - shared).alias("fp"),
@@ -133,7 +135,7 @@ def neighbour_quality(approximate: DataFrame, exact: DataFrame, touched: int | N
     )
     share = lambda part, whole: F.try_divide(F.col(part) * F.lit(100.0), whole)
     rated = sums.select(
-        "queries", "tp", "fp", "fn",
+        *by, "queries", "tp", "fp", "fn",
         share("tp", F.col("tp") + F.col("fp")).alias("precision"),
         share("tp", F.col("tp") + F.col("fn")).alias("recall"),
         share("correct", F.col("queries")).alias("correct_pct"),

@@ -8,7 +8,7 @@ size is cut into leaves like any other crowd of points.
 
 from __future__ import annotations
 
-from itertools import combinations
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +28,8 @@ def bucket_rows(points: DataFrame, hashed: Family) -> DataFrame:
     return points.select(*keep, F.posexplode(hashed.buckets(F.col("x"))).alias("tab", "grp"))
 
 
-def _merged(per_bucket: DataFrame, k: int) -> DataFrame:
-    pooled = per_bucket.groupBy("i").agg(
+def _merged(per_bucket: DataFrame, k: int, *by: str) -> DataFrame:
+    pooled = per_bucket.groupBy(*by, "i").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("nbrs")))).alias("nbrs")
     )
     return keep_nearest(pooled, k)
@@ -59,44 +59,82 @@ def lsh_knn(
     return found.filter("n > 0").unionByName(extra)
 
 
-def _probed(points: DataFrame, lonely: DataFrame, k: int, hashed: Family, measure) -> DataFrame:
-    """Neighbours of lonely points in whole buckets added by Hamming distance until at
-    least ``k`` points are in reach.
+WORD = 32  # bits held in one number while distances are counted
 
-    Buckets are reached by flipping bits of the point's own signature, one more bit per
-    round, so each round is an equi-join of the points still short.
-    """
+
+def _bits(hashed: Family, x: Column) -> Column:
+    """The sides of ``x`` in the first table as text of 0 and 1, which sorts as numbers do."""
+    signature = hashed.signature(x, 0)
     if hashed.bits is None:
-        raise ValueError("probing needs signatures of at most 62 bits")
-    word = hashed.signature(F.col("x"), 0)
-    sizes = stage(points.groupBy(word.alias("word")).agg(F.count("*").alias("size")), "buckets")
-    short = lonely.select("i", word.alias("own"), F.lit(0).cast("bigint").alias("have"))
-    chosen = None
-    for flips in range(1, hashed.bits + 1):
-        if short.isEmpty():
-            break
-        masks = [sum(1 << b for b in picked) for picked in combinations(range(hashed.bits), flips)]
-        reach = short.withColumn("mask", F.explode(F.expr(f"array({','.join(f'{m}L' for m in masks)})")))
-        reach = reach.withColumn("word", F.col("own").bitwiseXOR(F.col("mask"))).join(sizes, "word")
-        before = F.coalesce(
-            F.sum("size").over(
-                Window.partitionBy("i").orderBy("word").rowsBetween(Window.unboundedPreceding, -1)
-            ),
-            F.lit(0),
-        )
-        taken = stage(reach.withColumn("before", F.col("have") + before).filter(F.col("before") < k), "probe")
-        chosen = taken.select("i", "word") if chosen is None else chosen.unionByName(taken.select("i", "word"))
-        more = taken.groupBy("i").agg(F.sum("size").alias("more"))
-        short = stage(
-            short.join(more, "i", "left")
-            .select("i", "own", (F.col("have") + F.coalesce("more", F.lit(0))).alias("have"))
-            .filter(F.col("have") < k),
-            "short",
-        )
-    if chosen is None:
-        return keep_nearest(
-            lonely.select("i", F.array().cast("array<struct<dist: double, j: bigint>>").alias("nbrs")), k
+        return F.array_join(F.transform(signature, lambda b: b.cast("string")), "")
+    return F.lpad(F.conv(signature.cast("string"), 10, 2), hashed.sides, "0")
+
+
+def _apart(a: str, b: str, sides: int) -> Column:
+    """In how many places two such texts differ."""
+    word = lambda c, at: F.conv(F.substring(c, at + 1, WORD), 2, 10).cast("bigint")
+    return reduce(Column.__add__, (
+        F.bit_count(word(a, at).bitwiseXOR(word(b, at))) for at in range(0, sides, WORD)
+    ))
+
+
+def _pieces(bits: str, sides: int, count: int) -> Column:
+    """``bits`` cut into ``count`` pieces, each with its place."""
+    ends = [sides * p // count for p in range(count + 1)]
+    return F.array(*(
+        F.struct(F.lit(p).alias("place"), F.substring(bits, low + 1, high - low).alias("value"))
+        for p, (low, high) in enumerate(zip(ends, ends[1:]))
+    ))
+
+
+def _nearest_buckets(points: DataFrame, lonely: DataFrame, k: int, hashed: Family) -> DataFrame:
+    """``i, word``: for each lonely point whole buckets by Hamming distance, then word, until
+    they hold at least ``k`` points.
+
+    Words within ``r`` bits agree in one of ``r + 1`` pieces, so those of a point are found by an
+    equi-join on pieces.  The radius doubles for the points that are still short.
+    """
+    sides = hashed.sides
+    words = stage(points.groupBy(_bits(hashed, F.col("x")).alias("word")).agg(F.count("*").alias("size")), "buckets")
+    short = stage(lonely.select("i", _bits(hashed, F.col("x")).alias("own")), "short")
+    chosen, radius = [], 1
+    before = F.coalesce(
+        F.sum("size").over(
+            Window.partitionBy("i").orderBy("apart", "word").rowsBetween(Window.unboundedPreceding, -1)
+        ),
+        F.lit(0),
+    )
+    while True:
+        count = min(radius + 1, sides)
+        asked = short.select("i", "own", F.explode(_pieces("own", sides, count)).alias("piece"))
+        offered = words.select("word", "size", F.explode(_pieces("word", sides, count)).alias("piece"))
+        found = asked.join(offered, "piece").filter("own <> word").withColumn("apart", _apart("own", "word", sides))
+        found = found.filter(F.col("apart") <= radius).select("i", "word", "size", "apart").distinct()
+        if radius >= sides:  # the word that is the opposite in every place agrees in none
+            opposite = words.withColumn("own", F.translate("word", "01", "10"))
+            found = found.unionByName(
+                short.join(opposite, "own").select("i", "word", "size", F.lit(sides).cast("int").alias("apart"))
+            )
+        found = stage(
+            found
+            .withColumn("before", before).filter(F.col("before") < k),
+            "near-buckets",
         )
+        held = found.groupBy("i").agg(F.sum("size").alias("have"))
+        enough = held.filter((F.col("have") >= k) | F.lit(radius >= sides)).select("i")
+        chosen.append(found.join(enough, "i", "left_semi").select("i", "word"))
+        short = stage(short.join(enough, "i", "left_anti"), "short")
+        if radius >= sides or short.isEmpty():
+            return reduce(DataFrame.unionByName, chosen)
+        radius = min(2 * radius, sides)
+
+
+def _probed(points: DataFrame, lonely: DataFrame, k: int, hashed: Family, measure) -> DataFrame:
+    """Neighbours of lonely points in the nearest whole buckets that hold at least ``k`` points."""
+    if hashed.sides is None:
+        raise ValueError("probing needs signatures of hyperplane sides")
+    word = _bits(hashed, F.col("x"))
+    chosen = stage(_nearest_buckets(points, lonely, k, hashed), "probe")
     asking = lonely.select("i", "x").join(chosen, "i").select(
         "i", "x", F.lit(QUERY).alias("role"), F.xxhash64("word").alias("grp")
     )
@@ -195,34 +233,40 @@ def _first_shared(batches):
             # Python numbers: copies of copies may go beyond 64 bits
             total = sum(w * sum(v for v, k in zip(r["bw"], row) if k) for w, row in zip(r["aw"], new.tolist()))
             pairs.append(str(total if own else 2 * total))
-        yield pa.RecordBatch.from_arrays([pa.array(batch["tab"]), pa.array(pairs, pa.string())], names=["tab", "pairs"])
+        yield pa.RecordBatch.from_arrays(
+            [batch["run"], batch["tab"], pa.array(pairs, pa.string())], names=["run", "tab", "pairs"]
+        )
 
 
 def shared_pairs(signed: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """``tab, pairs``: how many (query, candidate) pairs share a bucket first in that table.
+    """``run, tab, pairs``: how many (query, candidate) pairs share a bucket first in that table.
 
-    ``signed`` has a row per point and its buckets, table by table, as ``signs``.
+    ``signed`` has a row per point and its buckets, table by table, as ``signs``; with ``run``,
+    every run has tables of its own.
 
     Pairs are compared, as the search itself compares them, chunk by chunk inside buckets,
     and only counted; equal signatures are one with a weight.  A point pairs with itself and
     its copies in the first table.
     """
-    signed = stage(signed.groupBy("signs").agg(F.count("*").alias("w")), "signatures")
-    rows = signed.select("signs", "w", F.posexplode("signs").alias("tab", "grp"))
-    sizes = rows.groupBy("tab", "grp").agg(F.ceil(F.count("*") / chunk).alias("chunks"))
+    runs = signed if "run" in signed.columns else signed.withColumn("run", F.lit(0))
+    signed = stage(runs.groupBy("run", "signs").agg(F.count("*").alias("w")), "signatures")
+    rows = signed.select("run", "signs", "w", F.posexplode("signs").alias("tab", "grp"))
+    sizes = rows.groupBy("run", "tab", "grp").agg(F.ceil(F.count("*") / chunk).alias("chunks"))
     blocks_ = stage(
-        rows.join(sizes.filter("chunks > 1"), ["tab", "grp"], "left")
+        rows.join(sizes.filter("chunks > 1"), ["run", "tab", "grp"], "left")
         .withColumn("at", F.pmod(F.xxhash64("signs"), F.coalesce("chunks", F.lit(1).cast("bigint"))))
-        .groupBy("tab", "grp", "at").agg(F.flatten(F.collect_list("signs")).alias("s"), F.collect_list("w").alias("w")),
+        .groupBy("run", "tab", "grp", "at").agg(F.flatten(F.collect_list("signs")).alias("s"), F.collect_list("w").alias("w")),
         "chunks",
     )
-    side = lambda at, s: blocks_.select("tab", "grp", F.col("at").alias(at), F.col("s").alias(s), F.col("w").alias(f"{s}w"))
-    met = side("x", "a").join(side("y", "b"), ["tab", "grp"]).filter("x <= y")
+    side = lambda at, s: blocks_.select(
+        "run", "tab", "grp", F.col("at").alias(at), F.col("s").alias(s), F.col("w").alias(f"{s}w")
+    )
+    met = side("x", "a").join(side("y", "b"), ["run", "tab", "grp"]).filter("x <= y")
     met = met.filter((F.size("aw") > 1) | (F.size("bw") > 1) | (F.col("x") < F.col("y")))
-    counted = met.select("tab", "x", "y", "a", "aw", "b", "bw").mapInArrow(_first_shared, "tab int, pairs string")
+    counted = met.select("run", "tab", "x", "y", "a", "aw", "b", "bw").mapInArrow(_first_shared, "run int, tab int, pairs string")
     wide = "decimal(38,0)"
-    same = signed.select(F.lit(0).alias("tab"), (F.col("w").cast("decimal(19,0)") * F.col("w")).cast(wide).alias("pairs"))
-    return counted.select("tab", F.col("pairs").cast(wide).alias("pairs")).unionByName(same).groupBy("tab").agg(
+    same = signed.select("run", F.lit(0).alias("tab"), (F.col("w").cast("decimal(19,0)") * F.col("w")).cast(wide).alias("pairs"))
+    return counted.select("run", "tab", F.col("pairs").cast(wide).alias("pairs")).unionByName(same).groupBy("run", "tab").agg(
         F.sum("pairs").alias("pairs")
     )
 
@@ -242,31 +286,49 @@ def quality_grid(
     tables: tuple[int, ...] = (2, 4, 8, 16),
     families: tuple[str, ...] = ("l2", "l1", "cos"),
     seed: int = 0,
+    made: dict[str, Family] | None = None,
 ) -> DataFrame:
     """Neighbour quality for every family, number of hashes and number of tables.
 
-    Cosine hashes are single bits, so that family gets eight times as many.  Buckets are
-    searched once per family and number of hashes, with the most tables; fewer tables are
-    the first ones of those.
+    Cosine hashes are single bits, so that family gets eight times as many.  Fewer hashes are the
+    first ones of a longer signature, fewer tables the first ones of more: so a vector is signed
+    once per family, all its buckets are searched by one join, and pairs are counted in one pass
+    for all.  ``made`` gives families of one's own, with the most hashes and tables.
     """
-    grid, exact, most = None, {}, max(tables)
-    for name in families:
-        for h in hashes:
-            h = h * 8 if name == "cos" else h
-            # ``family`` makes buckets ten radii wide; hand it the width itself
-            hashed = family(name, dims, h, most, (widths or {}).get(name, 1.0) / 10, seed)
-            if name not in exact:
-                exact[name] = stage(first_k(knn(points, k, hashed.measure, skip_self=False), k), "exact")
-            signed = stage(points.select("i", "x", hashed.buckets(F.col("x")).alias("signs")), "signed")
-            rows = signed.select("i", "x", F.posexplode("signs").alias("tab", "grp"))
-            found = knn(rows, k, hashed.measure, stats_of=points, skip_self=False).select("i", "grp", "nbrs")
-            found = stage(found.join(rows.select("i", "tab", "grp"), ["i", "grp"]), "by-table")
-            touched = {r["tab"]: int(r["pairs"]) for r in shared_pairs(signed).collect()}
-            for t in tables:
-                near = first_k(_merged(found.filter(F.col("tab") < t), k), k)
-                pairs = sum(n for tab, n in touched.items() if tab < t)
-                rated = neighbour_quality(near, exact[name], pairs).select(
-                    F.lit(name).alias("family"), F.lit(h).alias("hashes"), F.lit(t).alias("tables"), "*"
-                )
-                grid = rated if grid is None else grid.unionByName(rated)
-    return grid
+    most, cells, parts, exact, counted = max(tables), [], [], [], []
+    wanted = F.array(*(F.lit(t) for t in tables))
+    for f, name in enumerate(families):
+        times = 8 if name == "cos" else 1
+        # ``family`` makes buckets ten radii wide; hand it the width itself
+        hashed = (made or {}).get(name) or family(
+            name, dims, max(hashes) * times, most, (widths or {}).get(name, 1.0) / 10, seed
+        )
+        runs = {100 * f + n: h * times for n, h in enumerate(hashes)}
+        cells += [(run, name, h) for run, h in runs.items()]
+        signed = stage(points.select("i", "x", hashed.signatures(F.col("x")).alias("sigs")), "signed")
+
+        def buckets_of(run, h):
+            return F.transform("sigs", lambda s, t: F.struct(
+                F.lit(run).alias("run"), t.alias("tab"), F.xxhash64(F.lit(run), t, hashed.shorter(s, h)).alias("grp")
+            ))
+
+        buckets = [buckets_of(run, h) for run, h in runs.items()]
+        rows = stage(signed.select("i", "x", F.explode(F.concat(*buckets)).alias("b")).select("i", "x", "b.*"), "bucket-rows")
+        found = knn(rows.select("i", "x", "grp"), k, hashed.measure, stats_of=points, skip_self=False).select("i", "grp", "nbrs")
+        placed = found.join(rows.select("i", "run", "tab", "grp"), ["i", "grp"])
+        parts.append(placed.withColumn("tables", F.explode(F.filter(wanted, lambda t: t > F.col("tab")))))
+        nearest = first_k(knn(points, k, hashed.measure, skip_self=False), k).select("i", "nbrs")
+        every = F.array(*(F.struct(F.lit(run).alias("run"), F.lit(t).alias("tables")) for run in runs for t in tables))
+        exact.append(nearest.withColumn("c", F.explode(every)).select("i", "nbrs", "c.*"))
+        counted += [signed.select(F.lit(run).alias("run"), F.transform(b, lambda e: e["grp"]).alias("signs")) for run, b in zip(runs, buckets)]
+    union = lambda frames: reduce(DataFrame.unionByName, frames)
+    near = _merged(union(parts), k, "run", "tables").withColumn("nbrs", F.slice("nbrs", 1, k))
+    pairs = shared_pairs(union(counted)).withColumn("tables", F.explode(F.filter(wanted, lambda t: t > F.col("tab"))))
+    touched = pairs.groupBy("run", "tables").agg(F.sum("pairs").alias("touched"))
+    rated = neighbour_quality(near, union(exact), by=("run", "tables")).join(touched, ["run", "tables"])
+    everything = F.col("queries").cast("double") * F.col("queries")
+    named = points.sparkSession.createDataFrame(cells, "run int, family string, hashes int")
+    share = F.try_divide(F.col("touched").cast("double") * 100, everything).alias("touched_pct")
+    return rated.join(F.broadcast(named), "run").select(  # a row per family and number of hashes
+        "family", "hashes", "tables", "queries", "tp", "fp", "fn", "precision", "recall", "correct_pct", share
+    )

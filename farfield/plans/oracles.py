@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from farfield.functions.text import NUMBER
 from farfield.plans import tables as D
+from farfield.plans.hash_sql import grid, probing
 from farfield.plans.window_sql import window_steps
 
 K, TOP = D.K, D.TOP
@@ -297,6 +298,8 @@ def oracles() -> dict[str, str]:
         SELECT queries, tp, fp, fn, {PERCENT},
             round(pairs * 100.0 / (queries::DOUBLE * queries), 6) touched_pct FROM sums CROSS JOIN seen"""
 
+    sql["neighbour_quality_grid"] = grid(EMBEDDINGS, 4)
+
     # locality-sensitive hashing
     sql["lsh_planes"] = f"WITH {bucketed(EMBEDDINGS, planes, K, LIST_L2)} {PAIRS}"
     sql["lsh_cosine"] = f"""WITH {bucketed(EMBEDDINGS, sign_buckets(D.GAUSSIAN), 4, LIST_COS, order=FIRST)} {PAIRS}"""
@@ -327,6 +330,8 @@ def oracles() -> dict[str, str]:
         cand AS (SELECT a.i, b.i j, {LIST_L2} dist FROM asked a JOIN b ON b.w = a.w AND b.i <> a.i),
         nn AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY i ORDER BY dist) rk FROM cand) r WHERE rk <= {K})
         SELECT i, count(*)::INTEGER n, round(max(dist), 6) kd FROM nn GROUP BY i"""
+    for bits in (32, 64):
+        sql[f"lsh_probing_{bits}_bits"] = probing(EMBEDDINGS, bits, K)
     sql["bucket_width"] = f"""WITH pts AS MATERIALIZED ({CUSTOMERS}),
         ask AS (SELECT * FROM pts ORDER BY (i % 2147483648 * 2654435761) % 4294967296, i LIMIT 30),
         d AS (SELECT a.i, min({L2}) dist FROM ask a JOIN pts b ON a.i <> b.i GROUP BY a.i)
@@ -366,7 +371,9 @@ def oracles() -> dict[str, str]:
         FROM window_points
         UNION ALL
         SELECT step, 'area', center, number::INTEGER, ts, round(radius, 6), round(avg_lrd, 6), round(avg_kd, 6), 0, ''
-        FROM window_areas"""
+        FROM window_areas
+        UNION ALL
+        SELECT step, 'update', unnest(updated), NULL, NULL, NULL, NULL, NULL, 0, '' FROM steps"""
 
     # generators and audits
     sql["planted_neighbours"] = 'SELECT vec_id o, 5::BIGINT copies, 1 "inside", 1 all_inside FROM embeddings'

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from farfield.functions import hashing, measures as M, text as T
@@ -506,9 +507,15 @@ def neighbour_quality(spark, sf_dir):
 
 @query
 def neighbour_quality_grid(spark, sf_dir):
-    points = D.embeddings(spark, sf_dir)
-    widths = {"l2": 1.0, "l1": 4.0}
-    grid = lsh.quality_grid(points, 4, 64, widths, hashes=(2,), tables=(2, 4))
+    """All 36 cells: three families, three numbers of hashes, four numbers of tables."""
+    projected, gridded, sided = (D.by_rule(16, h, 64, salt) for h, salt in ((8, 1), (8, 2), (64, 3)))
+    offsets = np.arange(128).reshape(16, 8) * 37 % 100
+    made = {
+        "l2": hashing.projection_family(projected - 0.5, offsets, D.GRID_L2),
+        "l1": hashing.grid_family(gridded * D.GRID_L1, D.GRID_L1),
+        "cos": hashing.sign_family(sided - 0.5, "cosine", "cos"),
+    }
+    grid = lsh.quality_grid(D.embeddings(spark, sf_dir), 4, 64, made=made)
     return rounded(grid, "precision", "recall", "correct_pct", "touched_pct")
 
 
@@ -554,6 +561,22 @@ def lsh_with_probing(spark, sf_dir):
     return rounded(found.select("i", "n", "kd"), "kd")
 
 
+def _probed_words(spark, sf_dir, bits):
+    family = hashing.sign_family(D.by_rule(1, bits, 64, 4) - 0.5)
+    found = lsh.lsh_knn(D.embeddings(spark, sf_dir), K, family, probe=True)
+    return rounded(found.select("i", "n", "kd"), "kd")
+
+
+@query
+def lsh_probing_32_bits(spark, sf_dir):
+    return _probed_words(spark, sf_dir, 32)
+
+
+@query
+def lsh_probing_64_bits(spark, sf_dir):
+    return _probed_words(spark, sf_dir, 64)
+
+
 @query
 def bucket_members(spark, sf_dir):
     family = hashing.sign_family(D.FLAT_PLANES)
@@ -673,7 +696,8 @@ def windowed_labels(spark, sf_dir):
 
 @query
 def windowed_steps(spark, sf_dir):
-    """The window and the areas after each group: profiles, virtual neighbours, clocks."""
+    """The window and the areas after each group: profiles, virtual neighbours, clocks; and whom
+    the group updated, among whom no virtual point may be."""
     trace = D.scratch(spark, "rlof-trace")
     _windowed(spark, sf_dir, D.scratch(spark, "rlof-sink"), trace)
     ids = F.transform("nbrs", lambda e: e["j"])
@@ -687,7 +711,8 @@ def windowed_steps(spark, sf_dir):
         F.col("radius").alias("kd"), F.col("avg_lrd").alias("lrd"), F.col("avg_kd").alias("lof"),
         F.lit(0).alias("n_virtual"), F.lit("").alias("nbrs"),
     )
-    return rounded(points.unionByName(areas), "kd", "lrd", "lof")
+    updates = spark.read.parquet(f"{trace}/updates").select("step", F.lit("update").alias("kind"), "i", F.lit(0).alias("n_virtual"), F.lit("").alias("nbrs"))
+    return rounded(points.unionByName(areas).unionByName(updates, allowMissingColumns=True), "kd", "lrd", "lof")
 
 
 # --- generators and audits --------------------------------------------------------------

@@ -24,6 +24,15 @@ WIDTH = 400.0
 BOX_LOW, BOX_HIGH = [10.0, 905.0], [30.0, 950.0]
 
 
+GRID_L2, GRID_L1 = 2.0, 8.0  # bucket widths
+
+
+def by_rule(tables: int, hashes: int, dims: int, salt: int) -> np.ndarray:
+    """Numbers from 0 to 1 that SQL can make too: squares and multiples modulo a prime."""
+    n = np.arange(tables * hashes * dims, dtype=np.int64)
+    return ((n * n % 10007 * 7919 + n * 104729 + salt * 15485863) % 10007 / 10007).reshape(tables, hashes, dims)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

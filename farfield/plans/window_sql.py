@@ -1,7 +1,8 @@
 """SQL for the window stream: a recursive query that takes one group of arrivals a turn.
 
 A turn's row holds the whole state as lists: ``win`` (points with their neighbours), ``areas``,
-``top``, and what the turn did: ``gone`` (points that left) and ``owned`` (keys and their points).
+``top``, and what the turn did: ``gone`` (points that left), ``owned`` (keys and their points) and
+``updated`` (points inserted or changed).
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ def window_steps(records: str, k: int, size: str, percent: int, max_age: str, to
 ), steps AS (
   SELECT 0 AS step, 0::BIGINT AS taken, 0::BIGINT AS clock, []::{point} AS win, []::{area} AS areas,
     []::STRUCT(i BIGINT, lof DOUBLE)[] AS top, []::STRUCT(i BIGINT, label INTEGER, reason VARCHAR)[] AS gone,
-    []::STRUCT(key VARCHAR, i BIGINT)[] AS owned
+    []::STRUCT(key VARCHAR, i BIGINT)[] AS owned, []::BIGINT[] AS updated
   UNION ALL
   SELECT * FROM (
   WITH s AS MATERIALIZED (
@@ -146,7 +147,8 @@ def window_steps(records: str, k: int, size: str, percent: int, max_age: str, to
       ORDER BY center) FROM areas3 WHERE center NOT IN (FROM expired)), []),
     CASE WHEN (SELECT yes FROM full_) THEN coalesce((SELECT list(struct_pack(i := i, lof := lof)) FROM best), []) ELSE top END,
     coalesce((SELECT list(struct_pack(i := i, label := label, reason := reason)) FROM left_), []),
-    coalesce((SELECT list(struct_pack(key := key, i := i)) FROM (SELECT g.key, owner.i FROM g JOIN owner USING (x1, x2))), [])
+    coalesce((SELECT list(struct_pack(key := key, i := i)) FROM (SELECT g.key, owner.i FROM g JOIN owner USING (x1, x2))), []),
+    coalesce((SELECT list(i) FROM factor), [])
   FROM s WHERE taken < (SELECT count(*) FROM recs)
   )
 ), at_end AS MATERIALIZED (SELECT * FROM steps ORDER BY step DESC LIMIT 1

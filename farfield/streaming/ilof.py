@@ -15,7 +15,7 @@ from farfield.functions.hashing import Family
 from farfield.functions.measures import Measure
 from farfield.operators.knn import LEAF_SCHEMA
 from farfield.operators.lof import label_top
-from farfield.session import stage
+from farfield.session import passing, stage
 from farfield.streaming import leafindex
 from farfield.streaming.insert import SCORED, find_neighbours, insert, owners
 from farfield.streaming.state import Versions
@@ -27,6 +27,7 @@ COMPACT_AFTER = 8
 class IncrementalLof:
     """State of one stream under ``root``; ``apply`` is a ``foreachBatch`` function.
 
+    The state after the last two batches can be read; older segments are deleted.
     Points are told apart by coordinates: a copy of a known point changes no score, and
     its key gets the label of the first arrival.
     """
@@ -60,18 +61,21 @@ class IncrementalLof:
         )
 
     def arrivals(self, batch_id: int | None = None) -> DataFrame:
-        manifest = self.versions.manifest(self.versions.latest() if batch_id is None else batch_id)
-        return self.versions.read(manifest.get("arrivals", []), ARRIVALS)
+        return self.versions.logged("arrivals", ARRIVALS, self.versions.latest() if batch_id is None else batch_id)
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
+        with passing(self.spark):
+            self._apply(batch, batch_id)
+        self.versions.collect_garbage(batch_id)
+
+    def _apply(self, batch: DataFrame, batch_id: int) -> None:
         before = self.versions.manifest(batch_id - 1)
         segments = before.get("segments", [])
         # a stream's own session has adaptive execution off, so go on in the caller's
         arrived = stage(batch.select("key", F.col("seq").alias("i"), "x"), "arrived", self.spark)
         old = self._overlaid(segments)
         owner = owners(old, arrived)
-        log = arrived.join(owner, "x").select("key", F.col("first").alias("i"))
-        arrivals = [*before.get("arrivals", []), self.versions.write("arrivals", batch_id, log)]
+        self.versions.log("arrivals", batch_id, arrived.join(owner, "x").select("key", F.col("first").alias("i")))
 
         fresh = owner.filter("fresh").select(F.col("first").alias("i"), "x")
         added = leafindex.build(self.versions, batch_id, fresh, self.measure)
@@ -85,11 +89,7 @@ class IncrementalLof:
         segments = [*segments, {"scored": scored, **added.entry, "rows": added.leaves.rows}]
         self.versions.commit(
             batch_id,
-            {
-                "segments": self._compacted(segments, batch_id),
-                "arrivals": arrivals,
-                "seen": before.get("seen", 0) + arrived.count(),
-            },
+            {"segments": self._compacted(segments, batch_id), "seen": before.get("seen", 0) + arrived.count()},
         )
 
     def _overlaid(self, segments: list[dict]) -> DataFrame:

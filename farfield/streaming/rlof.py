@@ -90,13 +90,15 @@ class State:
     steps: int
     owned: list = field(default_factory=list)  # keys and their points, of the groups of this batch
     gone: list = field(default_factory=list)  # points that left in this batch: i, label, reason
+    updated: DataFrame | None = None  # points that the last group inserted or changed: i
 
 
 class WindowedLof:
     """State of one bounded stream under ``root``; ``apply`` is a ``foreachBatch`` function.
 
     ``window`` is the most points it holds, unless neither rule can make room; ``step`` is a quarter
-    of that if not given.  ``trace`` names a folder for the window and the areas after each group.
+    of that if not given.  ``trace`` names a folder for what each group leaves: the window, the
+    areas, and which points it updated.
     """
 
     def __init__(
@@ -180,7 +182,7 @@ class WindowedLof:
             group = waiting.filter(F.col("place").between(state.taken, state.taken + take - 1))
             state = self._grouped(replace(state, taken=min(seen, state.taken + take), steps=state.steps + 1), group)
             if self.trace:
-                for name, rows in (("window", state.window), ("areas", state.areas)):
+                for name, rows in (("window", state.window), ("areas", state.areas), ("updates", state.updated)):
                     rows.write.mode("overwrite").parquet(f"{self.trace}/{name}/step={state.steps}")
 
     def _grouped(self, state: State, group: DataFrame) -> State:
@@ -190,8 +192,10 @@ class WindowedLof:
         fresh = owner.filter("fresh").select(
             F.col("first").alias("i"), "x", F.lit(0).cast("bigint").alias("leaf")
         )
-        window, inside, staying = self._insert(state, fresh)
-        state = replace(state, window=window, owned=owned, rows=state.rows + staying, clock=state.clock + staying)
+        window, inside, changed, staying = self._insert(state, fresh)
+        state = replace(
+            state, window=window, owned=owned, rows=state.rows + staying, clock=state.clock + staying, updated=changed.select("i")
+        )
         if inside is not None:
             profile = window.select("i", "kd", "lrd")
             areas = stage(absorb(state.areas, inside.join(profile, "i"), state.clock), "areas")
@@ -205,8 +209,9 @@ class WindowedLof:
             state = self._aged(state)
         return state
 
-    def _insert(self, state: State, fresh: DataFrame) -> tuple[DataFrame, DataFrame | None, int]:
-        """The window with all arrivals in it, which lie in which area, and how many will stay."""
+    def _insert(self, state: State, fresh: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame, int]:
+        """The window with all arrivals in it, which lie in which area, the rows that are new or
+        changed, and how many arrivals will stay."""
         window, areas = state.window, state.areas
         near, hits = find_neighbours(
             window, fresh, self.k, self.measure, self.technique, self.hashed
@@ -241,7 +246,7 @@ class WindowedLof:
         stamps = window.select("i", "ts").unionByName(stamps)
         untouched = window.drop("ts").join(changed.select("i"), "i", "left_anti")
         whole = untouched.unionByName(changed).join(stamps, "i", "left")
-        return stage(whole, "window"), inside, staying.count()
+        return stage(whole, "window"), inside, changed, staying.count()
 
     def _summarized(self, state: State) -> State:
         window, areas = state.window, state.areas
