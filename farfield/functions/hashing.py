@@ -7,6 +7,7 @@ executor and every re-run sees the same family.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -42,8 +43,9 @@ class Family:
         return F.slice(signature, 1, hashes) if self.bits is None else F.shiftright(signature, self.bits - hashes)
 
 
-def _literal(vector) -> Column:
-    return F.expr("array(" + ",".join(f"{float(v)!r}D" for v in vector) + ")")
+def _literal(values, kind: str = "array<double>") -> Column:
+    """Numbers as one constant: thousands of them as expressions of their own would slow every plan."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
 
 
 def uniform_planes(dims: int, hashes: int, tables: int, seed: int) -> np.ndarray:
@@ -61,13 +63,11 @@ def sign_family(planes, measure: str | Measure = "euclidean", name: str = "plane
     tables, hashes, _ = planes.shape
 
     def signature(x: Column, table: int) -> Column:
-        sides = [(dot(x, _literal(normal)) > 0).cast("bigint") for normal in planes[table]]
+        normals = _literal(planes[table].tolist(), "array<array<double>>")
+        sides = F.transform(normals, lambda normal: (dot(x, normal) > 0).cast("bigint"))
         if hashes > 62:
-            return F.array(*sides)
-        word = F.lit(0).cast("bigint")
-        for place, side in enumerate(sides):
-            word = word.bitwiseOR(F.shiftleft(side, hashes - 1 - place))
-        return word
+            return sides
+        return F.aggregate(sides, F.lit(0).cast("bigint"), lambda word, side: F.shiftleft(word, 1).bitwiseOR(side))
 
     return Family(name, resolve(measure), tables, signature, hashes if hashes <= 62 else None, hashes)
 
@@ -79,12 +79,9 @@ def projection_family(projections, offsets, width: float) -> Family:
     projections, offsets = np.asarray(projections, dtype=float), np.asarray(offsets)
 
     def signature(x: Column, table: int) -> Column:
-        return F.array(
-            *(
-                F.floor((dot(x, _literal(g)) + F.lit(float(o))) / F.lit(float(width)) + 0.5)
-                for g, o in zip(projections[table], offsets[table])
-            )
-        )
+        made = [{"g": g, "o": float(o)} for g, o in zip(projections[table].tolist(), offsets[table])]
+        lines = _literal(made, "array<struct<g: array<double>, o: double>>")
+        return F.transform(lines, lambda l: F.floor((dot(x, l["g"]) + l["o"]) / F.lit(float(width)) + 0.5))
 
     return Family("l2", resolve("euclidean"), len(projections), signature)
 
@@ -96,12 +93,8 @@ def grid_family(shifts, width: float) -> Family:
     shifts = np.asarray(shifts, dtype=float)
 
     def signature(x: Column, table: int) -> Column:
-        return F.array(
-            *(
-                F.zip_with(x, _literal(u), lambda v, s: F.floor((v - s) / F.lit(float(width))))
-                for u in shifts[table]
-            )
-        )
+        origins = _literal(shifts[table].tolist(), "array<array<double>>")
+        return F.transform(origins, lambda u: F.zip_with(x, u, lambda v, s: F.floor((v - s) / F.lit(float(width)))))
 
     return Family("l1", resolve("manhattan"), len(shifts), signature)
 
