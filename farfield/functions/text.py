@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -21,27 +23,58 @@ OUTLIER_CLASSES = [
 ]
 
 
-@F.arrow_udf(ArrayType(DoubleType()))
-def _hashes(lists: pa.Array) -> pa.Array:
-    """``h = 31 h + unit`` over the UTF-16 units of every word of every list, as signed 32 bits."""
-    words = lists.flatten()
-    units = [w.encode("utf-16-le", "surrogatepass") for w in words.fill_null("").to_pylist()]
-    sizes = np.fromiter(map(len, units), np.int64, len(units)) // 2
-    ends = np.cumsum(sizes)
-    flat = np.frombuffer(b"".join(units), "<u2").astype(np.uint32)
+def _word_hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``h = 31 h + unit`` over the UTF-16 units of every word, as signed 32 bits; and the first
+    byte of every word, 0 if it has none."""
+    units = words.fill_null("").cast(pa.large_binary())
+    _, offsets, data = units.buffers()
+    ends = np.frombuffer(offsets, np.int64)[units.offset:units.offset + len(units) + 1] if len(units) else np.zeros(1, np.int64)
+    text = memoryview(data)[ends[0]:ends[-1]] if data is not None else b""
+    flat = np.frombuffer(str(text, "utf-8", "surrogatepass").encode("utf-16-le", "surrogatepass"), "<u2").astype(np.uint32)
+    # a byte that begins a character is a unit, one that begins a character of four bytes is two
+    first = np.frombuffer(text, np.uint8)
+    begun = np.concatenate([[0], np.cumsum((first & 0xC0 != 0x80).astype(np.int64) + (first >= 0xF0))])
+    at = ends - ends[0]
+    sizes, ends = np.diff(begun[at]), begun[at][1:]
     powers = np.ones(max(1, int(sizes.max(initial=0))), np.uint32)
     np.multiply.accumulate(np.full(len(powers) - 1, 31, np.uint32), out=powers[1:])
     flat *= powers[np.repeat(ends, sizes) - 1 - np.arange(len(flat))]
-    hashes, some = np.zeros(len(units), np.uint32), sizes > 0
+    hashes, heads, some = np.zeros(len(units), np.uint32), np.zeros(len(units), np.uint8), sizes > 0
     if len(flat):
         hashes[some] = np.add.reduceat(flat, (ends - sizes)[some], dtype=np.uint32)
-    values = pa.array(hashes.view(np.int32).astype(np.float64), mask=words.is_null().to_numpy(False))
-    # the lists as they are, null ones and slices included, around the new values
+        heads[some] = first[at[:-1][some]]
+    return hashes.view(np.int32).astype(np.float64), heads
+
+
+def _around(lists: pa.Array, values: pa.Array) -> pa.Array:
+    """The lists as they are, null ones and slices included, around new values."""
     lengths = pa.compute.list_value_length(lists).fill_null(0).to_numpy(False)
     offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), pa.int32())
     return pa.ListArray.from_arrays(offsets, values, mask=lists.is_null())
 
 
+@F.arrow_udf(ArrayType(DoubleType()))
+def _hashes(lists: pa.Array) -> pa.Array:
+    words = lists.flatten()
+    return _around(lists, pa.array(_word_hashes(words)[0], mask=words.is_null().to_numpy(False)))
+
+
+@F.arrow_udf(ArrayType(DoubleType()))
+def _numbers_or_hashes(lists: pa.Array) -> pa.Array:
+    words = lists.flatten()
+    values, heads = _word_hashes(words)
+    missing = words.is_null().to_numpy(False)
+    # few words begin as numbers do: with a blank, a sign, a point or a digit
+    likely = np.flatnonzero((heads >= ord(" ")) & (heads <= ord("9")))
+    spelled = re.compile(NUMBER, re.ASCII)
+    for at, word in zip(likely.tolist(), words.take(pa.array(likely)).to_pylist()):
+        bare = word.strip(" ")
+        inner = bare.rstrip("\r\n")
+        if bare[len(inner):] in ("", "\n", "\r", "\r\n") and spelled.match(inner):
+            values[at] = float(inner.rstrip("fd"))
+    return _around(lists, pa.array(values, mask=missing))
+
+
 def string_hashes(words: Column) -> Column:
     """Of an array of words the 32-bit signed hashes over UTF-16 units, as doubles."""
     return _hashes(words)
@@ -54,13 +87,7 @@ def string_hash(word: Column) -> Column:
 
 def numbers_or_hashes(words: Column) -> Column:
     """Of each lower-case word the number that it spells, else its hash."""
-
-    def value(word: Column, hashed: Column) -> Column:
-        bare = F.trim(word)
-        digits = F.regexp_replace(bare, "[fd]$", "")
-        return F.when(bare.rlike(NUMBER), digits.try_cast("double")).otherwise(hashed)
-
-    return F.zip_with(words, string_hashes(words), value)
+    return _numbers_or_hashes(words)
 
 
 def blank_separated(line: Column) -> Column:
