@@ -66,11 +66,14 @@ def test_recall_grows_with_tables_and_seeds_are_stable(points):
     assert recall[0] < recall[1]
 
 
-def test_lonely_points_probe_whole_buckets(points):
+@pytest.mark.parametrize("bits", [9, 40, 70])
+def test_lonely_points_probe_whole_buckets(points, bits):
     x = RNG.normal(size=(80, 3))
-    family = H.sign_family(H.uniform_planes(3, 9, 1, 2))
+    x[40] = -x[41]  # words that are opposite in every place
+    family = H.sign_family(H.uniform_planes(3, bits, 1, 2))
     df, k = points(x), 4
-    word = [r[0] for r in df.select(family.signature(F.col("x"), 0), "i").orderBy("i").collect()]
+    word = [r[0] for r in df.select(lsh._bits(family, F.col("x")), "i").orderBy("i").collect()]
+    assert all(len(w) == bits for w in word)
     members = {}
     for i, w in enumerate(word):
         members.setdefault(w, []).append(i)
@@ -79,7 +82,7 @@ def test_lonely_points_probe_whole_buckets(points):
         space = list(members[w])
         if len(space) == 1:
             space = []
-            for other in sorted(members, key=lambda o: (bin(o ^ w).count("1"), o)):
+            for other in sorted(members, key=lambda o: (sum(a != b for a, b in zip(o, w)), o)):
                 if other != w and len(space) < k:
                     space += members[other]
         want_share[i, space] = True
@@ -88,6 +91,12 @@ def test_lonely_points_probe_whole_buckets(points):
     assert got == brute.neighbours(x, k, allowed=want_share)
 
 
+def test_probing_when_all_others_are_far(points):
+    x = [[1.0, 2.0, 3.0], [-1.0, -2.0, -3.0]]
+    family = H.sign_family(H.uniform_planes(3, 40, 1, 2))
+    assert {i: list(n) for i, n in lists(lsh.lsh_knn(points(x), 4, family, probe=True)).items()} == {0: [1], 1: [0]}
+
+
 def test_bucket_members_by_id(points):
     df = points(RNG.normal(size=(60, 2)))
     family = H.sign_family(H.uniform_planes(2, 2, 1, 4))

@@ -142,6 +142,16 @@ def test_arrivals_may_be_found_in_buckets(spark, tmp_path):
     same(scores(model.scores()), scores(L.lof(points.select(F.col("seq").alias("i"), "x"), 3)))
 
 
+def test_replay_is_read_in_order(spark, tmp_path):
+    path, seen = replay(records(spark, RNG.normal(size=(57, 2))), 8, str(tmp_path / "replay")), []
+    stream = file_stream(spark, path).writeStream.foreachBatch(
+        lambda batch, _: seen.append(sorted(r["seq"] for r in batch.collect()))
+    )
+    stream.option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start().awaitTermination()
+    assert [b[0] for b in seen] == list(range(0, 57, 8)) and sum(seen, []) == list(range(57))
+    assert replay(records(spark, np.zeros((0, 2))), 3, str(tmp_path / "none"))
+
+
 def test_unknown_choices(spark, points, tmp_path):
     with pytest.raises(ValueError, match="unknown algorithm"):
         detector("milof", spark, str(tmp_path), k=3)
