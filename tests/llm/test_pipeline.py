@@ -3,11 +3,12 @@
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from farfield.llm import queries
 from farfield.llm.common import stage
-from tests.llm import brute
+from tests.llm import brute, cases
 
 FOLDER = Path("/root/testdata/sf0.001")
 
@@ -38,5 +39,11 @@ def test_every_stage_takes_effect(spark):
         assert slots == list(range(len(slots))) and 0 <= s < 16
 
 
+def test_own_columns_of_the_names_of_shards(spark):
+    docs = cases.documents(spark).withColumn("Shard", F.lit("x")).withColumn("slot", F.lit(-1))
+    rows = corpus_pipeline.sharded(spark, docs, "").collect()
+    assert len(rows) == len(cases.TEXTS) and all(0 <= r["shard"] < 16 and r["slot"] >= 0 and r["size"] == "x" for r in rows)
+
+
 def test_stages():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "mixing", "sharding"]
