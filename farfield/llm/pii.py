@@ -96,9 +96,40 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+#: Characters of an account number, by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28,
+    "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18,
+    "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22,
+    "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20,
+    "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18,
+    "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24,
+    "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24,
+    "XK": 20,
+}
+
+
+def _ibans(text: str) -> list[tuple[int, int]]:
+    """Account numbers; upper-case words that follow one are no part of it.
+
+    Of a match, the beginning as long as numbers of its country are counts if it ends with a word and
+    has valid check digits, else the longest that does.
+    """
+    found, at = [], 0
+    while m := _IBAN.search(text, at):
+        size = lambda e: len(text[m.start():e].replace(" ", ""))
+        words = [e for e in range(m.end(), m.start(), -1) if e == m.end() or text[e] == " "]
+        words.sort(key=lambda e: size(e) != IBAN_LENGTHS.get(m[0][:2]))
+        end = next((e for e in words if 15 <= size(e) <= 34 and mod97(text[m.start():e])), None)
+        if end is not None:
+            found.append((m.start(), end))
+        at = end or m.start() + 2
+    return found
+
+
 def added_spans(text: str) -> list[tuple[str, int, int]]:
     """Account numbers with valid check digits, social security numbers and secrets."""
-    out = [("iban", m.start(), m.end()) for m in _IBAN.finditer(text) if 15 <= len(m[0].replace(" ", "")) <= 34 and mod97(m[0])]
+    out = [("iban", a, b) for a, b in _ibans(text)]
     for m in _SSN.finditer(text):
         area, group, serial = m[0].split("-")
         if area not in ("000", "666") and area < "900" and group != "00" and serial != "0000":

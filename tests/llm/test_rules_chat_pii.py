@@ -137,3 +137,14 @@ def test_spans_and_masks_on_odd_and_no_rows(spark):
     assert said == ["mail <email> or call <phone>.", "é <card>"]
     assert masked.filter("text is null").count() == 2
     assert pii.found(cases.nothing(spark)).count() == 0
+
+
+@pytest.mark.parametrize("said,found", [
+    ("BE68 5390 0754 7034 THIS IS", ["BE68 5390 0754 7034"]),
+    ("BE68539007547034 NEXT WORD", ["BE68539007547034"]),
+    ("GB82 WEST 1234 5698 7654 32 AND DE89 3704 0044 0532 0130 00.", ["GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00"]),
+    ("AB12 CDEF GB82 WEST 1234 5698 7654 32", ["GB82 WEST 1234 5698 7654 32"]),
+    ("BE69 5390 0754 7034 THIS", []), ("XX14 5390 0754 7034", ["XX14 5390 0754 7034"][:pii.mod97("XX14539007547034")]), ("xBE68539007547034", []), ("BE68539007547034x", []), ("", []),
+])
+def test_account_numbers_before_upper_case_words(said, found):
+    assert [said[a:b] for k, a, b in pii.added_spans(said) if k == "iban"] == found
