@@ -216,6 +216,15 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
+def _known(rows: DataFrame) -> DataFrame:
+    """``fp, component`` of all fingerprints of staged ``rows``, staged."""
+    nodes = stage(rows.select("fp").distinct(), "fingerprint-nodes")
+    roots = components(links(nodes)).withColumnRenamed("u", "fp")
+    return stage(
+        nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("component")), "fingerprint-roots"
+    )
+
+
 def clustered(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """``row, at, fp, component``: rows that links join have the same ``component`` (a fingerprint).
 
@@ -223,10 +232,7 @@ def clustered(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     text costs.  An empty table gives an empty one.
     """
     rows = stage(fingerprinted(docs, keep), "fingerprints")
-    nodes = stage(rows.select("fp").distinct(), "fingerprint-nodes")
-    roots = components(links(nodes)).withColumnRenamed("u", "fp")
-    known = nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("component"))
-    return rows.join(stage(known, "fingerprint-roots"), "fp").select("row", "at", "fp", "component")
+    return rows.join(_known(rows), "fp").select("row", "at", "fp", "component")
 
 
 def with_component_ids(docs: DataFrame) -> DataFrame:
@@ -238,16 +244,19 @@ def with_component_ids(docs: DataFrame) -> DataFrame:
     return rows.join(ids, "component").select("doc_id", "fp", "component_id")
 
 
-def first_of(rows: DataFrame) -> DataFrame:
-    """The rows of ``row, at, component`` that stand for their component: that of the smallest
-    ``doc_id`` (nulls last), of rows that share it the one whose text hashes lowest, then the first."""
+def kept(docs: DataFrame) -> DataFrame:
+    """``docs`` without near-duplicates: one row of every component.
+
+    It is that of the smallest ``doc_id`` (nulls last), of rows that share it the one whose text
+    hashes lowest, then the first.  Whole rows are written once; what is matched and grouped are
+    short rows, of which each component keeps one.
+    """
+    rows = stage(fingerprinted(docs), "fingerprints")
     place = F.struct(
-        F.col("row.doc_id").isNull(), F.col("row.doc_id"), F.xxhash64(F.col("row.text")).alias("text"), F.col("at")
+        F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("doc_id"),
+        F.xxhash64(F.col("row.text")).alias("text"), F.col("at"),
     )
-    chosen = rows.groupBy("component").agg(F.min(place).alias("p")).select(F.col("p.at").alias("at"))
-    return rows.join(chosen, "at", "left_semi").select("row.*")
-
-
-def kept(docs: DataFrame) -> DataFrame:
-    """``docs`` without near-duplicates: one row of every component."""
-    return first_of(stage(clustered(docs), "clustered"))
+    # the first of each fingerprint, then of each component: a group of copies shrinks before it travels
+    first = rows.groupBy("fp").agg(F.min(place).alias("p"))
+    chosen = first.join(_known(rows), "fp").groupBy("component").agg(F.min("p").alias("p"))
+    return rows.join(stage(chosen.select(F.col("p.at").alias("at")), "kept"), "at", "left_semi").select("row.*")
