@@ -8,6 +8,7 @@ size is cut into leaves like any other crowd of points.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -49,14 +50,38 @@ def lsh_knn(
     with anyone search the nearest buckets of the first table instead.
     """
     measure = measure or hashed.measure
-    rows = bucket_rows(points, hashed)
-    found = _merged(knn(rows, k, measure, stats_of=points, skip_self=skip_self), k)
-    if not probe:
+    words, first = None, hashed.bucket(F.col("x"), 0)
+    if probe:
+        words = stage(bucket_words(points, hashed), "buckets")
+    return search_buckets(
+        bucket_rows(points, hashed), points, k, hashed, measure, words,
+        lambda asked: points.select("i", "x", first.alias("grp")).join(asked, "grp", "left_semi"), skip_self,
+    )
+
+
+def search_buckets(
+    rows: DataFrame,
+    asking: DataFrame,
+    k: int,
+    hashed: Family,
+    measure: str | Measure,
+    words: DataFrame | None = None,
+    members: Callable[[DataFrame], DataFrame] | None = None,
+    skip_self: bool = True,
+) -> DataFrame:
+    """Neighbourhoods inside the buckets of ``rows(i, x, grp)``, all of which a query shares.
+
+    With ``words(word, grp, size)``, the buckets of the first table, points of ``asking(i, x)`` that
+    met nobody search the nearest of these; ``members`` gives the points ``i, x, grp`` of buckets.
+    """
+    found = _merged(knn(rows, k, measure, stats_of=asking, skip_self=skip_self), k)
+    if words is None:
         return found
     found = stage(found, "bucketed")
-    lonely = points.join(found.filter("n = 0").select("i"), "i", "left_semi")
-    extra = _probed(points, stage(lonely, "lonely"), k, hashed, measure)
-    return found.filter("n > 0").unionByName(extra)
+    lonely = stage(asking.join(found.filter("n = 0").select("i"), "i", "left_semi"), "lonely")
+    if lonely.isEmpty():
+        return found
+    return found.filter("n > 0").unionByName(_probed(lonely, words, members, k, hashed, measure, asking))
 
 
 WORD = 32  # bits held in one number while distances are counted
@@ -87,15 +112,22 @@ def _pieces(bits: str, sides: int, count: int) -> Column:
     ))
 
 
-def _nearest_buckets(points: DataFrame, lonely: DataFrame, k: int, hashed: Family) -> DataFrame:
-    """``i, word``: for each lonely point whole buckets by Hamming distance, then word, until
+def bucket_words(points: DataFrame, hashed: Family) -> DataFrame:
+    """The buckets of the first table: ``word, grp, size``."""
+    if hashed.sides is None:
+        raise ValueError("probing needs signatures of hyperplane sides")
+    x = F.col("x")
+    return points.groupBy(_bits(hashed, x).alias("word"), hashed.bucket(x, 0).alias("grp")).agg(F.count("*").alias("size"))
+
+
+def _nearest_buckets(words: DataFrame, lonely: DataFrame, k: int, hashed: Family) -> DataFrame:
+    """``i, grp``: for each lonely point whole buckets by Hamming distance, then word, until
     they hold at least ``k`` points.
 
     Words within ``r`` bits agree in one of ``r + 1`` pieces, so those of a point are found by an
     equi-join on pieces.  The radius doubles for the points that are still short.
     """
     sides = hashed.sides
-    words = stage(points.groupBy(_bits(hashed, F.col("x")).alias("word")).agg(F.count("*").alias("size")), "buckets")
     short = stage(lonely.select("i", _bits(hashed, F.col("x")).alias("own")), "short")
     chosen, radius = [], 1
     before = F.coalesce(
@@ -107,13 +139,13 @@ def _nearest_buckets(points: DataFrame, lonely: DataFrame, k: int, hashed: Famil
     while True:
         count = min(radius + 1, sides)
         asked = short.select("i", "own", F.explode(_pieces("own", sides, count)).alias("piece"))
-        offered = words.select("word", "size", F.explode(_pieces("word", sides, count)).alias("piece"))
+        offered = words.select("word", "grp", "size", F.explode(_pieces("word", sides, count)).alias("piece"))
         found = asked.join(offered, "piece").filter("own <> word").withColumn("apart", _apart("own", "word", sides))
-        found = found.filter(F.col("apart") <= radius).select("i", "word", "size", "apart").distinct()
+        found = found.filter(F.col("apart") <= radius).select("i", "word", "grp", "size", "apart").distinct()
         if radius >= sides:  # the word that is the opposite in every place agrees in none
             opposite = words.withColumn("own", F.translate("word", "01", "10"))
             found = found.unionByName(
-                short.join(opposite, "own").select("i", "word", "size", F.lit(sides).cast("int").alias("apart"))
+                short.join(opposite, "own").select("i", "word", "grp", "size", F.lit(sides).cast("int").alias("apart"))
             )
         found = stage(
             found
@@ -122,28 +154,19 @@ def _nearest_buckets(points: DataFrame, lonely: DataFrame, k: int, hashed: Famil
         )
         held = found.groupBy("i").agg(F.sum("size").alias("have"))
         enough = held.filter((F.col("have") >= k) | F.lit(radius >= sides)).select("i")
-        chosen.append(found.join(enough, "i", "left_semi").select("i", "word"))
+        chosen.append(found.join(enough, "i", "left_semi").select("i", "grp"))
         short = stage(short.join(enough, "i", "left_anti"), "short")
         if radius >= sides or short.isEmpty():
             return reduce(DataFrame.unionByName, chosen)
         radius = min(2 * radius, sides)
 
 
-def _probed(points: DataFrame, lonely: DataFrame, k: int, hashed: Family, measure) -> DataFrame:
+def _probed(lonely: DataFrame, words: DataFrame, members, k: int, hashed: Family, measure, stats_of) -> DataFrame:
     """Neighbours of lonely points in the nearest whole buckets that hold at least ``k`` points."""
-    if hashed.sides is None:
-        raise ValueError("probing needs signatures of hyperplane sides")
-    word = _bits(hashed, F.col("x"))
-    chosen = stage(_nearest_buckets(points, lonely, k, hashed), "probe")
-    asking = lonely.select("i", "x").join(chosen, "i").select(
-        "i", "x", F.lit(QUERY).alias("role"), F.xxhash64("word").alias("grp")
-    )
-    offered = (
-        points.select("i", "x", F.lit(CANDIDATE).alias("role"), F.xxhash64(word).alias("grp"))
-        .join(asking.select("grp").distinct(), "grp", "left_semi")
-        .select("i", "x", "role", "grp")
-    )
-    found = knn(asking.unionByName(offered), k, measure, stats_of=points)
+    chosen = stage(_nearest_buckets(words, lonely, k, hashed), "probe")
+    asking = lonely.select("i", "x").join(chosen, "i").select("i", "x", F.lit(QUERY).alias("role"), "grp")
+    offered = members(asking.select("grp").distinct()).select("i", "x", F.lit(CANDIDATE).alias("role"), "grp")
+    found = knn(asking.unionByName(offered), k, measure, stats_of=stats_of)
     return lonely.select("i").join(_merged(found, k), "i", "left").select(
         "i",
         F.coalesce("nbrs", F.array().cast("array<struct<dist: double, j: bigint>>")).alias("nbrs"),
@@ -157,6 +180,9 @@ def first_k(neighbourhoods: DataFrame, k: int) -> DataFrame:
     return neighbourhoods.select("i", F.slice("nbrs", 1, k).alias("nbrs"))
 
 
+TECHNIQUES = ("flat", "kd", "planes", "tables")
+
+
 def neighbours(
     points: DataFrame,
     k: int,
@@ -179,7 +205,7 @@ def neighbours(
             raise ValueError(f"technique {technique!r} needs a hash family")
         found = lsh_knn(points, k, hashed, measure, probe=name == "planes")
     else:
-        raise ValueError(f"unknown technique {technique!r}; known: flat, kd, planes, tables")
+        raise ValueError(f"unknown technique {technique!r}; known: {', '.join(TECHNIQUES)}")
     if name in ("kd", "tables"):
         found = keep_nearest(first_k(found, k), k)
     return found.select("i", "nbrs", "kd", "n")

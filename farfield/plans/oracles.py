@@ -5,6 +5,7 @@ from __future__ import annotations
 from farfield.functions.text import NUMBER
 from farfield.plans import tables as D
 from farfield.plans.hash_sql import grid, probing
+from farfield.plans.stream_sql import two_batches
 from farfield.plans.window_sql import window_steps
 
 K, TOP = D.K, D.TOP
@@ -361,6 +362,15 @@ def oracles() -> dict[str, str]:
         SELECT c_custkey::VARCHAR "key", (pts.i IN (SELECT i FROM top))::INTEGER label
         FROM pts JOIN customer ON c_acctbal = x1 AND c_nationkey = x2"""
     sql["incremental_lof_scores"] = sql["lof_scores"]
+    alike = "buckets AS MATERIALIZED (SELECT *, 0 t, '' w FROM pts)"
+    sides = " || ".join(
+        f"CASE WHEN x1 * {float(g[0])!r} + x2 * {float(g[1])!r} > 0 THEN '1' ELSE '0' END" for g in D.STREAM_PLANES[0]
+    )
+    words = f"buckets AS MATERIALIZED (SELECT *, 0 t, {sides} w FROM pts)"
+    ties = "rank() OVER (PARTITION BY i ORDER BY dist)"
+    sql["incremental_kd"] = two_batches(CUSTOMERS, alike, L2, K, FIRST)
+    sql["incremental_tables"] = two_batches(CUSTOMERS, flat_buckets(projected), L2, K, FIRST)
+    sql["incremental_planes"] = two_batches(CUSTOMERS, words, L2, K, ties, probe=True)
     windowed = "WITH RECURSIVE " + window_steps(RECORDS, K, "c // 2", 5, "c // 3", TOP, "c // 3")
     sql["windowed_labels"] = f'{windowed} SELECT "key", label, reason FROM labelled'
     sql["windowed_lof"] = f"{windowed} SELECT reason, label, count(*) n FROM labelled GROUP BY ALL"

@@ -658,6 +658,32 @@ def incremental_lof_scores(spark, sf_dir):
     return rounded(model.scores().select("i", "n", "kd", "lrd", "lof"), "kd", "lrd", "lof")
 
 
+def _stream_by(spark, sf_dir, technique, hashed=None):
+    """Scores after two batches whose arrivals find their lists by ``technique``."""
+    records = D.customer_records(spark, sf_dir)
+    path, home = replay(records, 2), D.scratch(spark, "ilof")
+    model = detector("ilof", spark, f"{home}/state", k=K, technique=technique, hashed=hashed)
+    model.start(parsed(file_stream(spark, path), 2), f"{home}/checkpoint").awaitTermination()
+    return rounded(model.scores().select("i", "n", "kd", "lrd", "lof"), "kd", "lrd", "lof")
+
+
+@query
+def incremental_kd(spark, sf_dir):
+    return _stream_by(spark, sf_dir, "kd")
+
+
+@query
+def incremental_tables(spark, sf_dir):
+    """Arrivals probe the stored buckets of two tables."""
+    return _stream_by(spark, sf_dir, "tables", hashing.projection_family(D.PROJECTIONS, D.OFFSETS, D.WIDTH))
+
+
+@query
+def incremental_planes(spark, sf_dir):
+    """Arrivals probe stored buckets of sides; those alone in theirs the nearest ones."""
+    return _stream_by(spark, sf_dir, "planes", hashing.sign_family(D.STREAM_PLANES))
+
+
 @query
 def stream_profiles(spark, sf_dir):
     """What the stream knows of every point at the end, with its neighbours and their reach."""

@@ -16,6 +16,8 @@ TOP = 10
 PLANES = np.round(hashing.uniform_planes(64, 4, 3, seed=11), 6)
 GAUSSIAN = np.round(hashing.gaussian_planes(64, 5, 2, seed=12), 6)
 FLAT_PLANES = np.round(hashing.uniform_planes(2, 6, 1, seed=13), 6)
+# sides that tell customers apart although their coordinates differ in scale
+STREAM_PLANES = np.round(hashing.uniform_planes(2, 24, 1, seed=15) * [0.01, 1.0], 6)
 PROBES = np.round(hashing.uniform_planes(64, 12, 1, seed=21), 6)
 PROJECTIONS = np.round(hashing.gaussian_planes(2, 2, 2, seed=14), 6)
 OFFSETS = [[17, 71], [42, 5]]

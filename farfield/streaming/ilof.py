@@ -1,8 +1,9 @@
 """Incremental LOF: scores of everything seen so far, kept current batch by batch.
 
-The state is a list of segments, each written once: the rows a batch added or changed,
-and the leaves of the points it added.  A batch searches only the stored leaves near its
-own points, and writes only what changed.
+The state is a list of segments, each written once: the rows a batch added or changed, the
+leaves of the points it added and, with a hash technique, their buckets.  A batch searches
+only the stored leaves near its own points or the buckets they share, and writes only what
+changed.
 """
 
 from __future__ import annotations
@@ -15,9 +16,10 @@ from farfield.functions.hashing import Family
 from farfield.functions.measures import Measure
 from farfield.operators.knn import LEAF_SCHEMA
 from farfield.operators.lof import label_top
+from farfield.operators.lsh import TECHNIQUES, first_k
 from farfield.session import passing, stage
-from farfield.streaming import leafindex
-from farfield.streaming.insert import SCORED, find_neighbours, insert, owners
+from farfield.streaming import buckets, leafindex
+from farfield.streaming.insert import SCORED, insert, owners
 from farfield.streaming.state import Versions
 
 ARRIVALS = "key string, i bigint"
@@ -43,7 +45,11 @@ class IncrementalLof:
     ):
         self.versions = Versions(spark, root)
         self.spark, self.k, self.measure = spark, k, measure
-        self.technique, self.hashed = technique, hashed
+        self.technique, self.hashed = technique.lower(), hashed
+        if self.technique not in TECHNIQUES:
+            raise ValueError(f"unknown technique {technique!r}; known: {', '.join(TECHNIQUES)}")
+        if self.technique in ("planes", "tables") and hashed is None:
+            raise ValueError(f"technique {technique!r} needs a hash family")
 
     def scores(self, batch_id: int | None = None) -> DataFrame:
         """``i, x, kd, n, nbrs, lrd, lof`` after a batch (the last one by default)."""
@@ -79,14 +85,20 @@ class IncrementalLof:
 
         fresh = owner.filter("fresh").select(F.col("first").alias("i"), "x")
         added = leafindex.build(self.versions, batch_id, fresh, self.measure)
-        if self.technique == "flat":
-            near, hits = leafindex.find(old, self._leaves(segments), segments, added, self.k)
+        entry = {**added.entry, "rows": added.leaves.rows}
+        if self.technique in ("flat", "kd"):
+            near = leafindex.find(self._leaves(segments), segments, added, self.k)
+            if self.technique == "kd":
+                near = first_k(near, self.k)
         else:
-            near, hits = find_neighbours(old, fresh, self.k, self.measure, self.technique, self.hashed)
+            probe = self.technique == "planes"
+            entry |= buckets.build(self.versions, batch_id, fresh, entry["rows"], self.hashed, probe)
+            near = buckets.find(self.versions, segments, entry, fresh, self.k, self.measure, self.hashed, probe)
+        hits = leafindex.reached(old, segments, added, self.k) if segments else near.limit(0)
         arriving = fresh.join(added.where, "i")
         changed = insert(old, arriving, near, hits, self.k)
         scored = self.versions.write("scored", batch_id, changed)
-        segments = [*segments, {"scored": scored, **added.entry, "rows": added.leaves.rows}]
+        segments = [*segments, {"scored": scored, **entry}]
         self.versions.commit(
             batch_id,
             {"segments": self._compacted(segments, batch_id), "seen": before.get("seen", 0) + arrived.count()},
@@ -113,7 +125,10 @@ class IncrementalLof:
         moved = rows.join(index.where.withColumnRenamed("leaf", "moved"), "i", "left")
         moved = moved.withColumn("leaf", F.coalesce("moved", "leaf")).drop("moved")
         scored = self.versions.write("scored-merged", batch_id, moved.select(*rows.columns))
-        return [*segments[:keep], {"scored": scored, **index.entry, "rows": index.leaves.rows}]
+        entry = {"scored": scored, **index.entry, "rows": index.leaves.rows}
+        if self.technique in ("planes", "tables"):
+            entry |= buckets.merge(self.versions, batch_id, merged)
+        return [*segments[:keep], entry]
 
     def labels(self, top_n: int) -> DataFrame:
         """``key, label`` of every arrival: 1 for the keys of the ``top_n`` points."""

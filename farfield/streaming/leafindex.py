@@ -49,27 +49,29 @@ def build(
     return Added(leaves, {"leaves": path, "floor": floor, "levels": made.levels})
 
 
-def find(
-    old: DataFrame, stored: DataFrame, segments: list[dict], added: Added, k: int
-) -> tuple[DataFrame, DataFrame]:
-    """(lists of the added points, new entries for old points within their k-distance)."""
-    new = added.leaves
-    levels = max([new.levels, *(s["levels"] for s in segments)])
+def _levels(segments: list[dict], added: Added) -> int:
+    return max([added.leaves.levels, *(s["levels"] for s in segments)])
+
+
+def find(stored: DataFrame, segments: list[dict], added: Added, k: int) -> DataFrame:
+    """Exact lists ``i, nbrs`` of the added points."""
+    new, levels = added.leaves, _levels(segments, added)
     everywhere = stored.unionByName(new.table)
     with arrow_rows(new.spark, new.batch_rows):
         home = stage(search_home(new, k, True, keep_x=True), "home")
     asking = asking_boxes(home, new.measure, new.dims)
     pairs = leaf_pairs(asking, offering_boxes(everywhere), levels, new.measure, new.dims, k)
     near = search_in_rounds(home, pairs, everywhere, new.measure, new.dims, k, True, new.batch_rows)
-    near = near.select("i", "nbrs")
+    return near.select("i", "nbrs")
+
 
-    if not segments:
-        return near, home.select("i", "nbrs").limit(0)
+def reached(old: DataFrame, segments: list[dict], added: Added, k: int) -> DataFrame:
+    """New entries ``i, nbrs`` for old points: the added ones within their k-distance."""
+    new, levels = added.leaves, _levels(segments, added)
     reaching = old.select("i", "leaf", F.lit(0).cast("bigint").alias("grp"), "x", open_reach(k).alias("bound"))
     reaching = reaching.withColumn("cls", bound_class(F.col("bound")))
     back = leaf_pairs(
         asking_boxes(reaching, new.measure, new.dims), offering_boxes(new.table), levels, new.measure, new.dims, k
     )
     hits = search_away(reaching, back, new.table, new.measure, new.dims, k, True, new.batch_rows)
-    merged = hits.groupBy("i").agg(F.array_sort(F.flatten(F.collect_list("nbrs"))).alias("nbrs"))
-    return near, merged
+    return hits.groupBy("i").agg(F.array_sort(F.flatten(F.collect_list("nbrs"))).alias("nbrs"))

@@ -42,9 +42,10 @@ class Versions:
         names = [status.getPath().getName() for status in fs.listStatus(folder)]
         return max((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), default=-1)
 
-    def write(self, name: str, batch_id: int, rows: DataFrame) -> str:
+    def write(self, name: str, batch_id: int, rows: DataFrame, *folders: str) -> str:
+        """Write a segment, with a folder per value of the columns ``folders``."""
         path = f"{self.root}/{name}/v{batch_id}"
-        rows.write.mode("overwrite").parquet(path)
+        rows.write.mode("overwrite").parquet(path, partitionBy=list(folders))
         return path
 
     def commit(self, batch_id: int, manifest: dict) -> None:

@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from farfield.functions import hashing as H
 from farfield.operators import lof as L
+from farfield.operators.lsh import neighbours
 from farfield.streaming import areas as A
-from farfield.streaming import ilof
+from farfield.streaming import buckets, ilof
 from farfield.streaming.detect import detector
 from farfield.streaming.rlof import WindowedLof
 from farfield.streaming.sources import file_stream, parsed, replay
@@ -142,6 +143,73 @@ def test_arrivals_may_be_found_in_buckets(spark, tmp_path):
     same(scores(model.scores()), scores(L.lof(points.select(F.col("seq").alias("i"), "x"), 3)))
 
 
+def neighbour_lists(rows):
+    return {r["i"]: [(e["j"], round(e["dist"], 9)) for e in r["nbrs"]] for r in rows.collect()}
+
+
+def plain_stream(spark, x, cuts, k, technique, family):
+    """Lists after each batch by definition: arrivals search by technique among all points so far,
+    lists that they enter grow by them."""
+    dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    lists = {}
+    for low, high in zip([0, *cuts], cuts):
+        points = parsed(records(spark, x[:high]), x.shape[1]).select(F.col("seq").alias("i"), "x")
+        known = neighbour_lists(neighbours(points, k, technique, hashed=family))
+        for i, has in lists.items():
+            reach = has[-1][1] if len(has) >= k else np.inf
+            pool = sorted([(d, j) for j, d in has] + [
+                (round(dist[i, j], 9), j) for j in range(low, high) if round(dist[i, j], 9) <= reach])
+            lists[i] = [(j, d) for d, j in pool if d <= pool[min(k, len(pool)) - 1][0]]
+        lists |= {i: known[i] for i in range(low, high)}
+    return lists
+
+
+@pytest.mark.parametrize("technique", ["kd", "tables", "planes"])
+def test_techniques_in_a_stream(spark, tmp_path, monkeypatch, technique):
+    monkeypatch.setattr(ilof, "COMPACT_AFTER", 2)
+    monkeypatch.setattr(buckets, "FOLDER_ROWS", 16)  # many folders
+    x = np.unique(np.random.default_rng(8).normal(size=(150, 3)).round(3), axis=0)
+    np.random.default_rng(9).shuffle(x)
+    # twelve sides leave points alone; wide steps put many into one bucket
+    family = {
+        "kd": None,
+        "tables": H.projection_family(H.gaussian_planes(3, 2, 3, 4), [[17, 71], [42, 5], [3, 9]], 1.5),
+        "planes": H.sign_family(H.gaussian_planes(3, 12, 2, 5)),
+    }[technique]
+    model = ilof.IncrementalLof(spark, str(tmp_path), 4, technique=technique, hashed=family)
+    points, cuts = parsed(records(spark, x), 3), [60, 100, 130, len(x)]
+    for b, (low, high) in enumerate(zip([0, *cuts], cuts)):
+        model.apply(points.filter(F.col("seq").between(low, high - 1)), b)
+        if b == 2:
+            model.apply(points.filter(F.col("seq").between(low, high - 1)), b)  # again after a failure
+    model.apply(points.filter("seq < 5").withColumn("seq", F.col("seq") + 1000), len(cuts))  # copies only
+    assert neighbour_lists(model.scores()) == plain_stream(spark, x, cuts, 4, technique, family)
+    segments = model.versions.manifest(len(cuts))["segments"]
+    assert len(segments) <= 2
+    if family:
+        kept = buckets.stored(model.versions, segments)
+        assert kept.count() == len(x) * family.tables == kept.select("i", "tab").distinct().count()
+
+
+def test_arrivals_read_only_folders_of_their_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(buckets, "FOLDER_ROWS", 8)
+    x = RNG.normal(size=(400, 2))
+    family = H.projection_family(H.gaussian_planes(2, 2, 1, 4), [[0, 0]], 0.5)
+    model = ilof.IncrementalLof(spark, str(tmp_path), 3, technique="tables", hashed=family)
+    model.apply(parsed(records(spark, x), 2), 0)
+    own = model.versions.manifest(0)["segments"]
+    every = buckets.stored(model.versions, own)
+    first = every.orderBy("grp").first()
+    asked = spark.createDataFrame([(first["grp"],)], "grp bigint")
+    found = buckets.members(model.versions, own, asked)
+    want = every.join(asked, "grp", "left_semi").count()
+    others = [f for f in (tmp_path / "buckets" / "v0").glob("part=*/*.parquet") if f.parent.name != f"part={first['part']}"]
+    assert len(others) > 5
+    for f in others:
+        f.write_bytes(b"no table")  # reading one of these would fail
+    assert found.count() == want > 0
+
+
 def test_replay_is_read_in_order(spark, tmp_path):
     path, seen = replay(records(spark, RNG.normal(size=(57, 2))), 8, str(tmp_path / "replay")), []
     stream = file_stream(spark, path).writeStream.foreachBatch(
@@ -155,6 +223,10 @@ def test_replay_is_read_in_order(spark, tmp_path):
 def test_unknown_choices(spark, points, tmp_path):
     with pytest.raises(ValueError, match="unknown algorithm"):
         detector("milof", spark, str(tmp_path), k=3)
+    with pytest.raises(ValueError, match="unknown technique"):
+        detector("ilof", spark, str(tmp_path), k=3, technique="hnsw")
+    with pytest.raises(ValueError, match="needs a hash family"):
+        detector("ilof", spark, str(tmp_path), k=3, technique="tables")
     with pytest.raises(ValueError, match="unknown technique"):
         L.lof(points([[1.0]]), 1, technique="hnsw")
     with pytest.raises(ValueError, match="needs a hash family"):
