@@ -20,8 +20,10 @@ from farfield.llm.common import packed, stage, text_of
 
 #: The model is fitted on at most so many labelled documents of each class.
 SAMPLE = 4000
-#: Terms that enter the lexicon: how sure (likelihood ratio), how telling (log odds), how many at most.
-SURE, TELLING, LARGEST = 25.0, 2.0, 5000
+#: Terms that enter the lexicon: how sure (likelihood ratio), how telling (log odds).
+SURE, TELLING = 25.0, 2.0
+#: A lexicon or list of exceptions beyond so many terms is an error: nothing is cut.
+LARGEST = 500_000
 PREFIXES = range(3, 10)
 
 #: Known before any label is seen, with the weight of a sure sign.
@@ -120,6 +122,13 @@ def _counted(batches: Iterator) -> Iterator:
     yield handed_on(seen)
 
 
+def _whole(rated: DataFrame) -> list:
+    rows = rated.limit(LARGEST + 1).collect()
+    if len(rows) > LARGEST:
+        raise ValueError(f"more than {LARGEST} terms tell classes apart: raise SURE or TELLING")
+    return sorted(rows, key=lambda r: r["term"])
+
+
 def learned(sample: DataFrame) -> dict:
     """The lexicon: ``weights`` by term and ``exceptions``, from documents with and without terms.
 
@@ -142,15 +151,15 @@ def learned(sample: DataFrame) -> dict:
     odds = F.log((a + 0.5) / (bad + 1)) - F.log((b + 0.5) / (good + 1))
     rated = counts.filter("term <> ''").select("term", odds.alias("odds"), sure.alias("sure"), "bad", "good")
     chosen = rated.filter((F.col("odds") >= TELLING) & (F.col("sure") >= SURE))
-    weights = {r["term"]: r["odds"] for r in chosen.orderBy(F.desc("sure"), "term").limit(LARGEST).collect()}
+    weights = {r["term"]: r["odds"] for r in _whole(chosen)}
     begins = [t for t in weights if not t.endswith(" ")]
     harmless = []
     if begins:
         shared = F.lit(False)
-        for n in sorted({len(t) for t in begins}):
+        for n in sorted({len(t) for t in begins}):  # a few lengths: those of PREFIXES
             shared = shared | F.substr("term", F.lit(1), F.lit(n)).isin([t for t in begins if len(t) == n])
         words = rated.filter(F.col("term").endswith(" ") & shared & (F.col("good") >= 5) & (F.col("odds") < 0.5))
-        harmless = [r["term"] for r in words.orderBy(F.desc("good"), "term").limit(LARGEST).collect()]
+        harmless = sorted(r["term"] for r in _whole(words))
     return {"weights": start["weights"] | weights, "exceptions": start["exceptions"] + harmless}
 
 
@@ -176,9 +185,16 @@ def _weight(line: str, matcher) -> tuple[float, int]:
             spared.append((start, end))
         elif w > best.get(start, 0.0):
             best[start] = w
-    for a, b in spared:
-        for s in [s for s in best if a <= s < b]:
-            del best[s]
+    if spared:
+        # one pass over both in order: what starts before the farthest end so far is spared
+        spared.sort()
+        k, covered = 0, -1
+        for s in sorted(best):
+            while k < len(spared) and spared[k][0] <= s:
+                covered = max(covered, spared[k][1])
+                k += 1
+            if s < covered:
+                del best[s]
     return float(sum(best.values())), line.count(" ") - 1 if len(line) > 2 else 0
 
 

@@ -2,6 +2,8 @@
 
 from pathlib import Path
 
+import time
+
 import numpy as np
 import pytest
 
@@ -52,6 +54,43 @@ def test_models_on_odd_and_no_rows(spark):
     assert cnn.scored(cases.nothing(spark), {"share": 0.5, "net": None}).count() == 0
 
 
+def plain_weight(line, model):
+    """Every start of a term by substring search, its heaviest weight, unless an exception covers it."""
+    at = lambda t: [k for k in range(len(line)) if line.startswith(t, k)]
+    spared = {s for t in model["exceptions"] for k in at(t) for s in range(k, k + len(t) - 1)}
+    best = {}
+    for t, w in model["weights"].items():
+        for k in at(t):
+            best[k] = max(w, best.get(k, 0.0))
+    return sum(w for k, w in best.items() if k not in spared)
+
+
+def test_weights_equal_a_plain_scorer():
+    model = {
+        "weights": {" trash ": 4.0, " clown ": 3.0, " tra": 1.5, " can ": 1.0, " c": 0.5},
+        "exceptions": [" trash can ", " clown trash ", " can ", " clown trash can trash "],
+    }
+    matcher, rng = toxicity._matcher(model), np.random.default_rng(3)
+    for _ in range(300):
+        line = toxicity.folded(" ".join(rng.choice(["trash", "clown", "can", "cat", "travel", "x"], rng.integers(0, 12))))
+        assert toxicity._weight(line, matcher)[0] == pytest.approx(plain_weight(line, model))
+
+
+def test_thousands_of_exceptions_in_one_text():
+    model = {"weights": {" trash ": 4.0, " clown ": 3.0}, "exceptions": [" trash can "]}
+    matcher, begun = toxicity._matcher(model), time.process_time()
+    assert toxicity._weight(toxicity.folded("clown trash can " * 100_000), matcher) == (300_000.0, 300_000)
+    assert time.process_time() - begun < 20  # a pass over all hits for each phrase takes minutes
+
+
+def test_a_lexicon_is_whole_or_an_error(spark, monkeypatch):
+    rows = spark.createDataFrame([(t,) for t in "cab"], "term string")
+    assert [r["term"] for r in toxicity._whole(rows)] == ["a", "b", "c"]
+    monkeypatch.setattr(toxicity, "LARGEST", 2)
+    with pytest.raises(ValueError, match="more than 2 terms"):
+        toxicity._whole(rows)
+
+
 def test_the_way_back_is_the_slope():
     rng = np.random.default_rng(0)
     p = {k: v.astype(np.float64) for k, v in cnn._start(rng).items()}
