@@ -249,7 +249,8 @@ def kept(docs: DataFrame) -> DataFrame:
 
     It is that of the smallest ``doc_id`` (nulls last), of rows that share it the one whose text
     hashes lowest, then the first.  Whole rows are written once; what is matched and grouped are
-    short rows, of which each component keeps one.
+    short rows.  Rows are then told by the places of those that go, which are fewer than those that
+    stay, so whole rows travel only where even that list is too long to send to every task.
     """
     rows = stage(fingerprinted(docs), "fingerprints")
     place = F.struct(
@@ -259,4 +260,5 @@ def kept(docs: DataFrame) -> DataFrame:
     # the first of each fingerprint, then of each component: a group of copies shrinks before it travels
     first = rows.groupBy("fp").agg(F.min(place).alias("p"))
     chosen = first.join(_known(rows), "fp").groupBy("component").agg(F.min("p").alias("p"))
-    return rows.join(stage(chosen.select(F.col("p.at").alias("at")), "kept"), "at", "left_semi").select("row.*")
+    gone = rows.select("at").join(chosen.select(F.col("p.at").alias("at")), "at", "left_anti")
+    return rows.join(stage(gone, "gone"), "at", "left_anti").select("row.*")
