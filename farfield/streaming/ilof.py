@@ -1,9 +1,9 @@
 """Incremental LOF: scores of everything seen so far, kept current batch by batch.
 
 The state is a list of segments, each written once: the rows a batch added or changed, the
-leaves of the points it added and, with a hash technique, their buckets.  A batch searches
-only the stored leaves near its own points or the buckets they share, and writes only what
-changed.
+leaves of the points it added, tables of leaves that say which of them a later batch can touch
+and, with a hash technique, buckets.  A batch searches only the stored leaves near its own points
+or the buckets they share, reads the rows of the leaves it can touch, and writes what changed.
 """
 
 from __future__ import annotations
@@ -14,15 +14,17 @@ from pyspark.sql.streaming import StreamingQuery
 
 from farfield.functions.hashing import Family
 from farfield.functions.measures import Measure
-from farfield.operators.knn import LEAF_SCHEMA
+from farfield.operators.knn import LEAF_ROWS, LEAF_SCHEMA, Leaves, build_leaves
 from farfield.operators.lof import label_top
 from farfield.operators.lsh import TECHNIQUES, first_k
+from farfield.operators.sets import first_arrivals
 from farfield.session import passing, stage
-from farfield.streaming import buckets, leafindex
-from farfield.streaming.insert import SCORED, insert, owners
+from farfield.streaming import buckets, leafindex, links
+from farfield.streaming.insert import insert, owners
 from farfield.streaming.state import Versions
 
 ARRIVALS = "key string, i bigint"
+COLUMNS = ["i", "x", "leaf", "kd", "n", "nbrs", "lrd", "lof"]
 COMPACT_AFTER = 8
 
 
@@ -42,7 +44,9 @@ class IncrementalLof:
         measure: str | Measure = "euclidean",
         technique: str = "flat",
         hashed: Family | None = None,
+        leaf_rows: int = LEAF_ROWS,
     ):
+        self.leaf_rows = leaf_rows
         self.versions = Versions(spark, root)
         self.spark, self.k, self.measure = spark, k, measure
         self.technique, self.hashed = technique.lower(), hashed
@@ -79,33 +83,61 @@ class IncrementalLof:
         segments = before.get("segments", [])
         # a stream's own session has adaptive execution off, so go on in the caller's
         arrived = stage(batch.select("key", F.col("seq").alias("i"), "x"), "arrived", self.spark)
-        old = self._overlaid(segments)
-        owner = owners(old, arrived)
+        earliest = stage(first_arrivals(arrived.select("i", "x"), "i"), "earliest")
+        made = self._packed(earliest)
+        holding = links.rows_of(
+            self.versions, segments, links.holding(self.versions, segments, made, leafindex.levels(segments, made))
+        ) if segments else self._overlaid([])
+        owner = owners(holding, earliest)
         self.versions.log("arrivals", batch_id, arrived.join(owner, "x").select("key", F.col("first").alias("i")))
 
         fresh = owner.filter("fresh").select(F.col("first").alias("i"), "x")
-        added = leafindex.build(self.versions, batch_id, fresh, self.measure)
+        if not owner.filter(~F.col("fresh")).isEmpty():
+            made = self._packed(fresh)
+        added = leafindex.build(self.versions, batch_id, made)
+        levels = leafindex.levels(segments, added.leaves)
         entry = {**added.entry, "rows": added.leaves.rows}
+        leaves = self._leaves(segments)
         if self.technique in ("flat", "kd"):
-            near = leafindex.find(self._leaves(segments), segments, added, self.k)
+            near = leafindex.find(leaves, segments, added, self.k)
             if self.technique == "kd":
                 near = first_k(near, self.k)
         else:
             probe = self.technique == "planes"
             entry |= buckets.build(self.versions, batch_id, fresh, entry["rows"], self.hashed, probe)
             near = buckets.find(self.versions, segments, entry, fresh, self.k, self.measure, self.hashed, probe)
-        hits = leafindex.reached(old, segments, added, self.k) if segments else near.limit(0)
+        near = stage(near, "near")
         arriving = fresh.join(added.where, "i")
+        old, hits = self._overlaid([]), near.limit(0)
+        if segments:
+            touched = links.touched(
+                self.versions, segments, leaves, added.leaves, near.join(arriving, "i"), levels, self.k
+            )
+            old = stage(links.rows_of(self.versions, segments, touched), "old")
+            hits = leafindex.reached(old, segments, added, self.k)
         changed = insert(old, arriving, near, hits, self.k)
-        scored = self.versions.write("scored", batch_id, changed)
+        scored = links.write_rows(self.versions, "scored", batch_id, changed)
+        changed = links.rows_of(self.versions, [{"scored": scored}])
+        known = old.select("i", "leaf").unionByName(added.where)
+        own = changed.filter(F.col("leaf") >= added.entry["floor"])
+        entry |= links.describe(
+            self.versions, "", batch_id, own, changed, known, made.measure, made.dims, self.k
+        )
         segments = [*segments, {"scored": scored, **entry}]
         self.versions.commit(
             batch_id,
-            {"segments": self._compacted(segments, batch_id), "seen": before.get("seen", 0) + arrived.count()},
+            {
+                "segments": self._compacted(segments, batch_id),
+                "seen": before.get("seen", 0) + arrived.count(),
+                "read": old.count(),
+            },
         )
 
+    def _packed(self, points: DataFrame) -> Leaves:
+        return build_leaves(points, self.measure, self.leaf_rows)
+
     def _overlaid(self, segments: list[dict]) -> DataFrame:
-        return self.versions.newest([s["scored"] for s in segments], SCORED)
+        return links.rows_of(self.versions, segments).select(*COLUMNS)
 
     def _leaves(self, segments: list[dict]) -> DataFrame:
         return self.versions.read([s["leaves"] for s in segments], LEAF_SCHEMA)
@@ -120,12 +152,23 @@ class IncrementalLof:
         keep = 1 if newer * 4 < segments[0]["rows"] else 0
         merged = segments[keep:]
         rows = stage(self._overlaid(merged), "merged")
-        own = rows.filter(F.col("leaf") >= merged[0]["floor"]).select("i", "x")
-        index = leafindex.build(self.versions, batch_id, own, self.measure, compacting=True)
+        own = rows.filter(F.col("leaf") >= merged[0]["floor"])
+        index = leafindex.build(self.versions, batch_id, self._packed(own.select("i", "x")), compacting=True)
         moved = rows.join(index.where.withColumnRenamed("leaf", "moved"), "i", "left")
         moved = moved.withColumn("leaf", F.coalesce("moved", "leaf")).drop("moved")
-        scored = self.versions.write("scored-merged", batch_id, moved.select(*rows.columns))
+        scored = links.write_rows(self.versions, "scored-merged", batch_id, moved.select(*rows.columns))
+        moved = links.rows_of(self.versions, [{"scored": scored}])
+        known = index.where.select("i", "leaf")
+        if keep:  # neighbours that did not move
+            before = F.col("leaf") < merged[0]["floor"]
+            of = self.versions.read([s["links"] for s in merged], links.LINKS).select(F.col("of").alias("leaf"))
+            at = stage(of.union(rows.select("leaf")).filter(before).distinct(), "unmoved")
+            known = known.unionByName(links.rows_of(self.versions, segments[:keep], at).select("i", "leaf"))
         entry = {"scored": scored, **index.entry, "rows": index.leaves.rows}
+        new = moved.filter(F.col("leaf") >= index.entry["floor"])
+        entry |= links.describe(
+            self.versions, "-merged", batch_id, new, moved, known, index.leaves.measure, index.leaves.dims, self.k
+        )
         if self.technique in ("planes", "tables"):
             entry |= buckets.merge(self.versions, batch_id, merged)
         return [*segments[:keep], entry]

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farfield.session import delete
@@ -92,15 +92,18 @@ class Versions:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*paths)
 
-    def newest(self, paths: list[str], schema, key: str = "i") -> DataFrame:
+    def newest(self, paths: list[str], schema, key: str = "i", only: Column | None = None) -> DataFrame:
         """Segments, oldest first, overlaid: the last segment that has a key decides.
 
+        ``only`` restricts all of them to rows that have the same value of it in every segment.
+
         Segments after the first are as small as the batches that wrote them, so older
         rows are filtered by anti-joins on short key lists, not regrouped.
         """
         whole, seen = None, None
         for path in reversed(paths):
             part = self.spark.read.schema(schema).parquet(path)
+            part = part if only is None else part.filter(only)
             if whole is None:
                 whole, seen = part, part.select(key)
             else:

@@ -6,7 +6,7 @@ from farfield.functions import hashing as H
 from farfield.operators import lof as L
 from farfield.operators.lsh import neighbours
 from farfield.streaming import areas as A
-from farfield.streaming import buckets, ilof
+from farfield.streaming import buckets, ilof, links
 from farfield.streaming.detect import detector
 from farfield.streaming.rlof import WindowedLof
 from farfield.streaming.sources import file_stream, parsed, replay
@@ -70,6 +70,45 @@ def test_a_batch_of_copies_only(spark, tmp_path):
     assert model.labels(1).filter("label = 1").count() == 2
 
 
+@pytest.mark.parametrize("measure", ["euclidean", "cosine"])
+def test_a_batch_reads_the_leaves_it_can_touch(spark, tmp_path, monkeypatch, measure):
+    """Small leaves, one to a folder: what is read follows the batch, and results stay exact."""
+    monkeypatch.setattr(links, "FOLDER_BITS", 0)
+    monkeypatch.setattr(ilof, "COMPACT_AFTER", 3)
+    x = RNG.uniform(1, 40, size=(360, 2)).round(1)
+    x[300:310] = RNG.uniform(1, 2, size=(10, 2)).round(2)  # a batch in one corner
+    x[310:320] = np.concatenate([x[:5], x[300:305]])  # copies of stored points
+    points = parsed(records(spark, x), 2)
+    model = ilof.IncrementalLof(spark, str(tmp_path), 4, measure, leaf_rows=16)
+    seen = []
+    for b, (low, high) in enumerate([(0, 300), (300, 310), (310, 320), (320, 360)]):
+        model.apply(points.filter(F.col("seq").between(low, high - 1)), b)
+        seen.append(model.versions.manifest(b)["read"])
+    same(scores(model.scores()), scores(L.lof(points.select(F.col("seq").alias("i"), "x"), 4, measure)))
+    assert seen[0] == 0 and seen[2] == 0  # copies change nothing
+    if measure == "euclidean":
+        assert 0 < seen[1] < 150
+
+
+def test_links_say_who_lists_whom(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ilof, "COMPACT_AFTER", 2)  # the last batch merges the newer segments
+    x = RNG.uniform(0, 9, size=(240, 2))
+    points = parsed(records(spark, x), 2)
+    model = ilof.IncrementalLof(spark, str(tmp_path), 3, leaf_rows=8)
+    for b, (low, high) in enumerate([(0, 200), (200, 210), (210, 240)]):
+        model.apply(points.filter(F.col("seq").between(low, high - 1)), b)
+        segments = model.versions.manifest(b)["segments"]
+        rows = links.rows_of(model.versions, segments).collect()
+        at = {r["i"]: r["leaf"] for r in rows}
+        told = model.versions.read([s["links"] for s in segments], links.LINKS).collect()
+        true = {(at[e["j"]], r["leaf"]) for r in rows for e in r["nbrs"] if at[e["j"]] != r["leaf"]}
+        assert true <= {(r["of"], r["by"]) for r in told}
+        bound = {}
+        for r in model.versions.read([s["reach"] for s in segments], links.BOXES).collect():
+            bound[r["leaf"]] = max(r["bound"], bound.get(r["leaf"], 0.0))
+        assert all(r["kd"] <= bound[r["leaf"]] for r in rows)
+
+
 RULES = dict(k=3, window=16, inlier_percent=10, max_age=4, dims=2, top=3, step=10)
 
 
