@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 
 NEIGHBOUR = pa.struct([("dist", pa.float64()), ("j", pa.int64())])
+HELD = 64  # leaves whose lists are kept while others are visited
 PAIRS_AT_ONCE = 1 << 17  # a block of distances stays in a core's cache
 
 
@@ -153,20 +154,35 @@ def screened(measure):
 
     def near(a, b, void, k, limit):
         lower, upper = measure.screen(a, b)
-        lower[void], upper[void] = np.inf, np.inf
+        if np.ndim(void):
+            lower[void], upper[void] = np.inf, np.inf
         row, col = np.nonzero(lower <= row_bounds(upper, k, limit)[:, None])
-        dist = np.full(lower.shape, np.inf)
-        for start in range(0, len(row), PAIRS_AT_ONCE >> 4):
-            r, c = row[start : start + (PAIRS_AT_ONCE >> 4)], col[start : start + (PAIRS_AT_ONCE >> 4)]
-            dist[r, c] = measure.rows(a[r], b[c])
-        dist[np.isnan(dist) | void] = np.inf
-        bound = row_bounds(dist, k, limit)
-        keep = dist[row, col] <= bound[row]
-        return row[keep], col[keep], dist[row, col][keep], bound
+        step = PAIRS_AT_ONCE >> 4
+        dist = np.concatenate([np.empty(0)] + [
+            measure.rows(a[row[start : start + step]], b[col[start : start + step]]) for start in range(0, len(row), step)
+        ])
+        dist[np.isnan(dist)] = np.inf
+        if np.ndim(void):
+            dist[void[row, col]] = np.inf
+        bound = tightened(row, dist, k, limit)
+        keep = dist <= bound[row]
+        return row[keep], col[keep], dist[keep], bound
 
     return near
 
 
+def tightened(row, dist, k, limit):
+    """Per row: the k-th smallest of its distances if that is below its limit, else the limit."""
+    bound = limit.copy()
+    if k is not None and len(row):
+        counts = np.bincount(row, minlength=len(limit))
+        full = np.flatnonzero(counts >= k)
+        if len(full):
+            ordered = dist[np.lexsort((dist, row))]
+            bound[full] = np.minimum(bound[full], ordered[(np.cumsum(counts) - counts)[full] + k - 1])
+    return bound
+
+
 def nearest(near, a, b, a_ids, b_ids, k, limit, skip_self):
     """Neighbours of each row of ``a`` among ``b``: within ``limit`` and, if ``k`` is
     given, within the k-th smallest distance (ties kept).
@@ -176,6 +192,7 @@ def nearest(near, a, b, a_ids, b_ids, k, limit, skip_self):
     """
     found, bounds = [], []
     step = max(1, PAIRS_AT_ONCE // max(1, len(b)))
+    skip_self = skip_self and len(np.intersect1d(a_ids, b_ids)) > 0
     for start in range(0, len(a), step):
         stop = min(start + step, len(a))
         void = a_ids[start:stop, None] == b_ids[None, :] if skip_self else np.False_
@@ -278,3 +295,51 @@ def across_leaves(near, dims: int, k, skip_self: bool):
             )
 
     return run
+
+
+def across_tiles(near, dims: int, k: int, skip_self: bool):
+    """Rows of (query points of one leaf, another leaf) -> neighbours found over there.
+
+    The lists of a leaf are cut to the k nearest, and what comes next is held against the tighter
+    bound, as long as the leaf is among the ``HELD`` that were last begun; then its lists leave.
+    """
+
+    def found(grp, ids, at, bound, row, j, dist):
+        order = np.lexsort((j, dist, row))
+        row, j, dist = row[order], j[order], dist[order]
+        hit, dense = np.unique(row, return_inverse=True)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids[hit]), pa.array(np.full(len(hit), grp)), neighbour_lists(dense, j, dist, len(hit))],
+            names=["i", "grp", "nbrs"],
+        )
+
+    def run(batches):
+        held = {}
+        for batch in batches:
+            columns = {c: flat_lists(batch.column(c)) for c in ("asking", "ax", "bounds", "ids", "xs", "roles")}
+            part = lambda c, r: columns[c][1][columns[c][0][r] : columns[c][0][r + 1]]
+            leaves, groups = batch.column("a").to_numpy(), batch.column("grp").to_numpy()
+            for r in range(batch.num_rows):
+                key = (groups[r], leaves[r])
+                if key not in held:
+                    if len(held) == HELD:
+                        yield found(*held.pop(next(iter(held))))
+                    # copies: the batch is not to stay
+                    held[key] = (
+                        groups[r], part("asking", r).copy(), matrix(part("ax", r).copy(), dims), part("bounds", r).copy(),
+                        np.empty(0, int), np.empty(0, np.int64), np.empty(0),
+                    )
+                grp, who, at, bound, *lists_ = held[key]
+                offered = part("roles", r) & 2 > 0
+                more = nearest(
+                    near, at, matrix(part("xs", r), dims)[offered], who, part("ids", r)[offered], k, bound, skip_self
+                )[:3]
+                if len(more[0]):
+                    row, j, dist = (np.concatenate(pair) for pair in zip(lists_, more))
+                    bound = tightened(row, dist, k, bound)
+                    keep = dist <= bound[row]
+                    held[key] = (grp, who, at, bound, row[keep], j[keep], dist[keep])
+        for lists_ in held.values():
+            yield found(*lists_)
+
+    return run

@@ -12,6 +12,7 @@ work units are bounded, hot regions and hot groups included.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,6 +29,7 @@ CURVE_BINS = 64
 CURVE_DIMS = 8  # coordinates that lay out the curve: those that spread widest
 CURVE_BITS = 48
 FIRST_VISITS = 3  # leaves visited in the first round
+TILE_BITS = (3, 5)  # leaves on a side of a tile, as powers of two: least and most
 UNROLLED_DIMS = 16  # with more coordinates, box distances loop and blocks are screened
 
 QUERY, CANDIDATE = 1, 2
@@ -52,6 +54,12 @@ class Leaves:
     mean_rows: float  # points in an average leaf: small when groups are small
     levels: int
     split: bool  # some group spans several leaves
+    most: int = 1  # leaves of the largest group
+
+    @property
+    def tiled(self) -> bool:
+        """Whether boxes tell little apart, so that nearly every leaf is near nearly every other."""
+        return self.measure.box is None or self.dims > UNROLLED_DIMS
 
     @property
     def batch_rows(self) -> int:
@@ -180,7 +188,7 @@ def build_leaves(
     dense = F.expr(f"shiftleft(shiftright(leaf, 32), {width}) | (leaf & {0xFFFFFFFF}L)")
     table = table.withColumn("leaf", dense)
     levels = max(0, math.ceil(math.log2(max(1, most)) / FANOUT_BITS) - 1)
-    return Leaves(table, measure, dims, leaf_rows, rows, rows / (shape["all"] or 1), levels, most > 1)
+    return Leaves(table, measure, dims, leaf_rows, rows, rows / (shape["all"] or 1), levels, most > 1, most)
 
 
 def _box_distance(kind: str, dims: int, far: bool, a: tuple[str, str], b: tuple[str, str]) -> str:
@@ -389,6 +397,42 @@ def search_in_rounds(
     return gathered(points, second, k)
 
 
+def search_tiles(home: DataFrame, leaves: Leaves, k: int, skip_self: bool) -> DataFrame:
+    """Neighbours of the points of ``home`` in all other leaves of their group within their bound.
+
+    Where every leaf visits nearly every other, a copy of a point for each visit is most of the
+    work.  Here the pairs of leaves of a group are a square, cut into tiles; a leaf travels whole,
+    once for each tile of its row or column.  A tile is a bounded piece of work for one task.
+    """
+    measure, dims = leaves.measure, leaves.dims
+    bits = min(max(TILE_BITS[0], (leaves.most >> 4).bit_length()), TILE_BITS[1])
+    tile = lambda leaf: F.shiftright(leaf, bits)
+    crowd = leaves.table.groupBy("grp").agg(F.count("*").alias("leaves")).filter("leaves > 1").select("grp")
+    table = leaves.table.join(crowd, "grp", "left_semi")
+    row = table.filter("queries > 0").select("grp", tile("leaf").alias("ta")).distinct()
+    column = table.filter("candidates > 0").select("grp", tile("leaf").alias("tb")).distinct()
+    asking = home.groupBy("leaf", "grp").agg(
+        F.collect_list("i").alias("asking"), F.flatten(F.collect_list("x")).alias("ax"),
+        F.collect_list("bound").alias("bounds"), F.max("bound").alias("bound"),
+    )
+    boxes = table.select("leaf", F.col("lo").alias("alo"), F.col("hi").alias("ahi"))
+    a = asking.join(boxes, "leaf").withColumnRenamed("leaf", "a").withColumn("ta", tile("a")).join(column, "grp")
+    b = table.filter("candidates > 0").select(
+        "grp", F.col("leaf").alias("b"), tile("leaf").alias("tb"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"),
+        "ids", "xs", "roles",
+    ).join(row, "grp")
+    met = a.join(b, ["grp", "ta", "tb"]).filter("a <> b")
+    if measure.box is not None:
+        met = met.filter(F.expr(f"{_box_distance(measure.box, dims, False, ('alo', 'ahi'), ('blo', 'bhi'))} <= bound"))
+    with arrow_rows(leaves.spark, max(1, leaves.batch_rows // 2)):
+        return stage(
+            met.select("a", "grp", "asking", "ax", "bounds", "ids", "xs", "roles").mapInArrow(
+                blocks.across_tiles(_kernel(measure, dims), dims, k, skip_self), f"i bigint, grp bigint, nbrs {NEIGHBOURS}"
+            ),
+            "tiles",
+        )
+
+
 def with_roles(leaves: Leaves, roles: dict[int, int]) -> Leaves:
     """The same leaves, every point's role exchanged: one index serves several searches."""
     def now(role: Column) -> Column:
@@ -409,6 +453,8 @@ def _search(leaves: Leaves, k: int | None, skip_self: bool) -> tuple[DataFrame,
         home = stage(search_home(leaves, k, skip_self, keep_x=leaves.split), "home")
     if not leaves.split:
         return home, None
+    if k is not None and leaves.tiled:
+        return gathered(home, search_tiles(home, leaves, k, skip_self), k), None
     asking = asking_boxes(home, leaves.measure, leaves.dims)
     pairs = leaf_pairs(asking, offering_boxes(leaves.table), leaves.levels, leaves.measure, leaves.dims, k)
     rest = (leaves.table, leaves.measure, leaves.dims, k, skip_self, leaves.batch_rows)
@@ -422,16 +468,14 @@ def gathered(home: DataFrame, away: DataFrame | None, k: int | None = None) -> D
     k-th distance, ties kept, also on the way."""
     if away is None:
         return home.select("i", "grp", "nbrs")
-    cut = (lambda c: c) if k is None else (
-        lambda c: F.filter(c, lambda e: e["dist"] <= k_distance(c, k))
-    )
+    cut = (lambda c: c) if k is None else (lambda c: _cut(c, k)["nbrs"])
     some = away if k is None else away.select("i", "grp", cut(F.col("nbrs")).alias("nbrs"))
     more = some.groupBy("i", "grp").agg(F.flatten(F.collect_list("nbrs")).alias("more"))
     joined = home.select("i", "grp", "nbrs").join(more, ["i", "grp"], "left").select(
         "i",
         "grp",
         F.when(F.col("more").isNull(), F.col("nbrs"))
-        .otherwise(F.array_sort(F.concat("nbrs", "more")))
+        .otherwise(F.sort_array(F.concat("nbrs", "more")))
         .alias("nbrs"),
     )
     return joined if k is None else joined.withColumn("nbrs", cut(F.col("nbrs")))
@@ -446,11 +490,25 @@ def k_distance(nbrs: Column, k: int) -> Column:
     )
 
 
+def _once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)`` with the value computed once.  A filter that Spark moves below a projection
+    repeats the projection's expressions, inside lambdas once for each element."""
+    return F.transform(F.array(value), of)[0]
+
+
+def _cut(nbrs: Column, k: int) -> Column:
+    """Of a sorted neighbour list its k-distance ``kd``, and what is within that, ``nbrs``."""
+    return _once(nbrs, lambda some: _once(
+        k_distance(some, k),
+        lambda kd: F.struct(kd.alias("kd"), F.filter(some, lambda e: e["dist"] <= kd).alias("nbrs")),
+    ))
+
+
 def keep_nearest(lists: DataFrame, k: int) -> DataFrame:
     """Cut sorted neighbour lists at their k-distance, ties kept; add ``kd`` and ``n``."""
-    cut = lists.withColumn("kd", k_distance(F.col("nbrs"), k))
-    cut = cut.withColumn("nbrs", F.filter("nbrs", lambda e: e["dist"] <= F.col("kd")))
-    return cut.withColumn("n", F.size("nbrs"))
+    cut = lists.withColumn("cut", _cut(F.col("nbrs"), k))
+    cut = cut.withColumns({"nbrs": F.col("cut.nbrs"), "kd": F.col("cut.kd")})
+    return cut.withColumn("n", F.size("nbrs")).drop("cut")
 
 
 def knn(

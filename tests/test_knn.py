@@ -5,6 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from farfield.functions.measures import Measure
+from farfield.operators import knn as knn_
 from farfield.operators.knn import CANDIDATE, LEAF_ROWS, QUERY, knn, within_reach
 from tests import brute
 
@@ -96,3 +97,22 @@ def test_no_cross_product_in_the_plan(points):
 @given(st.lists(st.tuples(st.integers(-4, 4), st.integers(-4, 4)), min_size=1, max_size=40, unique=True))
 def test_any_small_grid(points, cells):
     assert lists(knn(points(cells), 3, leaf_rows=4)) == brute.neighbours(cells, 3)
+
+
+def test_wide_leaves_meet_in_tiles(points):
+    x = RNG.normal(size=(600, 20))
+    leaves = knn_.build_leaves(points(x), "cosine", 16)
+    home = knn_.search_home(leaves, 3, True, True)
+    away = knn_.search_tiles(home, leaves, 3, True)
+    tiles = leaves.table.select(F.shiftright("leaf", 3)).distinct().count()
+    assert leaves.table.count() > 2 * tiles
+    # a list for each tile, not for each leaf
+    assert away.groupBy("i").count().agg(F.max("count")).first()[0] <= tiles
+    assert away.agg(F.max(F.size("nbrs"))).first()[0] == 3
+
+
+def test_lists_are_cut_without_repeating_their_making(points):
+    lists = knn_.gathered(*(points([[0.0]]).selectExpr(
+        "i", "0L grp", "array(struct(1D dist, 2L j)) nbrs") for _ in range(2)), 3)
+    plan = knn_.edges(knn_.keep_nearest(lists, 3))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sort_array") + plan.count("array_sort") <= 3
