@@ -53,17 +53,41 @@ def _around(lists: pa.Array, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, values, mask=lists.is_null())
 
 
-@F.arrow_udf(ArrayType(DoubleType()))
-def _hashes(lists: pa.Array) -> pa.Array:
+PIECE = 1 << 16  # words that are hashed at once
+PIECE_BYTES = 4 << 20  # and their bytes, but for a word that is longer
+
+
+def _pieces(words: pa.Array):
+    """Slices of ``words`` that are bounded in number and bytes."""
+    size = pa.compute.binary_length(words).fill_null(0).to_numpy(False)
+    end = np.cumsum(size, dtype=np.int64)
+    start = 0
+    while start < len(words):
+        before = end[start] - size[start]
+        stop = max(start + 1, int(np.searchsorted(end, before + PIECE_BYTES, "right")))
+        stop = min(stop, start + PIECE)
+        yield words.slice(start, stop - start)
+        start = stop
+
+
+def _in_pieces(lists: pa.Array, values_of) -> pa.Array:
+    """Doubles for the words of lists: what is needed on the way is bounded, whatever the lists hold."""
     words = lists.flatten()
-    return _around(lists, pa.array(_word_hashes(words)[0], mask=words.is_null().to_numpy(False)))
+    values = np.empty(len(words))
+    done = 0
+    for piece in _pieces(words):
+        values[done:done + len(piece)] = values_of(piece)
+        done += len(piece)
+    return _around(lists, pa.array(values, mask=words.is_null().to_numpy(False)))
 
 
 @F.arrow_udf(ArrayType(DoubleType()))
-def _numbers_or_hashes(lists: pa.Array) -> pa.Array:
-    words = lists.flatten()
+def _hashes(lists: pa.Array) -> pa.Array:
+    return _in_pieces(lists, lambda words: _word_hashes(words)[0])
+
+
+def _spelled(words: pa.Array) -> np.ndarray:
     values, heads = _word_hashes(words)
-    missing = words.is_null().to_numpy(False)
     # few words begin as numbers do: with a blank, a sign, a point or a digit
     likely = np.flatnonzero((heads >= ord(" ")) & (heads <= ord("9")))
     spelled = re.compile(NUMBER, re.ASCII)
@@ -72,7 +96,12 @@ def _numbers_or_hashes(lists: pa.Array) -> pa.Array:
         inner = bare.rstrip("\r\n")
         if bare[len(inner):] in ("", "\n", "\r", "\r\n") and spelled.match(inner):
             values[at] = float(inner.rstrip("fd"))
-    return _around(lists, pa.array(values, mask=missing))
+    return values
+
+
+@F.arrow_udf(ArrayType(DoubleType()))
+def _numbers_or_hashes(lists: pa.Array) -> pa.Array:
+    return _in_pieces(lists, _spelled)
 
 
 def string_hashes(words: Column) -> Column:

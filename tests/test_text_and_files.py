@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,3 +155,15 @@ def test_replay_keeps_order(spark, tmp_path):
     path = replay(records, 3, str(tmp_path / "r"))
     stamped = spark.read.parquet(path).select("seq", F.col("_metadata.file_modification_time").alias("t"))
     assert [r["seq"] for r in stamped.orderBy("t", "seq").collect()] == list(range(5, 15))
+
+
+def test_words_are_hashed_in_bounded_pieces(monkeypatch):
+    words = pa.array(["a", "1.5", None, "word" * 40, "", "-2e1f", "é"] * 30, pa.string())
+    whole, sizes = T._spelled(words), []
+    lists = pa.ListArray.from_arrays(pa.array([0, 100, 100, 210], pa.int32()), words)
+    monkeypatch.setattr(T, "PIECE", 16)
+    monkeypatch.setattr(T, "PIECE_BYTES", 50)
+    found = T._in_pieces(lists, lambda some: sizes.append((len(some), sum(len(w or "") for w in some.to_pylist()))) or T._spelled(some))
+    assert found.value_lengths().to_pylist() == [100, 0, 110]
+    assert [w for some in found.to_pylist() for w in some] == [None if w is None else v for v, w in zip(whole, words.to_pylist())]
+    assert all(n <= 16 and (size <= 50 or n == 1) for n, size in sizes)
