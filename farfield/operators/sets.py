@@ -68,10 +68,12 @@ def box_join(points: DataFrame, boxes: DataFrame, cells: list[float]) -> DataFra
         keyed = keyed.withColumn(name, grid(F.col("x")[j], width))
         span = F.sequence(grid(F.col("lo")[j], width), grid(F.col("hi")[j], width))
         covers = covers.withColumn(name, F.explode(span))
-    inside = F.forall(
-        F.zip_with("x", F.arrays_zip("lo", "hi"), lambda v, b: (v >= b["lo"]) & (v <= b["hi"])),
-        lambda ok: ok,
-    )
+    # the leading coordinates are compared by plain expressions, which are compiled, others in a loop
+    inside = F.lit(True)
+    for j in range(len(cells)):
+        inside &= (F.col("x")[j] >= F.col("lo")[j]) & (F.col("x")[j] <= F.col("hi")[j])
+    rest = F.zip_with("x", F.arrays_zip("lo", "hi"), lambda v, b: (v >= b["lo"]) & (v <= b["hi"]))
+    inside &= (F.size("x") <= len(cells)) | F.forall(rest, lambda ok: ok)
     return covers.join(keyed, names).filter(inside).select("box", *points.columns)
 
 

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -91,3 +93,11 @@ def test_point_sets(spark, points):
     a = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 3.0)], "k int, v double")
     b = spark.createDataFrame([(1, 1.0 + 1e-9), (2, 2.5), (4, 4.0)], "k int, v double")
     assert sorted(r["k"] for r in sets.unmatched_within(a, b, ["k"], "v", 1e-6).collect()) == [2, 3, 4]
+
+
+def test_box_join_compares_without_a_loop_first(spark, points):
+    boxes = spark.createDataFrame([(7, [0.0, 0.0, 1.0], [2.0, 3.0, 2.0])], "box int, lo array<double>, hi array<double>")
+    found = sets.box_join(points([[0, 0, 1], [1, 2, 3], [2, 3, 2], [2, 4, 2]]), boxes, [1.0, 2.0])
+    assert sorted(r["i"] for r in found.collect()) == [0, 2]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"x#\d+\[0\] >= lo#\d+\[0\]", plan) and re.search(r"x#\d+\[1\] <= hi#\d+\[1\]", plan)
