@@ -138,18 +138,25 @@ def _intersection_rows(a, b):
         return np.where(area == 0, 1.0, 1 - _ordered_sum(a, b, np.minimum) / area)
 
 
-def _euclidean_screen(a, b):
-    weight = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :]
-    square = weight - 2 * (a @ b.T)
-    off = 8 * a.shape[1] * np.finfo(float).eps * weight
-    return np.sqrt(np.maximum(square - off, 0)), np.sqrt(np.maximum(square + off, 0))
-
-
-def _cosine_screen(a, b):
-    scale = np.sqrt((a * a).sum(axis=1)[:, None] * (b * b).sum(axis=1)[None, :])
-    gap = 1 - np.divide(a @ b.T, scale, out=np.full(scale.shape, -np.inf), where=scale > 0)
-    off = 16 * (a.shape[1] + 1) * np.finfo(float).eps
-    return gap - off, gap + off
+def _euclidean_screen(a, b, limit):
+    of_a, of_b = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    about = a @ (-2 * b).T  # the square without the row's own part
+    about += of_b
+    off = 8 * a.shape[1] * np.finfo(float).eps * (of_a + np.fmax.reduce(of_b, initial=0.0))
+    return about, _square_above(limit) - of_a + off, off
+
+
+def _cosine_screen(a, b, limit):
+    of_a, of_b = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    ends = [f.reduce(of_a, initial=1.0) * f.reduce(of_b, initial=1.0) for f in (np.fmin, np.fmax)]
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        if 0 < ends[0] and ends[1] < np.inf:
+            about = (a / np.sqrt(of_a)[:, None]) @ (b / -np.sqrt(of_b)[:, None]).T  # the distance less 1
+        else:  # products of norms that are no numbers, as in the distance itself
+            scale = np.sqrt(of_a[:, None] * of_b)
+            about = -np.divide(a @ b.T, scale, out=np.full(scale.shape, -np.inf), where=scale > 0)
+    off = np.full(len(a), 16 * (a.shape[1] + 1) * np.finfo(float).eps)
+    return about, limit - 1 + off, off
 
 
 @dataclass(frozen=True)
@@ -159,15 +166,16 @@ class Measure:
     ``rows`` takes arrays whose last axis is the coordinates and broadcasts the others.
     ``box`` names how far two bounding boxes must be apart: ``l2``, ``l1``, ``unit``
     (boxes over unit vectors) or ``None`` when boxes say nothing, in which case the kNN
-    join compares every block of points with every other.  ``screen`` gives cheap limits
-    of all distances of a block, used when there are many coordinates.
+    join compares every block of points with every other.  ``screen`` is used when there are
+    many coordinates: something cheap that orders a row's pairs like their distances but for
+    an error, the level above which a pair is beyond its row's limit, and that error, per row.
     """
 
     name: str
     column: Callable[[Column, Column], Column] | None
     rows: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
     box: str | None = None
-    screen: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None
+    screen: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]] | None = None
     cheap: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
     unkey: Callable[[np.ndarray], np.ndarray] = _same
     lift: Callable[[np.ndarray], np.ndarray] = _same

@@ -9,6 +9,7 @@ from pyspark import TaskContext
 NEIGHBOUR = pa.struct([("dist", pa.float64()), ("j", pa.int64())])
 HELD = 64  # leaves whose lists are kept while others are visited
 PAIRS_AT_ONCE = 1 << 17  # a block of distances stays in a core's cache
+CROWD = 4  # a row that passes more than so many times k pairs is cut by its own k-th first
 
 
 def matrix(flat: np.ndarray, dims: int) -> np.ndarray:
@@ -149,14 +150,22 @@ def screened(measure):
     """The same result for many coordinates: a matrix product rules pairs out first.
 
     Only pairs that could be within their row's bound are then computed term by term, and
-    the bound itself is taken from those exact values.
+    the bound itself is taken from those exact values.  Most rows pass few pairs by the limit
+    they came with and need no more than the product and one comparison.
     """
 
     def near(a, b, void, k, limit):
-        lower, upper = measure.screen(a, b)
+        about, top, off = measure.screen(a, b, limit)
         if np.ndim(void):
-            lower[void], upper[void] = np.inf, np.inf
-        row, col = np.nonzero(lower <= row_bounds(upper, k, limit)[:, None])
+            about[void] = np.inf
+        passed = about <= top[:, None]
+        if k is not None:
+            crowded = np.flatnonzero(np.count_nonzero(passed, axis=1) > CROWD * k)
+            if len(crowded):
+                some = about[crowded]
+                least = np.partition(some, k - 1, axis=1)[:, k - 1]
+                passed[crowded] &= some <= (least + 2 * off[crowded])[:, None]
+        row, col = np.nonzero(passed)
         step = PAIRS_AT_ONCE >> 4
         dist = np.concatenate([np.empty(0)] + [
             measure.rows(a[row[start : start + step]], b[col[start : start + step]]) for start in range(0, len(row), step)

@@ -29,7 +29,8 @@ CURVE_BINS = 64
 CURVE_DIMS = 8  # coordinates that lay out the curve: those that spread widest
 CURVE_BITS = 48
 FIRST_VISITS = 3  # leaves visited in the first round
-TILE_BITS = (3, 5)  # leaves on a side of a tile, as powers of two: least and most
+TILE_BITS = 3  # least leaves on a side of a tile, as a power of two
+TILE_BYTES = 256 << 20  # most bytes of vectors on a side of a tile
 UNROLLED_DIMS = 16  # with more coordinates, box distances loop and blocks are screened
 
 QUERY, CANDIDATE = 1, 2
@@ -397,6 +398,16 @@ def search_in_rounds(
     return gathered(points, second, k)
 
 
+def tile_bits(leaves: Leaves) -> int:
+    """Leaves on a side of a tile, as a power of two.
+
+    A group has at most sixteen tiles in a row, so that a leaf travels no more often when there are
+    more leaves; only sides that would be too many bytes for a task are cut shorter.
+    """
+    room = TILE_BYTES // (leaves.leaf_rows * leaves.dims * 8)
+    return max(TILE_BITS, min((leaves.most >> 4).bit_length(), room.bit_length() - 1))
+
+
 def search_tiles(home: DataFrame, leaves: Leaves, k: int, skip_self: bool) -> DataFrame:
     """Neighbours of the points of ``home`` in all other leaves of their group within their bound.
 
@@ -405,7 +416,7 @@ def search_tiles(home: DataFrame, leaves: Leaves, k: int, skip_self: bool) -> Da
     once for each tile of its row or column.  A tile is a bounded piece of work for one task.
     """
     measure, dims = leaves.measure, leaves.dims
-    bits = min(max(TILE_BITS[0], (leaves.most >> 4).bit_length()), TILE_BITS[1])
+    bits = tile_bits(leaves)
     tile = lambda leaf: F.shiftright(leaf, bits)
     crowd = leaves.table.groupBy("grp").agg(F.count("*").alias("leaves")).filter("leaves > 1").select("grp")
     table = leaves.table.join(crowd, "grp", "left_semi")

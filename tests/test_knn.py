@@ -4,8 +4,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from farfield.functions.measures import Measure
-from farfield.operators import knn as knn_
+from farfield.functions.measures import Measure, resolve
+from farfield.operators import blocks, knn as knn_
 from farfield.operators.knn import CANDIDATE, LEAF_ROWS, QUERY, knn, within_reach
 from tests import brute
 
@@ -35,6 +35,45 @@ def test_equals_brute_force(points, x, k, measure, leaf_rows):
     assert lists(knn(points(x), k, measure, leaf_rows)) == brute.neighbours(x, k, measure)
 
 
+@pytest.mark.parametrize("leaves", [100, 700, 4000])
+def test_a_leaf_travels_no_more_often_with_more_leaves(leaves):
+    some = knn_.Leaves(None, resolve("euclidean"), 64, LEAF_ROWS, leaves * LEAF_ROWS, LEAF_ROWS, 2, True, leaves)
+    assert leaves >> knn_.tile_bits(some) < 16
+    assert LEAF_ROWS * 64 * 8 << knn_.tile_bits(some) <= knn_.TILE_BYTES
+
+
+@pytest.mark.parametrize("name", ["euclidean", "cosine"])
+def test_screens_lose_no_neighbour(name):
+    """Ties, copies, vectors of zeros, of tiny and of huge numbers; few pairs a row and many."""
+    measure = resolve(name)
+    x = np.concatenate([
+        RNG.integers(0, 2, size=(90, 20)), RNG.normal(size=(90, 20)), RNG.normal(size=(20, 20)) * 1e-100,
+        RNG.normal(size=(20, 20)) * 1e120, np.zeros((2, 20)), np.full((1, 20), np.nan),
+    ]).astype(float)
+    with np.errstate(all="ignore"):
+        dist = measure.block(x, x)
+        dist[np.isnan(dist) | np.eye(len(x), dtype=bool)] = np.inf
+        if name == "cosine":  # norms whose product is zero have no angle
+            square = (x * x).sum(axis=1)
+            dist[square[:, None] * square == 0] = np.inf
+        for limit in (np.full(len(x), np.inf), np.sort(dist, axis=1)[:, 5]):
+            ids = np.arange(len(x))
+            row, j, found, _ = blocks.nearest(blocks.screened(measure), x, x, ids, ids, 3, limit, True)
+            want = (dist <= np.minimum(np.sort(dist, axis=1)[:, 2], limit)[:, None]) & (dist < np.inf)
+            assert set(zip(row, j)) == set(zip(*np.nonzero(want)))
+            assert all(dist[a, b] == d for a, b, d in zip(row, j, found))
+
+
+def test_screen_compares_once_where_limits_are_tight(monkeypatch):
+    """Rows that pass few pairs are neither sorted nor partitioned."""
+    x = RNG.normal(size=(300, 20))
+    limit = np.sort(resolve("euclidean").block(x, x), axis=1)[:, 4]
+    near, want = blocks.screened(resolve("euclidean")), np.argsort(resolve("euclidean").block(x, x), axis=1)[:, 1:5]
+    monkeypatch.setattr(np, "partition", None)
+    row, j, *_ = blocks.nearest(near, x, x, np.arange(300), np.arange(300), 4, limit, True)
+    assert (j.reshape(300, 4) == want).all()
+
+
 def test_three_tied_at_the_k_distance(points):
     x = [[0, 0], [1, 0], [0, 2], [2, 0], [0, -2], [9, 9]]
     near = knn(points(x), 2).filter("i = 0").first()
