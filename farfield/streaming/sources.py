@@ -32,9 +32,12 @@ def topic_stream(spark: SparkSession, servers: str, topic: str) -> DataFrame:
 
 
 def file_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
-    """The same records from parquet files, oldest first."""
+    """The same records from parquet files, oldest first.
+
+    A file may be one task's to read, whatever its size; what is done with its records is shared.
+    """
     stream = spark.readStream.schema(RECORD).option("maxFilesPerTrigger", files_per_batch).parquet(path)
-    return stream.select("key", "value", "seq")
+    return stream.select("key", "value", "seq").repartition(spark.sparkContext.defaultParallelism)
 
 
 def parsed(records: DataFrame, dims: int) -> DataFrame:
