@@ -140,23 +140,39 @@ def _intersection_rows(a, b):
 
 def _euclidean_screen(a, b, limit):
     of_a, of_b = (a * a).sum(axis=1), (b * b).sum(axis=1)
-    about = a @ (-2 * b).T  # the square without the row's own part
-    about += of_b
+    right = (-2 * b).T
+
+    def about(part):
+        squares = a[part] @ right  # without the row's own part
+        squares += of_b
+        return squares
+
     off = 8 * a.shape[1] * np.finfo(float).eps * (of_a + np.fmax.reduce(of_b, initial=0.0))
     return about, _square_above(limit) - of_a + off, off
 
 
 def _cosine_screen(a, b, limit):
     of_a, of_b = (a * a).sum(axis=1), (b * b).sum(axis=1)
-    ends = [f.reduce(of_a, initial=1.0) * f.reduce(of_b, initial=1.0) for f in (np.fmin, np.fmax)]
-    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
-        if 0 < ends[0] and ends[1] < np.inf:
-            about = (a / np.sqrt(of_a)[:, None]) @ (b / -np.sqrt(of_b)[:, None]).T  # the distance less 1
-        else:  # products of norms that are no numbers, as in the distance itself
-            scale = np.sqrt(of_a[:, None] * of_b)
-            about = -np.divide(a @ b.T, scale, out=np.full(scale.shape, -np.inf), where=scale > 0)
-    off = np.full(len(a), 16 * (a.shape[1] + 1) * np.finfo(float).eps)
-    return about, limit - 1 + off, off
+    with np.errstate(invalid="ignore", over="ignore", under="ignore"):
+        ends = [f.reduce(of_a, initial=1.0) * f.reduce(of_b, initial=1.0) for f in (np.fmin, np.fmax)]
+    if np.finfo(float).tiny <= ends[0] and ends[1] < np.inf:
+        # unit vectors: single precision errs by as little for all of them
+        kind = np.float32
+        left = np.divide(a, np.sqrt(of_a)[:, None]).astype(kind)
+        right = np.divide(b, -np.sqrt(of_b)[:, None]).astype(kind).T
+
+        def about(part):
+            return left[part] @ right  # the distance less 1
+    else:  # products of norms that are no numbers, as in the distance itself
+        kind = np.float64
+
+        def about(part):
+            with np.errstate(invalid="ignore", divide="ignore", over="ignore", under="ignore"):
+                scale = np.sqrt(of_a[part, None] * of_b)
+                return -np.divide(a[part] @ b.T, scale, out=np.full(scale.shape, -np.inf), where=scale > 0)
+
+    off = np.full(len(a), 16 * (a.shape[1] + 1) * np.finfo(kind).eps, kind)
+    return about, (limit - 1).astype(kind) + off, off
 
 
 @dataclass(frozen=True)
@@ -167,15 +183,16 @@ class Measure:
     ``box`` names how far two bounding boxes must be apart: ``l2``, ``l1``, ``unit``
     (boxes over unit vectors) or ``None`` when boxes say nothing, in which case the kNN
     join compares every block of points with every other.  ``screen`` is used when there are
-    many coordinates: something cheap that orders a row's pairs like their distances but for
-    an error, the level above which a pair is beyond its row's limit, and that error, per row.
+    many coordinates: a function that gives, for a slice of the rows, something cheap that orders
+    a row's pairs like their distances but for an error; then the level above which a pair is
+    beyond its row's limit, and that error, per row.
     """
 
     name: str
     column: Callable[[Column, Column], Column] | None
     rows: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
     box: str | None = None
-    screen: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]] | None = None
+    screen: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[Callable[[slice], np.ndarray], np.ndarray, np.ndarray]] | None = None
     cheap: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
     unkey: Callable[[np.ndarray], np.ndarray] = _same
     lift: Callable[[np.ndarray], np.ndarray] = _same

@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 
 NEIGHBOUR = pa.struct([("dist", pa.float64()), ("j", pa.int64())])
-HELD = 64  # leaves whose lists are kept while others are visited
+HELD = 64  # blocks of lonely points whose words are kept while others pass by
+VISITORS = 1 << 13  # points of a tile that are held against another leaf at once
 PAIRS_AT_ONCE = 1 << 17  # a block of distances stays in a core's cache
 CROWD = 4  # a row that passes more than so many times k pairs is cut by its own k-th first
 
@@ -38,6 +39,14 @@ def halve(x: np.ndarray, rows: np.ndarray, cap: int) -> list[np.ndarray]:
     return halve(x, rows[order[:middle]], cap) + halve(x, rows[order[middle:]], cap)
 
 
+def edges(x: np.ndarray, heads: np.ndarray, unit: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest coordinates of the leaves that begin at ``heads``, or of their unit vectors."""
+    if unit:
+        norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+        x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+    return np.minimum.reduceat(x, heads), np.maximum.reduceat(x, heads)
+
+
 def pack_leaves(dims: int, cap: int, unit: bool):
     """Rows sorted by group and curve position -> one row per leaf of at most ``cap`` points.
 
@@ -66,11 +75,7 @@ def pack_leaves(dims: int, cap: int, unit: bool):
         sizes = np.array([len(rows) for rows in leaves])
         heads = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         x, role, count = x[perm], role[perm], len(leaves)
-        box = x
-        if unit:
-            norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
-            box = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
-        low, high = np.minimum.reduceat(box, heads), np.maximum.reduceat(box, heads)
+        low, high = edges(x, heads, unit)
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(first_leaf + np.arange(count)),
@@ -129,19 +134,30 @@ def row_bounds(values, k, cap):
     return bound
 
 
+def pieces(rows: int, others: int):
+    """Slices of rows that with ``others`` make up to ``PAIRS_AT_ONCE`` pairs."""
+    step = max(1, PAIRS_AT_ONCE // max(1, others))
+    return [slice(start, min(start + step, rows)) for start in range(0, rows, step)]
+
+
 def exact(measure):
-    """Compares a block by the measure's key; takes distances only of pairs that pass."""
+    """Compares blocks by the measure's key; takes distances only of pairs that pass."""
 
     def near(a, b, void, k, limit):
-        key = measure.key(a[:, None, :], b[None, :, :])
-        key[np.isnan(key) | void] = np.inf
-        top = row_bounds(key, k, measure.lift(limit))
-        bound = np.minimum(limit, measure.unkey(top))
-        # different keys may share a distance: lift the bound to keep all ties
-        row, col = np.nonzero(key <= measure.lift(bound)[:, None])
-        dist = measure.unkey(key[row, col])
-        keep = dist <= bound[row]
-        return row[keep], col[keep], dist[keep], bound
+        found, bound = [(np.empty(0, int), np.empty(0, int), np.empty(0))], limit.copy()
+        for part in pieces(len(a), len(b)):
+            key = measure.key(a[part][:, None, :], b[None, :, :])
+            key[np.isnan(key)] = np.inf
+            if void is not None:
+                key[void(part)] = np.inf
+            top = row_bounds(key, k, measure.lift(limit[part]))
+            bound[part] = np.minimum(limit[part], measure.unkey(top))
+            # different keys may share a distance: lift the bound to keep all ties
+            row, col = np.nonzero(key <= measure.lift(bound[part])[:, None])
+            dist = measure.unkey(key[row, col])
+            keep = dist <= bound[part][row]
+            found.append((row[keep] + part.start, col[keep], dist[keep]))
+        return *(np.concatenate(parts) for parts in zip(*found)), bound
 
     return near
 
@@ -149,30 +165,37 @@ def exact(measure):
 def screened(measure):
     """The same result for many coordinates: a matrix product rules pairs out first.
 
-    Only pairs that could be within their row's bound are then computed term by term, and
-    the bound itself is taken from those exact values.  Most rows pass few pairs by the limit
-    they came with and need no more than the product and one comparison.
+    Only pairs that could be within their row's bound are then computed term by term, all rows
+    at once, and the bound itself is taken from those exact values.  Most rows pass few pairs by
+    the limit they came with and need no more than the product and one comparison.
     """
 
     def near(a, b, void, k, limit):
-        about, top, off = measure.screen(a, b, limit)
-        if np.ndim(void):
-            about[void] = np.inf
-        passed = about <= top[:, None]
-        if k is not None:
-            crowded = np.flatnonzero(np.count_nonzero(passed, axis=1) > CROWD * k)
-            if len(crowded):
-                some = about[crowded]
-                least = np.partition(some, k - 1, axis=1)[:, k - 1]
-                passed[crowded] &= some <= (least + 2 * off[crowded])[:, None]
-        row, col = np.nonzero(passed)
-        step = PAIRS_AT_ONCE >> 4
+        product, top, off = measure.screen(a, b, limit)
+        hits = [np.empty(0, int)]
+        for part in pieces(len(a), len(b)):
+            about = product(part)
+            if void is not None:
+                about[void(part)] = np.inf
+            passed = about <= top[part][:, None]
+            hit = np.flatnonzero(passed)
+            if k is not None and len(hit) > CROWD * k:
+                crowded = np.flatnonzero(np.bincount(hit // len(b)) > CROWD * k)
+                if len(crowded):
+                    some = about[crowded]
+                    least = np.partition(some, k - 1, axis=1)[:, k - 1]
+                    passed[crowded] &= some <= (least + 2 * off[part][crowded])[:, None]
+                    hit = np.flatnonzero(passed)
+            hits.append(hit + part.start * len(b))
+        row, col = np.divmod(np.concatenate(hits), max(1, len(b)))
+        # coordinate by coordinate, as sums are added: a coordinate of all pairs lies together
+        of_a, of_b, step = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T), PAIRS_AT_ONCE >> 5
         dist = np.concatenate([np.empty(0)] + [
-            measure.rows(a[row[start : start + step]], b[col[start : start + step]]) for start in range(0, len(row), step)
+            measure.rows(of_a[:, row[at : at + step]].T, of_b[:, col[at : at + step]].T) for at in range(0, len(row), step)
         ])
         dist[np.isnan(dist)] = np.inf
-        if np.ndim(void):
-            dist[void[row, col]] = np.inf
+        if void is not None:
+            dist[void((row, col))] = np.inf
         bound = tightened(row, dist, k, limit)
         keep = dist <= bound[row]
         return row[keep], col[keep], dist[keep], bound
@@ -199,21 +222,16 @@ def nearest(near, a, b, a_ids, b_ids, k, limit, skip_self):
     Returns row numbers, neighbour ids, distances (sorted by row, distance, id) and
     the bound each row ended up with.
     """
-    found, bounds = [], []
-    step = max(1, PAIRS_AT_ONCE // max(1, len(b)))
-    skip_self = skip_self and len(np.intersect1d(a_ids, b_ids)) > 0
-    for start in range(0, len(a), step):
-        stop = min(start + step, len(a))
-        void = a_ids[start:stop, None] == b_ids[None, :] if skip_self else np.False_
-        row, col, dist, bound = near(a[start:stop], b, void, k, limit[start:stop])
-        real = dist < np.inf
-        found.append((row[real] + start, b_ids[col[real]], dist[real]))
-        bounds.append(bound)
-    if not found:
-        return np.empty(0, int), np.empty(0, np.int64), np.empty(0), np.empty(0)
-    row, j, dist = (np.concatenate(parts) for parts in zip(*found))
+    void = None
+    if skip_self and len(np.intersect1d(a_ids, b_ids)):
+        void = lambda at: (
+            a_ids[at, None] == b_ids[None, :] if isinstance(at, slice) else a_ids[at[0]] == b_ids[at[1]]
+        )
+    row, col, dist, bound = near(a, b, void, k, limit)
+    real = dist < np.inf
+    row, j, dist = row[real], b_ids[col[real]], dist[real]
     order = np.lexsort((j, dist, row))
-    return row[order], j[order], dist[order], np.concatenate(bounds)
+    return row[order], j[order], dist[order], bound
 
 
 def neighbour_lists(row, j, dist, rows: int) -> pa.ListArray:
@@ -306,49 +324,97 @@ def across_leaves(near, dims: int, k, skip_self: bool):
     return run
 
 
-def across_tiles(near, dims: int, k: int, skip_self: bool):
-    """Rows of (query points of one leaf, another leaf) -> neighbours found over there.
-
-    The lists of a leaf are cut to the k nearest, and what comes next is held against the tighter
-    bound, as long as the leaf is among the ``HELD`` that were last begun; then its lists leave.
-    """
-
-    def found(grp, ids, at, bound, row, j, dist):
-        order = np.lexsort((j, dist, row))
-        row, j, dist = row[order], j[order], dist[order]
-        hit, dense = np.unique(row, return_inverse=True)
+def boxes_apart(kind, lo, hi, other_lo, other_hi):
+    """The least distance of each of some boxes to another: the SQL form's terms, in its order."""
+    gaps = np.maximum(np.maximum(lo - other_hi, other_lo - hi), 0)
+    total = np.zeros(len(gaps))
+    for term in (gaps if kind == "l1" else gaps * gaps).T:
+        total += term
+    if kind == "unit":  # slack for the unit vectors' rounding
+        return total / 2 - 1e-9
+    return np.sqrt(total) if kind == "l2" else total
+
+
+class _Tile:
+    """The asking leaves of a tile, with the ``k`` nearest found so far for each of their points."""
+
+    def __init__(self, grp, leaves, dims, box):
+        self.grp, self.leaves = grp, np.array([leaf for leaf, *_ in leaves])
+        self.who, x, self.bound = (np.concatenate(parts) for parts in list(zip(*leaves))[1:])
+        sizes = np.array([len(ids) for _, ids, *_ in leaves])
+        self.at, self.home, self.heads = matrix(x, dims), np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+        self.box, (self.lo, self.hi) = box, edges(self.at, self.heads, box == "unit")
+        self.row, self.j, self.dist = np.empty(0, int), np.empty(0, np.int64), np.empty(0)
+
+    def visit(self, near, leaf, ids, x, lo, hi, k, skip_self):
+        """Holds another leaf's candidates against the points whose leaf is near enough to it."""
+        reached = self.leaves != leaf
+        if self.box is not None:
+            farthest = np.maximum.reduceat(self.bound, self.heads)
+            reached &= ~(boxes_apart(self.box, self.lo, self.hi, lo, hi) > farthest)
+        rows = np.flatnonzero(reached[self.home])
+        for start in range(0, len(rows), VISITORS):
+            some = rows[start : start + VISITORS]
+            row, j, dist, _ = nearest(near, self.at[some], x, self.who[some], ids, k, self.bound[some], skip_self)
+            if len(row):
+                self.add(some[row], j, dist, k)
+
+    def add(self, row, j, dist, k):
+        """Lists that got longer are cut to the ``k`` nearest, ties kept; the others stay."""
+        fresh = np.zeros(len(self.who), bool)
+        fresh[row] = True
+        longer = fresh[self.row]
+        row, j, dist = (np.concatenate(p) for p in ((self.row[longer], row), (self.j[longer], j), (self.dist[longer], dist)))
+        self.bound = tightened(row, dist, k, self.bound)
+        keep = dist <= self.bound[row]
+        self.row = np.concatenate([self.row[~longer], row[keep]])
+        self.j = np.concatenate([self.j[~longer], j[keep]])
+        self.dist = np.concatenate([self.dist[~longer], dist[keep]])
+
+    def found(self):
+        order = np.lexsort((self.j, self.dist, self.row))
+        hit, dense = np.unique(self.row[order], return_inverse=True)
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids[hit]), pa.array(np.full(len(hit), grp)), neighbour_lists(dense, j, dist, len(hit))],
+            [
+                pa.array(self.who[hit]),
+                pa.array(np.full(len(hit), self.grp)),
+                neighbour_lists(dense, self.j[order], self.dist[order], len(hit)),
+            ],
             names=["i", "grp", "nbrs"],
         )
 
+
+def across_tiles(near, box, dims: int, k: int, skip_self: bool):
+    """Leaves sorted by tile, those that ask before those that offer -> neighbours found over there.
+
+    A tile's asking leaves are held while the offering ones pass by, one at a time: each leaf comes
+    to a task once a tile, not once for each leaf it meets.  What comes next is held against the
+    tighter bound.
+    """
+
     def run(batches):
-        held = {}
+        key, asking, tile = None, [], None
         for batch in batches:
-            columns = {c: flat_lists(batch.column(c)) for c in ("asking", "ax", "bounds", "ids", "xs", "roles")}
+            columns = {c: flat_lists(batch.column(c)) for c in ("ids", "xs", "roles", "bounds", "lo", "hi")}
             part = lambda c, r: columns[c][1][columns[c][0][r] : columns[c][0][r + 1]]
-            leaves, groups = batch.column("a").to_numpy(), batch.column("grp").to_numpy()
-            for r in range(batch.num_rows):
-                key = (groups[r], leaves[r])
-                if key not in held:
-                    if len(held) == HELD:
-                        yield found(*held.pop(next(iter(held))))
-                    # copies: the batch is not to stay
-                    held[key] = (
-                        groups[r], part("asking", r).copy(), matrix(part("ax", r).copy(), dims), part("bounds", r).copy(),
-                        np.empty(0, int), np.empty(0, np.int64), np.empty(0),
+            plain = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("grp", "ta", "tb", "asks", "leaf"))
+            for r, (grp, ta, tb, asks, leaf) in enumerate(zip(*plain)):
+                if key != (grp, ta, tb):
+                    if tile is not None:
+                        yield tile.found()
+                    key, asking, tile = (grp, ta, tb), [], None
+                if asks:  # copies: the batch is not to stay
+                    asking.append((leaf, *(part(c, r).copy() for c in ("ids", "xs", "bounds"))))
+                    continue
+                if tile is None and asking:
+                    tile, asking = _Tile(grp, asking, dims, box), []
+                if tile is not None:
+                    offered = part("roles", r) & 2 > 0
+                    tile.visit(
+                        near, leaf, part("ids", r)[offered], matrix(part("xs", r), dims)[offered],
+                        part("lo", r), part("hi", r), k, skip_self,
                     )
-                grp, who, at, bound, *lists_ = held[key]
-                offered = part("roles", r) & 2 > 0
-                more = nearest(
-                    near, at, matrix(part("xs", r), dims)[offered], who, part("ids", r)[offered], k, bound, skip_self
-                )[:3]
-                if len(more[0]):
-                    row, j, dist = (np.concatenate(pair) for pair in zip(lists_, more))
-                    bound = tightened(row, dist, k, bound)
-                    keep = dist <= bound[row]
-                    held[key] = (grp, who, at, bound, row[keep], j[keep], dist[keep])
-        for lists_ in held.values():
-            yield found(*lists_)
+        if tile is not None:
+            yield tile.found()
 
     return run

@@ -134,8 +134,10 @@ def _widest(sample: DataFrame, dims: int) -> list[int]:
     """Up to ``CURVE_DIMS`` coordinates, in order: those with the largest deviations."""
     if dims <= CURVE_DIMS:
         return list(range(dims))
-    spread = sample.agg(*(F.stddev_pop(F.col("x")[m]) for m in range(dims))).first()
-    size = [0.0 if v is None or math.isnan(v) else v for v in spread]
+    # a row per coordinate: an aggregate per coordinate would make ``x`` anew for each of them
+    spread = sample.select(F.posexplode("x").alias("m", "v")).groupBy("m").agg(F.stddev_pop("v").alias("size")).collect()
+    known = {r["m"]: r["size"] for r in spread if r["size"] is not None and not math.isnan(r["size"])}
+    size = [known.get(m, 0.0) for m in range(dims)]
     return sorted(sorted(range(dims), key=lambda m: (-size[m], m))[:CURVE_DIMS])
 
 
@@ -413,7 +415,8 @@ def search_tiles(home: DataFrame, leaves: Leaves, k: int, skip_self: bool) -> Da
 
     Where every leaf visits nearly every other, a copy of a point for each visit is most of the
     work.  Here the pairs of leaves of a group are a square, cut into tiles; a leaf travels whole,
-    once for each tile of its row or column.  A tile is a bounded piece of work for one task.
+    once for each tile of its row or column.  A tile is a bounded piece of work for one task, which
+    holds the leaves that ask while those that offer pass by.
     """
     measure, dims = leaves.measure, leaves.dims
     bits = tile_bits(leaves)
@@ -423,22 +426,27 @@ def search_tiles(home: DataFrame, leaves: Leaves, k: int, skip_self: bool) -> Da
     row = table.filter("queries > 0").select("grp", tile("leaf").alias("ta")).distinct()
     column = table.filter("candidates > 0").select("grp", tile("leaf").alias("tb")).distinct()
     asking = home.groupBy("leaf", "grp").agg(
-        F.collect_list("i").alias("asking"), F.flatten(F.collect_list("x")).alias("ax"),
-        F.collect_list("bound").alias("bounds"), F.max("bound").alias("bound"),
+        F.collect_list("i").alias("ids"), F.flatten(F.collect_list("x")).alias("xs"), F.collect_list("bound").alias("bounds"),
+    )
+    either = ("grp", "ta", "tb", "asks", "leaf", "ids", "xs", "roles", "bounds", "lo", "hi")
+    none = lambda kind: F.lit(None).cast(f"array<{kind}>")
+    a = asking.withColumn("ta", tile("leaf")).join(column, "grp").select(
+        "*", F.lit(True).alias("asks"), none("int").alias("roles"), none("double").alias("lo"), none("double").alias("hi"),
+    )
+    b = table.filter("candidates > 0").withColumn("tb", tile("leaf")).join(row, "grp").select(
+        "*", F.lit(False).alias("asks"), none("double").alias("bounds"),
+    )
+    cores = leaves.spark.sparkContext.defaultParallelism
+    parts = max(4 * cores, int(leaves.spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = min(parts, max(cores, leaves.rows // leaves.leaf_rows))  # few bytes, much work: not to be joined by size
+    dealt = a.select(*either).union(b.select(*either)).repartition(parts, "grp", "ta", "tb").sortWithinPartitions(
+        "grp", "ta", "tb", F.desc("asks"), "leaf"
     )
-    boxes = table.select("leaf", F.col("lo").alias("alo"), F.col("hi").alias("ahi"))
-    a = asking.join(boxes, "leaf").withColumnRenamed("leaf", "a").withColumn("ta", tile("a")).join(column, "grp")
-    b = table.filter("candidates > 0").select(
-        "grp", F.col("leaf").alias("b"), tile("leaf").alias("tb"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"),
-        "ids", "xs", "roles",
-    ).join(row, "grp")
-    met = a.join(b, ["grp", "ta", "tb"]).filter("a <> b")
-    if measure.box is not None:
-        met = met.filter(F.expr(f"{_box_distance(measure.box, dims, False, ('alo', 'ahi'), ('blo', 'bhi'))} <= bound"))
     with arrow_rows(leaves.spark, max(1, leaves.batch_rows // 2)):
         return stage(
-            met.select("a", "grp", "asking", "ax", "bounds", "ids", "xs", "roles").mapInArrow(
-                blocks.across_tiles(_kernel(measure, dims), dims, k, skip_self), f"i bigint, grp bigint, nbrs {NEIGHBOURS}"
+            dealt.mapInArrow(
+                blocks.across_tiles(_kernel(measure, dims), measure.box, dims, k, skip_self),
+                f"i bigint, grp bigint, nbrs {NEIGHBOURS}",
             ),
             "tiles",
         )

@@ -1,4 +1,7 @@
+from dataclasses import replace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -74,6 +77,73 @@ def test_screen_compares_once_where_limits_are_tight(monkeypatch):
     assert (j.reshape(300, 4) == want).all()
 
 
+OWN = np.random.default_rng(17)
+
+
+@pytest.mark.parametrize("name", ["euclidean", "cosine"])
+def test_a_block_is_prepared_once_and_survivors_computed_together(name):
+    calls, measure = [], resolve(name)
+    counted = replace(
+        measure,
+        screen=lambda *blocks_: calls.append("screen") or measure.screen(*blocks_),
+        rows=lambda *pairs: calls.append("rows") or measure.rows(*pairs),
+    )
+    x, ids = OWN.normal(size=(1500, 20)), np.arange(1500)
+    dist = measure.block(x, x)
+    limit = np.sort(dist, axis=1)[:, 2]
+    row, j, found, _ = blocks.nearest(blocks.screened(counted), x, x, ids, ids + 1500, 2, limit, True)
+    assert calls.count("screen") == 1 and calls.count("rows") <= 2
+    assert all(dist[a, b - 1500] == d for a, b, d in zip(row, j, found)) and len(row) == 3000
+
+
+def test_single_precision_rules_out_nothing_near():
+    """Angles that single precision cannot tell apart."""
+    x = np.zeros((400, 32))
+    x[:, 0], x[:, 1] = 1.0, OWN.permutation(400) * 1e-6
+    ids, dist = np.arange(400), resolve("cosine").block(x, x)
+    np.fill_diagonal(dist, np.inf)
+    for limit in (np.full(400, np.inf), np.sort(dist, axis=1)[:, 3]):
+        row, j, found, _ = blocks.nearest(blocks.screened(resolve("cosine")), x, x, ids, ids, 3, limit, True)
+        want = dist <= np.minimum(np.sort(dist, axis=1)[:, 2], limit)[:, None]
+        assert set(zip(row, j)) == set(zip(*np.nonzero(want)))
+        assert all(dist[a, b] == d for a, b, d in zip(row, j, found))
+
+
+def test_a_leaf_comes_to_a_task_once_a_tile(points, monkeypatch):
+    """Not once for each leaf that it meets."""
+    def counting(*_):
+        def run(batches):
+            yield pa.RecordBatch.from_pylist(
+                [{"i": sum(b.num_rows for b in batches), "grp": 0, "nbrs": []}],
+                pa.schema([("i", pa.int64()), ("grp", pa.int64()), ("nbrs", pa.list_(blocks.NEIGHBOUR))]),
+            )
+        return run
+
+    x = OWN.normal(size=(320, 20))
+    leaves = knn_.build_leaves(points(x), leaf_rows=8)
+    assert leaves.most >= 40
+    home = knn_.search_home(leaves, 3, True, True)
+    monkeypatch.setattr(blocks, "across_tiles", counting)
+    read = sum(r["i"] for r in knn_.search_tiles(home, leaves, 3, True).collect())
+    assert read <= 2 * 16 * leaves.most < leaves.most * (leaves.most - 1)  # the pairs of leaves
+
+
+@pytest.mark.parametrize("name", ["euclidean", "cosine", "intersection"])
+def test_tiles_with_groups_roles_and_ties(points, name):
+    """Leaves of queries only and of candidates only, copies, and a far group."""
+    x = np.concatenate([OWN.integers(1, 4, size=(200, 20)), OWN.normal(size=(200, 20)) + 2]).astype(float)
+    group, asks, offers = np.arange(400) % 3, np.arange(400) % 5 > 0, np.arange(400) % 7 > 0
+    x[group == 2] *= 50
+    x[30:60] = x[:30]
+    code = F.array(*(F.lit(int(g)) for g in group))
+    role = F.array(*(F.lit(int(a) * QUERY + int(o) * CANDIDATE) for a, o in zip(asks, offers)))
+    at = F.col("i").cast("int")
+    rows = points(x).withColumns({"grp": code[at], "role": role[at]}).filter("role > 0")
+    allowed = (group[:, None] == group) & asks[:, None] & offers
+    want = {i: n for i, n in brute.neighbours(x, 4, name, allowed).items() if asks[i]}
+    assert lists(knn(rows, 4, name, leaf_rows=8)) == want
+
+
 def test_three_tied_at_the_k_distance(points):
     x = [[0, 0], [1, 0], [0, 2], [2, 0], [0, -2], [9, 9]]
     near = knn(points(x), 2).filter("i = 0").first()
