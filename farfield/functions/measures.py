@@ -151,6 +151,29 @@ def _euclidean_screen(a, b, limit):
     return about, _square_above(limit) - of_a + off, off
 
 
+def _manhattan_screen(a, b, limit):
+    """Coordinates as small integers: a sum of gaps errs by at most a step for each of them."""
+    dims = a.shape[1]
+    steps = np.iinfo(np.int16).max // dims
+    ends = [f.reduce(x, axis=None, initial=at) for x in (a, b) for f, at in ((np.minimum, np.inf), (np.maximum, -np.inf))]
+    low, width = min(ends[0], ends[2]), max(ends[1], ends[3]) - min(ends[0], ends[2])
+    if steps < 16 or not 0 < width / max(1, steps) < np.inf:
+        return (lambda part: _manhattan_rows(a[part][:, None, :], b[None, :, :])), limit, np.zeros(len(a))
+    step = width / steps
+    left, right = (np.clip(np.rint((x - low) / step), 0, steps).astype(np.int16, order="C") for x in (a, b.T))
+
+    def about(part):
+        rows = left[part]
+        total, gap = np.zeros((len(rows), right.shape[1]), np.int16), np.empty((len(rows), right.shape[1]), np.int16)
+        for j in range(dims):
+            _gap(rows[:, j, None], right[j], gap)
+            total += gap
+        return total.astype(np.float32)  # whole numbers, in steps
+
+    off = np.full(len(a), dims + 1, np.float32)  # one more for rounding
+    return about, np.minimum(limit / step, 1 << 20).astype(np.float32) + off, off
+
+
 def _cosine_screen(a, b, limit):
     of_a, of_b = (a * a).sum(axis=1), (b * b).sum(axis=1)
     with np.errstate(invalid="ignore", over="ignore", under="ignore"):
@@ -215,7 +238,7 @@ MEASURES = {
             "euclidean", euclidean, _euclidean_rows, "l2", _euclidean_screen,
             cheap=_squares, unkey=np.sqrt, lift=_square_above,
         ),
-        Measure("manhattan", manhattan, _manhattan_rows, "l1"),
+        Measure("manhattan", manhattan, _manhattan_rows, "l1", _manhattan_screen),
         Measure("cosine", cosine, _cosine_rows, "unit", _cosine_screen),
         Measure("intersection", intersection, _intersection_rows),
     )

@@ -7,9 +7,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 
 NEIGHBOUR = pa.struct([("dist", pa.float64()), ("j", pa.int64())])
+STEPPED = pa.struct([("dist", pa.float64()), ("j", pa.int64()), ("step", pa.int32())])
 HELD = 64  # blocks of lonely points whose words are kept while others pass by
 VISITORS = 1 << 13  # points of a tile that are held against another leaf at once
 PAIRS_AT_ONCE = 1 << 17  # a block of distances stays in a core's cache
+FIRST_BLOCK = 64  # points that are the first to be held against a tile; the next block is twice as large
+DENSE = 16  # where one pair of so many shares a bucket, all pairs are compared
 CROWD = 4  # a row that passes more than so many times k pairs is cut by its own k-th first
 
 
@@ -418,3 +421,224 @@ def across_tiles(near, box, dims: int, k: int, skip_self: bool):
             yield tile.found()
 
     return run
+
+
+def unscreened(measure):
+    """A screen for measures that have none: the distance itself."""
+
+    def screen(a, b, limit):
+        def about(part):
+            dist = measure.rows(a[part][:, None, :], b[None, :, :])
+            dist[np.isnan(dist)] = np.inf
+            return dist
+
+        return about, limit, np.zeros(len(a))
+
+    return screen
+
+
+class _Crowd:
+    """The asking points of a tile with their buckets, table by table and in each run by run.
+
+    For each run and step of tables it keeps the ``k`` first by distance, then id, of the points
+    met in a bucket of the tables up to that step, and counts the pairs that share one.
+    """
+
+    def __init__(self, measure, screen, k, steps, who, x, signs):
+        self.measure, self.screen, self.k, self.steps = measure, screen, k, steps
+        self.who, self.at, self.flat = who, x, np.ascontiguousarray(x.T)
+        self.tables, self.runs = steps[-1], signs.shape[1] // steps[-1]
+        self.step_of = np.searchsorted(steps, np.arange(self.tables), side="right")
+        self.known, self.codes, self.sizes, self.starts, self.order = [], [], [], [], []
+        for column in signs.T:
+            known, code, sizes = np.unique(column, return_inverse=True, return_counts=True)
+            self.known.append(known)
+            # in as few bytes as hold them; one more number stands for buckets of others only
+            self.codes.append(code.astype(np.min_scalar_type(len(known))))
+            self.sizes.append(np.append(sizes, 0))
+            self.starts.append(np.append(np.cumsum(sizes) - sizes, 0))
+            self.order.append(np.argsort(code, kind="stable"))
+        self.pairs = np.zeros((self.runs, len(steps)), np.int64)
+        self.bound = np.full((len(steps), self.runs * len(who)), np.inf)
+        self.key, self.j, self.step, self.dist = (np.empty(0, t) for t in (int, np.int64, int, float))
+
+    def columns(self, run):
+        return range(run, self.runs * self.tables, self.runs)
+
+    def visit(self, ids, x, signs):
+        """Holds other points against those of these that they share a bucket with."""
+        codes = []
+        for column, known in zip(signs.T, self.known):
+            at = np.minimum(np.searchsorted(known, column), len(known) - 1)
+            codes.append(np.where(known[at] == column, at, len(known)))
+        shared = [sum(self.sizes[c][codes[c]].sum() for c in self.columns(run)) for run in range(self.runs)]
+        dense = [run for run, pairs in enumerate(shared) if pairs * DENSE > len(self.who) * len(ids)]
+        flat = np.ascontiguousarray(x.T)
+        met = [self.listed(run, codes, flat) for run in range(self.runs) if shared[run] and run not in dense]
+        if dense:
+            met += self.compared(dense, codes, x, flat)
+        if met:
+            key, col, step, dist = (np.concatenate(parts) for parts in zip(*met))
+            self.add(key, ids[col], step, dist)
+
+    def apart(self, row, col, flat):
+        """Distances of some pairs, coordinate by coordinate."""
+        step = PAIRS_AT_ONCE >> 5
+        dist = np.concatenate([np.empty(0)] + [
+            self.measure.rows(self.flat[:, row[at : at + step]].T, flat[:, col[at : at + step]].T)
+            for at in range(0, len(row), step)
+        ])
+        dist[np.isnan(dist)] = np.inf
+        return dist
+
+    def listed(self, run, codes, flat):
+        """Few pairs share a bucket: they are read off the buckets, each pair once."""
+        keys, steps, width = [], [], flat.shape[1]
+        for t, c in enumerate(self.columns(run)):
+            size = self.sizes[c][codes[c]]
+            col, first = np.repeat(np.arange(width), size), np.repeat(self.starts[c][codes[c]], size)
+            place = np.arange(len(col)) - np.repeat(np.cumsum(size) - size, size)
+            keys.append(self.order[c][first + place] * width + col)
+            steps.append(np.full(len(col), self.step_of[t]))
+        pair, at = np.unique(np.concatenate(keys), return_index=True)  # of equals the first table's
+        step = np.concatenate(steps)[at]
+        self.pairs[run] += np.cumsum(np.bincount(step, minlength=len(self.steps)))
+        row, col = np.divmod(pair, width)
+        return row + run * len(self.who), col, step, self.apart(row, col, flat)
+
+    def compared(self, runs, codes, x, flat):
+        """Many pairs share a bucket: all are compared, and few are near enough to be looked at."""
+        last, n = len(self.steps), len(self.who)
+        limits = self.bound.reshape(last, self.runs, n)[:, runs].reshape(-1, n)  # step by step, run by run
+        about_of, tops, off = self.screen(self.at, x, limits)
+        codes = {c: codes[c].astype(self.codes[c].dtype) for run in runs for c in self.columns(run)}
+        met = []
+        for part in pieces(n, len(x)):
+            about, top = about_of(part), tops[:, part].reshape(last, len(runs), -1).copy()
+            levels = [self.levels(run, part, codes) for run in runs]
+            hit = np.flatnonzero(about <= top.max(axis=(0, 1))[:, None])
+
+            def passing(hit):
+                row, value = hit // len(x), about.ravel()[hit]
+                passed = []
+                for r, level in enumerate(levels):
+                    step = last - level.ravel()[hit].astype(int)  # the first step a pair is of; none is ``last``
+                    passed.append((step < last) & (value <= top[np.minimum(step, last - 1), r, row]))
+                return passed
+
+            passed = passing(hit)
+            some = np.any(passed, axis=0)
+            crowded = np.flatnonzero(np.bincount(hit[some] // len(x), minlength=len(about)) > CROWD * self.k * len(runs))
+            if len(crowded) and len(x) >= self.k:
+                slack = 2 * off[part][crowded]
+                for r, level in enumerate(levels):
+                    for step in range(last):
+                        own = np.where(level[crowded] >= last - step, about[crowded], np.inf)
+                        least = np.partition(own, self.k - 1, axis=1)[:, self.k - 1]
+                        top[step, r, crowded] = np.minimum(top[step, r, crowded], least + slack)
+                hit = hit[some]
+                passed = passing(hit)
+                some = np.any(passed, axis=0)
+            row, col = np.divmod(hit[some], len(x))
+            dist = self.apart(row + part.start, col, flat)
+            for r, (run, level) in enumerate(zip(runs, levels)):
+                at = passed[r][some]
+                step = last - level.ravel()[hit[some][at]].astype(int)
+                met.append((row[at] + part.start + run * n, col[at], step, dist[at]))
+        return met
+
+    def levels(self, run, part, codes):
+        """Of how many of the steps of a run each pair is; counts the pairs of each step."""
+        shape = (part.stop - part.start, len(codes[run]))
+        met, same, level = np.zeros(shape, bool), np.empty(shape, bool), np.zeros(shape, np.uint8)
+        for t, c in enumerate(self.columns(run)):
+            np.equal(self.codes[c][part, None], codes[c], out=same)
+            np.logical_or(met, same, out=met)
+            if t + 1 in self.steps:
+                level += met.view(np.uint8)
+                self.pairs[run, self.steps.index(t + 1)] += np.count_nonzero(met)
+        return level
+
+    def add(self, key, j, step, dist):
+        """Lists that got longer are cut to the ``k`` first of each step; the others stay."""
+        near = (dist < np.inf) & (dist <= self.bound[step, key])
+        fresh = np.zeros(self.bound.shape[1], bool)
+        fresh[key[near]] = True
+        longer = fresh[self.key]
+        held = (self.key, self.j, self.step, self.dist)
+        key, j, step, dist = (np.concatenate([old[longer], new[near]]) for old, new in zip(held, (key, j, step, dist)))
+        order = np.lexsort((j, dist, key))
+        key, j, step, dist = key[order], j[order], step[order], dist[order]
+        counts = np.bincount(key, minlength=len(fresh))
+        heads, keep = (np.cumsum(counts) - counts)[key], np.zeros(len(key), bool)
+        for s in range(len(self.steps)):
+            before = np.concatenate([[0], np.cumsum(step <= s)])
+            place = before[:-1] - before[heads]
+            keep |= (step <= s) & (place < self.k)
+            full = (step <= s) & (place == self.k - 1)
+            self.bound[s, key[full]] = dist[full]
+        self.key, self.j, self.step, self.dist = (
+            np.concatenate([old[~longer], new[keep]]) for old, new in zip(held, (key, j, step, dist))
+        )
+
+    def found(self):
+        """A row for each point and run with its neighbours, then one for each run and step with its pairs."""
+        order = np.lexsort((self.j, self.dist, self.key))
+        hit, dense = np.unique(self.key[order], return_inverse=True)
+        near = pa.StructArray.from_arrays(
+            [pa.array(self.dist[order]), pa.array(self.j[order]), pa.array(self.step[order].astype(np.int32))],
+            fields=list(STEPPED),
+        )
+        run, row = np.divmod(hit, len(self.who))
+        of_run, of_step = (at.ravel() for at in np.indices(self.pairs.shape))
+        none = np.zeros(self.pairs.size, np.int64)
+        together = lambda a, b: np.concatenate([a, b])
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(together(self.who[row], none)),
+                pa.array(together(run, of_run).astype(np.int32)),
+                pa.array(together(np.full(len(hit), -1), of_step).astype(np.int32)),
+                pa.array(together(np.zeros(len(hit), np.int64), self.pairs.ravel())),
+                lists(near, together(np.bincount(dense, minlength=len(hit)), none)),
+            ],
+            names=["i", "run", "step", "pairs", "nbrs"],
+        )
+
+
+def across_tables(measure, many: int, k: int, steps: tuple[int, ...], leaf_rows: int):
+    """Points sorted by tile, those that ask before those that offer -> for each that asks the ``k``
+    first it meets in buckets of the first tables of each run, up to each of ``steps``, and how many
+    pairs meet there.  A pair's distance is taken once at most, however many buckets it shares; with
+    more than ``many`` coordinates pairs are screened.
+    """
+
+    def run(batches):
+        key, asking, crowd = None, [], None
+        for batch in batches:
+            ids, asks = batch.column("i").to_numpy(), batch.column("asks").to_numpy(zero_copy_only=False)
+            tiles = np.stack([batch.column(c).to_numpy() for c in ("ta", "tb")], axis=1)
+            x, signs = (flat_lists(batch.column(c))[1].reshape(len(ids), -1) for c in ("x", "signs"))
+            edge = np.any(tiles[1:] != tiles[:-1], axis=1) | (asks[1:] != asks[:-1])
+            cuts = np.concatenate([[0], np.flatnonzero(edge) + 1, [len(ids)]])
+            for start, stop in zip(cuts[:-1], cuts[1:]):
+                if stop == start:
+                    continue
+                if key != tuple(tiles[start]):
+                    if crowd is not None:
+                        yield crowd.found()
+                    key, asking, crowd, block = tuple(tiles[start]), [], None, FIRST_BLOCK
+                if asks[start]:  # copies: the batch is not to stay
+                    asking.append([part[start:stop].copy() for part in (ids, x, signs)])
+                    continue
+                if crowd is None and asking:
+                    screen = measure.screen if x.shape[1] > many and measure.screen is not None else unscreened(measure)
+                    crowd, asking = _Crowd(measure, screen, k, steps, *(np.concatenate(p) for p in zip(*asking))), []
+                at = start if crowd is not None else stop
+                while at < stop:
+                    some = slice(at, min(at + block, stop))
+                    crowd.visit(ids[some], x[some], signs[some])
+                    at, block = some.stop, min(2 * block, leaf_rows)
+        if crowd is not None:
+            yield crowd.found()
+
+    return run

@@ -70,6 +70,20 @@ def passing(spark: SparkSession):
             delete(spark, path)
 
 
+@contextmanager
+def lean(spark: SparkSession):
+    """Nothing of what is done inside stays on disk: shuffle files go with the job that wrote them,
+    staged tables at the end.  Frames made inside are to be evaluated inside."""
+    conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(conf, "false")
+    spark.conf.set(conf, "true")
+    try:
+        with passing(spark):
+            yield
+    finally:
+        spark.conf.set(conf, before)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a file or folder, if it is there."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
