@@ -8,10 +8,10 @@ from pyspark import TaskContext
 
 NEIGHBOUR = pa.struct([("dist", pa.float64()), ("j", pa.int64())])
 STEPPED = pa.struct([("dist", pa.float64()), ("j", pa.int64()), ("step", pa.int32())])
-HELD = 64  # blocks of lonely points whose words are kept while others pass by
 VISITORS = 1 << 13  # points of a tile that are held against another leaf at once
 PAIRS_AT_ONCE = 1 << 17  # a block of distances stays in a core's cache
 FIRST_BLOCK = 64  # points that are the first to be held against a tile; the next block is twice as large
+SMALL = 1 << 10  # pairs of a leaf that is not worth calls of its own
 DENSE = 16  # where one pair of so many shares a bucket, all pairs are compared
 CROWD = 4  # a row that passes more than so many times k pairs is cut by its own k-th first
 
@@ -242,8 +242,50 @@ def neighbour_lists(row, j, dist, rows: int) -> pa.ListArray:
     return lists(structs, np.bincount(row, minlength=rows))
 
 
-def within_leaf(near, dims: int, k, skip_self: bool, keep_x: bool):
-    """Leaf rows -> one row per query point, with its neighbours inside its own leaf."""
+def small_leaves(distance, offsets, ids, x, roles, reaches, k, skip_self):
+    """What ``nearest`` finds in each of many leaves of few points, all their pairs at once.
+
+    Row numbers of the query points, then for these what ``nearest`` returns; and which leaves it
+    was done for.
+    """
+    size = np.diff(offsets)
+    small = size * size <= SMALL
+    size, first = size[small], offsets[:-1][small]
+    mine = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+    asking = mine[roles[mine] & 1 > 0]
+    number = np.full(len(ids), -1)
+    number[asking] = np.arange(len(asking))
+    bound = reaches[asking].copy()
+    found, step = [], PAIRS_AT_ONCE >> 5
+    cuts = np.flatnonzero(np.diff(np.cumsum(size * size) // PAIRS_AT_ONCE, prepend=0))
+    for leaves in np.split(np.arange(len(size)), cuts):
+        each = size[leaves] ** 2
+        wide, at = np.repeat(size[leaves], each), np.repeat(first[leaves], each)
+        place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        a, b = at + place // np.maximum(wide, 1), at + place % np.maximum(wide, 1)
+        met = (number[a] >= 0) & (roles[b] & 2 > 0)
+        if skip_self:
+            met &= ids[a] != ids[b]
+        a, b = a[met], b[met]
+        dist = np.concatenate([np.empty(0)] + [
+            distance(x[a[at : at + step]].T.copy().T, x[b[at : at + step]].T.copy().T) for at in range(0, len(a), step)
+        ])
+        row, j = number[a], ids[b]
+        near = (dist < np.inf) & (dist <= bound[row])
+        found.append((row[near], j[near], dist[near]))
+    row, j, dist = (np.concatenate(parts) for parts in zip(*found))
+    bound = tightened(row, dist, k, bound)
+    near = dist <= bound[row]
+    row, j, dist = row[near], j[near], dist[near]
+    order = np.lexsort((j, dist, row))
+    return asking, (row[order], j[order], dist[order], bound), small
+
+
+def within_leaf(near, distance, dims: int, k, skip_self: bool, keep_x: bool):
+    """Leaf rows -> one row per query point, with its neighbours inside its own leaf.
+
+    ``distance`` is that of pairs of points as ``near`` takes it.
+    """
 
     def run(batches):
         for batch in batches:
@@ -252,8 +294,10 @@ def within_leaf(near, dims: int, k, skip_self: bool, keep_x: bool):
             roles = flat_lists(batch.column("roles"))[1]
             reaches = flat_lists(batch.column("reaches"))[1]
             leaves, groups = batch.column("leaf").to_numpy(), batch.column("grp").to_numpy()
-            asked, home, found, done = [], [], [], 0
-            for r in range(batch.num_rows):
+            asking, some, small = small_leaves(distance, offsets, ids, x, roles, reaches, k, skip_self)
+            asked, found, done = [asking], [some], len(asking)
+            home = [np.repeat(np.arange(batch.num_rows), np.diff(offsets))[asking]]
+            for r in np.flatnonzero(~small):
                 rows = np.arange(offsets[r], offsets[r + 1])
                 asking, offered = rows[roles[rows] & 1 > 0], rows[roles[rows] & 2 > 0]
                 if not len(asking):

@@ -15,6 +15,7 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -320,11 +321,27 @@ def _kernel(measure: Measure, dims: int):
     return blocks.exact(measure)
 
 
+def _pairs(measure: Measure, dims: int):
+    """Distances of rows of points, as the kernel takes them; infinite where there is none."""
+    rows, key, unkey = measure.rows, measure.key, measure.unkey
+    if dims <= UNROLLED_DIMS or measure.screen is None:
+        rows = lambda a, b: unkey(key(a, b))
+
+    def distance(a, b):
+        dist = rows(a, b)
+        dist[np.isnan(dist)] = np.inf
+        return dist
+
+    return distance
+
+
 def search_home(leaves: Leaves, k: int | None, skip_self: bool, keep_x: bool) -> DataFrame:
     """Each query point with its neighbours in its own leaf and the bound that leaves."""
     table = leaves.table.select("leaf", "grp", "ids", "xs", "roles", "reaches")
     return table.mapInArrow(
-        blocks.within_leaf(_kernel(leaves.measure, leaves.dims), leaves.dims, k, skip_self, keep_x),
+        blocks.within_leaf(
+            _kernel(leaves.measure, leaves.dims), _pairs(leaves.measure, leaves.dims), leaves.dims, k, skip_self, keep_x
+        ),
         f"i bigint, leaf bigint, grp bigint, bound double, nbrs {NEIGHBOURS}"
         + (", x array<double>" if keep_x else ""),
     )

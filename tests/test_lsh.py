@@ -1,10 +1,12 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from farfield.functions import hashing as H
 from farfield.functions import measures as M
-from farfield.operators import evaluate, lsh, synth
+from farfield.operators import evaluate, hamming, lsh, synth
 from farfield.operators.knn import knn
 from tests import brute
 
@@ -188,3 +190,54 @@ def test_nearest_buckets_compare_blocks_not_pieces(points, monkeypatch):
     assert made["near-words"].count() <= 300 * 3 * 2  # k words for each point and tile, of 300
     held = chosen.join(words, "grp").groupBy("i").agg(F.sum("size").alias("held"))
     assert held.count() == 300 and held.filter("held < 3").count() == 0
+
+
+@pytest.mark.parametrize("sides", [7, 16, 32, 33, 70])
+@pytest.mark.parametrize("probe", [0, 4])
+def test_words_are_looked_up_by_pieces(sides, probe, monkeypatch):
+    """Few words are few bits apart; a look-up by pieces finds them, and all ties, as comparing all does."""
+    monkeypatch.setattr(hamming, "PROBE", probe)
+    monkeypatch.setattr(hamming, "VISIT", probe)
+    monkeypatch.setattr(hamming, "GATHERED", 500)
+    sizes = [min(32, sides - n) for n in range(0, sides, 32)]
+    some = np.stack([RNG.integers(0, 1 << s, 300) for s in sizes], axis=1)
+    some[100:200] = some[:100] ^ (1 << RNG.integers(0, min(sizes), (100, 1)))  # near, and in crowds of one piece
+    words = np.unique(some, axis=0).astype(np.uint32)
+    apart = np.bitwise_count(words[:, None] ^ words[None]).sum(axis=2, dtype=int)
+    want = [(i, d, j) for i in range(len(words)) for d, j in sorted((d, j) for j, d in enumerate(apart[i]) if d)[:5]]
+    near = hamming.NearWords(words, sides, 5)
+    assert list(zip(*(c.tolist() for c in near.of(words)))) == want
+
+
+def test_look_ups_visit_few_of_many_words(monkeypatch):
+    """Comparing every word with all others is what took the time; hardly any is to be left to that."""
+    words = np.unique(np.random.default_rng(3).integers(0, 1 << 32, 60_000)).astype(np.uint32)[:, None]
+    near, asked = hamming.NearWords(words, 32, 5), []
+    plain = near.compared
+    monkeypatch.setattr(near, "compared", lambda own, left: asked.append(len(left)) or plain(own, left))
+    row, apart, _ = near.of(words[:2000])
+    assert len(row) == 10_000 and sum(asked) < 200
+    every = np.sort(np.bitwise_count(words[:50] ^ words.T).astype(int), axis=1)[:, 1:6]
+    assert (apart[:250].reshape(50, 5) == every).all()
+
+
+def test_probing_signs_once_and_leaves_out_lonely_buckets(points, monkeypatch):
+    df, family, signed, rows = points(RNG.normal(size=(200, 4))), H.sign_family(H.uniform_planes(4, 40, 1, 2)), [], []
+    wrapped = replace(family, signature=lambda x, t: signed.append(1) or family.signature(x, t))
+    plain = lsh.knn
+    monkeypatch.setattr(lsh, "knn", lambda some, *a, **b: rows.append(some.count()) or plain(some, *a, **b))
+    assert lists(lsh.lsh_knn(df, 3, wrapped, probe=True)) == lists(lsh.lsh_knn(df, 3, family, probe=True))
+    assert len(signed) == 1 and rows[0] < 200
+
+
+@pytest.mark.parametrize("dims", [2, 20])
+@pytest.mark.parametrize("skip_self", [True, False])
+def test_small_groups_are_searched_together(points, dims, skip_self, monkeypatch):
+    """A call for each of many small groups took most of a search's time."""
+    x = RNG.integers(0, 4, size=(150, dims)).astype(float)
+    groups = np.concatenate([RNG.integers(0, 40, 100), np.full(50, 99)])
+    df = points(x).withColumn("grp", F.element_at(F.lit(groups.tolist()), (F.col("i") + 1).cast("int")).cast("bigint"))
+    same = groups[:, None] == groups[None, :]
+    for measure in ("euclidean", "cosine"):
+        got = lists(knn(df, 3, measure, skip_self=skip_self))
+        assert got == brute.neighbours(x, 3, measure, same, skip_self)
