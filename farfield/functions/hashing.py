@@ -28,6 +28,7 @@ class Family:
     signature: Callable[[Column, int], Column]
     bits: int | None = None  # signatures are this many bits in a bigint, if set
     sides: int | None = None  # bits of a signature that tells sides of hyperplanes
+    sides_of: Callable[[np.ndarray], np.ndarray] | None = None  # these bits, (points, tables, bits), of rows of points
 
     def bucket(self, x: Column, table: int) -> Column:
         return F.xxhash64(F.lit(table), self.signature(x, table))
@@ -69,7 +70,15 @@ def sign_family(planes, measure: str | Measure = "euclidean", name: str = "plane
             return sides
         return F.aggregate(sides, F.lit(0).cast("bigint"), lambda word, side: F.shiftleft(word, 1).bitwiseOR(side))
 
-    return Family(name, resolve(measure), tables, signature, hashes if hashes <= 62 else None, hashes)
+    flat = planes.reshape(tables * hashes, -1)
+
+    def sides_of(x: np.ndarray) -> np.ndarray:
+        total = np.zeros((len(x), len(flat)))
+        for j in range(x.shape[1]):  # in coordinate order, as the column adds
+            total += x[:, j, None] * flat[:, j]
+        return ((total > 0) | np.isnan(total)).reshape(len(x), tables, hashes)  # Spark takes NaN for the largest
+
+    return Family(name, resolve(measure), tables, signature, hashes if hashes <= 62 else None, hashes, sides_of)
 
 
 def projection_family(projections, offsets, width: float) -> Family:

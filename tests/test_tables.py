@@ -1,5 +1,7 @@
 """Buckets of several runs searched in one pass, and what that leaves on disk."""
 
+from dataclasses import replace
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -118,3 +120,18 @@ def test_grid_writes_a_vector_once_and_leaves_nothing(points, spark, monkeypatch
     assert [r["touched_pct"] for r in grid if (r["family"], r["hashes"], r["tables"]) == ("l1", 2, 2)] == [
         pytest.approx(touched * 100 / 120**2)
     ]
+
+
+def test_sides_are_signed_as_the_column_signs_them(points):
+    """Taking a thousand sides of a vector one by one in a plan took longer than the search."""
+    x = RNG.normal(size=(1100, 5))
+    x[3], x[4, 2], x[5] = 0, np.nan, x[6]
+    for sides in (6, 64):
+        family = H.sign_family(H.uniform_planes(5, sides, 3, 8), "cosine")
+        told = [np.stack(lsh.signed_rows(points(x), f, (2, 5, sides)).orderBy("i").toPandas()["signs"]) for f in (
+            family, replace(family, sides_of=None),
+        )]
+        assert told[0].shape == told[1].shape == (1100, 9)
+        for a, b in zip(*(t.T for t in told)):
+            pairs = set(zip(a.tolist(), b.tolist()))
+            assert len(pairs) == len(set(a.tolist())) == len(set(b.tolist()))
